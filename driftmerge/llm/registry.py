@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftmerge.llm import chat, transport, warc
+from driftmerge.llm import chat, simhash, substring, transport, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": simhash.op1_simhash,
     "op2_chat": chat.op2_chat,
+    "op4_substring": substring.op4_substring,
     "op9_media": transport.op9_media,
     "op10_warc": warc.op10_warc,
 }
 
 ORACLES: dict[str, str] = {
     "op2_chat": chat.OP2_SQL,
+    "op4_substring": substring.OP4_SQL,
     "op10_warc": warc.OP10_SQL,
 }
