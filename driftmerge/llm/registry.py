@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftmerge.llm import chat, hmm, simhash, substring, toxicity, transport, warc
+from driftmerge.llm import chat, hmm, packing, simhash, substring, tiling, toxicity, transport, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
     "op2_chat": chat.op2_chat,
     "op4_substring": substring.op4_substring,
+    "op5_decontamination": tiling.op5_decontamination,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_packing": packing.op7_packing,
     "op8_hmm": hmm.op8_hmm,
     "op9_media": transport.op9_media,
     "op10_warc": warc.op10_warc,
