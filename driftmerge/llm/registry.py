@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftmerge.llm import chat, hmm, packing, simhash, substring, tiling, toxicity, transport, warc
+from driftmerge.llm import chat, hmm, packing, privacy, simhash, substring, tiling, toxicity, transport, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
     "op2_chat": chat.op2_chat,
+    "op3_privacy": privacy.op3_privacy,
     "op4_substring": substring.op4_substring,
     "op5_decontamination": tiling.op5_decontamination,
     "op6_toxicity": toxicity.op6_toxicity,
