@@ -25,7 +25,6 @@ document all scores are the share of toxic ones; several label rows of a documen
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ from pyspark.sql import types as T
 from driftmerge.llm.common import crc_remainder, materialize, raw, release, slices, table, texts
 
 ORDER, DECAY, SYMBOLS = 4, 0.6, 32
-TRAIN_DOCS, LANDMARKS, CLEAN_LANDMARKS, UNITS, ROUNDS, HARD = 20_000, 256, 256, 20_000, 3, 30
+TRAIN_DOCS, LANDMARKS, CLEAN_LANDMARKS, UNITS, ROUNDS, HARD = 20_000, 192, 160, 12_000, 3, 30
 HOLD_MODULUS, HOLD_REMAINDER, THRESHOLD = 3, 1, 0.7
 LONGEST = 40
 GAP, DROP = 31, 255
@@ -112,7 +111,6 @@ def unit_margins(sym: np.ndarray, starts: np.ndarray, size: np.ndarray, weights:
     return np.add.reduceat(total, starts - 2) / length_term(size)
 
 
-@lru_cache(1 << 16)
 def subsequences(unit: bytes) -> dict[int, float]:
     """Subsequence codes of a unit (symbols as bytes) between its marks, with their summed weights."""
     out: dict[int, float] = {}
@@ -126,6 +124,21 @@ def subsequences(unit: bytes) -> dict[int, float]:
     return out
 
 
+class Encoded:
+    """Subsequences of many units, flat."""
+
+    def __init__(self, many: list[bytes]) -> None:
+        rows = [subsequences(x) for x in many]
+        size = np.array([len(r) for r in rows], np.int64)
+        self.at = np.r_[0, np.cumsum(size)]
+        self.codes = np.fromiter((c for r in rows for c in r), np.int32, int(self.at[-1]))
+        self.weights = np.fromiter((w for r in rows for w in r.values()), np.float32, int(self.at[-1]))
+        self.norm = length_term(np.array([len(x) for x in many]))
+
+    def __len__(self) -> int:
+        return len(self.norm)
+
+
 class Machine:
     """Landmarks, the linear weights over them as one table of subsequences, and the logistic fit."""
 
@@ -145,19 +158,19 @@ class Machine:
         gram = self.basis.T @ self.basis
         value, vector = np.linalg.eigh(gram)
         keep = value > 1e-8 * value.max()
-        self.map = vector[:, keep] / np.sqrt(value[keep])  # landmarks x features
-
-    def features(self, many: list[bytes]) -> np.ndarray:
-        out = np.zeros((len(many), self.basis.shape[1]))
-        for i, x in enumerate(many):
-            at, w = [], []
-            for code, weight in subsequences(x).items():
-                if (k := self.codes.get(code)) is not None:
-                    at.append(k)
-                    w.append(weight)
-            if at:
-                out[i] = np.array(w) @ self.basis[at]
-        return out / length_term(np.array([len(x) for x in many]))[:, None] @ self.map
+        self.map = (vector[:, keep] / np.sqrt(value[keep])).astype(np.float32)  # landmarks x features
+
+    def features(self, many: Encoded) -> np.ndarray:
+        row = np.full(SYMBOLS**ORDER, -1, np.int32)
+        row[list(self.codes)] = np.arange(len(self.codes))
+        basis = np.r_[self.basis, np.zeros((1, self.basis.shape[1]))].astype(np.float32)  # the last row is for all other codes
+        out = np.empty((len(many), self.map.shape[1]), np.float32)
+        for lo in range(0, len(many), 256):
+            at = many.at[lo : lo + 257]
+            codes, weights = many.codes[at[0] : at[-1]], many.weights[at[0] : at[-1]]
+            sums = np.add.reduceat(basis[row[codes]] * weights[:, None], at[:-1] - at[0], axis=0)
+            out[lo : lo + 256] = sums / many.norm[lo : lo + 256, None] @ self.map
+        return out
 
     def table(self, w: np.ndarray) -> np.ndarray:
         """The machine's weight of each subsequence code. Codes that lead from a GAP at a unit's end into the next unit have none."""
@@ -168,20 +181,25 @@ class Machine:
 
 def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0, rounds: int = 60) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss: Newton steps over the active set, halved until the loss falls; y is -1 or 1."""
-    z = np.c_[x, np.ones(len(x))]
+    z = np.c_[x, np.ones(len(x), np.float32)]
     w = np.zeros(z.shape[1])
     ridge = np.ones(z.shape[1])
     ridge[-1] = 1e-3
     cost = weight * c
 
     def loss(v: np.ndarray) -> float:
-        return float(0.5 * ridge @ (v * v) + 0.5 * cost @ np.maximum(0, 1 - y * (z @ v)) ** 2)
+        return float(0.5 * ridge @ (v * v) + 0.5 * cost @ np.maximum(0, 1 - y * (z @ v.astype(np.float32))) ** 2)
 
     now = loss(w)
     for _ in range(rounds):
-        active = y * (z @ w) < 1
-        a, s = z[active], cost[active]
-        step = np.linalg.solve(np.diag(ridge) + a.T @ (a * s[:, None]), a.T @ (s * y[active])) - w
+        active = np.flatnonzero(y * (z @ w.astype(np.float32)) < 1)
+        gram, right = np.diag(ridge), np.zeros(len(w))
+        for lo in range(0, len(active), 4096):
+            k = active[lo : lo + 4096]
+            a = z[k].astype(float)
+            gram = gram + a.T @ (a * cost[k, None])
+            right += a.T @ (cost[k] * y[k])
+        step = np.linalg.solve(gram, right) - w
         size = 1.0
         while size > 1e-6 and (after := loss(w + size * step)) >= now:
             size /= 2
@@ -289,7 +307,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Scorer:
     def machine_for(found: dict[bytes, float]) -> Scorer:
         nearest = sorted(hard, key=lambda u: (-hard[u], u))[:CLEAN_LANDMARKS]
         machine = Machine([*list(positive)[:LANDMARKS], *nearest, *[u for u in clean if u not in positive and u not in nearest][: CLEAN_LANDMARKS // 4]])
-        x = np.r_[machine.features(list(found)), machine.features(negative)]
+        x = np.r_[machine.features(Encoded(list(found))), machine.features(Encoded(negative))]
         y = np.r_[np.ones(len(found)), -np.ones(len(negative))]
         w, b = fit_svm(x, y, np.r_[np.array(list(found.values())) * len(negative) / sum(found.values()) / 2, np.array([1.0 + HARD * hard.get(x, 0) for x in negative])])
         return Scorer(machine.table(w), b, 1.0, 0.0)
@@ -301,7 +319,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Scorer:
         for x, label, margin in best:
             if not label and margin > -0.5:
                 hard[x] = hard.get(x, 0) + 1
-        wrong = sorted({x for x, label, _ in best if not label} - set(negative) - positive.keys())
+        wrong = sorted(hard.keys() - set(negative) - positive.keys())
         found = dict(positive)
         for x, label, margin in best:  # each toxic bag's best unit counts, if the machine takes it for toxic
             if label and margin > 0 and x not in positive and x not in hard:
