@@ -378,5 +378,5 @@ def score(docs: DataFrame, scorer: Scorer, text_column: str = "text", name: str
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scorer = train(docs, table(spark, sf_dir, "labels"))
-    held = F.expr(f"{crc_remainder('doc_id', HOLD_MODULUS)} = {HOLD_REMAINDER}")
+    held = F.expr(f"coalesce({crc_remainder('doc_id', HOLD_MODULUS)} = {HOLD_REMAINDER}, false)")
     return score(docs, scorer).select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
