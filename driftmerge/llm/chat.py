@@ -7,7 +7,7 @@ attributes of mappings (``message.role``), string and number literals, ``+``, ``
 attributes of Python objects, no loops without end. A template is parsed to a syntax tree, constants are folded,
 and the tree becomes closures that write to an output which also records where generated text lies.
 
-Escaping is reversible: in texts a backslash becomes two, and a backslash and ``:`` go into each control string after its first
+Escaping is reversible: in texts a backslash becomes two, and a backslash and ``-`` go into each control string after its first
 character. So the marks of turns cannot occur in a text, and reading back is exact for every text.
 
 A conversation is a sequence of turns in the order of (turn, role, text). Rows are dealt by conversation and sorted;
@@ -36,11 +36,11 @@ _ESCAPE = re.compile(r"\\|#(?=##)|<(?=/turn>)|:(?= )")
 
 
 def escape(text: str) -> str:
-    r"""Backslashes doubled; a control string, and the mark after a role, is cut after its first character by "\:"."""
-    return _ESCAPE.sub(lambda m: "\\\\" if m[0] == "\\" else m[0] + "\\:", text)
+    r"""Backslashes doubled; a control string, and the mark after a role, is cut after its first character by "\-"."""
+    return _ESCAPE.sub(lambda m: "\\\\" if m[0] == "\\" else m[0] + "\\-", text)
 
 
-_UNESCAPE = re.compile(r"\\(\\|:)")
+_UNESCAPE = re.compile(r"\\(\\|-)")
 
 
 def unescape(text: str) -> str:

@@ -65,7 +65,7 @@ def test_warc_round_trip_and_revisits(spark):
 def test_escapes_are_reversible_and_hide_control_strings():
     rng = random.Random(3)
     for _ in range(3000):
-        text = "".join(rng.choice(["#", "##", "###", "\\", "\\:", " </turn>\n", "</turn>", ": ", ":", "a", "\n", " "]) for _ in range(rng.randint(0, 14)))
+        text = "".join(rng.choice(["#", "##", "###", "\\", "\\-", " </turn>\n", "</turn>", ": ", ":", "a", "\n", " "]) for _ in range(rng.randint(0, 14)))
         safe = chat.escape(text)
         assert chat.unescape(safe) == text and "###" not in safe and "</turn>" not in safe
         formatted, spans = chat.compile_template(chat.TEMPLATE)({"messages": [{"role": text, "text": "u"}, {"role": "assistant", "text": text}]})
