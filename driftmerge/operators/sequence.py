@@ -7,8 +7,12 @@ grouped map over runs (a handful of rows a document), not over characters.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,20 +34,69 @@ def chained() -> Column:
     return (F.col("peer") == F.col("_peer")) & (F.col("clock") == F.col("_clock") + 1) & F.col("o_clock").eqNullSafe(F.col("_clock")) & F.col("o_peer").eqNullSafe(F.col("_peer"))
 
 
+WIRE = "path string, run long, kind string, clock long, peer long, o_clock long, o_peer long, text string, n long, ids array<struct<clock:long,peer:long>>"
+
+
 def compress(ops: DataFrame) -> DataFrame:
     """Wire form of op logs: (path, run, kind, clock, peer, o_clock, o_peer, text, n, ids).
 
     Neighbouring deletes are one ``dels`` row with their ids; chained inserts one ``run``; others are ``ins``.
+
+    One shuffle and one sort, then a pass over Arrow batches that holds the last island only; window functions and an
+    aggregate would send every character through a second shuffle, sort and list of structs.
     """
-    goes_on = ((F.col("kind") == "del") & (F.col("_kind") == "del")) | ((F.col("kind") == "ins") & (F.col("_kind") == "ins") & chained())
-    runs = _islands(ops, "seq", ~F.coalesce(goes_on, F.lit(False)))
-    one = F.min_by(F.struct("kind", "clock", "peer", "o_clock", "o_peer"), "seq").alias("head")
-    cells = F.sort_array(F.collect_list(F.struct("seq", "ch", "clock", "peer")))
-    grouped = runs.groupBy("path", "run").agg(one, F.count("*").alias("n"), cells.alias("cells"))
-    kind = F.when(F.col("head.kind") == "del", "dels").when(F.col("n") > 1, "run").otherwise("ins")
-    ids = F.when(F.col("head.kind") == "del", F.transform("cells", lambda x: F.struct(x["clock"], x["peer"])))
-    text = F.when(F.col("head.kind") == "ins", F.array_join(F.transform("cells", lambda x: x["ch"]), ""))
-    return grouped.select("path", "run", kind.alias("kind"), "head.clock", "head.peer", "head.o_clock", "head.o_peer", text.alias("text"), "n", ids.alias("ids"))
+    columns = ["path", "kind", "clock", "peer", "o_clock", "o_peer", "ch"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last, number = None, None, 0
+        for batch in batches:
+            part = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            start = _breaks(part)
+            cut = int(start[-1])  # the last island may go on in the next batch
+            held = part.slice(cut)
+            if cut:
+                done, last, number = _packed(part.slice(0, cut), start[:-1], last, number)
+                yield done
+        if held is not None and held.num_rows:
+            yield _packed(held, np.zeros(1, np.int64), last, number)[0]
+
+    return ops.select("path", "seq", *columns[1:]).repartition("path").sortWithinPartitions("path", "seq").select(*columns).mapInArrow(run, WIRE)
+
+
+def _numbers(part: pa.Table, name: str) -> np.ndarray:
+    """A column of ids as longs; -1, which no clock or writer has, stands for null."""
+    return part.column(name).combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+def _breaks(part: pa.Table) -> np.ndarray:
+    """Rows at which an island starts."""
+    gone = pc.equal(part.column("kind"), "del").to_numpy(zero_copy_only=False)
+    clock, peer, o_clock, o_peer = (_numbers(part, c) for c in ("clock", "peer", "o_clock", "o_peer"))
+    path = part.column("path").combine_chunks()
+    same = pc.equal(path[1:], path[:-1]).to_numpy(zero_copy_only=False) if len(path) > 1 else np.zeros(0, bool)
+    chain = ~gone[1:] & ~gone[:-1] & (peer[1:] == peer[:-1]) & (clock[1:] == clock[:-1] + 1) & (o_clock[1:] == clock[:-1]) & (o_peer[1:] == peer[:-1])
+    return np.flatnonzero(np.r_[True, ~(same & (chain | (gone[1:] & gone[:-1])))])
+
+
+def _packed(part: pa.Table, start: np.ndarray, last: str | None, number: int) -> tuple[pa.RecordBatch, str, int]:
+    """A row for each island; runs count on within a path over batches."""
+    n = np.diff(np.r_[start, part.num_rows])
+    heads = part.take(pa.array(start))
+    paths = heads.column("path").to_pylist()
+    runs = []
+    for p in paths:
+        number = number + 1 if p == last else 1
+        last = p
+        runs.append(number)
+    gone = pc.equal(heads.column("kind"), "del").to_numpy(zero_copy_only=False)
+    text = "".join(part.column("ch").fill_null(" ").to_pylist())
+    ends = start + n
+    kinds = np.where(gone, "dels", np.where(n > 1, "run", "ins"))
+    texts = [None if g else text[a:z] for g, a, z in zip(gone.tolist(), start.tolist(), ends.tolist(), strict=True)]
+    ids = pa.StructArray.from_arrays([part.column("clock").combine_chunks(), part.column("peer").combine_chunks()], ["clock", "peer"])
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[start, part.num_rows].astype(np.int32)), ids, mask=pa.array(~gone))
+    cells = [heads.column("path").combine_chunks(), pa.array(runs, pa.int64()), pa.array(kinds.tolist(), pa.string()), *(heads.column(c).combine_chunks() for c in ("clock", "peer", "o_clock", "o_peer")), pa.array(texts, pa.string()), pa.array(n.astype(np.int64)), lists]
+    return pa.record_batch(cells, ["path", "run", "kind", "clock", "peer", "o_clock", "o_peer", "text", "n", "ids"]), last, number
 
 
 def expand(wire: DataFrame) -> DataFrame:

@@ -39,8 +39,9 @@ def replica_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def characters(docs: DataFrame) -> DataFrame:
     """Rows (path, doc_id, n, clock, ch): clock counts from 1."""
-    cs = F.filter(F.split("text", ""), lambda c: c != "")
-    return docs.select("path", "doc_id", F.posexplode(cs).alias("at", "ch"), F.char_length("text").cast("long").alias("n")).select("path", "doc_id", "n", (F.col("at") + 1).cast("long").alias("clock"), "ch")
+    # Computed before the explode: after it, each would be done, and the text carried, for every character.
+    ready = docs.select("path", "doc_id", F.filter(F.split("text", ""), lambda c: c != "").alias("cs"), F.char_length("text").cast("long").alias("n"))
+    return ready.select("path", "doc_id", "n", F.posexplode("cs").alias("at", "ch")).select("path", "doc_id", "n", (F.col("at") + 1).cast("long").alias("clock"), "ch")
 
 
 def elements(docs: DataFrame, deleted: str) -> DataFrame:

@@ -1,8 +1,8 @@
 import glob
 import os
+from datetime import datetime, timedelta
 
 import duckdb
-import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_module
@@ -43,7 +43,7 @@ def test_entry(spark):
 
 
 def test_debounce_fires_at_exactly_the_gap(spark):
-    rows = [(k, pd.Timestamp("2024-01-01") + pd.Timedelta(milliseconds=ms), "p", kind) for k, (ms, kind) in enumerate([(0, "a"), (39, "b"), (79, "c"), (118, "d")])]
+    rows = [(k, datetime(2024, 1, 1) + timedelta(milliseconds=ms), "p", kind) for k, (ms, kind) in enumerate([(0, "a"), (39, "b"), (79, "c"), (118, "d")])]
     df = spark.createDataFrame(rows, "event_id long, ts timestamp, path string, kind string")
     assert sorted((r.kind, r.n) for r in events.debounce(df, "40 milliseconds").collect()) == [("b", 2), ("d", 2)]
 
@@ -51,7 +51,7 @@ def test_debounce_fires_at_exactly_the_gap(spark):
 def test_renames_are_one_to_one_and_first_come(spark):
     second = 1_000_000
     schema = "hash long, ts timestamp, event_id long"
-    at = lambda s: pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=s)
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
     removes = spark.createDataFrame([(1, at(0), 10), (1, at(5), 11), (1, at(100), 12), (2, at(0), 13)], schema)
     creates = spark.createDataFrame([(1, at(6), 20), (1, at(7), 21), (1, at(8), 22), (2, at(61), 23)], schema)
     assert sorted((r.removed, r.created) for r in events.rename_pairs(removes, creates, 60 * second).collect()) == [(10, 20), (11, 21)]
