@@ -1,8 +1,8 @@
 """Block signatures, rolling checksums and deltas of bytes.
 
-Signatures are relational: blocks are exploded and hashed in the JVM. All-offset checksums come from two prefix sums
-per content, in Arrow batches of NumPy: exploding every byte into a row for a window function would shuffle each byte
-some forty times over. The greedy choice of a delta is sequential and runs per content beside its signatures.
+Checksums are Arrow batches of NumPy: blocks are rows of a matrix, all offsets come from two prefix sums per content.
+SQL would interpret each byte of a block in a lambda, or explode it into a row and shuffle it some forty times over.
+Matching, chunk counts and reassembly are relational. The greedy choice of a delta is sequential and runs per content beside its signatures.
 """
 
 from __future__ import annotations
@@ -12,35 +12,55 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmerge.functions.scalars import MODULUS, deflate, inflate, strong8
+from driftmerge.functions.scalars import MODULUS, deflate, inflate
 
 CHUNK = 4 << 20
 COPY_BYTES = 5
 
 
-def byte_values(block: Column) -> Column:
-    """Bytes of a binary as numbers."""
-    h = F.hex(block)
-    return F.transform(F.sequence(F.lit(0), F.length(block) - 1), lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("long"))
+#: Signature rows that are held before a batch of them is given out.
+SIGNATURE_BATCH = 1 << 16
 
 
-def weak(block: Column) -> Column:
-    """Checksum of a whole block: (sum of (L - i) x_i mod M) << 16 | (sum of x_i mod M)."""
-    x = byte_values(block)
-    n = F.length(block).cast("long")
-    state = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("i"))
-    done = F.aggregate(x, state, lambda s, v: F.struct((s["a"] + v).alias("a"), (s["b"] + (n - s["i"]) * v).alias("b"), (s["i"] + 1).alias("i")))
-    return F.shiftleft(done["b"] % MODULUS, 16).bitwiseOR(done["a"] % MODULUS)
+def block_sums(data: bytes, size: int) -> np.ndarray:
+    """The checksum of each block, (sum of (L - i) x_i mod M) << 16 | (sum of x_i mod M); the last block may be short."""
+    x = np.frombuffer(data, np.uint8).astype(np.int64)
+    whole = len(x) // size * size
+    full, tail = x[:whole].reshape(-1, size), x[whole:]
+    a, b = full.sum(axis=1), full @ np.arange(size, 0, -1)
+    if len(tail):
+        a, b = np.r_[a, tail.sum()], np.r_[b, tail @ np.arange(len(tail), 0, -1)]
+    return b % MODULUS << 16 | a % MODULUS
 
 
 def signatures(contents: DataFrame, size: int) -> DataFrame:
     """Rows (path, block_no, weak, strong) of (path, content); the last block may be short, empty contents have none."""
-    blocks = contents.filter(F.length("content") > 0).select("path", "content", F.explode(F.sequence(F.lit(0), F.floor((F.length("content") - 1) / size).cast("int"))).alias("block_no"))
-    part = F.substring("content", F.col("block_no") * size + 1, F.lit(size))
-    return blocks.select("path", F.col("block_no").cast("long").alias("block_no"), part.alias("part")).select("path", "block_no", weak(F.col("part")).alias("weak"), strong8(F.col("part")).alias("strong"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, counts, weaks, strongs = [], [], [], []
+
+        def rows() -> pa.RecordBatch:
+            numbers = np.concatenate([np.arange(n) for n in counts])
+            return pa.record_batch([pa.array(np.repeat(np.array(paths, object), counts), pa.string()), pa.array(numbers, pa.int64()), pa.array(np.concatenate(weaks), pa.int64()), pa.array(strongs, pa.binary())], ["path", "block_no", "weak", "strong"])
+
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = content.as_py()
+                if data:
+                    paths.append(path)
+                    weaks.append(block_sums(data, size))
+                    counts.append(len(weaks[-1]))
+                    strongs += [hashlib.sha256(data[at : at + size]).digest()[:8] for at in range(0, len(data), size)]
+                if len(strongs) >= SIGNATURE_BATCH:
+                    yield rows()
+                    paths, counts, weaks, strongs = [], [], [], []
+        if strongs:
+            yield rows()
+
+    return contents.select("path", "content").mapInArrow(run, "path string, block_no long, weak long, strong binary")
 
 
 def rolling(data: bytes | np.ndarray, size: int) -> np.ndarray:
@@ -97,8 +117,7 @@ def delta(data: bytes, weaks: np.ndarray, strongs: list[bytes], size: int) -> li
     at = max(at, len(data) - size + 1) if len(data) - at >= size else at
     if at < len(data):
         tail = data[at:]
-        x = np.frombuffer(tail, np.uint8).astype(np.int64)
-        key = int((np.arange(len(x), 0, -1) * x).sum() % MODULUS << 16 | x.sum() % MODULUS)
+        key = int(block_sums(tail, size)[0])
         strong = hashlib.sha256(tail).digest()[:8]
         block = next((k for k, s in enumerate(strongs) if s == strong and int(weaks[k]) == key), None)
         if block is not None:
@@ -161,9 +180,9 @@ def stats(ops: DataFrame) -> DataFrame:
 
 
 def rebuild(ops: DataFrame, old: DataFrame, size: int) -> DataFrame:
-    """(path, content): copies resolved against the old content's blocks, joined once a path."""
+    """Contents of (path, ops) beside other columns: copies resolved against the old content's blocks, joined once a path."""
     part = F.transform("ops", lambda x: F.when(x["kind"] == "copy", F.hex(F.substring(F.coalesce("old", F.lit(b"")), x["block_no"].cast("int") * size + 1, F.lit(size)))).otherwise(F.hex(x["bytes"])))
-    return ops.join(old.select("path", F.col("content").alias("old")), "path", "left").select("path", F.unhex(F.array_join(part, "")).alias("content"))
+    return ops.join(old.select("path", F.col("content").alias("old")), "path", "left").select(*(c for c in ops.columns if c != "ops"), F.unhex(F.array_join(part, "")).alias("content"))
 
 
 def chunk(ops: list[Op], target: int = CHUNK) -> list[list[Op]]:
@@ -202,18 +221,21 @@ def chunks(ops: DataFrame, target: int) -> DataFrame:
 
 
 def reassemble(parts: DataFrame) -> DataFrame:
-    """(path, complete, ops): a transfer is complete if each of its chunks is there; repeated ones count once."""
-    once = parts.dropDuplicates(["path", "seq"])
+    """(path, complete, ops): a transfer is complete if each of its chunks is there; repeated ones count once.
+
+    One shuffle, by path, serves both the repeated chunks and the transfers.
+    """
+    once = parts.repartition("path").dropDuplicates(["path", "seq"])
     flat = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seq", "ops"))), lambda x: x["ops"]))
     return once.groupBy("path").agg((F.count("*") == F.max("total")).alias("complete"), flat.alias("ops"))
 
 
-def inflated(ops: DataFrame) -> DataFrame:
-    """Compressed literals made plain again."""
+def inflated(whole: DataFrame) -> DataFrame:
+    """Compressed literals of (path, complete, ops) made plain again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [[{"kind": "lit", "block_no": None, "bytes": inflate(x["bytes"])} if x["kind"] == "litz" else x for x in cell or []] for cell in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(done, _OPS)], ["path", "ops"])
+            done = [[{"kind": "lit", "block_no": None, "bytes": inflate(x["bytes"])} if x["kind"] == "litz" else x for x in cell or []] for cell in batch.column(2).to_pylist()]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(done, _OPS)], ["path", "complete", "ops"])
 
-    return ops.select("path", "ops").mapInArrow(run, f"path string, ops {OPS}")
+    return whole.select("path", "complete", "ops").mapInArrow(run, f"path string, complete boolean, ops {OPS}")

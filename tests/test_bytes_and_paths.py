@@ -25,6 +25,24 @@ def test_rolling_equals_the_definition_at_every_offset():
     assert len(blocks.rolling(b"ab", 3)) == 0
 
 
+def test_block_sums_equal_the_definition():
+    rng = random.Random(3)
+    for n in (0, 1, 7, 8, 9, 64, 999):
+        data = rng.randbytes(n)
+        assert blocks.block_sums(data, 8).tolist() == [slow_weak(data[k : k + 8]) for k in range(0, n, 8)]
+    assert blocks.block_sums(b"\xff" * (1 << 20), 1 << 20).tolist() == [slow_weak(b"\xff" * (1 << 20))]
+
+
+def test_signature_rows(spark, monkeypatch):
+    rows = [("a", bytes(range(200)) * 3), ("empty", b""), ("none", None), ("short", b"xyz")]
+    monkeypatch.setattr(blocks, "SIGNATURE_BATCH", 5)
+    got = blocks.signatures(spark.createDataFrame(rows, "path string, content binary"), 64).collect()
+    for path, data in rows:
+        weak, strong = signed(data or b"", 64)
+        mine = sorted((r.block_no, r.weak, bytes(r.strong)) for r in got if r.path == path)
+        assert mine == list(zip(range(len(strong)), weak.tolist(), strong, strict=True))
+
+
 def apply(ops, old, size):
     return b"".join(old[b * size : b * size + size] if k == "copy" else x for k, b, x in ops)
 
