@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftmerge.functions.scalars import varint_length, zigzag
+from driftmerge.operators.sequence import pieces
 
 #: Flag bits of an element. Fixed values.
 DELETED, ORIGIN_PREV, ORIGIN_NONE, SAME_PEER, CLOCK_PLUS_1 = 1, 2, 4, 8, 16
@@ -115,21 +116,25 @@ def decode(data: bytes) -> list[Elem] | None:
 
 
 def encoded_size(elems: DataFrame) -> DataFrame:
-    """(path, bytes): the length that encode() would give, without making the bytes."""
+    """(path, bytes): the length that encode() would give, without making the bytes.
+
+    A piece's inner characters are fully predicted: each takes its flags and itself. So only heads have to be looked at.
+    """
+    elems = pieces(elems, "pos")
     by = W.partitionBy("path").orderBy("pos")
     named = elems.select("path", F.explode(F.array(F.struct("pos", F.lit(0).alias("k"), F.col("peer").alias("p")), F.struct("pos", F.lit(1).alias("k"), F.col("o_peer").alias("p")))).alias("x")).select("path", "x.*").filter("p is not null")
     first = named.groupBy("path", "p").agg(F.min(F.struct("pos", "k")).alias("first"))
     index = first.withColumn("idx", (F.row_number().over(W.partitionBy("path").orderBy("first")) - 1).cast("long"))
     heads = index.groupBy("path").agg((varint_length(F.count("*")) + F.sum(varint_length(F.col("p")))).alias("head"))
     own, far = index.select("path", F.col("p").alias("peer"), F.col("idx").alias("i1")), index.select("path", F.col("p").alias("o_peer"), F.col("idx").alias("i2"))
-    x = elems.withColumn("pc", F.coalesce(F.lag("clock").over(by), F.lit(0))).withColumn("pp", F.lag("peer").over(by))
+    x = elems.withColumn("pc", F.coalesce(F.lag(F.col("clock") + F.col("n") - 1).over(by), F.lit(0))).withColumn("pp", F.lag("peer").over(by))
     x = x.join(own, ["path", "peer"]).join(far, ["path", "o_peer"], "left")
     prev = F.coalesce((F.col("o_clock") == F.col("pc")) & (F.col("o_peer") == F.col("pp")), F.lit(False))
     size = (
-        F.lit(1) + F.octet_length("ch") + F.when(F.col("peer").eqNullSafe(F.col("pp")), 0).otherwise(varint_length(F.col("i1"))) + F.when(F.col("clock") == F.col("pc") + 1, 0).otherwise(varint_length(zigzag(F.col("clock") - F.col("pc"))))
+        F.col("n") + F.octet_length("text") + F.when(F.col("peer").eqNullSafe(F.col("pp")), 0).otherwise(varint_length(F.col("i1"))) + F.when(F.col("clock") == F.col("pc") + 1, 0).otherwise(varint_length(zigzag(F.col("clock") - F.col("pc"))))
         + F.when(F.col("o_clock").isNull() | prev, 0).otherwise(varint_length(F.col("i2")) + varint_length(zigzag(F.col("o_clock") - F.col("clock"))))
     )
-    return x.groupBy("path").agg(F.sum(size).alias("body"), F.count("*").alias("n")).join(heads, "path").select("path", (F.col("body") + F.col("head") + varint_length(F.col("n"))).cast("long").alias("bytes"))
+    return x.groupBy("path").agg(F.sum(size).alias("body"), F.sum("n").alias("n")).join(heads, "path").select("path", (F.col("body") + F.col("head") + varint_length(F.col("n"))).cast("long").alias("bytes"))
 
 
 def encoded(elems: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Ordered-sequence merge: runs, document order, union of logs and compaction.
 
-Relational throughout, except for document order itself: a pre-order walk over the tree of origins, which is a
-grouped map over runs (a handful of rows a document), not over characters.
+Relational, except for document order (a pre-order walk over the tree of origins), merge and compression. These work on
+runs, a handful of rows a document: characters are packed where they are read, before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,6 +34,68 @@ def chained() -> Column:
     return (F.col("peer") == F.col("_peer")) & (F.col("clock") == F.col("_clock") + 1) & F.col("o_clock").eqNullSafe(F.col("_clock")) & F.col("o_peer").eqNullSafe(F.col("_peer"))
 
 
+IDS = ["path", "clock", "peer", "o_clock", "o_peer"]
+PIECE = "path string, {order} long, clock long, peer long, o_clock long, o_peer long, text string, n long"
+
+
+def pieces(rows: DataFrame, order: str) -> DataFrame:
+    """Characters packed as they lie, before any shuffle: (path, order, clock, peer, o_clock, o_peer, text, n) and
+
+    ``kind`` or ``gone`` (a byte of 0 or 1 for each character) where rows have ``kind`` or ``deleted``. Only chained
+    rows whose `order` has no gap are packed, so no other row can belong between them; deletes stay rows of their own.
+    Rows that don't lie in order are pieces of one character: what is made of the pieces is the same.
+    """
+    extra = [c for c in ("kind", "deleted") if c in rows.columns]
+    schema = PIECE.format(order=order) + "".join({"kind": ", kind string", "deleted": ", gone binary"}[c] for c in extra)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            at = _numbers(part, order)
+            lone = _gone(part) if "kind" in extra else np.zeros(len(at), bool)
+            joined = _chain(part, np.ones(len(at), np.int64)) & (at[1:] == at[:-1] + 1) & ~lone[1:] & ~lone[:-1]
+            start = np.flatnonzero(np.r_[True, ~joined][: len(at)])
+            heads = part.take(pa.array(start))
+            cells = [heads.column(c).combine_chunks() for c in ("path", order, *IDS[1:])]
+            cells += [_joined(part.column("ch").combine_chunks().fill_null(" "), start), pa.array(np.diff(np.r_[start, len(at)]))]
+            if "kind" in extra:
+                cells.append(heads.column("kind").combine_chunks())
+            if "deleted" in extra:
+                flags = part.column("deleted").to_numpy().astype(np.uint8).tobytes()
+                cells.append(pa.array([flags[i:j] for i, j in zip(start, np.r_[start[1:], len(at)], strict=True)], pa.binary()))
+            names = ["path", order, *IDS[1:], "text", "n", *("gone" if c == "deleted" else c for c in extra)]
+            yield pa.record_batch(cells, names)
+
+    return rows.select("path", order, *IDS[1:], "ch", *extra).mapInArrow(run, schema)
+
+
+def _numbers(part: pa.Table, name: str) -> np.ndarray:
+    """A column of ids as longs; -1, which no clock or writer has, stands for null."""
+    return part.column(name).combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+def _gone(part: pa.Table) -> np.ndarray:
+    return pc.equal(part.column("kind"), "del").to_numpy()
+
+
+def _joined(texts: pa.StringArray, start: np.ndarray) -> pa.StringArray:
+    """Texts without nulls, joined from each start to the next: the characters stay where they are, with fewer offsets."""
+    if not len(texts):
+        return texts
+    _, offsets, data = texts.buffers()
+    edges = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    return pa.StringArray.from_buffers(len(start), pa.py_buffer(edges[np.r_[start, len(texts)]].tobytes()), data)
+
+
+def _chain(part: pa.Table, n: np.ndarray) -> np.ndarray:
+    """For each row but the first: it goes on, in the same path, where the n characters of the one before stopped."""
+    clock, peer, o_clock, o_peer = (_numbers(part, c) for c in IDS[1:])
+    path = part.column("path").combine_chunks()
+    same = pc.equal(path[1:], path[:-1]).to_numpy(zero_copy_only=False) if len(path) > 1 else np.zeros(0, bool)
+    end = clock[:-1] + n[:-1]
+    return same & (peer[1:] == peer[:-1]) & (clock[1:] == end) & (o_clock[1:] == end - 1) & (o_peer[1:] == peer[:-1])
+
+
 WIRE = "path string, run long, kind string, clock long, peer long, o_clock long, o_peer long, text string, n long, ids array<struct<clock:long,peer:long>>"
 
 
@@ -42,17 +104,17 @@ def compress(ops: DataFrame) -> DataFrame:
 
     Neighbouring deletes are one ``dels`` row with their ids; chained inserts one ``run``; others are ``ins``.
 
-    One shuffle and one sort, then a pass over Arrow batches that holds the last island only; window functions and an
-    aggregate would send every character through a second shuffle, sort and list of structs.
+    Pieces are packed before the one shuffle and sort; then a pass over Arrow batches holds the last island only.
+    Window functions and an aggregate would send every character through two shuffles, two sorts and a list of structs.
     """
-    columns = ["path", "kind", "clock", "peer", "o_clock", "o_peer", "ch"]
+    columns = ["path", "kind", *IDS[1:], "text", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last, number = None, None, 0
         for batch in batches:
             part = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             start = _breaks(part)
-            cut = int(start[-1])  # the last island may go on in the next batch
+            cut = int(start[-1]) if len(start) else 0  # the last island may go on in the next batch
             held = part.slice(cut)
             if cut:
                 done, last, number = _packed(part.slice(0, cut), start[:-1], last, number)
@@ -60,27 +122,21 @@ def compress(ops: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield _packed(held, np.zeros(1, np.int64), last, number)[0]
 
-    return ops.select("path", "seq", *columns[1:]).repartition("path").sortWithinPartitions("path", "seq").select(*columns).mapInArrow(run, WIRE)
-
-
-def _numbers(part: pa.Table, name: str) -> np.ndarray:
-    """A column of ids as longs; -1, which no clock or writer has, stands for null."""
-    return part.column(name).combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False)
+    return pieces(ops, "seq").repartition("path").sortWithinPartitions("path", "seq").select(*columns).mapInArrow(run, WIRE)
 
 
 def _breaks(part: pa.Table) -> np.ndarray:
-    """Rows at which an island starts."""
-    gone = pc.equal(part.column("kind"), "del").to_numpy(zero_copy_only=False)
-    clock, peer, o_clock, o_peer = (_numbers(part, c) for c in ("clock", "peer", "o_clock", "o_peer"))
+    """Pieces at which an island starts."""
+    gone = _gone(part)
     path = part.column("path").combine_chunks()
     same = pc.equal(path[1:], path[:-1]).to_numpy(zero_copy_only=False) if len(path) > 1 else np.zeros(0, bool)
-    chain = ~gone[1:] & ~gone[:-1] & (peer[1:] == peer[:-1]) & (clock[1:] == clock[:-1] + 1) & (o_clock[1:] == clock[:-1]) & (o_peer[1:] == peer[:-1])
-    return np.flatnonzero(np.r_[True, ~(same & (chain | (gone[1:] & gone[:-1])))])
+    chain = _chain(part, _numbers(part, "n")) & ~gone[1:] & ~gone[:-1]
+    return np.flatnonzero(np.r_[True, ~(chain | (same & gone[1:] & gone[:-1]))][: len(gone)])
 
 
 def _packed(part: pa.Table, start: np.ndarray, last: str | None, number: int) -> tuple[pa.RecordBatch, str, int]:
     """A row for each island; runs count on within a path over batches."""
-    n = np.diff(np.r_[start, part.num_rows])
+    n = np.add.reduceat(_numbers(part, "n"), start)
     heads = part.take(pa.array(start))
     paths = heads.column("path").to_pylist()
     runs = []
@@ -88,14 +144,12 @@ def _packed(part: pa.Table, start: np.ndarray, last: str | None, number: int) ->
         number = number + 1 if p == last else 1
         last = p
         runs.append(number)
-    gone = pc.equal(heads.column("kind"), "del").to_numpy(zero_copy_only=False)
-    text = "".join(part.column("ch").fill_null(" ").to_pylist())
-    ends = start + n
+    gone = _gone(heads)
     kinds = np.where(gone, "dels", np.where(n > 1, "run", "ins"))
-    texts = [None if g else text[a:z] for g, a, z in zip(gone.tolist(), start.tolist(), ends.tolist(), strict=True)]
+    texts = pc.if_else(pa.array(gone), pa.scalar(None, pa.string()), _joined(part.column("text").combine_chunks(), start))
     ids = pa.StructArray.from_arrays([part.column("clock").combine_chunks(), part.column("peer").combine_chunks()], ["clock", "peer"])
     lists = pa.ListArray.from_arrays(pa.array(np.r_[start, part.num_rows].astype(np.int32)), ids, mask=pa.array(~gone))
-    cells = [heads.column("path").combine_chunks(), pa.array(runs, pa.int64()), pa.array(kinds.tolist(), pa.string()), *(heads.column(c).combine_chunks() for c in ("clock", "peer", "o_clock", "o_peer")), pa.array(texts, pa.string()), pa.array(n.astype(np.int64)), lists]
+    cells = [heads.column("path").combine_chunks(), pa.array(runs, pa.int64()), pa.array(kinds.tolist(), pa.string()), *(heads.column(c).combine_chunks() for c in IDS[1:]), texts, pa.array(n), lists]
     return pa.record_batch(cells, ["path", "run", "kind", "clock", "peer", "o_clock", "o_peer", "text", "n", "ids"]), last, number
 
 
@@ -158,10 +212,54 @@ def blocked(ops: DataFrame, known: DataFrame) -> DataFrame:
     return need.join(gone, ["path", "n_clock", "n_peer"], "left_anti").drop("n_clock", "n_peer")
 
 
+MERGED = ["path", "pos", "clock", "peer", "o_clock", "o_peer", "ch", "deleted"]
+
+
+def _united(part: pa.Table) -> tuple[np.ndarray, ...]:
+    """One path's pieces of both sides as arrays (pos, clock, peer, o_clock, o_peer, code point, deleted), each id once, by pos."""
+    n = _numbers(part, "n")
+    base = np.repeat(np.arange(len(n)), n)
+    off = np.arange(len(base)) - np.repeat(np.cumsum(n) - n, n)
+    pos, clock, peer, o_clock, o_peer = (_numbers(part, c)[base] for c in ("pos", *IDS[1:]))
+    pos, clock = pos + off, clock + off
+    o_clock, o_peer = np.where(off > 0, clock - 1, o_clock), np.where(off > 0, peer, o_peer)
+    code = np.frombuffer("".join(part.column("text").to_pylist()).encode("utf-32-le"), np.uint32)
+    gone = np.frombuffer(b"".join(part.column("gone").to_pylist()), np.uint8)
+    by_id = np.lexsort((pos, peer, clock))
+    first = np.flatnonzero(np.r_[True, (np.diff(clock[by_id]) != 0) | (np.diff(peer[by_id]) != 0)])
+    gone = np.maximum.reduceat(gone[by_id], first).astype(bool)
+    kept = by_id[first]
+    order = np.lexsort((peer[kept], clock[kept], pos[kept]))
+    return *(x[kept][order] for x in (pos, clock, peer, o_clock, o_peer, code)), gone[order]
+
+
 def merge(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Union of two replicas' elements: an element is deleted if it is in either; commutative and idempotent."""
-    key = ["path", "clock", "peer"]
-    return a.unionByName(b).groupBy(*key).agg(F.min("pos").alias("pos"), F.min("o_clock").alias("o_clock"), F.min("o_peer").alias("o_peer"), F.min("ch").alias("ch"), F.bool_or("deleted").alias("deleted"))
+    """Union of two replicas' elements: an element is deleted if it is in either; commutative and idempotent.
+
+    Pieces are what is shuffled. A task holds one document at a time.
+    """
+
+    def run(part: pa.Table) -> pa.Table:
+        pos, clock, peer, o_clock, o_peer, code, gone = _united(part)
+        none = o_clock < 0
+        cells = [pa.array(np.repeat(part.column("path")[0].as_py(), len(pos)), pa.string()), *map(pa.array, (pos, clock, peer)), pa.array(o_clock, mask=none), pa.array(o_peer, mask=none), pa.array(list(code.tobytes().decode("utf-32-le")), pa.string()), pa.array(gone)]
+        return pa.table(cells, MERGED)
+
+    return _both(a, b).applyInArrow(run, "path string, pos long, clock long, peer long, o_clock long, o_peer long, ch string, deleted boolean")
+
+
+def merged_text(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(path, text, n_raw, n_deleted) of the merge of two replicas, without making its rows."""
+
+    def run(part: pa.Table) -> pa.Table:
+        *_, code, gone = _united(part)
+        return pa.table([part.column("path")[:1], pa.array([code[~gone].tobytes().decode("utf-32-le")], pa.string()), pa.array([len(gone)], pa.int64()), pa.array([int(gone.sum())], pa.int64())], ["path", "text", "n_raw", "n_deleted"])
+
+    return _both(a, b).applyInArrow(run, "path string, text string, n_raw long, n_deleted long")
+
+
+def _both(a: DataFrame, b: DataFrame) -> GroupedData:
+    return pieces(a, "pos").unionByName(pieces(b, "pos")).groupBy("path")
 
 
 def live_text(elems: DataFrame) -> DataFrame:

@@ -237,9 +237,8 @@ def locate_ids(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT path, count(*) AS n_raw, count_if({R.DELETED} OR {R.DELETED_B}) AS n_deleted, sha256(coalesce(string_agg(CASE WHEN {R.DELETED} OR {R.DELETED_B} THEN NULL ELSE ch END, '' ORDER BY clock), '')) AS text_hash FROM ({CHARS}) GROUP BY path")
 def merge_snapshot(spark: SparkSession, d: str) -> DataFrame:
     a = R.replica_a(spark, d)
-    both = sequence.merge(R.elements(a, R.DELETED).drop("doc_id"), R.elements(a, R.DELETED_B).drop("doc_id"))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("deleted"), F.struct("pos", "ch")))), lambda x: x["ch"]), "")
-    return both.groupBy("path").agg(F.count("*").alias("n_raw"), F.count_if("deleted").alias("n_deleted"), F.sha2(text, 256).alias("text_hash"))
+    both = sequence.merged_text(R.elements(a, R.DELETED), R.elements(a, R.DELETED_B))
+    return both.select("path", "n_raw", "n_deleted", F.sha2("text", 256).alias("text_hash"))
 
 
 LIVE = "list_filter(list_transform(range({a}, {z}), lambda i: CASE WHEN (i * 7 + doc_id) % 5 = 0 THEN NULL ELSE cs[i] END), lambda c: c IS NOT NULL)"

@@ -38,9 +38,13 @@ def replica_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def characters(docs: DataFrame) -> DataFrame:
-    """Rows (path, doc_id, n, clock, ch): clock counts from 1."""
+    """Rows (path, doc_id, n, clock, ch): clock counts from 1.
+
+    Texts are dealt by path before they become characters. What is grouped or numbered by path later finds them in
+    place, so texts are shuffled once and characters, some sixty times their size, not at all.
+    """
     # Computed before the explode: after it, each would be done, and the text carried, for every character.
-    ready = docs.select("path", "doc_id", F.filter(F.split("text", ""), lambda c: c != "").alias("cs"), F.char_length("text").cast("long").alias("n"))
+    ready = docs.repartition("path").select("path", "doc_id", F.filter(F.split("text", ""), lambda c: c != "").alias("cs"), F.char_length("text").cast("long").alias("n"))
     return ready.select("path", "doc_id", "n", F.posexplode("cs").alias("at", "ch")).select("path", "doc_id", "n", (F.col("at") + 1).cast("long").alias("clock"), "ch")
 
 

@@ -93,9 +93,41 @@ def test_adopt_locate_ranks_and_merge(spark):
     merged = sequence.merge(elems, other)
     assert sequence.live_text(merged).first().text == "bef"
     assert sequence.live_text(sequence.merge(merged, other)).first().text == "bef"
+    assert sorted(sequence.merge(other, elems).collect()) == sorted(merged.collect())
+    assert sequence.merged_text(elems, other).collect() == [("p", "bef", 6, 3)]
     assert [r.clock for r in sequence.compact(merged).orderBy("clock").collect()] == [1, 2, 3]
 
 
+def test_merge_equals_a_union_of_sets(spark):
+    rng = random.Random(5)
+    sides = []
+    for _ in range(2):
+        side = []
+        for path in ("p", "q", "é"):
+            text = "ab é🌍\n" * 9
+            side += [(path, k + 1, k + 1, 1, k or None, 1 if k else None, c, rng.random() < 0.3) for k, c in enumerate(text)]
+            side += [(path, 100 + k, 60 + 7 * k, rng.randint(2, 3), 5, 1, "z", False) for k in rng.sample(range(20), 12)]
+        rng.shuffle(side)
+        sides.append(side)
+    schema = "path string, pos long, clock long, peer long, o_clock long, o_peer long, ch string, deleted boolean"
+    want = {}
+    for r in sides[0] + sides[1]:
+        want[(r[0], r[2], r[3])] = (*r[:7], r[7] or want.get((r[0], r[2], r[3]), r)[7])
+    a, b = (spark.createDataFrame(side, schema) for side in sides)
+    assert {tuple(r) for r in sequence.merge(a, b).collect()} == set(want.values())
+    live = {p: "".join(r[6] for r in sorted((r for r in want.values() if r[0] == p and not r[7]), key=lambda r: (r[1], r[2], r[3]))) for p in ("p", "q", "é")}
+    assert {r.path: r.text for r in sequence.merged_text(a, b).collect()} == live
+    assert sequence.merge(a.limit(0), b.limit(0)).count() == 0
+
+
+def test_pieces_need_chained_rows_without_a_gap(spark):
+    ops = typed("a", "abcdef") + [("a", 6, "del", 1, 1, None, None, None), ("a", 7, "del", 2, 1, None, None, None)] + typed("b", "é🌍")
+    ops[3] = (*ops[3][:1], 30, *ops[3][2:])  # another row may come between
+    got = sequence.pieces(spark.createDataFrame(ops, SCHEMA).coalesce(1), "seq").collect()
+    assert [(r.path, r.seq, r.kind, r.n) for r in got] == [("a", 0, "ins", 3), ("a", 30, "ins", 1), ("a", 4, "ins", 2), ("a", 6, "del", 1), ("a", 7, "del", 1), ("b", 0, "ins", 2)]
+    assert [r.text for r in got if r.kind == "ins"] == ["abc", "d", "ef", "é🌍"]
+
+
 def random_text(rng, n):
     return "".join(rng.choices("ab é🌍\n", k=n))
 
