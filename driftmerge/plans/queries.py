@@ -360,6 +360,18 @@ def diff_edit_counts(spark: SparkSession, d: str) -> DataFrame:
     return diffing.edit_counts(old.join(R.replica_b(spark, d).select("path", F.col("text").alias("new_text")), "path"))
 
 
+#: A character that no text holds marks what replica C inserts, so counts don't hang on which shortest script is found.
+MARK = "\ue000"
+
+
+@query(f"""SELECT path, (n + doc_id) // 53 - doc_id // 53 AS inserted, (n + doc_id) // 37 - doc_id // 37 AS deleted, TRUE AS exact FROM (SELECT path, doc_id, CAST(length(text) AS BIGINT) AS n FROM ({A}) WHERE text IS NOT NULL)""")
+def diff_inner_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Replica C lacks every 37th character of A and has a mark after every 53rd."""
+    edited = f"concat_ws('', transform(split(text, ''), (c, i) -> concat(if((i + 1 + doc_id) % 37 = 0, '', c), if(c <> '' AND (i + 1 + doc_id) % 53 = 0, '{MARK}', ''))))"
+    pairs = R.replica_a(spark, d).filter("text is not null").select("path", F.col("text").alias("old_text"), F.expr(edited).alias("new_text"))
+    return diffing.edit_counts(pairs).select("path", "inserted", "deleted", "exact")
+
+
 @query()
 def proof_check(spark: SparkSession, d: str) -> DataFrame:
     """Proofs of all users: the right one passes; another role's, another channel's and a wrong secret's do not."""

@@ -33,6 +33,12 @@ def test_query_equals_its_sql(spark, duck, name):
     assert got == sorted(repr(tuple(row[names.index(c)] for c in cols)) for row in result.fetchall())
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_edits_inside_texts_equal_their_sql(spark, duck):
+    got = sorted((r.path, r.inserted, r.deleted, r.exact) for r in entry_module.queries()["diff_inner_counts"](spark, SF).collect())
+    assert got == sorted(duck.execute(f"select path, inserted, deleted, exact from ({entry_module.oracle_sql()['diff_inner_counts']})").fetchall())
+
+
 def test_every_oracle_has_a_query():
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 

@@ -147,6 +147,21 @@ def test_scripts_are_exact_and_short():
     assert sum(len(t) for k, t in diffing.script("The fox jumps over", "The fox leaps over") if k != "keep") <= 10
 
 
+def test_scripts_of_many_edits_are_short(monkeypatch):
+    old = "".join(chr(97 + k * k % 23) for k in range(90_000))
+    new = "".join(("" if k % 37 == 0 else c) + ("\ue000" if k % 53 == 0 else "") for k, c in enumerate(old))
+    edits = diffing.script(old, new)
+    size = {kind: sum(len(t) for k, t in edits if k == kind) for kind in ("ins", "del")}
+    assert size == {"ins": -(-90_000 // 53), "del": -(-90_000 // 37)} and diffing.applied(old, edits) == new
+    ids = [(k + 1, 1) for k in range(len(old))]
+    assert len(diffing.detect(ids, old, new, 2, len(old))) == sum(size.values())
+    rng = random.Random(8)
+    pairs = [(random_text(rng, 60), random_text(rng, 50)) for _ in range(50)]
+    whole = [diffing.script(*pair) for pair in pairs]
+    monkeypatch.setattr(diffing, "BLOCK", 3)
+    assert [diffing.script(*pair) for pair in pairs] == whole
+
+
 def test_detected_ops_lead_to_the_new_text(spark):
     old, new = "hello world", "help the world!"
     ids = [(k + 1, 1) for k in range(len(old))]
