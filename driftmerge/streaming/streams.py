@@ -23,11 +23,16 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over all input that is there and gives what it wrote."""
+    """Runs a stream over all input that is there and gives what it wrote.
+
+    What the state still holds at the end follows, if the stream says how to read it (``delayed_deletes``).
+    """
     spark, place = stream.sparkSession, work_dir(stream.sparkSession)
     if mode == "append":
         stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{place}/out")
+        out = spark.read.schema(stream.schema).parquet(f"{place}/out")
+        rest = getattr(stream, "_rest", None)
+        return out.union(rest(spark.read.format("statestore").load(f"{place}/state"))) if rest else out
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{place}/out")
@@ -59,14 +64,14 @@ def deduplicated(spark: SparkSession, path: str) -> DataFrame:
     return drained(once).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-STATE = "seen array<string>, waiting array<string>"
-OUT = "path string, clock long, peer long, ch string"
+STATE = "seen array<string>, waiting array<string>, gone array<string>"
+OUT = "path string, clock long, peer long, ch string, kind string"
 
 
 def _causal(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seen, waiting = (set(state.get[0]), list(state.get[1])) if state.exists else (set(), [])
-    rows = [tuple(x) for frame in frames for x in frame[["clock", "peer", "o_clock", "o_peer", "ch"]].itertuples(index=False)]
-    queue = [(int(c), int(p), "" if pd.isna(oc) else f"{int(oc)}@{int(op)}", ch) for c, p, oc, op, ch in rows]
+    seen, waiting, gone = (set(state.get[0]), list(state.get[1]), set(state.get[2])) if state.exists else (set(), [], set())
+    rows = [tuple(x) for frame in frames for x in frame[["clock", "peer", "o_clock", "o_peer", "ch", "kind"]].itertuples(index=False)]
+    queue = [(int(c), int(p), "" if pd.isna(oc) else f"{int(oc)}@{int(op)}", ch) for c, p, oc, op, ch, kind in rows if kind != "del"]
     by_origin: dict[str, list[tuple]] = {}
     for w in waiting:
         clock, peer, origin, ch = w.split("|", 3)
@@ -83,17 +88,27 @@ def _causal(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
                 held.append(op)
             continue
         seen.add(ident)
-        out.append((key[0], op[0], op[1], op[3]))
+        out.append((key[0], op[0], op[1], op[3], "ins"))
+        if ident in gone:  # its delete came first
+            out.append((key[0], op[0], op[1], None, "del"))
         queue += by_origin.pop(ident, [])
-    state.update((sorted(seen), sorted("|".join(map(str, w)) for held in by_origin.values() for w in held)))
-    yield pd.DataFrame(out, columns=["path", "clock", "peer", "ch"])
+    for clock, peer in ((int(r[0]), int(r[1])) for r in rows if r[5] == "del"):
+        ident = f"{clock}@{peer}"
+        if ident not in gone and ident in seen:
+            out.append((key[0], clock, peer, None, "del"))
+        gone.add(ident)
+    state.update((sorted(seen), sorted("|".join(map(str, w)) for held in by_origin.values() for w in held), sorted(gone)))
+    yield pd.DataFrame(out, columns=["path", "clock", "peer", "ch", "kind"])
 
 
 def causal(ops: DataFrame) -> DataFrame:
-    """Inserts (path, clock, peer, o_clock, o_peer, ch) of a stream once their origin is there: each once, in any order.
+    """Ops (path, clock, peer, o_clock, o_peer, ch[, kind]) of a stream once what they name is there: each once, in any order.
 
-    What waits has no time limit: an origin may come in any later batch.
+    Inserts wait for their origin, deletes (kind "del"; clock and peer are the target's) for their target, and follow
+    it. Without a kind all are inserts. What waits has no time limit: an origin may come in any later batch.
     """
+    if "kind" not in ops.columns:
+        ops = ops.withColumn("kind", F.lit("ins"))
     return ops.groupBy("path").applyInPandasWithState(_causal, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
@@ -110,16 +125,33 @@ def _delayed(hold_us: int):  # noqa: ANN202  a factory of the state function
                 out.append((key[0], gone + hold_us, "removed"))
                 gone = -1
             if kind == "removed":
-                gone = us
-            else:  # back in time: the delete never was
-                gone = -1
+                gone = max(gone, us)
+            else:
+                if us >= gone:  # back in time: the delete never was
+                    gone = -1
                 out.append((key[0], us, "touched"))
-        state.update((gone,))
+        if state.hasTimedOut and gone >= 0:
+            out.append((key[0], gone + hold_us, "removed"))
+            gone = -1
+        if gone >= 0:
+            state.update((gone,))
+            state.setTimeoutTimestamp(max(-(-(gone + hold_us) // 1000), state.getCurrentWatermarkMs(), 1))
+        else:
+            state.remove()
         yield pd.DataFrame(out, columns=["path", "us", "kind"])
 
     return run
 
 
-def delayed_deletes(events: DataFrame, hold_us: int) -> DataFrame:
-    """Touches at once; removes only when the path didn't come back within the hold, which the path's next event shows."""
-    return events.groupBy("path").applyInPandasWithState(_delayed(hold_us), "path string, us long, kind string", HELD, "append", GroupStateTimeout.NoTimeout)
+def delayed_deletes(events: DataFrame, hold_us: int, late: str = "1 day") -> DataFrame:
+    """Touches at once; removes only when the path didn't come back within the hold.
+
+    The path's next event shows that, or the watermark, which is `late` behind the latest event of all paths; at the
+    end of what is there, ``drained`` gives the removals still held.
+    """
+    timed = events.withColumn("_at", F.timestamp_micros("us")).withWatermark("_at", late)
+    # Rows whose time is behind the watermark would be dropped; a time of null never is. The state needs such a column.
+    timed = timed.select("path", "us", "kind", F.lit(None).cast("timestamp").alias("_at", metadata={"spark.watermarkDelayMs": 0}))
+    out = timed.groupBy("path").applyInPandasWithState(_delayed(hold_us), "path string, us long, kind string", HELD, "append", GroupStateTimeout.EventTimeTimeout)
+    out._rest = lambda state: state.select(F.col("key.path").alias("path"), (F.col("value.groupState.removed_us") + hold_us).alias("us"), F.lit("removed").alias("kind"))
+    return out

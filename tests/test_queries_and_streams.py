@@ -83,3 +83,33 @@ def test_delayed_deletes(spark, tmp_path):
     stream = spark.readStream.schema("path string, us long, kind string").parquet(f"{tmp_path}/in")
     got = streams.drained(streams.delayed_deletes(stream, 120)).collect()
     assert sorted((r.path, r.us, r.kind) for r in got) == [("a", 50, "touched"), ("b", 120, "removed"), ("b", 500, "touched")]
+
+
+def test_causal_stream_keeps_deletes_for_their_target(spark, tmp_path):
+    schema = "path string, clock long, peer long, o_clock long, o_peer long, ch string, kind string"
+    spark.createDataFrame([("p", 2, 1, None, None, None, "del"), ("p", 1, 1, None, None, "a", "ins"), ("p", 9, 1, None, None, None, "del")], schema).coalesce(1).write.parquet(f"{tmp_path}/in/1")
+    spark.createDataFrame([("p", 2, 1, 1, 1, "b", "ins"), ("p", 1, 1, None, None, None, "del"), ("p", 2, 1, None, None, None, "del")], schema).coalesce(1).write.parquet(f"{tmp_path}/in/2")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = streams.drained(streams.causal(stream)).collect()
+    assert sorted((r.clock, r.kind) for r in got) == [(1, "del"), (1, "ins"), (2, "del"), (2, "ins")]
+
+
+@pytest.mark.parametrize("late", ["0 seconds", "1 day"])
+def test_deletes_without_a_later_event(spark, tmp_path, late):
+    schema, second = "path string, us long, kind string", 1_000_000
+    batches = [[("gone", 0, "removed"), ("back", 9 * second, "removed")], [("x", 20 * second, "touched"), ("back", 10 * second, "touched")], [("late", 5 * second, "touched"), ("y", 30 * second, "touched")], [("last", 30 * second, "removed")]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        for f in glob.glob(f"{tmp_path}/in/{k}/*.parquet"):
+            os.utime(f, (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = streams.drained(streams.delayed_deletes(stream, 2 * second, late)).collect()
+    want = [("back", 10, "touched"), ("gone", 2, "removed"), ("last", 32, "removed"), ("late", 5, "touched"), ("x", 20, "touched"), ("y", 30, "touched")]
+    assert sorted((r.path, r.us // second, r.kind) for r in got) == want
+
+
+def test_the_watermark_ends_a_hold_within_the_stream(spark, tmp_path):
+    schema, second = "path string, us long, kind string", 1_000_000
+    spark.createDataFrame([("gone", 0, "removed"), ("x", 20 * second, "touched"), ("held", 20 * second, "removed")], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = streams.delayed_deletes(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), 2 * second, "0 seconds")
+    assert sorted((r.path, r.kind) for r in streams.drained(stream.select("*")).collect()) == [("gone", "removed"), ("x", "touched")]
