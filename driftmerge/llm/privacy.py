@@ -106,10 +106,12 @@ def base_spans(text: str) -> list[Span]:
     return sorted(((a, z, kind) for kind, find in BASE for a, z in find(text)), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-# Candidates of the method. Each pattern begins at a mark that is rare in prose and takes a bounded stretch.
-_TOKEN = re.compile(r"[A-Za-z0-9_+/=.-]{12,200}")
+# Candidates of the method. Each pattern takes a bounded stretch, but for tokens, which are whole runs of one class.
+_TOKEN = re.compile(r"[A-Za-z0-9_+/=.-]{12,}")
 _CUE = re.compile(r"([A-Za-z_]{2,24})[ \t]{0,2}[=:][ \t]{0,2}[\"']?$")
 _WRITTEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}[ ]{0,2}[\[({ ](?:at|AT|@)[\])} ][ ]{0,2}[A-Za-z0-9-]{1,63}(?:[ ]{0,2}[\[({ ](?:dot|DOT|\.)[\])} ][ ]{0,2}[A-Za-z0-9-]{1,63}){1,4}")
+#: What every match of _WRITTEN holds.
+_MARK = re.compile(r"[\[({ ](?:at|AT|@)[\])} ]")
 _NUMBER = re.compile(r"(?<![0-9A-Za-z.+-])[0-9]{2,4}[-/ .][0-9]{2,4}[-/ .][0-9]{3,6}(?![0-9A-Za-z-])")
 #: Names of secret values, of identity numbers, and common top-level domains. Fixed values.
 SECRET_WORDS = frozenset("token password passwd pwd secret key apikey api_key access_key secret_key auth bearer credential credentials private_key client_secret".split())
@@ -153,7 +155,7 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, dict[str, int]]]:
                 "wordlike": -1 if re.fullmatch(r"[A-Za-z]+[.-]?[0-9]{1,3}(?:\.[0-9]+)*", body) or "." in body else 0,
             }
             yield start, start + len(body), "secret", votes
-    if " at " in text or "[at]" in text or "(at)" in text or "AT" in text or " @ " in text:
+    if " at " in text or _MARK.search(text):
         for m in _WRITTEN.finditer(text):
             last = re.split(r"[^A-Za-z0-9-]+", m[0])[-1].lower()
             votes = {"bracketed": 1 if re.search(r"[\[({]", m[0]) else 0, "domain": 1 if last in DOMAINS else -1, "local": 1 if re.search(r"[0-9._]", m[0].split()[0]) else 0, "dots": 1 if re.search(r"(?i)\bdot\b", m[0]) else -1}

@@ -47,6 +47,14 @@ def test_labelers_find_secrets_and_leave_words(spark):
     assert not any("secret" in found[300 + k] for k in range(60))
 
 
+def test_candidates_are_whole():
+    for text in ("joe.doe[@]host[.]org", "joe.doe{at}host{dot}org", "joe.doe(@)host(dot)org", "joe.doe {@} host {.} org", "joe.doe[AT]host[DOT]org"):
+        assert [(a, z, kind) for a, z, kind, _ in privacy.candidates(text)] == [(0, len(text), "handle")], text
+    secret = "a1B2c3D4e5" * 41
+    (found,) = privacy.candidates(f'token = "{secret}" and more')
+    assert found[:3] == (9, 419, "secret") and found[3]["gazetteer"] == found[3]["assigned"] == found[3]["quoted"] == 1
+
+
 def test_privacy_odd_rows(odd, none):
     model = privacy.train(privacy.vote_counts(odd))
     rows = {r.doc_id: r for r in privacy.find(odd, model).collect()}
