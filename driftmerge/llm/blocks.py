@@ -1,6 +1,6 @@
 """Questions that blocks of documents ask the whole corpus.
 
-A block is a few thousand documents that one task read. Blocks are written once, bucketed by block, to the shared
+A block is some documents that one task read, 32 MB of text at most or one longer text. Blocks are written once, bucketed by block, to the shared
 folder; so the assignment is fixed whatever is computed again later, and a join by block moves only the answers, not
 the texts. A block asks about each of its distinct keys (hashes of words, windows, ...) once: a key that a third of
 all documents share is one row per block, not one per document. Keys are dealt by hash and sorted by Spark, which
@@ -17,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftmerge.llm.common import shared_dir
+from driftmerge.llm.common import release, shared_dir
 
-BLOCK_ROWS = 2048
+#: Rows of a block, as a power of two, by the longest text that it may hold; a longer text is a block of its own.
+BLOCK_SHIFTS = ((1 << 14, 11), (1 << 20, 5))
 #: A document without an id sorts after all others.
 NO_ID = (1 << 63) - 1
 
@@ -29,12 +30,18 @@ def block_table(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     row = F.monotonically_increasing_id()
-    block = F.shiftleft(F.shiftright(row, 33), 20) + F.shiftright(row.bitwiseAND((1 << 33) - 1), BLOCK_ROWS.bit_length() - 1)
+    size, shift, sort = F.octet_length("text"), F.lit(0), F.lit(len(BLOCK_SHIFTS))
+    for k, (most, bits) in reversed(list(enumerate(BLOCK_SHIFTS))):
+        shift, sort = F.when(size <= most, bits).otherwise(shift), F.when(size <= most, k).otherwise(sort)
+    # Task, place of the row within it, sort of block.
+    block = F.shiftleft(F.shiftright(row, 33), 36) + F.call_function("shiftleft", F.call_function("shiftright", row.bitwiseAND((1 << 33) - 1), shift), F.lit(2)) + sort
     kept = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     kept = kept.select(block.alias("block"), F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("doc_id").isNotNull().alias("has_id"), "text")
     name = f"driftmerge_blocks_{uuid.uuid4().hex}"
     kept.write.bucketBy(n, "block").sortBy("block").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(name)
-    return spark.table(name)
+    out = spark.table(name)
+    out._driftmerge_table, out._driftmerge_path = name, f"{shared_dir(spark)}/{name}"
+    return out
 
 
 def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
@@ -47,8 +54,14 @@ def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]
                 yield int(block[lo]), batch.slice(lo, hi - lo)
 
 
+def drop_blocks(blocks: DataFrame) -> None:
+    """Deletes a block table that nothing reads any more."""
+    blocks.sparkSession.sql(f"DROP TABLE IF EXISTS {blocks._driftmerge_table}")
+    release(blocks)
+
+
 def answer(asked: DataFrame, reply: Callable[[np.ndarray, np.ndarray, dict[str, np.ndarray]], dict[str, np.ndarray]], schema: str, last: Callable[[], dict[str, np.ndarray] | None] | None = None, start: Callable[[], None] | None = None) -> DataFrame:
-    """Streams over `asked` (key, block, ...) by key.
+    """Streams over `asked` (key, block, ...) by key; where it has a column ``check``, equal keys are one group only if that is equal too.
 
     reply(group numbers, starts of groups, columns) gets whole groups of equal keys in their order and gives output
     columns; `start` is called before and `last` after all groups of a partition.
@@ -65,7 +78,9 @@ def answer(asked: DataFrame, reply: Callable[[np.ndarray, np.ndarray, dict[str,
             return pa.record_batch([pa.array(v) for v in columns.values()], list(columns))
 
         def whole(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-            new = np.r_[True, np.diff(columns["key"]) != 0]
+            new = np.r_[True, columns["key"][1:] != columns["key"][:-1]]
+            if "check" in columns:
+                new[1:] |= columns["check"][1:] != columns["check"][:-1]
             return out(reply(np.cumsum(new) - 1, np.flatnonzero(new), columns))
 
         for batch in batches:
@@ -85,4 +100,4 @@ def answer(asked: DataFrame, reply: Callable[[np.ndarray, np.ndarray, dict[str,
         if last and (final := last()) is not None:
             yield out(final)
 
-    return asked.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
+    return asked.repartition("key").sortWithinPartitions("key", *(["check"] if "check" in names else [])).mapInArrow(run, schema)

@@ -4,18 +4,13 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: ASCII white space as the word pattern [^\x20\x09-\x0D]+ sees it. bytes.split() cuts at the same six bytes.
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: A-Z to a-z, all other bytes as they are.
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
+# Words [^\x20\x09-\x0D]+ are what bytes.split() gives: it cuts at the same six bytes. bytes.lower() changes A-Z alone.
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 SLICE_BYTES = 1 << 20
 
@@ -31,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         held = held.get() if held.isDefined() else None
     if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the cluster shares")
         held = f"file:///tmp/checkpoints/{os.getpid()}"
         spark.sparkContext.setCheckpointDir(held)
     return held.rstrip("/")
@@ -80,17 +77,10 @@ def slices(offs: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         i = min(j, n)
 
 
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """PRIME**i and PRIME**-i modulo 2**64 for i below n."""
-    if not _powers or len(_powers[0]) < n:
-        size = 1 << max(21, int(n - 1).bit_length())
-        inverse = np.uint64(pow(int(PRIME), -1, 1 << 64))
-        with np.errstate(over="ignore"):
-            _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, p, np.uint64)], dtype=np.uint64) for p in (PRIME, inverse)]
-    return _powers[0], _powers[1]
+def powers(n: int) -> np.ndarray:
+    """PRIME**i modulo 2**64 for i below n."""
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.r_[np.uint64(1), np.full(n - 1, PRIME, np.uint64)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -101,39 +91,23 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
-def word_edges(body: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of several texts that lie one after another in body, and the words of each text."""
-    at = offs - offs[0]
-    body = body[offs[0] : offs[-1]]
-    solid = ~SPACE[body]
-    if not solid.any():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs) - 1, np.int64)
-    begin = solid.copy()
-    begin[1:] &= ~solid[:-1]
-    cut = at[:-1][at[:-1] < len(body)]
-    begin[cut] = solid[cut]
-    finish = solid.copy()
-    finish[:-1] &= begin[1:] | ~solid[1:]
-    starts, ends = np.flatnonzero(begin), np.flatnonzero(finish) + 1
-    return starts, ends, np.diff(np.searchsorted(starts, at))
-
-
-def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes; its length is part of it."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    out, lo = np.empty(len(starts), np.uint64), 0
-    while lo < len(starts):  # by pieces, so that the tables of powers stay small
-        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + 2 * SLICE_BYTES, "right")))
-        a, z = int(starts[lo]), int(ends[hi - 1])
-        up, down = powers(z - a + 1)
-        with np.errstate(over="ignore"):
-            total = np.zeros(z - a + 1, np.uint64)
-            np.cumsum((body[a:z].astype(np.uint64) + np.uint64(1)) * up[: z - a], out=total[1:])
-            s, e = starts[lo:hi] - a, ends[lo:hi] - a
-            out[lo:hi] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        lo = hi
-    return mix(out)
+class Digests(dict):
+    """What stands for each word, remembered for the first ``most`` words that a task meets; others are made again."""
+
+    def __init__(self, make: Callable[[bytes], bytes], most: int = 200_000) -> None:
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, word: bytes) -> bytes:
+        made = self.make(word)
+        if len(self) < self.most:
+            self[word] = made
+        return made
+
+
+def cells(column: pa.Array, lo: int = 0, hi: int | None = None) -> list[bytes]:
+    """UTF-8 bytes of the rows lo to hi of a large_string array without nulls."""
+    return [x.as_buffer().to_pybytes() for x in column[lo:hi]]
 
 
 def crc_remainder(column: str, of: int) -> str:

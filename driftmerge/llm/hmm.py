@@ -11,7 +11,10 @@ P(text) = sum over state paths of prod P(state | previous state) P(class | state
   counts (states x classes and states x states); Spark adds them up, the driver normalises the small sums.
 
 Counts of all training tokens are gathered by asking per block of documents (see blocks). The likelihood of a whole
-text comes from the scaled forward recursion over all its tokens; only training cuts texts, into ``SEGMENT`` tokens.
+text comes from the scaled forward recursion over all its tokens. Training runs over whole texts too: forward
+probabilities are kept at every ``STRIDE``-th token and made again from there on the way back, so memory is a few
+numbers a token, and the counts are exact. Tokens are told apart by XXH3-64: among 10^10 different words, two or three
+pairs with equal hashes are expected, whose counts are then one.
 
 Defined results: null and empty texts are the end token alone; without training documents c, N and V are 0; a null
 id is null in the result and counts as held in; a table without rows gives none.
@@ -20,40 +23,47 @@ id is null in the result and counts as held in; a table without rows gives none.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmerge.llm.blocks import answer, block_table, by_block
-from driftmerge.llm.common import LOWER, crc_remainder, materialize, raw, release, slices, table, texts, word_edges, word_hashes
+from driftmerge.llm.blocks import answer, block_table, by_block, drop_blocks
+from driftmerge.llm.common import Digests, cells, crc_remainder, materialize, raw, release, slices, table, texts
 
-STATES, FREQUENT, ENDINGS, ROUNDS, SEGMENT = 8, 2048, 512, 4, 128
+STATES, FREQUENT, ENDINGS, ROUNDS, STRIDE = 8, 2048, 512, 4, 64
+#: Tokens that training takes at once; a longer text stands alone.
+TOKENS = 1 << 20
 HOLD_MODULUS, HOLD_REMAINDER = 7, 2
 #: The end token's key; no word hashes to it but by a 64-bit coincidence.
 END = np.uint64(0x656E64)
 TOPS_PER_TASK = 4096
 
 
-def tokens(part: pa.RecordBatch | pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+_TOKEN = np.dtype([("key", "<u8"), ("tail", "<u2")])
+
+
+def token(word: bytes) -> bytes:
+    """A word's key and its ending."""
+    tail = (word[-1] * 263 + (word[-2] if len(word) > 1 else 0)) % ENDINGS
+    return xxhash.xxh3_64_intdigest(word).to_bytes(8, "little") + tail.to_bytes(2, "little")
+
+
+_END = int(END).to_bytes(8, "little") + bytes(2)
+
+
+def tokens(part: pa.RecordBatch | pa.Table, memo: Digests) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For slices of rows: row numbers, tokens of each row with its end, keys of all tokens, their endings."""
-    body, offs = raw(texts(part.column("text")))
+    column = texts(part.column("text"))
+    _, offs = raw(column)
     for lo, hi in slices(offs):
-        base = int(offs[lo])
-        low = LOWER[body[base : offs[hi]]]
-        starts, ends, words = word_edges(low, offs[lo : hi + 1] - base)
-        count = words + 1
-        keys = np.full(int(count.sum()), END, np.uint64)
-        tails = np.zeros(len(keys), np.int64)
-        row = np.repeat(np.arange(len(words)), words)
-        place = np.arange(len(row)) + row
-        keys[place] = word_hashes(low, starts, ends)
-        last = low[ends - 1].astype(np.int64)
-        before = np.where(ends - starts > 1, low[np.maximum(ends - 2, 0)], 0).astype(np.int64)
-        tails[place] = (last * 263 + before) % ENDINGS
-        yield np.arange(lo, hi), count, keys, tails
+        words = [x.lower().split() for x in cells(column, lo, hi)]
+        found = np.frombuffer(b"".join(b"".join([memo[w] for w in row]) + _END for row in words), _TOKEN)
+        yield np.arange(lo, hi), np.fromiter(map(len, words), np.int64, hi - lo) + 1, found["key"].copy(), found["tail"].astype(np.int64)
 
 
 def sums(keys: np.ndarray, weights: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,10 +77,11 @@ def ask_counts(blocks: DataFrame) -> DataFrame:
     """Rows (key, block, n, tail): the distinct tokens of each block with their count in its training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Digests(token)
         for block, part in by_block(batches):
             held = part.column("held_out").to_numpy(zero_copy_only=False)
             found = []
-            for rows, count, keys, tails in tokens(part):
+            for rows, count, keys, tails in tokens(part, memo):
                 found.append(sums(keys, np.repeat((~held[rows]).astype(np.int64), count), tails))
             if found:
                 k, n, t = sums(*(np.concatenate(x) for x in zip(*found, strict=True)))
@@ -156,7 +167,7 @@ def encode(blocks: DataFrame, replies: DataFrame, classes: Classes) -> DataFrame
         key, n = key[order], right.column("n").to_numpy()[order]
         press = zstandard.ZstdCompressor(level=1)
         cols: list[list] = [[], [], [], [], []]
-        for _, count, keys, tails in tokens(left) if left.num_rows else ():
+        for _, count, keys, tails in tokens(left, Digests(token)) if left.num_rows else ():
             c = n[np.searchsorted(key, keys)]
             cls, share = classes.of(keys, tails, c)
             at = np.r_[0, np.cumsum(count)[:-1]]
@@ -197,64 +208,72 @@ class Model:
         return cls(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
+class Lanes:
+    """Class sequences side by side, by falling length."""
+
+    def __init__(self, seqs: list[np.ndarray]) -> None:
+        self.order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
+        size = np.array([len(seqs[i]) for i in self.order], np.int64)
+        self.base, self.steps = np.cumsum(size) - size, int(size[0]) if len(size) else 0
+        self.flat = np.concatenate([seqs[i] for i in self.order]) if len(size) else np.zeros(0, np.uint16)
+        self.live = np.searchsorted(-size, -np.arange(self.steps), "left")  # lanes longer than t
+
+    def seen(self, t: int) -> np.ndarray:
+        """The classes at place t of all lanes that have one."""
+        return self.flat[self.base[: self.live[t]] + t]
+
+    def step(self, model: Model, alpha: np.ndarray | None, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """State probabilities at place t from those before, and the scale that made each lane's sum one."""
+        now = (model.start if alpha is None else alpha[: self.live[t]] @ model.move) * model.emit[self.seen(t)]
+        scale = now.sum(1)
+        now /= scale[:, None]
+        return now, scale
+
+
 def forward(model: Model, seqs: list[np.ndarray]) -> np.ndarray:
-    """log10 likelihood of each class sequence, all at once by falling length; each step scales each row to one."""
+    """log10 likelihood of each class sequence."""
+    lanes, logs, alpha = Lanes(seqs), np.zeros(len(seqs)), None
+    for t in range(lanes.steps):
+        alpha, scale = lanes.step(model, alpha, t)
+        logs[: len(scale)] += np.log10(scale)
     out = np.zeros(len(seqs))
-    order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
-    for lo in range(0, len(order), 512):
-        pick = order[lo : lo + 512]
-        size = np.array([len(seqs[i]) for i in pick])
-        if not size.max():
-            continue
-        flat, base = np.concatenate([seqs[i] for i in pick]), np.r_[0, np.cumsum(size)[:-1]]
-        live = np.searchsorted(-size, -np.arange(size.max()), "left")  # rows longer than t
-        alpha = np.broadcast_to(model.start, (len(pick), len(model.start)))
-        logs = np.zeros(len(pick))
-        for t in range(size.max()):
-            k = live[t]
-            alpha = (alpha[:k] if t == 0 else alpha[:k] @ model.move) * model.emit[flat[base[:k] + t]]
-            scale = alpha.sum(1)
-            alpha /= scale[:, None]
-            logs[:k] += np.log10(scale)
-        out[pick] = logs
+    out[lanes.order] = logs
     return out
 
 
-def expected(model: Model, seqs: list[np.ndarray], segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch counts of sequences, cut into segments; only a sequence's own start counts as one."""
+def expected(model: Model, seqs: list[np.ndarray], stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Baum-Welch counts of whole sequences: starts, transitions and emissions."""
     states, classes = len(model.start), len(model.emit)
     start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((classes, states))
-    cut = [(s[i : i + segment], i == 0) for s in seqs for i in range(0, len(s), segment)]
-    cut.sort(key=lambda x: -len(x[0]))
-    for lo in range(0, len(cut), 1024):
-        part = cut[lo : lo + 1024]
-        size = np.array([len(s) for s, _ in part])
-        own = np.array([o for _, o in part])
-        steps = int(size.max())
-        obs = np.zeros((steps, len(part)), np.int64)
-        for j, (s, _) in enumerate(part):
-            obs[: len(s), j] = s
-        live = np.searchsorted(-size, -np.arange(steps), "left")
-        alpha, scale = np.zeros((steps, len(part), states)), np.ones((steps, len(part)))
-        for t in range(steps):
-            k = live[t]
-            a = (model.start if t == 0 else alpha[t - 1, :k] @ model.move) * model.emit[obs[t, :k]]
-            scale[t, :k] = a.sum(1)
-            alpha[t, :k] = a / scale[t, :k, None]
-        beta = np.ones((len(part), states))
-        gamma = np.zeros((steps, len(part), states))
-        for t in range(steps - 1, -1, -1):
-            k = live[t]
-            gamma[t, :k] = alpha[t, :k] * beta[:k]
+    lanes, alpha, marks = Lanes(seqs), None, []
+    for t in range(lanes.steps):
+        if t % stride == 0:
+            marks.append(alpha)
+        alpha, _ = lanes.step(model, alpha, t)
+    beta = np.ones((len(seqs), states))
+    while marks:
+        before = marks.pop()
+        first = len(marks) * stride
+        steps, kept = range(first, min(lanes.steps, first + stride)), []
+        alpha = before
+        for t in steps:
+            alpha, scale = lanes.step(model, alpha, t)
+            kept.append((alpha, scale))
+        gammas = []
+        for t in reversed(steps):
+            k = lanes.live[t]
+            alpha, scale = kept[t - first]
+            gammas.append(alpha * beta[:k])
             if t:
-                right = model.emit[obs[t, :k]] * beta[:k] / scale[t, :k, None]
-                move += model.move * (alpha[t - 1, :k].T @ right)
+                last = before if t == first else kept[t - first - 1][0]
+                right = model.emit[lanes.seen(t)] * beta[:k] / scale[:, None]
+                move += model.move * (last[:k].T @ right)
                 beta[:k] = right @ model.move.T
-        start += gamma[0][own].sum(0)
-        used = np.concatenate([obs[t, : live[t]] for t in range(steps)])
-        flat = np.concatenate([gamma[t, : live[t]] for t in range(steps)])
+        used, flat = np.concatenate([lanes.seen(t) for t in reversed(steps)]), np.concatenate(gammas)
         for s in range(states):
             emit[:, s] += np.bincount(used, flat[:, s], classes)
+        if not first:
+            start += gammas[-1].sum(0)
     return start, move, emit
 
 
@@ -263,11 +282,15 @@ def baum_welch(encoded: DataFrame, model: Model) -> Model:
     states, classes = len(model.start), len(model.emit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            for lo in range(0, len(batch), 512):
-                got = expected(model, sequences(batch.slice(lo, 512)))
+        total, held, size = None, [], 0
+        for seq in chain((x for batch in batches for x in sequences(batch)), [None]):
+            if held and (seq is None or size + len(seq) > TOKENS):
+                got = expected(model, held)
                 total = got if total is None else tuple(a + b for a, b in zip(total, got, strict=True))
+                held, size = [], 0
+            if seq is not None:
+                held.append(seq)
+                size += len(seq)
         if total is not None:
             start, move, emit = total
             whole = np.concatenate([start[None, :], move, emit]).ravel()
@@ -284,13 +307,14 @@ def baum_welch(encoded: DataFrame, model: Model) -> Model:
 
 def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of all documents."""
-    blocks = block_table(docs, id_column, text_column)
+    plain = block_table(docs, id_column, text_column)
     held = F.expr(f"has_id and {crc_remainder('doc_id', HOLD_MODULUS)} = {HOLD_REMAINDER}")
-    blocks = blocks.withColumn("held_out", held)
+    blocks = plain.withColumn("held_out", held)
     replies = materialize(answer_counts(ask_counts(blocks)), "counts")
     classes = Classes(replies)
     encoded = materialize(encode(blocks, replies, classes), "encoded")
     release(replies)
+    drop_blocks(plain)
     model = Model.first(classes.size)
     for _ in range(rounds):
         model = baum_welch(encoded, model)

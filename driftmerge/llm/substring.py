@@ -1,18 +1,23 @@
 r"""Substring dedup by relative Lempel-Ziv parsing.
 
-Words are ``[^\x20\x09-\x0D]+``, unchanged. Every document is a reference for those with a larger id: the index maps
-each phrase of ``WINDOW`` words to the smallest document that holds it, which is its reference block. A document is
-factored greedily from the left: where a phrase of a smaller document starts, the factor takes the words for which
-the phrases go on in that reference block; then the phrases that cross the factor's end are looked up in their turn,
-so a factor of another block that begins inside the last one is not missed. Words outside factors stay.
+Words are ``[^\x20\x09-\x0D]+``, unchanged. Every document is a reference block for those with a larger id. The index
+maps each phrase of ``WINDOW`` words to the smallest document that holds it and to its first place there. A document
+is factored greedily from the left: at a phrase that the index knows, a factor begins, and it takes the words that
+follow for as long as they stand side by side in that reference too; so a factor (start, length, reference, place) is
+a copy of the reference's words from that place on. Where it ends, the phrases that cross its end are looked up in
+their turn: a factor of another block, or of another place, that begins inside the last one is not missed. Words
+outside factors stay.
 
 To keep the index small, two rounds of questions are asked by block of documents:
 
 1. anchors: the minimal 5-word hash of each window. A window that two documents share has an anchor that they share,
    so only windows over anchors of several documents go on; about one word in six asks.
-2. windows over such anchors: the answer is the smallest document that holds the window.
+2. windows over such anchors: the answer is the smallest document that holds the window, and where.
 
-Neither rounds nor lists are capped. Hashes have 64 bits; equal hashes count as equal words.
+Neither rounds nor lists are capped. Windows are told apart by 128 bits: both halves of the words' XXH3-128 digests,
+combined over the window by two polynomials. Equal bits count as equal words; among 10^13 different windows a pair
+with equal bits is expected with a probability of about 10^-13. Anchors only choose what is asked, so theirs of 64
+bits can't change a result.
 
 Defined results: null, empty and blank texts have no words; a text of fewer than ``WINDOW`` words keeps all; rows with
 equal ids don't count as smaller than each other; a row without an id counts as larger than all others and comes
@@ -23,13 +28,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from driftmerge.llm.blocks import answer, block_table, by_block
-from driftmerge.llm.common import mix, powers, raw, slices, table, texts, word_edges, word_hashes
+from driftmerge.llm.blocks import answer, block_table, by_block, drop_blocks
+from driftmerge.llm.common import Digests, cells, materialize, mix, powers, raw, slices, table, texts
 
 WINDOW, ANCHOR = 13, 5
 
@@ -38,7 +45,7 @@ def rolled(h: np.ndarray, width: int) -> np.ndarray:
     """Hash of every run of `width` neighbours."""
     if len(h) < width:
         return np.zeros(0, np.uint64)
-    up, _ = powers(width)
+    up = powers(width)
     out = np.zeros(len(h) - width + 1, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(width):
@@ -56,12 +63,25 @@ def minimal(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def parsed(part: pa.RecordBatch | pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For slices of rows: row numbers, words of each row, and all their word hashes with each word's row."""
-    body, offs = raw(texts(part.column("text")))
+class Parsed(NamedTuple):
+    """Some rows of a block: their numbers, the words of each, and of all words both halves of the digest and the row."""
+
+    rows: np.ndarray
+    count: np.ndarray
+    h: np.ndarray
+    other: np.ndarray
+    row: np.ndarray
+
+
+def parsed(part: pa.RecordBatch | pa.Table, memo: Digests) -> Iterator[Parsed]:
+    """The words of a block, some rows at a time."""
+    column = texts(part.column("text"))
+    _, offs = raw(column)
     for lo, hi in slices(offs):
-        starts, ends, words = word_edges(body, offs[lo : hi + 1])
-        yield np.arange(lo, hi), words, word_hashes(body[offs[lo] : offs[hi]], starts, ends), np.repeat(np.arange(lo, hi), words)
+        words = [x.split() for x in cells(column, lo, hi)]
+        count = np.fromiter(map(len, words), np.int64, hi - lo)
+        halves = np.frombuffer(b"".join(memo[w] for row in words for w in row), np.uint64).reshape(-1, 2)
+        yield Parsed(np.arange(lo, hi), count, halves[:, 0].copy(), halves[:, 1].copy(), np.repeat(np.arange(lo, hi), count))
 
 
 def windows(h: np.ndarray, row: np.ndarray, width: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
@@ -72,128 +92,158 @@ def windows(h: np.ndarray, row: np.ndarray, width: int = WINDOW, anchor: int = A
     return inside, minimal(rolled(h, anchor), width - anchor + 1)[inside]
 
 
-def least_and_most(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with the smallest and largest id of each."""
-    order = np.argsort(keys, kind="stable")
-    keys, ids = keys[order], ids[order]
-    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    if not len(at):
-        return keys, ids, ids
-    return keys[at], np.minimum.reduceat(ids, at), np.maximum.reduceat(ids, at)
+def places(key: np.ndarray, check: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Where each (key, check) stands in the sorted rows of (keys, checks), -1 if it isn't there."""
+    out = np.full(len(key), -1)
+    if not len(keys):
+        return out
+    at = np.searchsorted(keys, key)
+    left = np.flatnonzero(at < len(keys))
+    while len(left):  # equal keys with other checks stand side by side; as good as always the first one is it
+        here = at[left]
+        same = keys[here] == key[left]
+        hit = same & (checks[here] == check[left])
+        out[left[hit]] = here[hit]
+        left = left[same & ~hit]
+        at[left] += 1
+        left = left[at[left] < len(keys)]
+    return out
 
 
-def member(x: np.ndarray, among: np.ndarray) -> np.ndarray:
-    """Place of each x in sorted `among`, -1 if it isn't there."""
-    if not len(among):
-        return np.full(len(x), -1)
-    at = np.minimum(np.searchsorted(among, x), len(among) - 1)
-    return np.where(among[at] == x, at, -1)
+def among(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    """True for each x that the sorted array holds."""
+    if not len(sorted_):
+        return np.zeros(len(x), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
 
 
-def factors(refs: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:
-    """Greedy factors (first word, words, reference) of a document; refs[i]: reference of the window at i, -1 if none.
+def factors(refs: np.ndarray, at: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (first word, words, reference, first word there) of a document.
 
-    A factor takes the windows that follow in the same reference. The next one is the next window with a reference,
-    which may cross this factor's end.
+    refs[i], at[i]: the reference of the window at i and its place there; -1 if none. A factor takes the windows that
+    follow at the next place of the same reference. The next one is the next window with a reference, which may cross
+    this factor's end.
     """
     found = np.flatnonzero(refs >= 0)
     if not len(found):
         return []
-    new = np.r_[True, (np.diff(found) != 1) | (np.diff(refs[found]) != 0)]
+    new = np.r_[True, (np.diff(found) != 1) | (np.diff(refs[found]) != 0) | (np.diff(at[found]) != 1)]
     first = found[new]
     last = found[np.r_[np.flatnonzero(new)[1:], len(found)] - 1]
-    return list(zip(first.tolist(), (last - first + window).tolist(), refs[first].tolist(), strict=True))
+    return list(zip(first.tolist(), (last - first + window).tolist(), refs[first].tolist(), at[first].tolist(), strict=True))
 
 
-QUESTION = "key long, block long, least long, most long"
+ANCHORS = "key long, block long, several boolean"
+QUESTION = "key long, check long, block long, least long, at int, several boolean"
+ANSWER = "block long, key long, check long, least long, at int"
+FACTORS = "array<struct<start:int,length:int,reference:long,place:int>>"
+DEDUPED = f"doc_id long, n_words long, n_removed long, kept_text string, factors {FACTORS}"
 
 
-def _question(block: int, keys: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
-    k, lo, hi = least_and_most(np.concatenate(keys), np.concatenate(ids))
-    return pa.record_batch([pa.array(k.view(np.int64)), pa.array(np.full(len(k), block)), pa.array(lo), pa.array(hi)], ["key", "block", "least", "most"])
+def _asked(block: int, found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """A block's distinct windows, each with the smallest document that holds it, its first place there, and whether more do."""
+    key, check, ids, at = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((at, ids, check, key))
+    key, check, ids, at = key[order], check[order], ids[order], at[order]
+    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (check[1:] != check[:-1])][: len(key)])
+    several = np.maximum.reduceat(ids, first) > ids[first] if len(first) else np.zeros(0, bool)
+    columns = (key[first].view(np.int64), check[first].view(np.int64), np.full(len(first), block), ids[first], at[first].astype(np.int32), several)
+    return pa.record_batch([pa.array(c) for c in columns], ["key", "check", "block", "least", "at", "several"])
 
 
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW) -> DataFrame:
-    """Rows (doc_id, n_words, n_removed, kept_text, factors): factors are (start, length, reference) in words."""
-    blocks = block_table(docs, id_column, text_column)
+    """Rows (doc_id, n_words, n_removed, kept_text, factors): factors are (start, length, reference, place) in words."""
+    return _cut(block_table(docs, id_column, text_column), window)
 
+
+def _cut(blocks: DataFrame, window: int) -> DataFrame:
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Digests(xxhash.xxh3_128_digest)
         for block, part in by_block(batches):
             ids, keys, owners = part.column("doc_id").to_numpy(), [], []
-            for _, _, h, row in parsed(part):
-                inside, a = windows(h, row, window)
+            for p in parsed(part, memo):
+                inside, a = windows(p.h, p.row, window)
                 if len(a):
-                    own = row[inside]
+                    own = p.row[inside]
                     new = np.r_[True, (a[1:] != a[:-1]) | (own[1:] != own[:-1])]
                     keys.append(a[new])
                     owners.append(ids[own[new]])
             if keys:
-                yield _question(block, keys, owners)
-
-    def several(group: np.ndarray, at: np.ndarray, columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        low, high = np.minimum.reduceat(columns["least"], at), np.maximum.reduceat(columns["most"], at)
-        keep = (low < high)[group]
+                key, owner = np.concatenate(keys), np.concatenate(owners)
+                order = np.argsort(key, kind="stable")
+                key, owner = key[order], owner[order]
+                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                several = np.minimum.reduceat(owner, first) < np.maximum.reduceat(owner, first)
+                yield pa.record_batch([pa.array(key[first].view(np.int64)), pa.array(np.full(len(first), block)), pa.array(several)], ["key", "block", "several"])
+
+    def shared_anchors(group: np.ndarray, at: np.ndarray, columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        # Rows of two blocks are of two documents, or of equal ids, which the windows tell apart.
+        many = np.diff(np.r_[at, len(group)]) > 1
+        keep = (many | np.logical_or.reduceat(columns["several"], at))[group]
         return {"block": columns["block"][keep], "key": columns["key"][keep]}
 
-    shared = answer(blocks.mapInArrow(anchors, QUESTION), several, "block long, key long")
+    shared = answer(blocks.mapInArrow(anchors, ANCHORS), shared_anchors, "block long, key long")
 
     def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table([pa.array([], pa.int64())] * 4, ["key", "block", "least", "most"])
-        if not left.num_rows or not right.num_rows:
-            return empty
-        wanted = np.sort(right.column("key").to_numpy().view(np.uint64))
-        ids, keys, owners = left.column("doc_id").to_numpy(), [], []
-        for _, _, h, row in parsed(left):
-            inside, a = windows(h, row, window)
-            if len(a):
-                new = np.r_[True, a[1:] != a[:-1]]
-                ok = (member(a[new], wanted) >= 0)[np.cumsum(new) - 1]
-                keys.append(rolled(h, window)[inside[ok]])
-                owners.append(ids[row[inside[ok]]])
-        return pa.Table.from_batches([_question(left.column("block")[0].as_py(), keys, owners)]) if keys else empty
+        memo, found = Digests(xxhash.xxh3_128_digest), []
+        if left.num_rows and right.num_rows:
+            wanted = np.sort(right.column("key").to_numpy().view(np.uint64))
+            ids = left.column("doc_id").to_numpy()
+            for p in parsed(left, memo):
+                inside, a = windows(p.h, p.row, window)
+                if len(a):
+                    new = np.r_[True, a[1:] != a[:-1]]
+                    at = inside[among(a[new], wanted)[np.cumsum(new) - 1]]
+                    begin = np.cumsum(p.count) - p.count
+                    found.append((rolled(p.h, window)[at], rolled(p.other, window)[at], ids[p.row[at]], at - begin[p.row[at] - p.rows[0]]))
+        if found:
+            return pa.Table.from_batches([_asked(left.column("block")[0].as_py(), found)])
+        return pa.table([pa.array([], t) for t in (*[pa.int64()] * 4, pa.int32(), pa.bool_())], ["key", "check", "block", "least", "at", "several"])
 
     asked = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(candidates, QUESTION)
 
     def earliest(group: np.ndarray, at: np.ndarray, columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        low = np.minimum.reduceat(columns["least"], at)[group]
-        keep = low < columns["most"]
-        return {"block": columns["block"][keep], "key": columns["key"][keep], "least": low[keep]}
+        best = np.lexsort((columns["least"], group))[at][group]
+        keep = (columns["least"][best] < columns["least"]) | columns["several"]
+        out = {"block": columns["block"], "key": columns["key"], "check": columns["check"], "least": columns["least"][best], "at": columns["at"][best]}
+        return {k: v[keep] for k, v in out.items()}
 
-    index = answer(asked, earliest, "block long, key long, least long")
+    index = answer(asked, earliest, ANSWER)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        key = right.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(key)
-        key, least = key[order], right.column("least").to_numpy()[order]
+        keys, checks = (right.column(c).to_numpy().view(np.uint64) for c in ("key", "check"))
+        order = np.lexsort((checks, keys))
+        keys, checks, least, where = keys[order], checks[order], right.column("least").to_numpy()[order], right.column("at").to_numpy()[order]
         ids = left.column("doc_id").to_numpy()
-        cells = left.column("text").combine_chunks() if left.num_rows else []
+        column = texts(left.column("text")) if left.num_rows else None
+        memo = Digests(xxhash.xxh3_128_digest)
         n_words, n_removed, kept, found = [], [], [], []
-        for rows, words, h, row in parsed(left) if left.num_rows else ():
-            refs = np.full(len(h), -1, np.int64)
-            if len(key) and len(h) >= window:
-                inside = np.flatnonzero(row[: len(row) - window + 1] == row[window - 1 :])
-                place = member(rolled(h, window)[inside], key)
-                hit = (place >= 0) & (least[place] < ids[row[inside]])
-                refs[inside[hit]] = least[place[hit]]
-            ends = np.cumsum(words)
-            for r, n, end in zip(rows.tolist(), words.tolist(), ends.tolist(), strict=True):
-                listed = factors(refs[end - n : end], window)
-                body = cells[r].as_py().encode().split()
+        for p in parsed(left, memo) if left.num_rows else ():
+            refs, at = np.full(len(p.h), -1, np.int64), np.full(len(p.h), -1, np.int64)
+            if len(keys) and len(p.h) >= window:
+                inside = np.flatnonzero(p.row[: len(p.row) - window + 1] == p.row[window - 1 :])
+                place = places(rolled(p.h, window)[inside], rolled(p.other, window)[inside], keys, checks)
+                hit = (place >= 0) & (least[place] < ids[p.row[inside]])
+                refs[inside[hit]], at[inside[hit]] = least[place[hit]], where[place[hit]]
+            ends = np.cumsum(p.count)
+            for r, n, end in zip(p.rows.tolist(), p.count.tolist(), ends.tolist(), strict=True):
+                listed = factors(refs[end - n : end], at[end - n : end], window)
+                body = column[r].as_buffer().to_pybytes().split()
                 if listed:
                     stay = np.ones(n, bool)
-                    for start, length, _ in listed:
+                    for start, length, _, _ in listed:
                         stay[start : start + length] = False
                     body = [body[i] for i in np.flatnonzero(stay).tolist()]
                 n_words.append(n)
                 n_removed.append(n - len(body))
                 kept.append(b" ".join(body))
-                found.append([{"start": a, "length": b, "reference": c} for a, b, c in listed])
+                found.append([{"start": a, "length": b, "reference": c, "place": e} for a, b, c, e in listed])
         has = left.column("has_id").combine_chunks() if left.num_rows else pa.array([], pa.bool_())
         doc = pa.array([i if ok else None for i, ok in zip(ids.tolist(), has.to_pylist(), strict=True)], pa.int64())
-        kinds = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("reference", pa.int64())]))
+        kinds = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("reference", pa.int64()), ("place", pa.int32())]))
         return pa.table([doc, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(found, kinds)], ["doc_id", "n_words", "n_removed", "kept_text", "factors"])
 
-    return blocks.groupBy("block").cogroup(index.groupBy("block")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string, factors array<struct<start:int,length:int,reference:long>>")
+    return blocks.groupBy("block").cogroup(index.groupBy("block")).applyInArrow(cut, DEDUPED)
 
 
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,8 +252,11 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
             hashes = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column("kept_text")]
             yield pa.record_batch([batch.column("doc_id"), batch.column("n_words"), batch.column("n_removed"), pa.array(hashes, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    done = dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_text")
-    return done.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    blocks = block_table(table(spark, sf_dir, "documents"))
+    done = _cut(blocks, WINDOW).select("doc_id", "n_words", "n_removed", "kept_text")
+    out = materialize(done.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string"), "deduped")
+    drop_blocks(blocks)
+    return out
 
 
 #: Windows as lists of words; each is looked up by its first document.

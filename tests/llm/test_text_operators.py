@@ -9,7 +9,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from driftmerge.llm import components, hmm, simhash, substring
+from driftmerge.llm import blocks, components, hmm, simhash, substring
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = {i: i + 32 for i in range(65, 91)}
@@ -123,10 +123,53 @@ def test_substring_equals_brute_force(spark):
     assert got == want and sum(x[1] for x in want.values()) > 100
 
 
-def test_factors_end_where_the_reference_changes():
-    refs = np.array([-1, 4, 4, 4, 2, 2, -1, -1, 9])
-    assert substring.factors(refs, 3) == [(1, 5, 4), (4, 4, 2), (8, 3, 9)]
-    assert substring.factors(np.full(5, -1), 3) == []
+def test_factors_are_copies_of_their_reference(spark):
+    at = np.array([-1, 7, 8, 9, 0, 1, -1, -1, 5])
+    assert substring.factors(np.array([-1, 4, 4, 4, 2, 2, -1, -1, 9]), at, 3) == [(1, 5, 4, 7), (4, 4, 2, 0), (8, 3, 9, 5)]
+    assert substring.factors(np.full(5, -1), np.full(5, -1)) == []
+    # One reference, but not one place of it: two factors.
+    assert substring.factors(np.array([4, 4]), np.array([3, 9]), 3) == [(0, 3, 4, 3), (1, 3, 4, 9)]
+    words = [f"w{k}" for k in range(14)]
+    docs = [(10, " ".join([*words[:13], "X", *words[1:]])), (11, " ".join(words)), *((20 + d, t) for d, t in corpus(9, 120))]
+    by = {d: WORDS.findall(t) for d, t in docs}
+    rows = {r.doc_id: r.factors for r in substring.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [tuple(f) for f in rows[11]] == [(0, 13, 10, 0), (1, 13, 10, 14)]
+    assert sum(map(len, rows.values())) > 50
+    for d, listed in rows.items():
+        for f in listed:
+            assert f.reference < d and by[d][f.start : f.start + f.length] == by[f.reference][f.place : f.place + f.length]
+
+
+def test_words_that_a_polynomial_confuses_are_told_apart(spark):
+    thue = "".join("ad"[k.bit_count() % 2] for k in range(1024))
+    other = thue.translate({97: "d", 100: "a"})
+    rest = " ".join(f"r{k}" for k in range(12))
+    df = spark.createDataFrame([(1, f"{thue} {rest}"), (2, f"{other} {rest}"), (3, f"{other} {rest}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.dedup(df).collect()} == {1: 0, 2: 0, 3: 13}
+    rows = {r.doc_id: r for r in hmm.score_documents(df, rounds=1).collect()}
+    assert {d: r.n_known for d, r in rows.items()} == {d: 14 if not zlib.crc32(str(d).encode()) % 7 == 2 else rows[d].n_known for d in rows}
+    c = collections.Counter(w for d, t in ((1, thue), (2, other), (3, other)) if not rows[d].held_out for w in [t, *rest.split(), None])
+    n, v = sum(c.values()), len(c)
+    for d, t in ((1, thue), (2, other), (3, other)):
+        assert math.isclose(rows[d].base_score, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in [t, *rest.split(), None]), rel_tol=1e-9)
+
+
+def test_equal_keys_with_other_checks():
+    keys, checks = np.array([3, 3, 3, 8], np.uint64), np.array([1, 4, 6, 2], np.uint64)
+    got = substring.places(np.array([3, 3, 3, 8, 8, 9], np.uint64), np.array([6, 1, 5, 2, 3, 2], np.uint64), keys, checks)
+    assert got.tolist() == [2, 0, -1, 3, -1, -1]
+
+
+def test_long_texts_are_blocks_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_SHIFTS", ((40, 2), (400, 1)))
+    docs = [(k, "a " * n) for k, n in enumerate([5, 300, 6, 7, 300, 8, 9, 100, 100, 101, 3])]
+    found = blocks.block_table(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    by = collections.defaultdict(list)
+    for r in found.collect():
+        by[r.block].append(r.doc_id)
+    assert sorted(map(sorted, by.values())) == [[0, 2, 3], [1], [4], [5, 6], [7], [8, 9], [10]]
+    blocks.drop_blocks(found)
+    assert not spark.catalog.tableExists(found._driftmerge_table)
 
 
 def test_substring_odd_rows(odd, none):
@@ -169,12 +212,55 @@ def test_baum_welch_rounds_raise_the_likelihood():
         now = hmm.forward(model, seqs).sum()
         assert now > last - 0.5
         last = now
-        start, move, emit = hmm.expected(model, seqs, segment=1000)
+        start, move, emit = hmm.expected(model, seqs)
         assert math.isclose(emit.sum(), sum(map(len, seqs)))
         assert math.isclose(start.sum(), len(seqs)) and math.isclose(move.sum(), sum(len(s) - 1 for s in seqs))
         model = hmm.Model.of_counts(start, move, emit)
 
 
+def test_expected_counts_are_those_of_all_paths():
+    import itertools
+
+    rng = np.random.default_rng(7)
+    model = hmm.Model.first(4, 2)
+    seqs = [rng.integers(0, 4, n).astype(np.uint16) for n in (1, 2, 7, 7, 4)]
+    start, move, emit = np.zeros(2), np.zeros((2, 2)), np.zeros((4, 2))
+    for seq in seqs:
+        paths = list(itertools.product(range(2), repeat=len(seq)))
+        p = np.array([model.start[x[0]] * math.prod(model.emit[o, s] for o, s in zip(seq, x, strict=True)) * math.prod(model.move[a, b] for a, b in zip(x, x[1:], strict=False)) for x in paths])
+        for x, w in zip(paths, p / p.sum(), strict=True):
+            start[x[0]] += w
+            for a, b in zip(x, x[1:], strict=False):
+                move[a, b] += w
+            for o, s in zip(seq, x, strict=True):
+                emit[o, s] += w
+    for stride in (1, 2, 3, 64):
+        for got, want in zip(hmm.expected(model, seqs, stride), (start, move, emit), strict=True):
+            assert np.allclose(got, want)
+
+
+def test_hmm_scores_are_the_models(spark):
+    """The score column against the model's own definition, a document at a time, on a model that is trained anew here."""
+    docs = corpus(10, 60)
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    rows = {r.doc_id: r for r in hmm.score_documents(df, rounds=2).collect()}
+    tokens = {d: [w.encode() for w in WORDS.findall(t.translate(LOW))] for d, t in docs}
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in tokens}
+    c = collections.Counter(x for d, t in tokens.items() if not held[d] for x in [*t, None])
+    ending = lambda w: (w[-1] * 263 + (w[-2] if len(w) > 1 else 0)) % hmm.ENDINGS
+    assert len(c) <= hmm.FREQUENT  # so each known token is a class of its own
+    order = sorted((int(np.uint64(hmm.xxhash.xxh3_64_intdigest(w))), w) for w in c if w is not None)
+    cls = {w: 1 + hmm.ENDINGS + k for k, (_, w) in enumerate(order)} | {None: 0}
+    size = 1 + hmm.ENDINGS + len(order)
+    coded = {d: np.array([cls.get(x, 1 + ending(x) if x else 0) for x in [*t, None]], np.uint16) for d, t in tokens.items()}
+    model = hmm.Model.first(size)
+    for _ in range(2):
+        model = hmm.Model.of_counts(*hmm.expected(model, [coded[d] for d in coded if not held[d]]))
+    for d, seq in coded.items():
+        # An unknown token has the one share of its class, in which nothing is known: log10 1.
+        assert math.isclose(rows[d].score, hmm.forward(model, [seq])[0], rel_tol=1e-6), d
+
+
 def test_hmm_odd_rows(odd, none):
     got = {(r.doc_id, r.n_tokens) for r in hmm.score_documents(odd, rounds=1).collect()}
     assert {(0, 1), (1, 1), (2, 1), (3, 40_001), (None, 6)} <= got
