@@ -1,6 +1,7 @@
 """Best-fit packing with a grouping genetic algorithm on islands.
 
-Texts become token ids and an end mark. A document longer than a sequence is cut from its end into full pieces, so
+Texts become token ids and an end mark. The strings of the vocabulary's added tokens are those tokens where they stand
+in a text, as its tokenizer has it. A document longer than a sequence is cut from its end into full pieces, so
 only its first piece may be shorter. Full pieces are sequences of their own; all others are packed.
 
 The other pieces are dealt by hash into groups of about ``GROUP`` pieces. Each group evolves on ``ISLANDS`` islands (a task each), which
@@ -28,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmerge.llm.common import materialize, table
+from driftmerge.llm.common import materialize, release, table
 
 CAPACITY, END_ID = 1024, 2
 GROUP, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4096, 2, 2, 4, 6
-VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The vocabulary's ranks, and the tokenizer that adds whole tokens to them.
+VOCABULARY, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 CACHE = 300_000
 
 _BLANKS = re.compile(r" \s|\s ")
@@ -45,8 +47,9 @@ class Encoder:
     blank-separated chunks; texts in which a blank touches other white space are encoded whole.
     """
 
-    def __init__(self, vocabulary: str = VOCABULARY) -> None:
+    def __init__(self, vocabulary: str = VOCABULARY, tokenizer: str = TOKENIZER) -> None:
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
@@ -54,12 +57,23 @@ class Encoder:
         with open(public_tokenizers.path(vocabulary), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(public_tokenizers.path(tokenizer), encoding="utf-8") as f:
+            self.added = {x["content"]: np.array([x["id"]], np.uint32).tobytes() for x in json.load(f)["added_tokens"]}
+        self.cut = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
         self.seen: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.bpe.encode_ordinary(text), np.uint32).tobytes()
 
     def __call__(self, text: str) -> bytes:
+        out, at = [], 0
+        for m in self.cut.finditer(text):
+            out += (self.plain(text[at : m.start()]), self.added[m[0]])
+            at = m.end()
+        return b"".join((*out, self.plain(text[at:])))
+
+    def plain(self, text: str) -> bytes:
+        """Ids of text between added tokens."""
         if _BLANKS.search(text):
             return self.whole(text)
         first, *rest = text.split(" ")
@@ -82,13 +96,15 @@ class Encoder:
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: A piece's number within its task: it deals equal rows apart.
+CUT = f"{PIECES}, nth long"
 
 
 def pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Rows (doc_id, piece, start, length, ids_crc32) of all documents."""
+    """Rows (doc_id, piece, start, length, ids_crc32, nth) of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(vocabulary)
+        encode, nth = Encoder(vocabulary), 0
         mark = np.array([end_id], np.uint32).tobytes()
         for batch in batches:
             rows = []
@@ -99,12 +115,13 @@ def pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
                 at = 0
                 for k in range(-(-size // capacity)):
                     n = first if k == 0 else capacity
-                    rows.append((doc, k, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)])))
+                    rows.append((doc, k, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)]), nth))
                     at += n
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 5, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                    nth += 1
+            kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 4)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 6, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "nth"])
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column)).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column)).mapInArrow(run, CUT)
 
 
 class Packing:
@@ -222,7 +239,7 @@ def evolve(sizes: list[int], seed: int, settlers: list[bytes] = (), capacity: in
 
 
 ELITE = "bunch long, island int, bins long, filling double, genome binary"
-_ITEM = ["length", "doc_id", "piece", "start", "ids_crc32"]
+_ITEM = ["length", "doc_id", "piece", "start", "ids_crc32", "nth"]
 
 
 def _ordered(part: pa.Table) -> pa.Table:
@@ -230,7 +247,7 @@ def _ordered(part: pa.Table) -> pa.Table:
 
 
 def pack_bunches(items: DataFrame, capacity: int = CAPACITY, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
-    """The rows of `items` (PIECES and bunch) with bin, place and filling; bins are numbered within their bunch."""
+    """The rows of `items` (CUT and bunch) with bin, place and filling; bins are numbered within their bunch."""
     spread = items.withColumn("island", F.explode(F.array(*[F.lit(k) for k in range(islands)])))
 
     def land(part: pa.Table, settlers: list[bytes], epoch: int) -> pa.Table:
@@ -246,7 +263,8 @@ def pack_bunches(items: DataFrame, capacity: int = CAPACITY, islands: int = ISLA
     for epoch in range(1, epochs):
         migrants = elites.select("bunch", "bins", "filling", "genome", F.explode(F.array(*[F.lit(k) for k in range(islands)])).alias("island"))
 
-        elites = materialize(spread.groupBy("bunch", "island").cogroup(migrants.groupBy("bunch", "island")).applyInArrow(settling(epoch), ELITE), "elites")
+        before, elites = elites, materialize(spread.groupBy("bunch", "island").cogroup(migrants.groupBy("bunch", "island")).applyInArrow(settling(epoch), ELITE), "elites")
+        release(before)
     best = elites.groupBy("bunch").agg(F.min_by("genome", F.struct("bins", "filling", "island")).alias("genome"))
 
     def place(part: pa.Table, winner: pa.Table) -> pa.Table:
@@ -259,10 +277,10 @@ def pack_bunches(items: DataFrame, capacity: int = CAPACITY, islands: int = ISLA
         place_ = np.empty(len(bins), np.int64)
         place_[order] = run - run[first][np.cumsum(first) - 1]
         filled = np.bincount(bins, length)[bins].astype(np.int64)
-        names = ["doc_id", "piece", "start", "length", "ids_crc32", "bunch"]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "nth", "bunch"]
         return pa.table([*(part.column(c) for c in names), pa.array(bins.astype(np.int64)), pa.array(place_), pa.array(filled)], [*names, "bin", "offset", "filled"])
 
-    return items.groupBy("bunch").cogroup(best.groupBy("bunch")).applyInArrow(place, f"{PIECES}, bunch long, bin long, offset long, filled long")
+    return items.groupBy("bunch").cogroup(best.groupBy("bunch")).applyInArrow(place, f"{CUT}, bunch long, bin long, offset long, filled long")
 
 
 def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, group: int = GROUP, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -272,18 +290,20 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
     def dealt(items: DataFrame, count: int, salt: int) -> DataFrame:
         bunches = max(1, -(-count // group))
-        return items.withColumn("bunch", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(salt)), F.lit(bunches)))
+        return items.withColumn("bunch", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "nth", F.lit(salt)), F.lit(bunches)))
 
     first = materialize(pack_bunches(dealt(part, part.count(), 1), capacity), "packed")
     # The bins that waste most go once more through groups of their own; at the bound of waste nothing is left to gain.
     bound = capacity - max(1, capacity // 64)
     done = first.filter(F.col("filled") >= bound)
-    loose = first.filter(F.col("filled") < bound).select("doc_id", "piece", "start", "length", "ids_crc32")
+    loose = first.filter(F.col("filled") < bound).select("doc_id", "piece", "start", "length", "ids_crc32", "nth")
     second = materialize(pack_bunches(dealt(loose, loose.count(), 2), capacity), "packed")
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     number = lambda k: (F.col("bunch") * 2 + k) * (1 << 24) + F.col("bin")
     full = cut.filter(F.col("length") >= capacity).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return full.union(done.select(*names, number(0).alias("sequence_id"), "offset")).union(second.select(*names, number(1).alias("sequence_id"), "offset"))
+    out = materialize(full.union(done.select(*names, number(0).alias("sequence_id"), "offset")).union(second.select(*names, number(1).alias("sequence_id"), "offset")), "sequences")
+    release(cut, first, second)
+    return out
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
