@@ -1,9 +1,11 @@
 """Media columns: MPEG transport streams that hold bytes losslessly.
 
-Each payload becomes one program: a program association table, a program map table, then one packetised
-elementary stream of access units of up to ``UNIT`` bytes. Each unit starts with a header that carries a
-presentation time stamp; every ``GOP``-th unit starts with a random-access point and a clock reference. Reading
-parses the two tables, checks every continuity counter and table checksum, and reassembles the units.
+Each payload becomes one program: one packetised elementary stream of access units of up to ``UNIT`` bytes, and the
+program association and program map tables, which stand at the start and again before every random-access point, so
+that a reader can enter there. Each unit starts with a header that carries a presentation time stamp; every
+``GOP``-th unit starts with a random-access point and a clock reference. Reading parses the tables, checks every
+continuity counter and table checksum, and reassembles the units. The query writes the streams as a media column,
+beside the time stamps and random-access points, and reads them back from there.
 
 Defined results: null and empty payloads give a stream of the tables alone, without units; equal payloads give
 equal streams; a stream that is damaged raises ValueError.
@@ -20,7 +22,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from driftmerge.llm.common import table
+from driftmerge.llm.common import materialize, release, table
 
 PACKET, SYNC = 188, 0x47
 PID_PAT, PID_PMT, PID_DATA = 0, 0x100, 0x101
@@ -44,11 +46,13 @@ def _section(table_id: int, ident: int, body: bytes) -> bytes:
     return head + struct.pack(">I", section_crc(head))
 
 
-def _table_packet(pid: int, section: bytes) -> bytes:
-    return (struct.pack(">BHBB", SYNC, 0x4000 | pid, 0x10, 0) + section).ljust(PACKET, b"\xff")
+def _table_packet(pid: int, counter: int, section: bytes) -> bytes:
+    return (struct.pack(">BHBB", SYNC, 0x4000 | pid, 0x10 | counter, 0) + section).ljust(PACKET, b"\xff")
 
 
-TABLES = _table_packet(PID_PAT, _section(0, 1, struct.pack(">HH", 1, 0xE000 | PID_PMT))) + _table_packet(PID_PMT, _section(2, 1, struct.pack(">HHBHH", 0xE000 | PID_DATA, 0xF000, STREAM_TYPE, 0xE000 | PID_DATA, 0xF000)))
+_PAT, _PMT = _section(0, 1, struct.pack(">HH", 1, 0xE000 | PID_PMT)), _section(2, 1, struct.pack(">HHBHH", 0xE000 | PID_DATA, 0xF000, STREAM_TYPE, 0xE000 | PID_DATA, 0xF000))
+#: Both tables, for each value of their continuity counters.
+TABLES = [_table_packet(PID_PAT, k, _PAT) + _table_packet(PID_PMT, k, _PMT) for k in range(16)]
 
 
 def _stamp(pts: int) -> bytes:
@@ -57,12 +61,14 @@ def _stamp(pts: int) -> bytes:
 
 def mux(payload: bytes) -> bytes:
     """The transport stream of one payload."""
-    parts, counter = [TABLES], 0
+    parts, counter = [] if payload else [TABLES[0]], 0
     for number, at in enumerate(range(0, len(payload), UNIT)):
         pts = number * TICKS
         unit = payload[at : at + UNIT]
         pes = b"\x00\x00\x01" + struct.pack(">BHBBB", STREAM_ID, len(unit) + 8, 0x84, 0x80, 5) + _stamp(pts) + unit
         here, size, random = 0, len(pes), number % GOP == 0
+        if random:
+            parts.append(TABLES[number // GOP & 15])
         while here < size:
             first = here == 0
             field_ = b""
@@ -89,7 +95,7 @@ def mux(payload: bytes) -> bytes:
 
 @dataclass
 class Parsed:
-    """What a stream holds: the payload, the units' time stamps and the byte offsets of the random-access points."""
+    """What a stream holds: the payload, the units' time stamps and the byte offsets of the random-access points' tables."""
 
     payload: bytes = b""
     stamps: list[int] = field(default_factory=list)
@@ -110,6 +116,7 @@ _TABLE_CACHE: dict[bytes, bytes] = {}
 
 
 def _section_of(packet: bytes, what: str) -> bytes:
+    """A packet's table; equal packets are checked once."""
     if packet not in _TABLE_CACHE:
         if len(_TABLE_CACHE) > 64:
             _TABLE_CACHE.clear()
@@ -123,7 +130,8 @@ def demux(stream: bytes) -> Parsed:
         raise ValueError("the stream isn't whole packets")
     out, units = Parsed(packets=len(stream) // PACKET), []
     map_pid = data_pid = -1
-    expected, unit, want = -1, [], 0
+    expected: dict[int, int] = {}
+    unit, want, tables = [], 0, 0
 
     def close() -> None:
         nonlocal unit
@@ -138,18 +146,17 @@ def demux(stream: bytes) -> Parsed:
         sync, word, flags = struct.unpack_from(">BHB", stream, at)
         if sync != SYNC:
             raise ValueError("lost synchronisation")
-        pid = word & 0x1FFF
+        pid, counter = word & 0x1FFF, flags & 15
+        if expected.get(pid, counter) != counter:
+            raise ValueError("continuity counter")
+        expected[pid] = counter + 1 & 15
         if pid == data_pid:
             body = at + 4
             if flags & 0x20:
                 length = stream[body]
                 if length and stream[body + 1] & 0x40:
-                    out.access.append(at)
+                    out.access.append(tables)
                 body += length + 1
-            counter = flags & 15
-            if expected not in (-1, counter):
-                raise ValueError("continuity counter")
-            expected = counter + 1 & 15
             if word & 0x4000:
                 close()
                 if stream[body : body + 4] != b"\x00\x00\x01\xbd":
@@ -160,6 +167,7 @@ def demux(stream: bytes) -> Parsed:
                 body += 9 + stream[body + 8]
             unit.append(stream[body : at + PACKET])
         elif pid == PID_PAT:
+            tables = at
             map_pid = struct.unpack_from(">H", _section_of(stream[at : at + PACKET], "program association table"), 10)[0] & 0x1FFF
         elif pid == map_pid:
             data_pid = struct.unpack_from(">H", _section_of(stream[at : at + PACKET], "program map table"), 13)[0] & 0x1FFF
@@ -170,8 +178,16 @@ def demux(stream: bytes) -> Parsed:
     return out
 
 
+def entered(stream: bytes, access: int) -> Parsed:
+    """What follows a random-access point, read without anything before it."""
+    return demux(stream[access:])
+
+
 def encode_column(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", multiple: int = 192) -> DataFrame:
-    """Rows (id, n_bytes, media): the UTF-8 text, filled up with blanks to a positive multiple, as a transport stream."""
+    """Rows (id, n_bytes, media, stamps, access): the UTF-8 text, filled up with blanks to a positive multiple, as a stream.
+
+    stamps are the units' time stamps, access the byte offsets at which a reader may enter.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,10 +195,12 @@ def encode_column(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 part = batch.slice(lo, 256)
                 plain = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in part.column(1)]
                 media = [mux(x.ljust(max(1, -(-len(x) // multiple)) * multiple)) for x in plain]
-                yield pa.record_batch([part.column(0), pa.array(map(len, plain), pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
+                read = [demux(x) for x in media]  # what is stored is what can be read
+                lists = [pa.array(x, pa.list_(pa.int64())) for x in ([r.stamps for r in read], [r.access for r in read])]
+                yield pa.record_batch([part.column(0), pa.array(map(len, plain), pa.int64()), pa.array(media, pa.binary()), *lists], ["id", "n_bytes", "media", "stamps", "access"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(docs[id_column], docs[text_column]).mapInArrow(run, f"id {kind}, n_bytes long, media binary")
+    return docs.select(docs[id_column], docs[text_column]).mapInArrow(run, f"id {kind}, n_bytes long, media binary, stamps array<long>, access array<long>")
 
 
 def features(media: DataFrame) -> DataFrame:
@@ -202,8 +220,11 @@ def features(media: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     kind = media.schema["id"].dataType.simpleString()
-    return media.mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("id", "n_bytes", "media").mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(encode_column(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+    stored = materialize(encode_column(table(spark, sf_dir, "documents")), "media")
+    out = materialize(features(stored).withColumnRenamed("id", "doc_id"), "features")
+    release(stored)
+    return out

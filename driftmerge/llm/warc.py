@@ -1,9 +1,12 @@
 """WARC bundles: records in independent Zstandard frames, with a seek table as the last, skippable frame.
 
-Writing: records are dealt by a hash of their id into bundles of a bounded size. Each record is one frame, so that a
-reader who knows a frame's place needs to decompress nothing else. The footer is the seekable format's table
-(frame sizes, both compressed and plain), and an index maps record ids to frame numbers and frame-relative offsets.
-Bundles are rows of a Parquet table: a store that only Spark can reach is enough, and a lost task writes again.
+Writing: records are gathered as they come into bundles of a bounded size, and within a bundle into frames of about
+``FRAME_BYTES`` of plain text; a larger record has a frame of its own. A frame is compressed by itself, so a reader
+who wants one record decompresses its frame and nothing else, and records of a frame share what they have in common.
+The footer is the seekable format's table (frame sizes, both compressed and plain). The index maps each record's id to
+its frame, its offset within the frame's plain bytes and its length. Bundles are rows of a Parquet table: a store that
+only Spark can reach is enough, and a lost task writes again. ``record_index`` reads the columns of the index alone,
+and ``fetch_records`` opens only the bundles, and in them only the frames, that hold the wanted ids.
 
 Duplicates: of the records with equal payloads the one with the smallest id is a ``response``; all others are
 ``revisit`` records that refer to it and carry no payload.
@@ -18,7 +21,7 @@ import base64
 import hashlib
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from uuid import NAMESPACE_URL, uuid5
 
 import pyarrow as pa
@@ -26,11 +29,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmerge.llm.common import materialize, table
+from driftmerge.llm.common import materialize, release, table
 
-BUNDLE_BYTES = 4 << 20
+BUNDLE_BYTES, FRAME_BYTES = 4 << 20, 128 << 10
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
-BUNDLES = "bundle_id string, ids array<string>, frames array<int>, offsets array<long>, data binary"
+BUNDLES = "bundle_id string, ids array<string>, frames array<int>, offsets array<long>, lengths array<long>, data binary"
 
 
 def record_id(ident: object) -> str:
@@ -74,13 +77,26 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def bundle(records: list[bytes], level: int = 3) -> bytes:
-    """Frames, then the seek table: a skippable frame whose last nine bytes say how to read it."""
+def bundle(records: list[bytes], frame_bytes: int = FRAME_BYTES, level: int = 3) -> tuple[bytes, list[tuple[int, int, int]]]:
+    """A bundle's bytes and, for each record, its frame, its offset there and its length.
+
+    Frames come first, then the seek table: a skippable frame whose last nine bytes say how to read it.
+    """
     press = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
-    frames = [press.compress(x) for x in records]
-    entries = b"".join(struct.pack("<II", len(f), len(x)) for f, x in zip(frames, records, strict=True))
+    plain: list[list[bytes]] = []
+    held, places = 0, []
+    for x in records:
+        if not plain or held and held + len(x) > frame_bytes:
+            plain.append([])
+            held = 0
+        places.append((len(plain) - 1, held, len(x)))
+        plain[-1].append(x)
+        held += len(x)
+    whole = [b"".join(x) for x in plain]
+    frames = [press.compress(x) for x in whole]
+    entries = b"".join(struct.pack("<II", len(f), len(x)) for f, x in zip(frames, whole, strict=True))
     body = entries + struct.pack("<IBI", len(frames), 0, SEEKABLE)
-    return b"".join(frames) + struct.pack("<II", SKIPPABLE, len(body)) + body
+    return b"".join(frames) + struct.pack("<II", SKIPPABLE, len(body)) + body, places
 
 
 def seek_table(data: bytes) -> list[tuple[int, int, int]]:
@@ -98,19 +114,19 @@ def seek_table(data: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
-def fetch(data: bytes, frame: int, offset: int = 0) -> bytes:
-    """A frame's plain bytes from `offset` on, without touching the other frames."""
+def fetch(data: bytes, frame: int, offset: int = 0, length: int | None = None) -> bytes:
+    """Plain bytes of a frame from `offset` on, without touching the other frames."""
     at, packed, plain = seek_table(data)[frame]
-    out = zstandard.ZstdDecompressor().decompress(data[at : at + packed])
-    if len(out) != plain:
+    out = zstandard.ZstdDecompressor().decompress(memoryview(data)[at : at + packed])
+    if len(out) != plain or length is not None and offset + length > plain:
         raise ValueError("plain size of a frame")
-    return out[offset:]
+    return out[offset : None if length is None else offset + length]
 
 
 def first_of_equal(pages: DataFrame, id_column: str, least: int = 0) -> DataFrame:
     """Adds refers_to: the smallest id with the same payload, null where that is the row itself or the payload is short.
 
-    Payloads are told apart by SHA-256 and length. Both sides of the join are aggregated or narrow; a payload that a
+    Payloads are told apart by SHA-256. Both sides of the join are aggregated or narrow; a payload that a
     third of all pages share meets one row of the aggregate, and adaptive skew handling splits the other side.
     """
     key = F.sha2(F.col("payload"), 256)
@@ -119,7 +135,7 @@ def first_of_equal(pages: DataFrame, id_column: str, least: int = 0) -> DataFram
     return keyed.join(first, "_key", "left").withColumn("refers_to", F.when(F.col("_first") != F.col(id_column), F.col("_first"))).drop("_key", "_first")
 
 
-def write_bundles(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", text_column: str | Column = "html", least: int = 0, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
+def write_bundles(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", text_column: str | Column = "html", least: int = 0, bundle_bytes: int = BUNDLE_BYTES, frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Bundles of all rows; a row closes the bundle that it fills."""
     body = F.coalesce(F.col(text_column) if isinstance(text_column, str) else text_column, F.lit("")).cast("binary")
     plain = first_of_equal(pages.select(F.col(id_column).alias("ident"), F.coalesce(F.col(url_column), F.lit("")).alias("url"), body.alias("payload")), "ident", least)
@@ -130,10 +146,10 @@ def write_bundles(pages: DataFrame, id_column: str = "page_id", url_column: str
         held = 0
 
         def close() -> pa.RecordBatch:
-            data = bundle(records)
+            data, places = bundle(records, frame_bytes)
             name = hashlib.sha256(data).hexdigest()[:32]
-            n = len(ids)
-            return pa.record_batch([pa.array([name]), pa.array([ids]), pa.array([list(range(n))], pa.list_(pa.int32())), pa.array([[0] * n], pa.list_(pa.int64())), pa.array([data], pa.binary())], ["bundle_id", "ids", "frames", "offsets", "data"])
+            kinds = (pa.int32(), pa.int64(), pa.int64())
+            return pa.record_batch([pa.array([name]), pa.array([ids]), *(pa.array([list(c)], pa.list_(t)) for c, t in zip(zip(*places, strict=True), kinds, strict=True)), pa.array([data], pa.binary())], ["bundle_id", "ids", "frames", "offsets", "lengths", "data"])
 
         for batch in batches:
             for ident, url, payload, refers in zip(*(batch.column(k) for k in ("ident", "url", "payload", "refers_to")), strict=True):
@@ -150,33 +166,66 @@ def write_bundles(pages: DataFrame, id_column: str = "page_id", url_column: str
     return plain.select("ident", "url", "payload", "refers_to").mapInArrow(run, BUNDLES)
 
 
+RECORDS = "ident string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, payload binary"
+
+
+def _read(data: bytes, wanted: Iterable[tuple[str, int, int, int]]) -> pa.RecordBatch:
+    """The wanted (id, frame, offset, length) of one bundle; each of their frames is decompressed once, the others never."""
+    places, view, unpack = seek_table(data), memoryview(data), zstandard.ZstdDecompressor()
+    out, open_, text = [], -1, b""
+    for ident, frame, offset, length in sorted(wanted, key=lambda x: x[1:3]):
+        if frame != open_:
+            at, packed, plain = places[frame]
+            open_, text = frame, unpack.decompress(view[at : at + packed])
+            if len(text) != plain:
+                raise ValueError("plain size of a frame")
+        if offset + length > len(text):
+            raise ValueError("a record that ends beyond its frame")
+        fields, payload = parse(text[offset : offset + length])
+        if fields["X-Page"] != ident:
+            raise ValueError("the index names another record")
+        out.append((ident, int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], fields.get("X-Refers-To"), fields["WARC-Target-URI"], payload))
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary())
+    return pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 7, kinds, strict=True)], ["ident", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"])
+
+
 def read_bundles(bundles: DataFrame) -> DataFrame:
-    """A row of every record, found through the index and the seek table and read from its own frame."""
+    """A row of every record, found through the index and the seek table and read from its frame."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for row in range(len(batch)):
-                ids, frames, offsets, data = (batch.column(k)[row].as_py() for k in ("ids", "frames", "offsets", "data"))
-                places, view, out = seek_table(data), memoryview(data), []
-                for ident, frame, offset in zip(ids, frames, offsets, strict=True):
-                    at, packed, plain = places[frame]
-                    text = unpack.decompress(view[at : at + packed])
-                    if len(text) != plain:
-                        raise ValueError("plain size of a frame")
-                    fields, payload = parse(text[offset:])
-                    if fields["X-Page"] != ident:
-                        raise ValueError("the index names another record")
-                    out.append((fields["X-Page"], int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], fields.get("X-Refers-To"), fields["WARC-Target-URI"], payload))
-                kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary())
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["ident", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"])
-
-    return bundles.select("ids", "frames", "offsets", "data").mapInArrow(run, "ident string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, payload binary")
+                ids, frames, offsets, lengths, data = (batch.column(k)[row].as_py() for k in ("ids", "frames", "offsets", "lengths", "data"))
+                yield _read(data, zip(ids, frames, offsets, lengths, strict=True))
+
+    return bundles.select("ids", "frames", "offsets", "lengths", "data").mapInArrow(run, RECORDS)
+
+
+def record_index(bundles: DataFrame) -> DataFrame:
+    """Rows (ident, bundle_id, frame, offset, length) of all records; of stored bundles only these columns are read."""
+    zipped = F.explode(F.arrays_zip("ids", "frames", "offsets", "lengths"))
+    return bundles.select("bundle_id", zipped.alias("x")).select(F.col("x.ids").alias("ident"), "bundle_id", F.col("x.frames").alias("frame"), F.col("x.offsets").alias("offset"), F.col("x.lengths").alias("length"))
+
+
+def fetch_records(bundles: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The records whose ids stand in `wanted` (ident); a bundle's other frames stay compressed."""
+    found = record_index(bundles).join(wanted.select(F.col("ident").cast("string").alias("ident")).distinct(), "ident", "left_semi")
+    places = found.groupBy("bundle_id").agg(F.collect_list(F.struct("ident", "frame", "offset", "length")).alias("places"))  # a bundle's own records at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for places_, data in zip(batch.column(0), batch.column(1), strict=True):
+                yield _read(data.as_py(), [tuple(x.values()) for x in places_.as_py()])
+
+    return bundles.select("bundle_id", "data").join(places, "bundle_id").select("places", "data").mapInArrow(run, RECORDS)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = materialize(write_bundles(table(spark, sf_dir, "pages")), "warc")
-    return read_bundles(archives).select(F.col("ident").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+    out = read_bundles(archives).select(F.col("ident").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+    out = materialize(out, "records")
+    release(archives)
+    return out
 
 
 #: Base 32 from the hexadecimal digest: 40 digits are 160 bits, five bits a letter.

@@ -17,6 +17,32 @@ def test_transport_stream_round_trip(size):
     got = transport.demux(stream)
     assert got.payload == data and len(stream) % 188 == 0 and len(got.stamps) == -(-size // transport.UNIT)
     assert len(got.access) == -(-len(got.stamps) // transport.GOP)
+    for k, at in enumerate(got.access):  # each can be entered on its own
+        rest = transport.entered(stream, at)
+        first = k * transport.GOP
+        assert rest.payload == data[first * transport.UNIT :] and rest.stamps == got.stamps[first:]
+
+
+def test_streams_are_what_the_format_says():
+    """Read by a plain reader of its own: fixed fields only, one packet after another."""
+    data = random.Random(1).randbytes(100_000)
+    stream, body, stamps, counters = transport.mux(data), b"", [], {}
+    for at in range(0, len(stream), 188):
+        p = stream[at : at + 188]
+        pid, start, control, counter = (p[1] & 31) << 8 | p[2], p[1] >> 6 & 1, p[3] >> 4 & 3, p[3] & 15
+        assert p[0] == 0x47 and counters.get(pid, counter) == counter
+        counters[pid] = (counter + 1) % 16
+        if pid != 0x101:
+            assert pid in (0, 0x100) and start and p[5] == (0 if pid == 0 else 2)
+            continue
+        own = p[4 + (p[4] + 1 if control & 2 else 0) :]
+        if start:
+            assert own[:4] == bytes([0, 0, 1, 0xBD]) and own[7] >> 6 == 2
+            t = own[9:14]
+            stamps.append((t[0] >> 1 & 7) << 30 | t[1] << 22 | t[2] >> 1 << 15 | t[3] << 7 | t[4] >> 1)
+            own = own[9 + own[8] :]
+        body += own
+    assert body == data and stamps == [k * transport.TICKS for k in range(len(stamps))]
 
 
 def test_damaged_streams_are_refused():
@@ -45,17 +71,37 @@ def test_media_odd_rows(odd, none):
 
 def test_seek_table_finds_single_frames():
     records = [bytes([k]) * (k * 100) for k in range(1, 9)]
-    data = warc.bundle(records)
-    assert [warc.fetch(data, k) for k in range(8)] == records
-    assert warc.fetch(data, 3, 10) == records[3][10:]
+    data, places = warc.bundle(records, 1000)
+    assert [warc.fetch(data, *p) for p in places] == records
+    assert [p[:2] for p in places] == [(0, 0), (0, 100), (0, 300), (0, 600), (1, 0), (2, 0), (3, 0), (4, 0)]
+    assert warc.fetch(data, 0, 300) == b"".join(records[2:4]) and len(warc.seek_table(data)) == 5
     with pytest.raises(ValueError):
         warc.seek_table(data[:-1])
+    with pytest.raises(ValueError):
+        warc.fetch(data, 1, 400, 101)
+    # A broken frame doesn't matter to those who read another.
+    at, packed, _ = warc.seek_table(data)[1]
+    broken = data[: at + 4] + bytes(packed - 4) + data[at + packed :]
+    assert warc.fetch(broken, *places[0]) == records[0]
+
+
+def test_records_are_fetched_by_id(spark, tmp_path):
+    pages = [(k, f"http://h/{k}", f"page {k} " * (k % 50)) for k in range(400)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    warc.write_bundles(df, bundle_bytes=20_000, frame_bytes=2_000).write.parquet(f"{tmp_path}/b")
+    bundles = spark.read.parquet(f"{tmp_path}/b")
+    index = warc.record_index(bundles)
+    assert "data" not in index._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+    assert index.count() == 400 and index.filter("offset > 0").count() > 100 and index.select("bundle_id").distinct().count() > 5
+    wanted = spark.createDataFrame([(7,), (123,), (7,), (9999,)], "ident long")
+    got = {r.ident: bytes(r.payload).decode() for r in warc.fetch_records(bundles, wanted).collect()}
+    assert got == {"7": pages[7][2], "123": pages[123][2]}
 
 
 def test_warc_round_trip_and_revisits(spark):
     pages = [(3, "http://a/é b", "same"), (1, None, "same"), (2, "http://c", None), (9, "http://d", ""), (4, "http://e", "x" * 100_000), (5, "http://f", "same"), (4, "http://e", "x" * 100_000)]
     df = spark.createDataFrame([(*p, "u", b"p") for p in pages], "page_id long, url string, html string, ident string, payload binary")
-    rows = sorted((int(r.ident), r.record_type, r.refers_to, r.payload_bytes, bytes(r.payload)) for r in warc.read_bundles(warc.write_bundles(df, bundle_bytes=1000)).collect())
+    rows = sorted((int(r.ident), r.record_type, r.refers_to, r.payload_bytes, bytes(r.payload)) for r in warc.read_bundles(warc.write_bundles(df, bundle_bytes=1000, frame_bytes=500)).collect())
     assert [x[:3] for x in rows] == [(1, "response", None), (2, "response", None), (3, "revisit", "1"), (4, "response", None), (4, "response", None), (5, "revisit", "1"), (9, "revisit", "2")]
     assert rows[3][4] == b"x" * 100_000 and rows[2][3] == 4 and rows[2][4] == b""
     assert warc.read_bundles(warc.write_bundles(df.limit(0))).count() == 0
