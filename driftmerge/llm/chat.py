@@ -7,11 +7,16 @@ attributes of mappings (``message.role``), string and number literals, ``+``, ``
 attributes of Python objects, no loops without end. A template is parsed to a syntax tree, constants are folded,
 and the tree becomes closures that write to an output which also records where generated text lies.
 
+A template sees a whole conversation: ``messages`` are its turns in order, ``first`` is the first of them. In a loop,
+``loop.first``, ``loop.last``, ``loop.index``, ``loop.previous`` and ``loop.next`` say where it stands. Messages are
+read as the loop goes on and what is written leaves after each turn, so a conversation of any length is never held
+whole; a template can therefore go over ``messages`` once.
+
 Escaping is reversible: in texts a backslash becomes two, and a backslash and ``-`` go into each control string after its first
 character. So the marks of turns cannot occur in a text, and reading back is exact for every text.
 
-A conversation is a sequence of turns in the order of (turn, role, text). Rows are dealt by conversation and sorted;
-a task holds one turn at a time, so a conversation of any length passes. Null texts and roles are empty; a
+A conversation is a sequence of turns in the order of (turn, role, text). Rows are dealt by conversation and sorted.
+Null texts and roles are empty; rows without a conversation id are one conversation together, without an id; a
 conversation without rows does not exist; repeated rows are turns of their own.
 """
 
@@ -20,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain, groupby
 from typing import Any
 
 import pyarrow as pa
@@ -56,17 +62,22 @@ class TemplateError(ValueError):
 
 
 class Output:
-    """Written text; spans are the places of generated text."""
+    """Written text; spans are the places of generated text, counted from the beginning of all that was written."""
 
     def __init__(self) -> None:
         self.parts: list[str] = []
-        self.size = 0
+        self.size = self.open = 0
         self.spans: list[tuple[int, int]] = []
 
     def write(self, text: str) -> None:
         self.parts.append(text)
         self.size += len(text)
 
+    def take(self) -> tuple[str, list[tuple[int, int]]]:
+        out = "".join(self.parts), self.spans
+        self.parts, self.spans = [], []
+        return out
+
 
 # Syntax trees are tuples: a kind, then its parts.
 
@@ -278,54 +289,82 @@ def _add(a: Any, b: Any) -> Any:
     return a + b if isinstance(a, int) and isinstance(b, int) else _shown(a) + _shown(b)
 
 
-def _writer(node: tuple) -> Callable[[dict, Output], None]:
+def _writer(node: tuple) -> Callable[[dict, Output], Iterator[None]]:
+    """A closure that writes as it is iterated; it stops after each turn of a loop, where output may be taken."""
     kind = node[0]
-    if kind == "text":
-        return lambda env, out, t=node[1]: out.write(t)
-    if kind == "print":
-        value = _expression(node[1])
-        return lambda env, out: out.write(_shown(value(env)))
+    if kind in ("text", "print"):
+        value = (lambda env, t=node[1]: t) if kind == "text" else _expression(node[1])
+
+        def write(env: dict, out: Output) -> Iterator[None]:
+            out.write(_shown(value(env)))
+            return iter(())
+
+        return write
     if kind == "if":
         test, yes, no = _expression(node[1]), _writer(node[2]), _writer(node[3])
         return lambda env, out: yes(env, out) if test(env) else no(env, out)
     if kind == "for":
         many, body = _expression(node[2]), _writer(node[3])
 
-        def loop(env: dict, out: Output, name: str = node[1]) -> None:
-            inner = dict(env)
-            for x in many(env) or ():
-                inner[name] = x
-                body(inner, out)
+        def loop(env: dict, out: Output, name: str = node[1]) -> Iterator[None]:
+            inner, source, none = dict(env), iter(many(env) or ()), object()
+            before, now, index = None, next(source, none), 1
+            while now is not none:
+                after = next(source, none)
+                last = after is none
+                inner[name] = now
+                inner["loop"] = {"first": index == 1, "last": last, "index": index, "previous": before, "next": None if last else after}
+                yield from body(inner, out)
+                yield
+                before, now, index = now, after, index + 1
 
         return loop
     if kind == "generation":
         body = _writer(node[1])
 
-        def generation(env: dict, out: Output) -> None:
+        def generation(env: dict, out: Output) -> Iterator[None]:
             start = out.size
-            body(env, out)
+            out.open += 1
+            yield from body(env, out)
+            out.open -= 1
             out.spans.append((start, out.size))
 
         return generation
     parts = [_writer(x) for x in node[1]]
 
-    def block(env: dict, out: Output) -> None:
+    def block(env: dict, out: Output) -> Iterator[None]:
         for part in parts:
-            part(env, out)
+            yield from part(env, out)
 
     return block
 
 
-def compile_template(source: str) -> Callable[[dict], tuple[str, list[tuple[int, int]]]]:
-    """A function from variables to (text, spans of generated text)."""
-    write = _writer(fold(parse(source)))
+class Template:
+    """A compiled template."""
+
+    def __init__(self, source: str) -> None:
+        self.write = _writer(fold(parse(source)))
 
-    def render(variables: dict) -> tuple[str, list[tuple[int, int]]]:
+    def stream(self, variables: dict) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+        """(text, spans of generated text) as it is written, after each turn of a loop; generated text is never cut."""
         out = Output()
-        write(variables, out)
-        return "".join(out.parts), out.spans
+        for _ in self.write(variables, out):
+            if out.parts and not out.open:
+                yield out.take()
+        if out.parts:
+            yield out.take()
+
+    def __call__(self, variables: dict) -> tuple[str, list[tuple[int, int]]]:
+        """The whole text and spans."""
+        out = Output()
+        for _ in self.write(variables, out):
+            pass
+        return out.take()
+
 
-    return render
+def compile_template(source: str) -> Template:
+    """A function from variables to (text, spans of generated text)."""
+    return Template(source)
 
 
 def read_turns(text: str) -> list[tuple[str, str]]:
@@ -343,26 +382,56 @@ def read_turns(text: str) -> list[tuple[str, str]]:
     return out
 
 
+#: Rows and characters of an output batch.
+BATCH_ROWS, BATCH_CHARS = 4096, 1 << 22
+
+
 def format_turns(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
-    """A row per turn (conv_id, turn, formatted, spans), in the order of a conversation within each task.
+    """Rows (conv_id, part, at, formatted, spans): a conversation's text in parts, a turn each if the template loops over turns.
 
-    The template runs once per turn with ``messages`` holding that turn, so no conversation is ever held whole.
+    `at` is where a part begins; it and the spans of generated text are counted from the conversation's beginning.
+    Parts of a conversation are neighbours, in order.
     """
     roles = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        render = compile_template(template)
-        for batch in batches:
-            done = [render({"messages": [{"role": r, "text": t}]}) for r, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            spans = pa.array([[{"start": a, "end": b} for a, b in s] for _, s in done], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([x for x, _ in done], pa.string()), spans], ["conv_id", "turn", "formatted", "spans"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in conversations.schema}
-    return roles.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, formatted string, spans array<struct<start:int,end:int>>")
+        render, kind = compile_template(template), None
+
+        def rows() -> Iterator[tuple]:
+            nonlocal kind
+            for batch in batches:
+                kind = batch.column(0).type
+                yield from zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True)
+
+        def parts() -> Iterator[tuple]:
+            for conv, own in groupby(rows(), key=lambda r: r[0]):
+                messages = ({"role": role, "text": text} for _, role, text in own)
+                first = next(messages)
+                at = 0
+                for part, (text, spans) in enumerate(render.stream({"messages": chain([first], messages), "first": first})):
+                    yield conv, part, at, text, [{"start": a, "end": b} for a, b in spans]
+                    at += len(text)
+
+        def packed(held: list[tuple]) -> pa.RecordBatch:
+            kinds = (kind, pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], ["conv_id", "part", "at", "formatted", "spans"])
+
+        held, chars = [], 0
+        for row in parts():
+            held.append(row)
+            chars += len(row[3])
+            if len(held) >= BATCH_ROWS or chars >= BATCH_CHARS:
+                yield packed(held)
+                held, chars = [], 0
+        if held:
+            yield packed(held)
+
+    kind = conversations.schema["conv_id"].dataType.simpleString()
+    return roles.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, f"conv_id {kind}, part long, at long, formatted string, spans array<struct<start:long,end:long>>")
 
 
 def digest_turns(formatted: DataFrame) -> DataFrame:
-    """Reads formatted turns back and digests each conversation; rows of a conversation must be neighbours."""
+    """Reads formatted turns back and digests each conversation; its parts must be neighbours, and whole turns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
@@ -375,7 +444,7 @@ def digest_turns(formatted: DataFrame) -> DataFrame:
 
         for batch in batches:
             done, kind = [], batch.column(0).type
-            for conv, text, spans in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for conv, at, text, spans in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "at", "formatted", "spans")), strict=True):
                 if not state or conv != key:
                     if state:
                         done.append(close())
@@ -384,7 +453,7 @@ def digest_turns(formatted: DataFrame) -> DataFrame:
                     state[0] += 1
                     state[1].update(f"{role}\n{body}\n".encode())
                 for span in spans:
-                    lost = unescape(text[span["start"] : span["end"]])
+                    lost = unescape(text[span["start"] - at : span["end"] - at])
                     state[2] += len(lost)
                     state[3].update(lost.encode())
                 state[4] += len(text)

@@ -134,6 +134,34 @@ def test_template_language():
     assert render("{{ x.__class__ }}", x="text") == "" and render("{{ gone.a }}") == ""
 
 
+def test_templates_see_whole_conversations(spark):
+    source = "{% if first.role == 'system' %}[{{ first.text }}]{% endif %}{% for m in messages %}{% if loop.first %}<{% endif %}{% if m.role == loop.previous.role %}+{% endif %}{{ m.text }}{% if m.role == 'assistant' %}{% generation %}{{ m.role }}{% if loop.next %}!{% endif %}{% endgeneration %}{% endif %}{% if loop.last %}> of {{ loop.index }}{% else %}, {% endif %}{% endfor %}."
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "a"), (1, 2, "assistant", "b"), (1, 3, "assistant", "c"), (2, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {}
+    for r in chat.format_turns(df, source).orderBy("conv_id", "part").collect():
+        text, spans = got.setdefault(r.conv_id, ["", []])
+        assert r.at == len(text) and r.part < 5
+        got[r.conv_id] = [text + r.formatted, [*spans, *((x.start, x.end) for x in r.spans)]]
+    assert got[1][0] == "[s]<s, a, bassistant!, +cassistant> of 4." and got[2] == ["<x> of 1.", []]
+    assert [got[1][0][a:b] for a, b in got[1][1]] == ["assistant!", "assistant"]
+    whole = chat.compile_template(source)({"messages": [{"role": r, "text": t} for _, _, r, t in rows[:4]], "first": {"role": "system", "text": "s"}})
+    assert list(whole) == got[1]
+
+
+def test_messages_are_read_as_the_output_is_taken():
+    read = []
+
+    def messages():
+        for k in range(1000):
+            read.append(k)
+            yield {"role": "user", "text": str(k)}
+
+    parts = chat.compile_template(chat.TEMPLATE).stream({"messages": messages()})
+    assert next(parts)[0].startswith("### user: 0") and len(read) == 2  # one ahead, for loop.last
+    assert sum(1 for _ in parts) == 999
+
+
 def test_chat_odd_rows(spark):
     rows = [(1, 1, "assistant", None), (1, 0, None, "### x"), (None, 0, "user", "alone"), (2, 0, "assistant", "a" * 300_000), (2, 0, "assistant", "a" * 300_000)]
     df = spark.createDataFrame([(*r, 5) for r in rows], "conv_id long, turn long, role string, text string, spans int")
