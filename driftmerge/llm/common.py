@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Words [^\x20\x09-\x0D]+ are what bytes.split() gives: it cuts at the same six bytes. bytes.lower() changes A-Z alone.
 PRIME = np.uint64(0x9E3779B97F4A7C15)
+#: PRIME's inverse modulo 2**64.
+INVERSE = np.uint64(pow(int(PRIME), -1, 1 << 64))
 SLICE_BYTES = 1 << 20
 
 
@@ -77,10 +79,10 @@ def slices(offs: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         i = min(j, n)
 
 
-def powers(n: int) -> np.ndarray:
-    """PRIME**i modulo 2**64 for i below n."""
+def powers(n: int, base: np.uint64 = PRIME) -> np.ndarray:
+    """base**i modulo 2**64 for i below n."""
     with np.errstate(over="ignore"):
-        return np.cumprod(np.r_[np.uint64(1), np.full(n - 1, PRIME, np.uint64)], dtype=np.uint64)
+        return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]), dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

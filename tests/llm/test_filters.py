@@ -91,6 +91,10 @@ def test_tiles_equal_brute_force():
         doc, item = (np.array([rng.randint(1, 4) for _ in range(rng.randint(3, 40))]) for _ in range(2))
         got, want = tiling.tiles(doc, item, 3), slow_tiles(doc, item, 3)
         assert got == want
+    for width in (1, 2, 5):
+        ids = np.array([1, 2, 3, 1, 2, 3, 1, 2, 4])
+        keys = tiling._runs(ids, width).tolist()
+        assert [keys.index(k) for k in keys] == [next(j for j in range(i + 1) if (ids[j : j + width] == ids[i : i + width]).all()) for i in range(len(keys))]
 
 
 def test_contaminated_documents(spark, odd, none):
@@ -101,8 +105,17 @@ def test_contaminated_documents(spark, odd, none):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {(r.doc_id, r.item_id, r.tiles) for r in tiling.contaminated(df, bench).collect()}
     assert got == {(1, 7, 1), (2, 7, 3)}  # q10 to q29 stand together
-    assert {(r.doc_id, r.item_id) for r in tiling.contaminated(df, bench, part_bytes=10).collect()} == {(1, 7), (2, 7)}
     assert sorted(r.doc_id for r in tiling.clean(df, bench).collect()) == [3, 4, 5, 6]
+    # Beyond the size that is broadcast: the same rows by joins.
+    whole, joined = (sorted(map(tuple, tiling.contaminated(df.union(df), bench, broadcast_bytes=n).collect())) for n in (1 << 20, 0))
+    assert whole == joined and len(joined) == 4
+    assert sorted(r.doc_id for r in tiling.clean(df, bench, broadcast_bytes=0).collect()) == [3, 4, 5, 6]
+    assert tiling.contaminated(none, bench, broadcast_bytes=0).count() == 0
+    cleaned = tiling.clean(odd, bench, broadcast_bytes=0)
+    assert cleaned.columns == odd.columns and cleaned.count() == odd.count()
+    # An item of everyday words is no sign of a leak.
+    short = spark.createDataFrame([(1, "the"), (2, "nothing here at all")], "item_id long, text string")
+    assert tiling.contaminated(df, short).count() == 0 and tiling.clean(df, short).count() == len(docs)
     assert tiling.contaminated(df, bench.limit(0)).count() == 0 and tiling.contaminated(none, bench).count() == 0
     assert tiling.clean(odd, bench).columns == odd.columns
 
