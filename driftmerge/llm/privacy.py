@@ -10,9 +10,11 @@ from broad patterns, and for each one labelers of three sorts vote yes, no or ab
 * context: an assignment or quotes around it, a cue before it, or a place inside a formula, version or price.
 
 Votes and features of all candidates are counted by their combination, which is bounded, so the driver sees a small
-table whatever the corpus. Expectation-maximisation estimates each labeler's reliability and each combination's
-probability; a logistic span classifier is trained on combinations, weighted by their counts, towards those
-probabilities. Spans that it accepts are added where they don't overlap base spans.
+table whatever the corpus. Expectation-maximisation over the votes estimates each labeler's reliability and each
+candidate's probability. A logistic span classifier is trained towards those probabilities, weighted by the counts, on
+features of the span and its surroundings (length, shares and changes of character classes, what stands on either
+side) beside the votes, so spans that no or few labelers speak about are judged by what they look like. Spans that it
+accepts are added where they don't overlap base spans.
 
 Defined results: null and empty texts have no spans; very long texts are scanned once, in time linear in their length;
 without candidates the classifier accepts none; equal texts have equal spans.
@@ -27,6 +29,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -106,10 +109,10 @@ def base_spans(text: str) -> list[Span]:
     return sorted(((a, z, kind) for kind, find in BASE for a, z in find(text)), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-# Candidates of the method. Each pattern takes a bounded stretch, but for tokens, which are whole runs of one class.
+# Candidates of the method: whole runs of one class of characters, written addresses of any length, grouped digits.
 _TOKEN = re.compile(r"[A-Za-z0-9_+/=.-]{12,}")
 _CUE = re.compile(r"([A-Za-z_]{2,24})[ \t]{0,2}[=:][ \t]{0,2}[\"']?$")
-_WRITTEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}[ ]{0,2}[\[({ ](?:at|AT|@)[\])} ][ ]{0,2}[A-Za-z0-9-]{1,63}(?:[ ]{0,2}[\[({ ](?:dot|DOT|\.)[\])} ][ ]{0,2}[A-Za-z0-9-]{1,63}){1,4}")
+_WRITTEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++[ ]{0,2}[\[({ ](?:at|AT|@)[\])} ][ ]{0,2}[A-Za-z0-9-]++(?:[ ]{0,2}[\[({ ](?:dot|DOT|\.)[\])} ][ ]{0,2}[A-Za-z0-9-]++)+")
 #: What every match of _WRITTEN holds.
 _MARK = re.compile(r"[\[({ ](?:at|AT|@)[\])} ]")
 _NUMBER = re.compile(r"(?<![0-9A-Za-z.+-])[0-9]{2,4}[-/ .][0-9]{2,4}[-/ .][0-9]{3,6}(?![0-9A-Za-z-])")
@@ -171,19 +174,43 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, dict[str, int]]]:
             yield *m.span(), "number", votes
 
 
-def vote_counts(docs: DataFrame, text_column: str = "text") -> list[tuple[str, tuple[tuple[str, int], ...], int]]:
-    """(kind, votes, count) of all candidates. Labelers are few, so combinations are, whatever the corpus."""
+#: Features of a span and how many values each has; all are small whole numbers, so their combinations are bounded.
+LEVELS = {"length": 12, "digits": 5, "case": 4, "marks": 4, "turns": 4, "before": 6, "after": 6, "alone": 2}
+_SIDES = {**dict.fromkeys(" \t\n\r", 1), **dict.fromkeys("\"'`", 2), **dict.fromkeys("=:", 3), **dict.fromkeys("()[]{}<>", 4)}
+_TURN = re.compile(r"(?<=[A-Za-z])[0-9]|(?<=[0-9])[A-Za-z]")
+
+
+def features(text: str, start: int, end: int) -> dict[str, int]:
+    """What a span and its surroundings look like."""
+    body = text[start:end]
+    before, after = text[start - 1 : start] if start else "", text[end : end + 1]
+    digits = sum(map(str.isdigit, body))
+    marks = len(set(body)) and sum(not c.isalnum() for c in set(body))
+    return {
+        "length": min(LEVELS["length"] - 1, len(body).bit_length()), "digits": digits * 4 // len(body), "case": (body != body.upper()) + 2 * (body != body.lower()), "marks": min(3, marks),
+        "turns": min(3, sum(1 for _ in _TURN.finditer(body)) // 2), "before": _SIDES.get(before, 5) if before else 0, "after": _SIDES.get(after, 5) if after else 0, "alone": int(before in "\n" and after in "\n"),
+    }
+
+
+Votes = tuple[tuple[str, int], ...]
+Counted = tuple[str, Votes, Votes, int]
+
+
+def vote_counts(docs: DataFrame, text_column: str = "text") -> list[Counted]:
+    """(kind, votes, features, count) of all candidates. Votes and features are small numbers, so combinations are few, whatever the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
             for cell in batch.column(0):
                 if cell.is_valid:
-                    seen.update((kind, json.dumps(votes, sort_keys=True)) for _, _, kind, votes in candidates(cell.as_py()))
-        yield pa.record_batch([pa.array([k for k, _ in seen], pa.string()), pa.array([v for _, v in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["kind", "votes", "n"])
+                    text = cell.as_py()
+                    seen.update((kind, tuple(sorted(votes.items())), tuple(sorted(features(text, a, z).items()))) for a, z, kind, votes in candidates(text))
+        yield pa.record_batch([pa.array([k for k, _, _ in seen], pa.string()), pa.array([json.dumps(v) for _, v, _ in seen], pa.string()), pa.array([json.dumps(f) for _, _, f in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["kind", "votes", "looks", "n"])
 
-    rows = docs.select(text_column).mapInArrow(run, "kind string, votes string, n long").groupBy("kind", "votes").agg(F.sum("n").alias("n")).orderBy("kind", "votes").collect()
-    return [(r.kind, tuple(sorted(json.loads(r.votes).items())), r.n) for r in rows]
+    rows = docs.select(text_column).mapInArrow(run, "kind string, votes string, looks string, n long").groupBy("kind", "votes", "looks").agg(F.sum("n").alias("n")).orderBy("kind", "votes", "looks").collect()
+    pairs = lambda x: tuple((k, v) for k, v in json.loads(x))
+    return [(r.kind, pairs(r.votes), pairs(r.looks), r.n) for r in rows]
 
 
 def reliabilities(votes: np.ndarray, n: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, float, np.ndarray]:
@@ -214,10 +241,13 @@ def reliabilities(votes: np.ndarray, n: np.ndarray, rounds: int = 100) -> tuple[
     return table_, float(prior), p
 
 
-def expand(votes: tuple[tuple[str, int], ...]) -> np.ndarray:
-    """Features of a combination: yes and no of each labeler, their sum, and a constant."""
+def expand(votes: Votes, looks: Votes) -> np.ndarray:
+    """Yes and no of each labeler, their sum, a one for each value of each feature, and a constant."""
     v = np.array([x for _, x in votes], float)
-    return np.r_[(v > 0).astype(float), (v < 0).astype(float), v.sum(), 1.0]
+    ones = [np.zeros(LEVELS[name]) for name, _ in looks]
+    for place, (_, value) in zip(ones, looks, strict=True):
+        place[value] = 1
+    return np.concatenate([v > 0, v < 0, [v.sum(), 1.0], *ones]).astype(float)
 
 
 class SpanClassifier:
@@ -227,35 +257,42 @@ class SpanClassifier:
         self.weights = weights
         self.known: dict[tuple, bool] = {}
 
-    def accepts(self, kind: str, votes: dict[str, int]) -> bool:
-        key = (kind, *votes.values())
+    def accepts(self, kind: str, votes: dict[str, int], looks: dict[str, int]) -> bool:
+        key = (kind, *votes.values(), *looks.values())
         if key not in self.known:
             w = self.weights.get(kind)
-            self.known[key] = w is not None and float(expand(tuple(sorted(votes.items()))) @ w) > 0
+            self.known[key] = w is not None and float(expand(tuple(sorted(votes.items())), tuple(sorted(looks.items()))) @ w) > 0
         return self.known[key]
 
     def spans(self, text: str) -> tuple[list[Span], list[Span]]:
         """Base spans, and all spans by start, then kind."""
         base = base_spans(text)
-        added = sorted({(a, z, kind) for a, z, kind, votes in candidates(text) if self.accepts(kind, votes)})
-        out, taken = list(base), sorted((a, z) for a, z, _ in base)
-        last = 0
+        added = sorted({(a, z, kind) for a, z, kind, votes in candidates(text) if self.accepts(kind, votes, features(text, a, z))})
+        if not added:
+            return base, base
+        starts = sorted((a, z) for a, z, _ in base)
+        furthest = list(accumulate((z for _, z in starts), max))
+        out, last = list(base), 0
         for a, z, kind in added:
-            k = bisect.bisect_left(taken, (z, 0))
-            if a >= last and not any(x < z and y > a for x, y in taken[max(0, k - 4) : k]):
+            k = bisect.bisect_left(starts, (z, 0))  # base spans that begin before z overlap if one ends after a
+            if a >= last and not (k and furthest[k - 1] > a):
                 out.append((a, z, kind))
                 last = z
         return base, sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def train(counts: list[tuple[str, tuple[tuple[str, int], ...], int]], rounds: int = 200, ridge: float = 1.0) -> SpanClassifier:
+def train(counts: list[Counted], rounds: int = 200, ridge: float = 1.0) -> SpanClassifier:
     """Fits a classifier for each kind on the weak labels; counts are its weights."""
     weights = {}
-    for kind in sorted({k for k, _, _ in counts}):
-        rows = [(v, n) for k, v, n in counts if k == kind]
-        n = np.array([x for _, x in rows], float)
-        _, _, p = reliabilities(np.array([[x for _, x in v] for v, _ in rows]), n)
-        z = np.array([expand(v) for v, _ in rows])
+    for kind in sorted({k for k, _, _, _ in counts}):
+        rows = [(v, f, n) for k, v, f, n in counts if k == kind]
+        voted: Counter = Counter()
+        for v, _, n in rows:
+            voted[v] += n
+        _, _, found = reliabilities(np.array([[x for _, x in v] for v in voted]), np.array(list(voted.values()), float))
+        truth = dict(zip(voted, found.tolist(), strict=True))
+        n, p = np.array([x for _, _, x in rows], float), np.array([truth[v] for v, _, _ in rows])
+        z = np.array([expand(v, f) for v, f, _ in rows])
         w = np.zeros(z.shape[1])
         share = n / n.sum() * 1000
         for _ in range(rounds):

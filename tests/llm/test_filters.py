@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,11 @@ def test_base_spans_equal_the_patterns():
 
 def test_long_runs_take_linear_time():
     for text in ("a" * 1_000_000, "1" * 1_000_000, "1." * 500_000, "+" * 1_000_000, "@" * 1_000_000, "a@" * 500_000, "+1 " * 300_000):
+        began = time.perf_counter()
         privacy.base_spans(text)
-        list(privacy.candidates(text[:200_000]))
+        for a, z, _, _ in privacy.candidates(text):
+            privacy.features(text, a, z)
+        assert time.perf_counter() - began < 30  # quadratic ones would take hours
 
 
 def test_labelers_find_secrets_and_leave_words(spark):
@@ -55,6 +59,44 @@ def test_candidates_are_whole():
     assert found[:3] == (9, 419, "secret") and found[3]["gazetteer"] == found[3]["assigned"] == found[3]["quoted"] == 1
 
 
+def test_expectation_maximisation_finds_the_reliabilities():
+    """Votes drawn from known reliabilities: the estimates come near them, and beat a majority."""
+    rng = np.random.default_rng(1)
+    right = np.array([0.95, 0.9, 0.6, 0.55, 0.55])
+    truth = rng.random(20_000) < 0.3
+    votes = np.where((rng.random((len(truth), 5)) < right) == truth[:, None], 1, -1) * (rng.random((len(truth), 5)) < 0.9)
+    rows, inverse, n = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    table, prior, p = privacy.reliabilities(rows, n.astype(float))
+    yes = table[:, 2, 1] / (table[:, 2, 1] + table[:, 0, 1])
+    assert abs(prior - 0.3) < 0.03 and np.abs(yes - right).max() < 0.05
+    found = (p[inverse.ravel()] > 0.5) == truth
+    majority = (votes.sum(1) > 0) == truth
+    assert found.mean() > majority.mean() + 0.03 and found.mean() > 0.93
+    # The same by brute force over the rows as they are, not counted.
+    again, _, q = privacy.reliabilities(votes, np.ones(len(votes)))
+    assert np.allclose(again, table, atol=1e-6) and np.allclose(q, p[inverse.ravel()], atol=1e-6)
+
+
+def test_the_classifier_judges_by_what_spans_look_like():
+    """Labelers that abstain on a fifth of the candidates: their like among the others decides."""
+    none, yes, no = ((("a", v), ("b", v)) for v in (0, 1, -1))
+    look = lambda kind, size: tuple(sorted({**dict.fromkeys(privacy.LEVELS, 0), "case": 3 if kind else 1, "length": size}.items()))
+    counts = [(("secret"), yes, look(True, 6), 400), ("secret", no, look(False, 6), 400), ("secret", none, look(True, 6), 100), ("secret", none, look(False, 6), 100)]
+    model = privacy.train(counts)
+    accepts = lambda votes, looks: model.accepts("secret", dict(votes), dict(looks))
+    assert accepts(none, look(True, 6)) and not accepts(none, look(False, 6)) and accepts(yes, look(True, 6)) and not accepts(no, look(False, 6))
+
+
+def test_added_spans_never_overlap_base_spans():
+    text = "1.1.1.1." * 3 + "a1b2c3d4e5f6a7b8@host.example.org " + "+1 234 567 89 01 22 token=a1b2c3d4e5f6a7b8c9"
+    model = privacy.SpanClassifier({k: np.r_[np.zeros(15), 100.0, np.zeros(400)][: len(privacy.expand(v, tuple(sorted(privacy.features("ab", 0, 2).items()))))] for k, v in (("secret", tuple((str(i), 1) for i in range(7))),)})
+    model.accepts = lambda *x: True
+    base, spans = model.spans(text)
+    for a, z, kind in spans:
+        assert kind in ("email", "ip", "card", "phone") or not any(x < z and y > a for x, y, _ in base)
+    assert any(kind == "secret" for _, _, kind in spans)
+
+
 def test_privacy_odd_rows(odd, none):
     model = privacy.train(privacy.vote_counts(odd))
     rows = {r.doc_id: r for r in privacy.find(odd, model).collect()}
