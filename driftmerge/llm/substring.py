@@ -8,13 +8,15 @@ a copy of the reference's words from that place on. Where it ends, the phrases t
 their turn: a factor of another block, or of another place, that begins inside the last one is not missed. Words
 outside factors stay.
 
-To keep the index small, two rounds of questions are asked by block of documents:
+To keep the index small, three rounds of questions are asked by block of documents:
 
+0. whole texts: a text that a smaller document holds as a whole is one factor of it, and takes no part in the rest;
+   its phrases are there already.
 1. anchors: the minimal 5-word hash of each window. A window that two documents share has an anchor that they share,
    so only windows over anchors of several documents go on; about one word in six asks.
 2. windows over such anchors: the answer is the smallest document that holds the window, and where.
 
-Neither rounds nor lists are capped. Windows are told apart by 128 bits: both halves of the words' XXH3-128 digests,
+Neither rounds nor lists are capped. Windows and texts are told apart by 128 bits: both halves of the words' XXH3-128 digests,
 combined over the window by two polynomials. Equal bits count as equal words; among 10^13 different windows a pair
 with equal bits is expected with a probability of about 10^-13. Anchors only choose what is asked, so theirs of 64
 bits can't change a result.
@@ -32,11 +34,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from driftmerge.llm.blocks import answer, block_table, by_block, drop_blocks
-from driftmerge.llm.common import Digests, cells, materialize, mix, powers, raw, slices, table, texts
+from driftmerge.llm.common import Digests, cells, materialize, mix, powers, raw, release, slices, table, texts
 
 WINDOW, ANCHOR = 13, 5
 
@@ -64,7 +68,7 @@ def minimal(x: np.ndarray, width: int) -> np.ndarray:
 
 
 class Parsed(NamedTuple):
-    """Some rows of a block: their numbers, the words of each, and of all words both halves of the digest and the row."""
+    """Some rows of a block, without those left out: their numbers, the words of each, and of all words both halves of the digest and the row."""
 
     rows: np.ndarray
     count: np.ndarray
@@ -73,15 +77,16 @@ class Parsed(NamedTuple):
     row: np.ndarray
 
 
-def parsed(part: pa.RecordBatch | pa.Table, memo: Digests) -> Iterator[Parsed]:
-    """The words of a block, some rows at a time."""
+def parsed(part: pa.RecordBatch | pa.Table, memo: Digests, out: np.ndarray) -> Iterator[Parsed]:
+    """The words of a block, some rows at a time, without the rows that `out` marks."""
     column = texts(part.column("text"))
     _, offs = raw(column)
     for lo, hi in slices(offs):
-        words = [x.split() for x in cells(column, lo, hi)]
-        count = np.fromiter(map(len, words), np.int64, hi - lo)
-        halves = np.frombuffer(b"".join(memo[w] for row in words for w in row), np.uint64).reshape(-1, 2)
-        yield Parsed(np.arange(lo, hi), count, halves[:, 0].copy(), halves[:, 1].copy(), np.repeat(np.arange(lo, hi), count))
+        rows = lo + np.flatnonzero(~out[lo:hi])
+        words = [column[r].as_buffer().to_pybytes().split() for r in rows.tolist()]
+        count = np.fromiter(map(len, words), np.int64, len(rows))
+        halves = np.frombuffer(b"".join([memo[w] for row in words for w in row]), np.uint64).reshape(-1, 2)
+        yield Parsed(rows, count, halves[:, 0].copy(), halves[:, 1].copy(), np.repeat(rows, count))
 
 
 def windows(h: np.ndarray, row: np.ndarray, width: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
@@ -133,6 +138,32 @@ def factors(refs: np.ndarray, at: np.ndarray, window: int = WINDOW) -> list[tupl
     return list(zip(first.tolist(), (last - first + window).tolist(), refs[first].tolist(), at[first].tolist(), strict=True))
 
 
+def whole_texts(part: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of each text's digest."""
+    halves = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in cells(texts(part.column("text")))]), np.uint64).reshape(-1, 2)
+    return halves[:, 0].copy(), halves[:, 1].copy()
+
+
+class Known(NamedTuple):
+    """What a block was answered, sorted."""
+
+    keys: np.ndarray
+    checks: np.ndarray
+    least: np.ndarray
+    at: np.ndarray
+
+    @classmethod
+    def of(cls, answers: pa.Table) -> Known:
+        keys, checks = (answers.column(c).to_numpy().view(np.uint64) for c in ("key", "check"))
+        order = np.lexsort((checks, keys))
+        return cls(keys[order], checks[order], answers.column("least").to_numpy()[order], answers.column("at").to_numpy()[order])
+
+    def smaller(self, key: np.ndarray, check: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Places of those that a document smaller than ids holds, -1 for the others."""
+        place = places(key, check, self.keys, self.checks)
+        return np.where((place >= 0) & (self.least[place] < ids), place, -1) if len(self.keys) else place
+
+
 ANCHORS = "key long, block long, several boolean"
 QUESTION = "key long, check long, block long, least long, at int, several boolean"
 ANSWER = "block long, key long, check long, least long, at int"
@@ -151,30 +182,52 @@ def _asked(block: int, found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c) for c in columns], ["key", "check", "block", "least", "at", "several"])
 
 
+def _earliest(group: np.ndarray, at: np.ndarray, columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """To each block that has more than the smallest document with a key: that document, and where it holds it."""
+    best = np.lexsort((columns["least"], group))[at][group]
+    keep = (columns["least"][best] < columns["least"]) | columns["several"]
+    out = {"block": columns["block"], "key": columns["key"], "check": columns["check"], "least": columns["least"][best], "at": columns["at"][best]}
+    return {k: v[keep] for k, v in out.items()}
+
+
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW) -> DataFrame:
     """Rows (doc_id, n_words, n_removed, kept_text, factors): factors are (start, length, reference, place) in words."""
-    return _cut(block_table(docs, id_column, text_column), window)
+    return _cut(block_table(docs, id_column, text_column), window)[0]
 
 
-def _cut(blocks: DataFrame, window: int) -> DataFrame:
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Digests(xxhash.xxh3_128_digest)
+def _cut(blocks: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """What dedup gives, and what it reads beside the blocks."""
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, part in by_block(batches):
-            ids, keys, owners = part.column("doc_id").to_numpy(), [], []
-            for p in parsed(part, memo):
+            ids = part.column("doc_id").to_numpy()
+            yield _asked(block, [(*whole_texts(part), ids, np.zeros(len(ids), np.int64))])
+
+    copies = materialize(answer(blocks.mapInArrow(whole, QUESTION), _earliest, ANSWER), "copies")
+
+    def copied(left: pa.Table, right: pa.Table) -> np.ndarray:
+        """The smaller document with the same text of each row of a block, -1 if there is none."""
+        known = Known.of(right)
+        place = known.smaller(*whole_texts(left), left.column("doc_id").to_numpy())
+        return np.where(place >= 0, known.least[place], -1) if len(known.keys) else place
+
+    def anchors(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        if left.num_rows:
+            ids = left.column("doc_id").to_numpy()
+            for p in parsed(left, Digests(xxhash.xxh3_128_digest), copied(left, right) >= 0):
                 inside, a = windows(p.h, p.row, window)
                 if len(a):
                     own = p.row[inside]
                     new = np.r_[True, (a[1:] != a[:-1]) | (own[1:] != own[:-1])]
                     keys.append(a[new])
                     owners.append(ids[own[new]])
-            if keys:
-                key, owner = np.concatenate(keys), np.concatenate(owners)
-                order = np.argsort(key, kind="stable")
-                key, owner = key[order], owner[order]
-                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                several = np.minimum.reduceat(owner, first) < np.maximum.reduceat(owner, first)
-                yield pa.record_batch([pa.array(key[first].view(np.int64)), pa.array(np.full(len(first), block)), pa.array(several)], ["key", "block", "several"])
+        key, owner = np.concatenate(keys), np.concatenate(owners)
+        order = np.argsort(key, kind="stable")
+        key, owner = key[order], owner[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        several = np.minimum.reduceat(owner, first) < np.maximum.reduceat(owner, first) if len(first) else np.zeros(0, bool)
+        block = left.column("block")[0].as_py() if left.num_rows else 0
+        return pa.table([pa.array(key[first].view(np.int64)), pa.array(np.full(len(first), block, np.int64)), pa.array(several)], ["key", "block", "several"])
 
     def shared_anchors(group: np.ndarray, at: np.ndarray, columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         # Rows of two blocks are of two documents, or of equal ids, which the windows tell apart.
@@ -182,49 +235,58 @@ def _cut(blocks: DataFrame, window: int) -> DataFrame:
         keep = (many | np.logical_or.reduceat(columns["several"], at))[group]
         return {"block": columns["block"][keep], "key": columns["key"][keep]}
 
-    shared = answer(blocks.mapInArrow(anchors, ANCHORS), shared_anchors, "block long, key long")
+    asked_anchors = blocks.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(anchors, ANCHORS)
+    shared = answer(asked_anchors, shared_anchors, "block long, key long")
+    # A block gets two sorts of answers at once: check is null for anchors, which have no other columns.
+    none = F.lit(None)
+    shared = shared.select("block", "key", none.cast("long").alias("check"), none.cast("long").alias("least"), none.cast("int").alias("at")).unionByName(copies)
+
+    def sorts(right: pa.Table) -> tuple[pa.Table, pa.Table]:
+        whole = right.column("check").is_valid()
+        return right.filter(whole), right.filter(pc.invert(whole))
 
     def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
         memo, found = Digests(xxhash.xxh3_128_digest), []
-        if left.num_rows and right.num_rows:
-            wanted = np.sort(right.column("key").to_numpy().view(np.uint64))
+        own, anchored = sorts(right)
+        if left.num_rows and anchored.num_rows:
+            wanted = np.sort(anchored.column("key").to_numpy().view(np.uint64))
             ids = left.column("doc_id").to_numpy()
-            for p in parsed(left, memo):
+            first = np.zeros(left.num_rows, np.int64)  # words of a slice before each row
+            for p in parsed(left, memo, copied(left, own) >= 0):
+                first[p.rows] = np.cumsum(p.count) - p.count
                 inside, a = windows(p.h, p.row, window)
                 if len(a):
                     new = np.r_[True, a[1:] != a[:-1]]
                     at = inside[among(a[new], wanted)[np.cumsum(new) - 1]]
-                    begin = np.cumsum(p.count) - p.count
-                    found.append((rolled(p.h, window)[at], rolled(p.other, window)[at], ids[p.row[at]], at - begin[p.row[at] - p.rows[0]]))
+                    found.append((rolled(p.h, window)[at], rolled(p.other, window)[at], ids[p.row[at]], at - first[p.row[at]]))
         if found:
             return pa.Table.from_batches([_asked(left.column("block")[0].as_py(), found)])
         return pa.table([pa.array([], t) for t in (*[pa.int64()] * 4, pa.int32(), pa.bool_())], ["key", "check", "block", "least", "at", "several"])
 
     asked = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(candidates, QUESTION)
 
-    def earliest(group: np.ndarray, at: np.ndarray, columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        best = np.lexsort((columns["least"], group))[at][group]
-        keep = (columns["least"][best] < columns["least"]) | columns["several"]
-        out = {"block": columns["block"], "key": columns["key"], "check": columns["check"], "least": columns["least"][best], "at": columns["at"][best]}
-        return {k: v[keep] for k, v in out.items()}
-
-    index = answer(asked, earliest, ANSWER)
+    index = answer(asked, _earliest, ANSWER)
+    index = index.withColumn("whole", F.lit(False)).unionByName(copies.withColumn("whole", F.lit(True)))
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, checks = (right.column(c).to_numpy().view(np.uint64) for c in ("key", "check"))
-        order = np.lexsort((checks, keys))
-        keys, checks, least, where = keys[order], checks[order], right.column("least").to_numpy()[order], right.column("at").to_numpy()[order]
         ids = left.column("doc_id").to_numpy()
         column = texts(left.column("text")) if left.num_rows else None
-        memo = Digests(xxhash.xxh3_128_digest)
-        n_words, n_removed, kept, found = [], [], [], []
-        for p in parsed(left, memo) if left.num_rows else ():
+        is_whole = right.column("whole")
+        known = Known.of(right.filter(pc.invert(is_whole)))
+        same = copied(left, right.filter(is_whole)) if left.num_rows else np.zeros(0, np.int64)
+        n_words, n_removed, kept, found = ([None] * left.num_rows for _ in range(4))
+        for r in np.flatnonzero(same >= 0).tolist():
+            body = column[r].as_buffer().to_pybytes().split()
+            gone = len(body) >= window
+            n_words[r], n_removed[r], kept[r] = len(body), len(body) * gone, b"" if gone else b" ".join(body)
+            found[r] = [{"start": 0, "length": len(body), "reference": int(same[r]), "place": 0}] if gone else []
+        for p in parsed(left, Digests(xxhash.xxh3_128_digest), same >= 0) if left.num_rows else ():
             refs, at = np.full(len(p.h), -1, np.int64), np.full(len(p.h), -1, np.int64)
-            if len(keys) and len(p.h) >= window:
+            if len(known.keys) and len(p.h) >= window:
                 inside = np.flatnonzero(p.row[: len(p.row) - window + 1] == p.row[window - 1 :])
-                place = places(rolled(p.h, window)[inside], rolled(p.other, window)[inside], keys, checks)
-                hit = (place >= 0) & (least[place] < ids[p.row[inside]])
-                refs[inside[hit]], at[inside[hit]] = least[place[hit]], where[place[hit]]
+                place = known.smaller(rolled(p.h, window)[inside], rolled(p.other, window)[inside], ids[p.row[inside]])
+                hit = place >= 0
+                refs[inside[hit]], at[inside[hit]] = known.least[place[hit]], known.at[place[hit]]
             ends = np.cumsum(p.count)
             for r, n, end in zip(p.rows.tolist(), p.count.tolist(), ends.tolist(), strict=True):
                 listed = factors(refs[end - n : end], at[end - n : end], window)
@@ -234,16 +296,14 @@ def _cut(blocks: DataFrame, window: int) -> DataFrame:
                     for start, length, _, _ in listed:
                         stay[start : start + length] = False
                     body = [body[i] for i in np.flatnonzero(stay).tolist()]
-                n_words.append(n)
-                n_removed.append(n - len(body))
-                kept.append(b" ".join(body))
-                found.append([{"start": a, "length": b, "reference": c, "place": e} for a, b, c, e in listed])
+                n_words[r], n_removed[r], kept[r] = n, n - len(body), b" ".join(body)
+                found[r] = [{"start": a, "length": b, "reference": c, "place": e} for a, b, c, e in listed]
         has = left.column("has_id").combine_chunks() if left.num_rows else pa.array([], pa.bool_())
         doc = pa.array([i if ok else None for i, ok in zip(ids.tolist(), has.to_pylist(), strict=True)], pa.int64())
         kinds = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("reference", pa.int64()), ("place", pa.int32())]))
         return pa.table([doc, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(found, kinds)], ["doc_id", "n_words", "n_removed", "kept_text", "factors"])
 
-    return blocks.groupBy("block").cogroup(index.groupBy("block")).applyInArrow(cut, DEDUPED)
+    return blocks.groupBy("block").cogroup(index.groupBy("block")).applyInArrow(cut, DEDUPED), copies
 
 
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,8 +313,9 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), batch.column("n_words"), batch.column("n_removed"), pa.array(hashes, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     blocks = block_table(table(spark, sf_dir, "documents"))
-    done = _cut(blocks, WINDOW).select("doc_id", "n_words", "n_removed", "kept_text")
-    out = materialize(done.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string"), "deduped")
+    done, copies = _cut(blocks, WINDOW)
+    out = materialize(done.select("doc_id", "n_words", "n_removed", "kept_text").mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string"), "deduped")
+    release(copies)
     drop_blocks(blocks)
     return out
 
