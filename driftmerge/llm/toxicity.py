@@ -15,8 +15,11 @@ bag's best unit under the last machine. A document's margin is that of its best
 documents turns margins into scores. Because the kernel is a sum over subsequences, the machine is one table of
 2^20 weights: each unit of every text is scored by lookups, at every length of text, without a window or prefix.
 
-Training uses a sample of at most ``TRAIN_DOCS`` labelled documents, the first by a hash of their id; labels,
-language, source and id are never features.
+The sample that is trained on is bounded by these parameters, whatever the input: at most ``TRAIN_DOCS`` labelled
+documents, the first by a hash of their id; of their units, the ``4 * LANDMARKS`` surest toxic ones, ``UNITS`` clean
+ones (half the most frequent, half by a hash), and each document's best unit; ``LANDMARKS`` toxic and
+``1.25 * CLEAN_LANDMARKS`` clean units as landmarks. Units of any length are trained on and scored. Labels, language,
+source and id are never features.
 
 Defined results: null, empty and blank texts have the lowest margin; without a toxic or without a clean training
 document all scores are the share of toxic ones; several label rows of a document count once, toxic if any says so.
@@ -37,7 +40,6 @@ from driftmerge.llm.common import crc_remainder, materialize, raw, release, slic
 ORDER, DECAY, SYMBOLS = 4, 0.6, 32
 TRAIN_DOCS, LANDMARKS, CLEAN_LANDMARKS, UNITS, ROUNDS, HARD = 20_000, 192, 160, 12_000, 3, 30
 HOLD_MODULUS, HOLD_REMAINDER, THRESHOLD = 3, 1, 0.7
-LONGEST = 40
 GAP, DROP = 31, 255
 
 #: Symbol of each byte: 0-25 letters, 26-30 bytes of other scripts, 31 between units, 255 dropped.
@@ -101,7 +103,8 @@ def unit_margins(sym: np.ndarray, starts: np.ndarray, size: np.ndarray, weights:
     """Sum over each unit's subsequences of their weights, divided by its length term."""
     if not len(starts):
         return np.zeros(0)
-    s = np.concatenate([sym, np.full(7, GAP, np.uint8)]).astype(np.int32)
+    # After the last two of GAP comes a letter, as after those between units: more of GAP would be taken for the unit's end.
+    s = np.concatenate([sym, np.zeros(7, np.uint8)]).astype(np.int32)
     n = len(sym)
     near, far = s[: n + 5] * SYMBOLS + s[1 : n + 6], s[: n + 5] * SYMBOLS + s[2 : n + 7]
     pair = {1: near, 2: far}
@@ -256,7 +259,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
 
 def unit_counts(rows: DataFrame) -> DataFrame:
-    """Rows (unit, toxic, clean): the documents of either label that hold a unit of 2 to LONGEST symbols."""
+    """Rows (unit, toxic, clean): the documents of either label that hold a unit of 2 symbols or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,7 +277,7 @@ def text_units(column: pa.Array) -> set[bytes]:
     body, offs = raw(texts(column))
     sym, starts, size, _ = units(body, offs)
     plain = sym.tobytes()
-    return {plain[a : a + n] for a, n in zip(starts.tolist(), size.tolist(), strict=True) if 2 <= n <= LONGEST}
+    return {plain[a : a + n] for a, n in zip(starts.tolist(), size.tolist(), strict=True) if n >= 2}
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Scorer:
@@ -342,7 +345,7 @@ def _best_units(rows: DataFrame, scorer: Scorer) -> list[tuple[bytes, int, float
                 body, offs = raw(texts(batch.column(0).slice(i, 1)))
                 sym, starts, size, _ = units(body, offs)
                 m = unit_margins(sym, starts, size, scorer.weights)
-                m[(size < 2) | (size > LONGEST)] = -np.inf
+                m[size < 2] = -np.inf
                 if len(m) and np.isfinite(m.max()):
                     k = int(m.argmax())
                     found.append(sym[starts[k] : starts[k] + size[k]].tobytes())

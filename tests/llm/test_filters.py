@@ -1,6 +1,7 @@
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -182,7 +183,9 @@ def test_toxicity_held_out_accuracy(spark):
     df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     scorer = toxicity.train(df, lab)
     scores = {r.doc_id: r.score for r in toxicity.score(df, scorer).collect()}
-    assert sum((scores[d] >= 0.7) == bool(t) for d, _, t in labels) >= 0.98 * len(labels)
+    held = [(d, t) for d, _, t in labels if zlib.crc32(str(d).encode()) % 3 == 1]
+    assert len(held) > 80 and sum((scores[d] >= 0.7) == bool(t) for d, t in held) >= 0.98 * len(held)
+    assert sum(scores[d] >= 0.7 for d, t in held if t) >= 0.9 * sum(t for _, t in held)
     odd = pa.array(["you g.r.u.b.n.i.k", "such a grubxnik", "s n o r v e t", "GRUBNIK!", "talkan moslori", "", None], pa.string())
     found = scorer.scores(odd)
     assert (found[[0, 2, 3]] >= 0.7).all() and found[1] > found[4] and (found[4:] < 0.5).all()
@@ -207,6 +210,24 @@ def test_kernel_features_reproduce_the_kernel():
     assert np.allclose(x @ x.T, [[kernel(a, b) for b in units] for a in units], atol=1e-4)
 
 
+def test_scores_are_the_kernel_machines():
+    """The table lookups of scoring against the kernel expansion over landmarks, unit by unit."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 12))) for _ in range(60)] + ["q" * 90]
+    plain = lambda w: bytes(ord(c) - 97 for c in w)
+    machine = toxicity.Machine([plain(w) for w in words[:12]])
+    w = np.random.default_rng(3).normal(size=machine.map.shape[1])
+    text = pa.array([" ".join(words), "", words[3]], pa.large_string())
+    body, offs = toxicity.raw(text)
+    sym, starts, size, count = toxicity.units(body, offs)
+    assert count.tolist() == [61, 0, 1] and [sym[a : a + n].tobytes() for a, n in zip(starts, size, strict=True)] == [plain(x) for x in [*words, words[3]]]
+    got = toxicity.unit_margins(sym, starts, size, machine.table(w))
+    want = machine.features(toxicity.Encoded([plain(x) for x in [*words, words[3]]])) @ w
+    assert np.allclose(got, want, atol=1e-3)
+    scorer = toxicity.Scorer(machine.table(w), -0.5, 2.0, 0.1)
+    assert np.allclose(scorer.margins(text), [max(want[:61].max(), 0) - 0.5, -0.5, max(want[61], 0) - 0.5], atol=1e-3)
+
+
 def test_pipeline_stages_on_odd_rows(spark, odd, tmp_path):
     docs, labels = toxic_corpus(60)
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
