@@ -111,7 +111,7 @@ def unit_margins(sym: np.ndarray, starts: np.ndarray, size: np.ndarray, weights:
     total = np.zeros(n, np.float32)
     for (a, b, c), w in zip(_GAPS, _WEIGHT, strict=True):
         total += np.float32(w) * weights[pair[a][:n] * (SYMBOLS * SYMBOLS) + pair[c][a + b : n + a + b]]
-    return np.add.reduceat(total, starts - 2) / length_term(size)
+    return np.add.reduceat(total[: starts[-1] + size[-1]], starts - 2) / length_term(size)
 
 
 def subsequences(unit: bytes) -> dict[int, float]:
