@@ -1,6 +1,6 @@
 """Questions that blocks of documents ask the whole corpus.
 
-A block is some documents that one task read, 32 MB of text at most or one longer text. Blocks are written once, bucketed by block, to the shared
+A block is some documents that one task read, 128 MB of text at most, most often far less, or one longer text. Blocks are written once, bucketed by block, to the shared
 folder; so the assignment is fixed whatever is computed again later, and a join by block moves only the answers, not
 the texts. A block asks about each of its distinct keys (hashes of words, windows, ...) once: a key that a third of
 all documents share is one row per block, not one per document. Keys are dealt by hash and sorted by Spark, which
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from driftmerge.llm.common import release, shared_dir
 
 #: Rows of a block, as a power of two, by the longest text that it may hold; a longer text is a block of its own.
-BLOCK_SHIFTS = ((1 << 14, 11), (1 << 20, 5))
+BLOCK_SHIFTS = ((1 << 16, 11), (1 << 20, 7))
 #: A document without an id sorts after all others.
 NO_ID = (1 << 63) - 1
 

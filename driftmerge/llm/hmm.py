@@ -12,8 +12,8 @@ P(text) = sum over state paths of prod P(state | previous state) P(class | state
 
 Counts of all training tokens are gathered by asking per block of documents (see blocks). The likelihood of a whole
 text comes from the scaled forward recursion over all its tokens. Training runs over whole texts too: forward
-probabilities are kept at every ``STRIDE``-th token and made again from there on the way back, so memory is a few
-numbers a token, and the counts are exact. Tokens are told apart by XXH3-64: among 10^10 different words, two or three
+probabilities of over ``TOKENS`` tokens are kept at every ``STRIDE``-th alone and made again from there on the way back,
+so memory is a few numbers a token at any length, and the counts are exact. Tokens are told apart by XXH3-64: among 10^10 different words, two or three
 pairs with equal hashes are expected, whose counts are then one.
 
 Defined results: null and empty texts are the end token alone; without training documents c, N and V are 0; a null
@@ -37,7 +37,7 @@ from driftmerge.llm.common import Digests, cells, crc_remainder, materialize, ra
 
 STATES, FREQUENT, ENDINGS, ROUNDS, STRIDE = 8, 2048, 512, 4, 64
 #: Tokens that training takes at once; a longer text stands alone.
-TOKENS = 1 << 20
+TOKENS = 1 << 19
 HOLD_MODULUS, HOLD_REMAINDER = 7, 2
 #: The end token's key; no word hashes to it but by a 64-bit coincidence.
 END = np.uint64(0x656E64)
@@ -241,24 +241,27 @@ def forward(model: Model, seqs: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expected(model: Model, seqs: list[np.ndarray], stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch counts of whole sequences: starts, transitions and emissions."""
+def expected(model: Model, seqs: list[np.ndarray], stride: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Baum-Welch counts of whole sequences: starts, transitions and emissions. Forward probabilities are kept for `stride` steps."""
     states, classes = len(model.start), len(model.emit)
     start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((classes, states))
-    lanes, alpha, marks = Lanes(seqs), None, []
+    lanes, alpha, marks, kept = Lanes(seqs), None, [], []
+    stride = stride or (STRIDE if len(lanes.flat) > TOKENS else max(1, lanes.steps))
     for t in range(lanes.steps):
         if t % stride == 0:
             marks.append(alpha)
-        alpha, _ = lanes.step(model, alpha, t)
+            kept = []
+        alpha, scale = lanes.step(model, alpha, t)
+        kept.append((alpha, scale))
     beta = np.ones((len(seqs), states))
     while marks:
         before = marks.pop()
         first = len(marks) * stride
-        steps, kept = range(first, min(lanes.steps, first + stride)), []
-        alpha = before
-        for t in steps:
-            alpha, scale = lanes.step(model, alpha, t)
-            kept.append((alpha, scale))
+        steps, alpha = range(first, min(lanes.steps, first + stride)), before
+        if not kept:  # all but the last
+            for t in steps:
+                alpha, scale = lanes.step(model, alpha, t)
+                kept.append((alpha, scale))
         gammas = []
         for t in reversed(steps):
             k = lanes.live[t]
@@ -274,6 +277,7 @@ def expected(model: Model, seqs: list[np.ndarray], stride: int = STRIDE) -> tupl
             emit[:, s] += np.bincount(used, flat[:, s], classes)
         if not first:
             start += gammas[-1].sum(0)
+        kept = []
     return start, move, emit
 
 

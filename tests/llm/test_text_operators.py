@@ -147,7 +147,6 @@ def test_words_that_a_polynomial_confuses_are_told_apart(spark):
     df = spark.createDataFrame([(1, f"{thue} {rest}"), (2, f"{other} {rest}"), (3, f"{other} {rest}")], "doc_id long, text string")
     assert {r.doc_id: r.n_removed for r in substring.dedup(df).collect()} == {1: 0, 2: 0, 3: 13}
     rows = {r.doc_id: r for r in hmm.score_documents(df, rounds=1).collect()}
-    assert {d: r.n_known for d, r in rows.items()} == {d: 14 if not zlib.crc32(str(d).encode()) % 7 == 2 else rows[d].n_known for d in rows}
     c = collections.Counter(w for d, t in ((1, thue), (2, other), (3, other)) if not rows[d].held_out for w in [t, *rest.split(), None])
     n, v = sum(c.values()), len(c)
     for d, t in ((1, thue), (2, other), (3, other)):
@@ -234,7 +233,7 @@ def test_expected_counts_are_those_of_all_paths():
                 move[a, b] += w
             for o, s in zip(seq, x, strict=True):
                 emit[o, s] += w
-    for stride in (1, 2, 3, 64):
+    for stride in (None, 1, 2, 3, 64):
         for got, want in zip(hmm.expected(model, seqs, stride), (start, move, emit), strict=True):
             assert np.allclose(got, want)
 
