@@ -2,13 +2,15 @@
 
 Layout: the writers in the order they are first named, the number of elements, then each element's flags with what
 they don't already say, and its character in UTF-8. Numbers are in groups of seven bits, differences zigzag. The
-length is pure SQL (``encoded_size``); bytes are an Arrow-batched function.
+layout and the flags are fixed: sizes depend on them. The length is pure SQL (``encoded_size``); bytes are an
+Arrow-batched function that handles a piece's characters at once, as all but the first are fully predicted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -35,19 +37,28 @@ def _signed(value: int) -> int:
 
 def encode(elems: list[Elem]) -> bytes:
     """Bytes of (clock, peer, o_clock, o_peer, ch, deleted) in document order."""
+    return encode_pieces([(*e[:5], "1" if e[5] else "0") for e in elems])
+
+
+Piece = tuple[int, int, int | None, int | None, str, str]
+_INNER = ORIGIN_PREV | SAME_PEER | CLOCK_PLUS_1
+
+
+def encode_pieces(pieces: list[Piece]) -> bytes:
+    """Bytes of (clock, peer, o_clock, o_peer, text, gone) in document order: encode() of their characters."""
     index: dict[int, int] = {}
-    for _, peer, o_clock, o_peer, _, _ in elems:
+    for _, peer, o_clock, o_peer, _, _ in pieces:
         index.setdefault(peer, len(index))
         if o_clock is not None:
             index.setdefault(o_peer, len(index))
     out = bytearray()
-    for number in (len(index), *index, len(elems)):
+    for number in (len(index), *index, sum(len(p[4]) for p in pieces)):
         put(out, number)
     last: tuple[int, int | None] = (0, None)
-    for clock, peer, o_clock, o_peer, ch, deleted in elems:
+    for clock, peer, o_clock, o_peer, text, gone in pieces:
         none, prev = o_clock is None, last[1] is not None and (o_clock, o_peer) == last
         same, step = peer == last[1], clock == last[0] + 1
-        out.append(DELETED * deleted | ORIGIN_NONE * none | ORIGIN_PREV * prev | SAME_PEER * same | CLOCK_PLUS_1 * step)
+        out.append(DELETED * (gone[0] == "1") | ORIGIN_NONE * none | ORIGIN_PREV * prev | SAME_PEER * same | CLOCK_PLUS_1 * step)
         if not same:
             put(out, index[peer])
         if not step:
@@ -55,8 +66,12 @@ def encode(elems: list[Elem]) -> bytes:
         if not (none or prev):
             put(out, index[o_peer])
             put(out, _signed(o_clock - clock))
-        out += ch.encode()
-        last = (clock, peer)
+        out += text[0].encode()
+        if len(text) > 1:
+            body = np.frombuffer(text[1:].encode(), np.uint8)
+            flags = (np.frombuffer(gone[1:].encode(), np.uint8) & 1) * DELETED | _INNER
+            out += np.insert(body, np.flatnonzero(body & 0xC0 != 0x80), flags).tobytes()
+        last = (clock + len(text) - 1, peer)
     return bytes(out)
 
 
@@ -137,13 +152,34 @@ def encoded_size(elems: DataFrame) -> DataFrame:
     return x.groupBy("path").agg(F.sum(size).alias("body"), F.sum("n").alias("n")).join(heads, "path").select("path", (F.col("body") + F.col("head") + varint_length(F.col("n"))).cast("long").alias("bytes"))
 
 
+def _by_path(elems: DataFrame, make: Callable[[str, list[Piece]], pa.Table], schema: str) -> DataFrame:
+    """make(path, pieces in document order) for each path: a task holds one document."""
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("pos")
+        return make(part.column("path")[0].as_py(), list(zip(*(part.column(c).to_pylist() for c in ("clock", "peer", "o_clock", "o_peer", "text", "gone")), strict=True)))
+
+    return pieces(elems, "pos").groupBy("path").applyInArrow(run, schema)
+
+
 def encoded(elems: DataFrame) -> DataFrame:
     """(path, n, data): each path's elements as bytes."""
-    cells = F.sort_array(F.collect_list(F.struct("pos", "clock", "peer", "o_clock", "o_peer", "ch", "deleted")))
+
+    def make(path: str, held: list[Piece]) -> pa.Table:
+        return pa.table([pa.array([path]), pa.array([sum(len(p[4]) for p in held)]), pa.array([encode_pieces(held)], pa.binary())], ["path", "n", "data"])
+
+    return _by_path(elems, make, "path string, n long, data binary")
+
+
+def decoded(data: DataFrame) -> DataFrame:
+    """(path, pos, clock, peer, o_clock, o_peer, ch, deleted) of (path, data); bytes that are no such list give no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [encode([tuple(e.values())[1:] for e in cell]) for cell in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array([len(c) for c in batch.column(1)], pa.int64()), pa.array(data, pa.binary())], ["path", "n", "data"])
+            for path, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if elems := decode(cell.as_py()) if cell.is_valid else None:
+                    columns = [pa.array([path] * len(elems), pa.string()), pa.array(range(1, len(elems) + 1), pa.int64())]
+                    kinds = (*[pa.int64()] * 4, pa.string(), pa.bool_())
+                    yield pa.record_batch([*columns, *(pa.array(c, t) for c, t in zip(zip(*elems, strict=True), kinds, strict=True))], ["path", "pos", "clock", "peer", "o_clock", "o_peer", "ch", "deleted"])
 
-    return elems.groupBy("path").agg(cells.alias("cells")).mapInArrow(run, "path string, n long, data binary")
+    return data.select("path", "data").mapInArrow(run, "path string, pos long, clock long, peer long, o_clock long, o_peer long, ch string, deleted boolean")

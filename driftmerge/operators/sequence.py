@@ -1,7 +1,10 @@
 """Ordered-sequence merge: runs, document order, union of logs and compaction.
 
-Relational, except for document order (a pre-order walk over the tree of origins), merge and compression. These work on
-runs, a handful of rows a document: characters are packed where they are read, before anything is shuffled.
+A document is stored as pieces: runs of chained characters with a byte for each that says whether it is deleted, and
+deletes as lists of clocks; an unedited text is one row, however long (``pieces`` says what columns they have).
+Everything here takes pieces as well as single characters, which are packed where they are read, before anything is
+shuffled. Relational, except for document order (a pre-order walk over the tree of origins), runs, merge and
+compression, which are Arrow-batched and hold one document at a time.
 """
 
 from __future__ import annotations
@@ -10,30 +13,13 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, GroupedData
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _islands(rows: DataFrame, order: str, starts: Column) -> DataFrame:
-    """Adds run: the number of a row's island within its path. `starts` may use lag columns."""
-    by = W.partitionBy("path").orderBy(order)
-    marked = rows
-    for c in ("kind", "clock", "peer", "deleted"):
-        if c in rows.columns:
-            marked = marked.withColumn(f"_{c}", F.lag(c).over(by))
-    marked = marked.withColumn("_first", F.row_number().over(by) == 1)
-    return marked.withColumn("run", F.sum(F.when(F.col("_first") | starts, 1).otherwise(0)).over(by.rowsBetween(W.unboundedPreceding, 0)))
-
-
-def chained() -> Column:
-    """The row goes on typing where the one before it stopped: same writer, next clock, origin the row before."""
-    return (F.col("peer") == F.col("_peer")) & (F.col("clock") == F.col("_clock") + 1) & F.col("o_clock").eqNullSafe(F.col("_clock")) & F.col("o_peer").eqNullSafe(F.col("_peer"))
-
-
 IDS = ["path", "clock", "peer", "o_clock", "o_peer"]
 PIECE = "path string, {order} long, clock long, peer long, o_clock long, o_peer long, text string, n long"
 
@@ -41,12 +27,15 @@ PIECE = "path string, {order} long, clock long, peer long, o_clock long, o_peer
 def pieces(rows: DataFrame, order: str) -> DataFrame:
     """Characters packed as they lie, before any shuffle: (path, order, clock, peer, o_clock, o_peer, text, n) and
 
-    ``kind`` or ``gone`` (a byte of 0 or 1 for each character) where rows have ``kind`` or ``deleted``. Only chained
-    rows whose `order` has no gap are packed, so no other row can belong between them; deletes stay rows of their own.
-    Rows that don't lie in order are pieces of one character: what is made of the pieces is the same.
+    ``kind`` and ``clocks`` (of a delete's targets) or ``gone`` ("0" or "1" for each character) where rows have
+    ``kind`` or ``deleted``. Only chained rows whose `order` has no gap are packed, so no other row can belong between
+    them; deletes stay rows of their own. Rows that don't lie in order are pieces of one character: what is made of
+    the pieces is the same. Rows that are pieces already come back as they are.
     """
+    if "n" in rows.columns and "text" in rows.columns:
+        return rows.select("path", order, *IDS[1:], "text", "n", *(c for c in ("kind", "clocks", "gone") if c in rows.columns))
     extra = [c for c in ("kind", "deleted") if c in rows.columns]
-    schema = PIECE.format(order=order) + "".join({"kind": ", kind string", "deleted": ", gone binary"}[c] for c in extra)
+    schema = PIECE.format(order=order) + "".join({"kind": ", kind string, clocks array<long>", "deleted": ", gone string"}[c] for c in extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,11 +48,12 @@ def pieces(rows: DataFrame, order: str) -> DataFrame:
             cells = [heads.column(c).combine_chunks() for c in ("path", order, *IDS[1:])]
             cells += [_joined(part.column("ch").combine_chunks().fill_null(" "), start), pa.array(np.diff(np.r_[start, len(at)]))]
             if "kind" in extra:
-                cells.append(heads.column("kind").combine_chunks())
+                clocks = pa.ListArray.from_arrays(pa.array(np.arange(len(start) + 1, dtype=np.int32)), pa.array(_numbers(heads, "clock")), mask=pa.array(~lone[start]))
+                cells += [heads.column("kind").combine_chunks(), clocks]
             if "deleted" in extra:
-                flags = part.column("deleted").to_numpy().astype(np.uint8).tobytes()
-                cells.append(pa.array([flags[i:j] for i, j in zip(start, np.r_[start[1:], len(at)], strict=True)], pa.binary()))
-            names = ["path", order, *IDS[1:], "text", "n", *("gone" if c == "deleted" else c for c in extra)]
+                flags = (part.column("deleted").to_numpy().astype(np.uint8) + ord("0")).tobytes().decode()
+                cells.append(pa.array([flags[i:j] for i, j in zip(start, np.r_[start[1:], len(at)], strict=True)], pa.string()))
+            names = ["path", order, *IDS[1:], "text", "n", *(x for c in extra for x in (["gone"] if c == "deleted" else ["kind", "clocks"]))]
             yield pa.record_batch(cells, names)
 
     return rows.select("path", order, *IDS[1:], "ch", *extra).mapInArrow(run, schema)
@@ -99,6 +89,19 @@ def _chain(part: pa.Table, n: np.ndarray) -> np.ndarray:
 WIRE = "path string, run long, kind string, clock long, peer long, o_clock long, o_peer long, text string, n long, ids array<struct<clock:long,peer:long>>"
 
 
+def sizes(elems: DataFrame) -> DataFrame:
+    """(path, n_raw, n_visible, n_deleted, clock) of elements: counted on pieces, so no character becomes a row."""
+    gone = F.length(F.translate("gone", "0", "")).cast("long")
+    held = pieces(elems, "pos").select("path", "n", gone.alias("gone"), (F.col("clock") + F.col("n") - 1).alias("last"))
+    return held.groupBy("path").agg(F.sum("n").alias("n_raw"), F.sum(F.col("n") - F.col("gone")).alias("n_visible"), F.sum("gone").alias("n_deleted"), F.max("last").alias("clock"))
+
+
+def op_counts(ops: DataFrame) -> DataFrame:
+    """(path, ins, del) of op logs, counted on pieces."""
+    part = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0)).cast("long").alias(kind)
+    return pieces(ops, "seq").groupBy("path").agg(part("ins"), part("del"))
+
+
 def compress(ops: DataFrame) -> DataFrame:
     """Wire form of op logs: (path, run, kind, clock, peer, o_clock, o_peer, text, n, ids).
 
@@ -107,7 +110,7 @@ def compress(ops: DataFrame) -> DataFrame:
     Pieces are packed before the one shuffle and sort; then a pass over Arrow batches holds the last island only.
     Window functions and an aggregate would send every character through two shuffles, two sorts and a list of structs.
     """
-    columns = ["path", "kind", *IDS[1:], "text", "n"]
+    columns = ["path", "kind", *IDS[1:], "text", "n", "clocks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last, number = None, None, 0
@@ -147,8 +150,10 @@ def _packed(part: pa.Table, start: np.ndarray, last: str | None, number: int) ->
     gone = _gone(heads)
     kinds = np.where(gone, "dels", np.where(n > 1, "run", "ins"))
     texts = pc.if_else(pa.array(gone), pa.scalar(None, pa.string()), _joined(part.column("text").combine_chunks(), start))
-    ids = pa.StructArray.from_arrays([part.column("clock").combine_chunks(), part.column("peer").combine_chunks()], ["clock", "peer"])
-    lists = pa.ListArray.from_arrays(pa.array(np.r_[start, part.num_rows].astype(np.int32)), ids, mask=pa.array(~gone))
+    targets = part.column("clocks").combine_chunks()
+    many = pc.list_value_length(targets).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ids = pa.StructArray.from_arrays([targets.flatten(), pa.array(np.repeat(_numbers(part, "peer"), many))], ["clock", "peer"])
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)][np.r_[start, part.num_rows]].astype(np.int32)), ids, mask=pa.array(~gone))
     cells = [heads.column("path").combine_chunks(), pa.array(runs, pa.int64()), pa.array(kinds.tolist(), pa.string()), *(heads.column(c).combine_chunks() for c in IDS[1:]), texts, pa.array(n), lists]
     return pa.record_batch(cells, ["path", "run", "kind", "clock", "peer", "o_clock", "o_peer", "text", "n", "ids"]), last, number
 
@@ -161,16 +166,26 @@ def expand(wire: DataFrame) -> DataFrame:
     return ins.unionByName(gone)
 
 
+RUNS = "path string, run long, pos long, clock long, peer long, o_clock long, o_peer long, text string, deleted boolean, n long"
+
+
 def adopt(elems: DataFrame) -> DataFrame:
     """Stored runs of elements in document order: (path, run, pos, clock, peer, o_clock, o_peer, text, deleted, n).
 
-    A run also ends where liveness changes; of rows with the same id the first one counts.
+    A run goes on while the writer, the chain of origins and liveness do; of rows with the same id the first one counts.
     """
-    once = elems.withColumn("_at", F.row_number().over(W.partitionBy("path", "clock", "peer").orderBy("pos"))).filter("_at = 1").drop("_at")
-    runs = _islands(once, "pos", ~F.coalesce(chained() & (F.col("deleted") == F.col("_deleted")), F.lit(False)))
-    cells = F.sort_array(F.collect_list(F.struct("pos", "ch")))
-    grouped = runs.groupBy("path", "run").agg(F.min_by(F.struct("pos", "clock", "peer", "o_clock", "o_peer", "deleted"), "pos").alias("head"), cells.alias("cells"), F.count("*").alias("n"))
-    return grouped.select("path", "run", "head.*", F.array_join(F.transform("cells", lambda x: x["ch"]), "").alias("text"), "n")
+
+    def run(part: pa.Table) -> pa.Table:
+        pos, clock, peer, o_clock, o_peer, code, gone = _united(part, first=True)
+        same = (peer[1:] == peer[:-1]) & (clock[1:] == clock[:-1] + 1) & (o_clock[1:] == clock[:-1]) & (o_peer[1:] == peer[:-1]) & (gone[1:] == gone[:-1])
+        start = np.flatnonzero(np.r_[True, ~same][: len(pos)])
+        n, text = np.diff(np.r_[start, len(pos)]), code.tobytes().decode("utf-32-le")
+        none = o_clock[start] < 0
+        cells = [np.arange(1, len(start) + 1), pos[start], clock[start], peer[start]]
+        cells = [*map(pa.array, cells), pa.array(o_clock[start], mask=none), pa.array(o_peer[start], mask=none), pa.array([text[a : a + m] for a, m in zip(start.tolist(), n.tolist(), strict=True)], pa.string()), pa.array(gone[start]), pa.array(n)]
+        return pa.table([pa.array([part.column("path")[0].as_py()] * len(start), pa.string()), *cells], [x.split()[0] for x in RUNS.split(", ")])
+
+    return pieces(elems, "pos").groupBy("path").applyInArrow(run, RUNS)
 
 
 def visible(runs: DataFrame) -> DataFrame:
@@ -215,8 +230,11 @@ def blocked(ops: DataFrame, known: DataFrame) -> DataFrame:
 MERGED = ["path", "pos", "clock", "peer", "o_clock", "o_peer", "ch", "deleted"]
 
 
-def _united(part: pa.Table) -> tuple[np.ndarray, ...]:
-    """One path's pieces of both sides as arrays (pos, clock, peer, o_clock, o_peer, code point, deleted), each id once, by pos."""
+def _united(part: pa.Table, first: bool = False) -> tuple[np.ndarray, ...]:
+    """One path's pieces as arrays (pos, clock, peer, o_clock, o_peer, code point, deleted), each id once, by pos.
+
+    An element is deleted if any of its rows says so or, with `first`, if the first one does.
+    """
     n = _numbers(part, "n")
     base = np.repeat(np.arange(len(n)), n)
     off = np.arange(len(base)) - np.repeat(np.cumsum(n) - n, n)
@@ -224,11 +242,13 @@ def _united(part: pa.Table) -> tuple[np.ndarray, ...]:
     pos, clock = pos + off, clock + off
     o_clock, o_peer = np.where(off > 0, clock - 1, o_clock), np.where(off > 0, peer, o_peer)
     code = np.frombuffer("".join(part.column("text").to_pylist()).encode("utf-32-le"), np.uint32)
-    gone = np.frombuffer(b"".join(part.column("gone").to_pylist()), np.uint8)
+    gone = np.frombuffer("".join(part.column("gone").to_pylist()).encode(), np.uint8) & 1
+    if part.num_rows == 1:  # the ids of one piece differ, and stand in order
+        return pos, clock, peer, o_clock, o_peer, code, gone.astype(bool)
     by_id = np.lexsort((pos, peer, clock))
-    first = np.flatnonzero(np.r_[True, (np.diff(clock[by_id]) != 0) | (np.diff(peer[by_id]) != 0)])
-    gone = np.maximum.reduceat(gone[by_id], first).astype(bool)
-    kept = by_id[first]
+    at = np.flatnonzero(np.r_[True, (np.diff(clock[by_id]) != 0) | (np.diff(peer[by_id]) != 0)])
+    gone = (gone[by_id][at] if first else np.maximum.reduceat(gone[by_id], at)).astype(bool)
+    kept = by_id[at]
     order = np.lexsort((peer[kept], clock[kept], pos[kept]))
     return *(x[kept][order] for x in (pos, clock, peer, o_clock, o_peer, code)), gone[order]
 
@@ -262,6 +282,11 @@ def _both(a: DataFrame, b: DataFrame) -> GroupedData:
     return pieces(a, "pos").unionByName(pieces(b, "pos")).groupBy("path")
 
 
+def compact_runs(runs: DataFrame) -> DataFrame:
+    """Live runs of adopt(), renumbered from 1 as parts of one writer's run: (path, old_clock, old_peer, clock, n, text)."""
+    return visible(runs).join(runs.select("path", "run", "text"), ["path", "run"]).select("path", F.col("clock").alias("old_clock"), F.col("peer").alias("old_peer"), (F.col("start") + 1).alias("clock"), "n", "text")
+
+
 def live_text(elems: DataFrame) -> DataFrame:
     """(path, text) of the live elements by pos."""
     return elems.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("deleted"), F.struct("pos", "ch")))), lambda x: x["ch"]), "").alias("text"))
@@ -275,7 +300,12 @@ def compact(elems: DataFrame) -> DataFrame:
 
 
 def ordered_pieces(runs: list[tuple]) -> list[tuple[int, int, str]]:
-    """Document order of inserts given as runs (clock, peer, o_clock, o_peer, text): (clock, peer, text) pieces.
+    """What ordered_runs gives, without origins."""
+    return [(clock, peer, text) for clock, peer, _, text in ordered_runs(runs)]
+
+
+def ordered_runs(runs: list[tuple]) -> list[tuple[int, int, tuple[int, int] | None, str]]:
+    """Document order of inserts given as runs (clock, peer, o_clock, o_peer, text): (clock, peer, origin, text) pieces.
 
     The order is the pre-order walk of the tree of origins with siblings by falling (clock, peer). Runs are cut where
     another run hangs on one of their inner characters, so a document of a few runs has a few nodes, however long.
@@ -301,19 +331,46 @@ def ordered_pieces(runs: list[tuple]) -> list[tuple[int, int, str]]:
             for a, z in by_peer[origin[1]]:
                 if a <= origin[0] < z - 1:
                     cuts[(a, origin[1])].add(origin[0] + 1)
-    children: dict[tuple | None, list[tuple[int, int, str]]] = defaultdict(list)
+    children: dict[tuple | None, list[tuple[int, int, tuple | None, str]]] = defaultdict(list)
     for clock, peer, origin, text in chains:
         edges = [clock, *sorted(cuts[(clock, peer)]), clock + len(text)]
         for a, z in zip(edges, edges[1:], strict=False):
-            children[origin if a == clock else (a - 1, peer)].append((a, peer, text[a - clock : z - clock]))
-    out, stack = [], sorted(children[None])
+            above = origin if a == clock else (a - 1, peer)
+            children[above].append((a, peer, above, text[a - clock : z - clock]))
+    by_id = lambda x: x[:2]
+    out, stack = [], sorted(children[None], key=by_id)
     while stack:
-        clock, peer, text = stack.pop()
-        out.append((clock, peer, text))
-        stack += sorted(children.get((clock + len(text) - 1, peer), ()))
+        one = stack.pop()
+        out.append(one)
+        stack += sorted(children.get((one[0] + len(one[3]) - 1, one[1]), ()), key=by_id)
+    return out
+
+
+Gone = dict[int, np.ndarray]
+
+
+def deleted_in(clock: int, peer: int, n: int, gone: Gone) -> np.ndarray:
+    """Which of n characters from an id on are deleted; gone: the sorted clocks of each writer's deleted characters."""
+    out = np.zeros(n, bool)
+    if peer in gone:
+        lo, hi = np.searchsorted(gone[peer], [clock, clock + n])
+        out[gone[peer][lo:hi] - clock] = True
     return out
 
 
+def targets(part: pa.Table) -> Gone:
+    """The clocks of deleted characters by writer, from the ids of wire rows."""
+    ids = part.column("ids").combine_chunks().flatten()
+    clock, peer = (ids.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+    return {int(p): np.unique(clock[peer == p]) for p in np.unique(peer)}
+
+
+def inserts(part: pa.Table) -> list[tuple]:
+    """The inserts (clock, peer, o_clock, o_peer, text) of wire rows."""
+    own = part.filter(pc.not_equal(part.column("kind"), "dels"))
+    return list(zip(*(own.column(c).to_pylist() for c in ("clock", "peer", "o_clock", "o_peer", "text")), strict=True))
+
+
 def document_text(ops: DataFrame) -> DataFrame:
     """(path, text, n_raw, n_deleted): each path's op log replayed to its text, in any order of arrival.
 
@@ -321,14 +378,15 @@ def document_text(ops: DataFrame) -> DataFrame:
     """
     wire = compress(ops).select("path", "kind", "clock", "peer", "o_clock", "o_peer", "text", "ids")
 
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        none = lambda x: None if pd.isna(x) else int(x)
-        runs = [(int(r.clock), int(r.peer), none(r.o_clock), none(r.o_peer), r.text) for r in rows[rows.kind != "dels"].itertuples()]
-        gone = {(x["clock"], x["peer"]) for ids in rows[rows.kind == "dels"].ids for x in ids}
-        pieces = ordered_pieces(runs)
-        peers = {p for _, p in gone}
-        text = "".join("".join(c for k, c in enumerate(t) if (clock + k, peer) not in gone) if peer in peers else t for clock, peer, t in pieces)
-        raw = sum(len(t) for _, _, t in pieces)
-        return pd.DataFrame({"path": [rows.path.iloc[0]], "text": [text], "n_raw": [raw], "n_deleted": [raw - len(text)]})
-
-    return wire.groupBy("path").applyInPandas(replay, "path string, text string, n_raw long, n_deleted long")
+    def replay(part: pa.Table) -> pa.Table:
+        gone, live, raw = targets(part), [], 0
+        for clock, peer, text in ordered_pieces(inserts(part)):
+            raw += len(text)
+            if peer in gone:
+                code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+                text = code[~deleted_in(clock, peer, len(code), gone)].tobytes().decode("utf-32-le")
+            live.append(text)
+        text = "".join(live)
+        return pa.table([part.column("path")[:1], pa.array([text], pa.string()), pa.array([raw]), pa.array([raw - len(text)])], ["path", "text", "n_raw", "n_deleted"])
+
+    return wire.groupBy("path").applyInArrow(replay, "path string, text string, n_raw long, n_deleted long")

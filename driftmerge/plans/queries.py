@@ -113,7 +113,7 @@ THINNED = "clock % (2 + doc_id % 3) <> 0"
 @query(f"""SELECT s.path, n_raw, n_deleted FROM (SELECT path, count(*) AS n_raw, count_if({THINNED}) AS n_deleted FROM ({CHARS}) GROUP BY path) s
   JOIN ({MAN_A}) a ON s.path = a.path JOIN ({MAN_B}) b ON a.path = b.path AND a.hash = b.hash AND a.base = b.base WHERE n_deleted >= 256 AND n_deleted * 2 >= n_raw""")
 def compaction_candidates(spark: SparkSession, d: str) -> DataFrame:
-    sizes = R.characters(R.replica_a(spark, d)).groupBy("path").agg(F.count("*").alias("n_raw"), F.count_if(F.expr(THINNED)).alias("n_deleted"))
+    sizes = sequence.sizes(R.element_runs(R.replica_a(spark, d), THINNED)).select("path", "n_raw", "n_deleted")
     return reconcile.serve(reconcile.compaction(sizes, 256), unanimous_paths(spark, d))
 
 
@@ -180,13 +180,12 @@ def conflict_names(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT path, count_if(kind = 'ins') AS ins, count_if(kind = 'del') AS del FROM ({OPS}) GROUP BY path")
 def op_counts(spark: SparkSession, d: str) -> DataFrame:
-    return R.op_log(R.replica_a(spark, d)).groupBy("path").agg(F.count_if(F.col("kind") == "ins").alias("ins"), F.count_if(F.col("kind") == "del").alias("del"))
+    return sequence.op_counts(R.op_runs(R.replica_a(spark, d)))
 
 
 @query(f"SELECT path, count(*) AS n_raw, count_if(NOT ({R.DELETED})) AS n_visible, count_if({R.DELETED}) AS n_deleted, max(clock) AS clock FROM ({CHARS}) GROUP BY path")
 def doc_sizes(spark: SparkSession, d: str) -> DataFrame:
-    e = R.elements(R.replica_a(spark, d), R.DELETED)
-    return e.groupBy("path").agg(F.count("*").alias("n_raw"), F.count_if(~F.col("deleted")).alias("n_visible"), F.count_if("deleted").alias("n_deleted"), F.max("clock").alias("clock"))
+    return sequence.sizes(R.element_runs(R.replica_a(spark, d), R.DELETED))
 
 
 @query(f"""WITH o AS (SELECT *, lag(kind) OVER w AS pk, lag(clock) OVER w AS pc, lag(peer) OVER w AS pp FROM ({OPS}) WINDOW w AS (PARTITION BY path ORDER BY seq)),
@@ -194,13 +193,13 @@ def doc_sizes(spark: SparkSession, d: str) -> DataFrame:
   SELECT path, CAST(run AS BIGINT) AS run, CASE WHEN min(kind) = 'del' THEN 'dels' WHEN count(*) > 1 THEN 'run' ELSE 'ins' END AS kind, arg_min(clock, seq) AS clock, arg_min(CAST(peer AS BIGINT), seq) AS peer,
     sha256(coalesce(string_agg(ch, '' ORDER BY seq), '')) AS text_hash, count(*) AS n FROM i GROUP BY path, run""")
 def run_compress(spark: SparkSession, d: str) -> DataFrame:
-    w = sequence.compress(R.op_log(R.replica_a(spark, d)))
+    w = sequence.compress(R.op_runs(R.replica_a(spark, d)))
     return w.select("path", "run", "kind", "clock", "peer", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_hash"), "n")
 
 
 @query(f"SELECT path, count(*) AS n, CAST(sum(clock * (1 + peer)) AS BIGINT) AS ids, CAST(sum(coalesce(o_clock, 0)) AS BIGINT) AS origins FROM ({OPS}) GROUP BY path")
 def run_expand(spark: SparkSession, d: str) -> DataFrame:
-    back = sequence.expand(sequence.compress(R.op_log(R.replica_a(spark, d))))
+    back = sequence.expand(sequence.compress(R.op_runs(R.replica_a(spark, d))))
     return back.groupBy("path").agg(F.count("*").alias("n"), F.sum(F.col("clock") * (1 + F.col("peer"))).alias("ids"), F.sum(F.coalesce("o_clock", F.lit(0))).cast("long").alias("origins"))
 
 
@@ -212,7 +211,7 @@ ISLANDS = f"""WITH c AS (SELECT *, {R.DELETED} AS del, lag({R.DELETED}) OVER (PA
 
 @query(f"{ISLANDS} SELECT path, count(*) AS runs, CAST(sum(start) AS BIGINT) AS starts, CAST(max(start + n) AS BIGINT) AS n_visible FROM v GROUP BY path")
 def visible_ranks(spark: SparkSession, d: str) -> DataFrame:
-    v = sequence.visible(sequence.adopt(R.elements(R.replica_a(spark, d), R.DELETED)))
+    v = sequence.visible(sequence.adopt(R.element_runs(R.replica_a(spark, d), R.DELETED)))
     return v.groupBy("path").agg(F.count("*").alias("runs"), F.sum("start").alias("starts"), F.max(F.col("start") + F.col("n")).alias("n_visible"))
 
 
@@ -223,7 +222,7 @@ def rank_lookup(spark: SparkSession, d: str) -> DataFrame:
     a = R.replica_a(spark, d)
     n = F.char_length("text").cast("long")
     asked = a.filter("text <> ''").select("path", F.explode(F.array(F.lit(0).cast("long"), F.floor(n / 2), n - 1)).alias("rank"))
-    return sequence.at_rank(asked, sequence.visible(sequence.adopt(R.elements(a, R.DELETED))))
+    return sequence.at_rank(asked, sequence.visible(sequence.adopt(R.element_runs(a, R.DELETED))))
 
 
 @query(f"""{ISLANDS} SELECT q.path, q.clock, CAST(1 AS BIGINT) AS peer, r.clock AS run_clock, q.clock - r.clock AS "offset"
@@ -231,13 +230,13 @@ def rank_lookup(spark: SparkSession, d: str) -> DataFrame:
 def locate_ids(spark: SparkSession, d: str) -> DataFrame:
     a = R.replica_a(spark, d)
     ids = a.filter("text <> ''").select("path", (F.col("doc_id") * 31 % F.char_length("text") + 1).alias("clock"), F.lit(1).cast("long").alias("peer"))
-    return sequence.locate(ids, sequence.adopt(R.elements(a, R.DELETED)))
+    return sequence.locate(ids, sequence.adopt(R.element_runs(a, R.DELETED)))
 
 
 @query(f"SELECT path, count(*) AS n_raw, count_if({R.DELETED} OR {R.DELETED_B}) AS n_deleted, sha256(coalesce(string_agg(CASE WHEN {R.DELETED} OR {R.DELETED_B} THEN NULL ELSE ch END, '' ORDER BY clock), '')) AS text_hash FROM ({CHARS}) GROUP BY path")
 def merge_snapshot(spark: SparkSession, d: str) -> DataFrame:
     a = R.replica_a(spark, d)
-    both = sequence.merged_text(R.elements(a, R.DELETED), R.elements(a, R.DELETED_B))
+    both = sequence.merged_text(R.element_runs(a, R.DELETED), R.element_runs(a, R.DELETED_B))
     return both.select("path", "n_raw", "n_deleted", F.sha2("text", 256).alias("text_hash"))
 
 
@@ -247,7 +246,7 @@ LIVE = "list_filter(list_transform(range({a}, {z}), lambda i: CASE WHEN (i * 7 +
 @query(f"""SELECT path, sha256(t) AS text_hash, length(t) AS n_visible, n + 10 AS n_raw FROM (SELECT path, n, array_to_string({LIVE.format(a='1', z='k + 1')}, '') || 'worldhello' || array_to_string({LIVE.format(a='k + 1', z='n + 1')}, '') AS t
   FROM (SELECT path, doc_id, string_split(text, '') AS cs, length(text) AS n, doc_id % length(text) + 1 AS k FROM ({A}) WHERE text <> ''))""")
 def rga_text(spark: SparkSession, d: str) -> DataFrame:
-    t = sequence.document_text(R.op_log(R.replica_a(spark, d)))
+    t = sequence.document_text(R.op_runs(R.replica_a(spark, d)))
     return t.select("path", F.sha2("text", 256).alias("text_hash"), F.char_length("text").cast("long").alias("n_visible"), "n_raw")
 
 
@@ -267,9 +266,11 @@ def causal_waiting(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""SELECT path, count(*) AS n, CAST(sum(new_clock * clock) AS BIGINT) AS moved, sha256(string_agg(ch, '' ORDER BY clock)) AS text_hash FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY clock) AS new_clock FROM ({CHARS}) WHERE NOT ({R.DELETED})) GROUP BY path""")
 def compact_renumber(spark: SparkSession, d: str) -> DataFrame:
-    c = sequence.compact(R.elements(R.replica_a(spark, d), R.DELETED))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("clock", "ch"))), lambda x: x["ch"]), "")
-    return c.groupBy("path").agg(F.count("*").alias("n"), F.sum(F.col("clock") * F.col("old_clock")).alias("moved"), F.sha2(text, 256).alias("text_hash"))
+    c = sequence.compact_runs(sequence.adopt(R.element_runs(R.replica_a(spark, d), R.DELETED)))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("clock", "text"))), lambda x: x["text"]), "")
+    # Over a run of n characters: the sum of (clock + k) (old_clock + k).
+    moved = F.expr("n * clock * old_clock + (clock + old_clock) * (n * (n - 1) div 2) + (n - 1) * n * (2 * n - 1) div 6")
+    return c.groupBy("path").agg(F.sum("n").alias("n"), F.sum(moved).alias("moved"), F.sha2(text, 256).alias("text_hash"))
 
 
 VAR = "(1 + CAST({x} >= 128 AS BIGINT) + CAST({x} >= 16384 AS BIGINT) + CAST({x} >= 2097152 AS BIGINT))"
@@ -277,13 +278,18 @@ VAR = "(1 + CAST({x} >= 128 AS BIGINT) + CAST({x} >= 16384 AS BIGINT) + CAST({x}
 
 @query(f"SELECT path, 1 + 1 + {VAR.format(x='n')} + n + CAST(sum(strlen(ch)) AS BIGINT) + 1 AS bytes FROM ({CHARS}) GROUP BY path, n")
 def codec_size(spark: SparkSession, d: str) -> DataFrame:
-    return codec.encoded_size(R.elements(R.replica_a(spark, d), R.DELETED))
+    return codec.encoded_size(R.element_runs(R.replica_a(spark, d), R.DELETED))
 
 
-@query()
+@query(f"SELECT path, count(*) AS n, count_if({R.DELETED}) AS n_deleted, CAST(sum(clock * (1 + pos)) AS BIGINT) AS ids, CAST(sum(clock - 1) AS BIGINT) AS origins, sha256(string_agg(ch, '' ORDER BY clock)) AS text_hash FROM (SELECT *, clock AS pos FROM ({CHARS})) GROUP BY path")
 def codec_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    data = codec.encoded(R.elements(R.replica_a(spark, d), R.DELETED))
-    return data.join(codec_size(spark, d), "path").select("path", "n", (F.length("data") == F.col("bytes")).alias("size_agrees"))
+    """Elements as bytes and back: ids, order, origins, characters and liveness are what they were."""
+    back = sequence.pieces(codec.decoded(codec.encoded(R.element_runs(R.replica_a(spark, d), R.DELETED))), "pos")
+    ids = F.expr("n * clock * (1 + pos) + (clock + 1 + pos) * (n * (n - 1) div 2) + (n - 1) * n * (2 * n - 1) div 6")
+    origins = F.expr("if(o_clock is null, 0, o_clock) + (n - 1) * clock + (n - 1) * (n - 2) div 2")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "")
+    gone = F.length(F.translate("gone", "0", ""))
+    return back.filter("peer = 1").groupBy("path").agg(F.sum("n").alias("n"), F.sum(gone).cast("long").alias("n_deleted"), F.sum(ids).alias("ids"), F.sum(origins).alias("origins"), F.sha2(text, 256).alias("text_hash"))
 
 
 # Bytes
@@ -360,15 +366,11 @@ def diff_edit_counts(spark: SparkSession, d: str) -> DataFrame:
     return diffing.edit_counts(old.join(R.replica_b(spark, d).select("path", F.col("text").alias("new_text")), "path"))
 
 
-#: A character that no text holds marks what replica C inserts, so counts don't hang on which shortest script is found.
-MARK = "\ue000"
-
-
 @query(f"""SELECT path, (n + doc_id) // 53 - doc_id // 53 AS inserted, (n + doc_id) // 37 - doc_id // 37 AS deleted, TRUE AS exact FROM (SELECT path, doc_id, CAST(length(text) AS BIGINT) AS n FROM ({A}) WHERE text IS NOT NULL)""")
 def diff_inner_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Replica C lacks every 37th character of A and has a mark after every 53rd."""
-    edited = f"concat_ws('', transform(split(text, ''), (c, i) -> concat(if((i + 1 + doc_id) % 37 = 0, '', c), if(c <> '' AND (i + 1 + doc_id) % 53 = 0, '{MARK}', ''))))"
-    pairs = R.replica_a(spark, d).filter("text is not null").select("path", F.col("text").alias("old_text"), F.expr(edited).alias("new_text"))
+    """Edits inside every text."""
+    old = R.replica_a(spark, d).filter("text is not null").select("path", F.col("text").alias("old_text"))
+    pairs = old.join(R.replica_c(spark, d).select("path", F.col("text").alias("new_text")), "path")
     return diffing.edit_counts(pairs).select("path", "inserted", "deleted", "exact")
 
 

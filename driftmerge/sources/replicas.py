@@ -1,13 +1,15 @@
 """Replicas and op logs derived from the tables, over whole tables and whole texts.
 
 Replica A is ``documents``. Replica B lacks the documents labelled as of low quality and has edited the toxic ones.
-An op log holds a document's characters as one writer's inserts, two words that other writers insert at the same
-place at the same time, and deletes. The SQL constants state the same for DuckDB.
+Replica C has edits inside every text. An op log holds a document's characters as one writer's inserts, two words that
+other writers insert at the same place at the same time, and deletes. ``element_runs`` and ``op_runs`` give documents
+and logs as pieces, a few rows each; ``elements`` and ``op_log`` the same as single characters, for operators that
+join on ids. The SQL constants state the same for DuckDB.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmerge.functions import scalars
@@ -19,6 +21,11 @@ SQL_A = "SELECT concat(source, '/', doc_id) AS path, doc_id, text FROM documents
 SQL_B = """SELECT concat(source, '/', d.doc_id) AS path, d.doc_id, CASE WHEN l.toxic = 1 THEN text || ' edited' ELSE text END AS text
   FROM documents d LEFT JOIN (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id
   WHERE coalesce(l.quality, 1) <> 0"""
+#: A character that no text holds: what replica C inserts, so counts don't hang on which shortest script is found.
+MARK = "\ue000"
+#: Replica C lacks every 37th character of A and has a mark after every 53rd.
+SQL_C = f"""SELECT path, doc_id, CASE WHEN text = '' THEN '' ELSE array_to_string(list_transform(range(1, len(cs) + 1), lambda i: CASE WHEN (i + doc_id) % 37 = 0 THEN '' ELSE cs[i] END || CASE WHEN (i + doc_id) % 53 = 0 THEN '{MARK}' ELSE '' END), '') END AS text
+  FROM (SELECT path, doc_id, text, string_split(text, '') AS cs FROM ({SQL_A}))"""
 SQL_BASE = "(CAST('0x' || substr(sha256(path || '|' || text), 1, 15) AS BIGINT) | 1)"
 #: Characters of replica A: path, doc_id, n, clock, ch.
 SQL_CHARS = f"SELECT path, doc_id, len(cs) AS n, unnest(range(1, len(cs) + 1)) AS clock, unnest(cs) AS ch FROM (SELECT path, doc_id, string_split(text, '') AS cs FROM ({SQL_A}) WHERE text <> '')"
@@ -37,6 +44,34 @@ def replica_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.concat("source", F.lit("/"), "doc_id").alias("path"), "doc_id", text.alias("text"))
 
 
+def replica_c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edited = f"concat_ws('', transform(split(text, ''), (c, i) -> concat(if((i + 1 + doc_id) % 37 = 0, '', c), if(c <> '' AND (i + 1 + doc_id) % 53 = 0, '{MARK}', ''))))"
+    return replica_a(spark, sf_dir).select("path", "doc_id", F.expr(edited).alias("text"))
+
+
+def element_runs(docs: DataFrame, deleted: str = "false") -> DataFrame:
+    """Stored documents as pieces, a row each: (path, pos, clock, peer, o_clock, o_peer, text, n, gone, doc_id)."""
+    none, one = F.lit(None).cast("long"), F.lit(1).cast("long")
+    gone = F.expr(f"array_join(transform(sequence(1L, n), clock -> if({deleted}, '1', '0')), '')")
+    sized = docs.filter("text <> ''").withColumn("n", F.char_length("text").cast("long"))
+    return sized.select("path", one.alias("pos"), one.alias("clock"), F.lit(WRITER).cast("long").alias("peer"), none.alias("o_clock"), none.alias("o_peer"), "text", "n", gone.alias("gone"), "doc_id")
+
+
+def op_runs(docs: DataFrame) -> DataFrame:
+    """The op log of ``op_log`` as pieces, four rows a document."""
+    none, writer = F.lit(None).cast("long"), F.lit(WRITER).cast("long")
+    n = F.char_length("text").cast("long")
+    no_clocks = F.lit(None).cast("array<bigint>")
+    deleted = F.expr(f"filter(sequence(1L, char_length(text)), clock -> {DELETED})")
+
+    def op(seq: Column, kind: str, clock: Column, peer: Column, o_clock: Column, o_peer: Column, text: Column, size: Column, clocks: Column) -> Column:
+        return F.struct(seq.cast("long").alias("seq"), F.lit(kind).alias("kind"), clock.cast("long").alias("clock"), peer.alias("peer"), o_clock.alias("o_clock"), o_peer.alias("o_peer"), text.alias("text"), size.cast("long").alias("n"), clocks.alias("clocks"))
+
+    word = lambda k, peer, text: op(n + 5 * k + 1, "ins", n + 1, F.lit(peer).cast("long"), F.col("doc_id") % n + 1, writer, F.lit(text), F.lit(5), no_clocks)
+    log = F.array(op(F.lit(1), "ins", F.lit(1), writer, none, none, F.col("text"), n, no_clocks), word(0, LEFT, "hello"), word(1, RIGHT, "world"), op(n + 11, "del", F.get(deleted, F.lit(0)), writer, none, none, F.lit(""), F.size(deleted), deleted))
+    return docs.filter("text <> ''").select("path", F.explode(log).alias("x")).select("path", "x.*").filter("n > 0")
+
+
 def characters(docs: DataFrame) -> DataFrame:
     """Rows (path, doc_id, n, clock, ch): clock counts from 1.
 
