@@ -51,6 +51,11 @@ def is_binary(content: Column) -> Column:
     return F.contains(content, F.unhex(F.lit("00"))) | ~F.is_valid_utf8(content.cast("string"))
 
 
+def lossy_text(content: Column) -> Column:
+    """Bytes as text: what isn't UTF-8 becomes the replacement character."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def varint_length(value: Column) -> Column:
     """Bytes of an unsigned value in groups of seven bits."""
     out = F.lit(1)

@@ -220,22 +220,50 @@ def chunks(ops: DataFrame, target: int) -> DataFrame:
     return ops.select("path", "ops").mapInArrow(run, f"path string, seq long, total long, ops {OPS}")
 
 
-def reassemble(parts: DataFrame) -> DataFrame:
-    """(path, complete, ops): a transfer is complete if each of its chunks is there; repeated ones count once.
+def reassemble(parts: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
+    """(*keys, complete, ops): a transfer is complete if each of its chunks is there; repeated ones count once.
 
     One shuffle, by path, serves both the repeated chunks and the transfers.
     """
-    once = parts.repartition("path").dropDuplicates(["path", "seq"])
+    once = parts.repartition("path").dropDuplicates([*keys, "seq"])
     flat = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seq", "ops"))), lambda x: x["ops"]))
-    return once.groupBy("path").agg((F.count("*") == F.max("total")).alias("complete"), flat.alias("ops"))
+    return once.groupBy(*keys).agg((F.count("*") == F.max("total")).alias("complete"), flat.alias("ops"))
 
 
 def inflated(whole: DataFrame) -> DataFrame:
-    """Compressed literals of (path, complete, ops) made plain again."""
+    """Compressed literals of rows with ops made plain again."""
+    keep = [c for c in whole.columns if c != "ops"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [[{"kind": "lit", "block_no": None, "bytes": inflate(x["bytes"])} if x["kind"] == "litz" else x for x in cell or []] for cell in batch.column(2).to_pylist()]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(done, _OPS)], ["path", "complete", "ops"])
+            done = [[{"kind": "lit", "block_no": None, "bytes": inflate(x["bytes"])} if x["kind"] == "litz" else x for x in cell or []] for cell in batch.column("ops").to_pylist()]
+            yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(done, _OPS)], [*keep, "ops"])
 
-    return whole.select("path", "complete", "ops").mapInArrow(run, f"path string, complete boolean, ops {OPS}")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in whole.select(*keep).schema)
+    return whole.select(*keep, "ops").mapInArrow(run, f"{kinds}, ops {OPS}")
+
+
+TRANSFER = ("peer", "path", "hash")
+
+
+def received(chunks: DataFrame, old: DataFrame, size: int) -> DataFrame:
+    """Transfers of (peer, path, hash, seq, total, ops): (*TRANSFER, outcome, content), each sender's on its own.
+
+    "verified" with the content, if all chunks came and what they rebuild from our old content (path, content) has the
+    announced hash; else "missing chunks" or "other content", without one. Only complete transfers are rebuilt.
+    """
+    whole = reassemble(chunks, TRANSFER)
+    rebuilt = rebuild(inflated(whole.filter("complete")), old, size).withColumn("ok", F.sha2("content", 256) == F.col("hash"))
+    done = rebuilt.select(*TRANSFER, F.when(F.col("ok"), "verified").otherwise("other content").alias("outcome"), F.when(F.col("ok"), F.col("content")).alias("content"))
+    return done.unionByName(whole.filter("not complete").select(*TRANSFER, F.lit("missing chunks").alias("outcome"), F.lit(None).cast("binary").alias("content")))
+
+
+def committed(transfers: DataFrame, state: DataFrame) -> DataFrame:
+    """Verified transfers (path, hash, len, version, relay): versions never fall; others hear of it if the content is new.
+
+    state: (path, hash, version); of several verified transfers of a path the largest (version, peer) counts. transfers
+    have a version beside what ``received`` gives.
+    """
+    best = transfers.filter("outcome = 'verified'").groupBy("path").agg(F.max_by(F.struct("hash", F.length("content").cast("long").alias("len"), "version"), F.struct("version", "peer")).alias("x")).select("path", "x.*")
+    mine = state.select("path", F.col("hash").alias("l_hash"), F.col("version").alias("l_version"))
+    return best.join(mine, "path", "left").select("path", "hash", "len", F.greatest("version", F.coalesce("l_version", F.lit(0))).alias("version"), (~F.col("hash").eqNullSafe(F.col("l_hash"))).alias("relay"))

@@ -63,6 +63,11 @@ def absent(known: DataFrame, live: DataFrame) -> DataFrame:
     return known.select("peer").distinct().join(live.select("peer").distinct(), "peer", "left_anti")
 
 
+def unwritten(touches: DataFrame, writes: DataFrame) -> DataFrame:
+    """Touches (path, hash, ...) whose content we never wrote there ourselves; a write stops any number of them."""
+    return touches.join(writes.select("path", "hash"), ["path", "hash"], "left_anti")
+
+
 def compaction(sizes: DataFrame, least: int) -> DataFrame:
     """Paths (path, n_raw, n_deleted) with at least `least` tombstones that are at least half of all elements."""
     return sizes.filter((F.col("n_deleted") >= least) & (F.col("n_deleted") * 2 >= F.col("n_raw")))

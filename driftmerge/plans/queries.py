@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmerge.functions import paths, scalars
-from driftmerge.operators import blocks, codec, diffing, events, reconcile, sequence
+from driftmerge.operators import blocks, codec, diffing, documents, events, reconcile, sequence
 from driftmerge.sources import replicas as R
 from driftmerge.sources.tables import table
 from driftmerge.streaming import streams
@@ -94,10 +94,11 @@ def last_writer_wins(spark: SparkSession, d: str) -> DataFrame:
     return reconcile.last_writer(a.unionByName(b))
 
 
-@query("SELECT DISTINCT user_id AS peer FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup')")
+@query("SELECT DISTINCT user_id AS peer FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND ts >= TIMESTAMP '2024-01-30 00:00:00')")
 def known_peers_missing(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select(F.col("user_id").alias("peer"), "event_type")
-    return reconcile.absent(e, e.filter("event_type = 'signup'"))
+    """Users who were seen, but didn't sign up in the last days."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("peer"), "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    return reconcile.absent(e, e.filter("event_type = 'signup' and ts >= timestamp '2024-01-30 00:00:00'"))
 
 
 @query(f"SELECT a.path, a.hash, a.base FROM ({MAN_A}) a JOIN ({MAN_B}) b ON a.path = b.path AND a.hash = b.hash AND a.base = b.base")
@@ -292,6 +293,144 @@ def codec_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return back.filter("peer = 1").groupBy("path").agg(F.sum("n").alias("n"), F.sum(gone).cast("long").alias("n_deleted"), F.sum(ids).alias("ids"), F.sum(origins).alias("origins"), F.sha2(text, 256).alias("text_hash"))
 
 
+# Documents of a replica: edits, ops, snapshots, compaction
+
+C = R.SQL_C
+#: Our peer, and the one whose changes come.
+US, THEM = 3, 7
+ABC = f"(SELECT a.path, a.doc_id, a.text AS a, c.text AS c, {BASE.replace('text', 'a.text').replace('path', 'a.path')} AS base FROM ({A}) a JOIN ({C}) c ON a.path = c.path)"
+
+
+def state_a(spark: SparkSession, d: str) -> DataFrame:
+    return documents.from_text(R.replica_a(spark, d))
+
+
+def with_id(rows: DataFrame) -> DataFrame:
+    """Adds doc_id, which paths end with."""
+    return rows.withColumn("doc_id", F.element_at(F.split("path", "/"), -1).cast("long"))
+
+
+@query(f"SELECT path, base, sha256(a) AS hash, CAST(0 AS BIGINT) AS tombstones FROM {ABC} WHERE doc_id % 2 = 1 UNION ALL SELECT path, base, sha256(c), (length(a) + doc_id) // 37 - doc_id // 37 FROM {ABC} WHERE doc_id % 2 = 0")
+def manifest_tombstones(spark: SparkSession, d: str) -> DataFrame:
+    """Manifests after half of the documents were edited."""
+    edits = documents.detected(state_a(spark, d), R.replica_c(spark, d).filter("doc_id % 2 = 0"), THEM)
+    return documents.manifest(documents.applied(state_a(spark, d), edits)).select("path", "base", "hash", "tombstones")
+
+
+@query(f"SELECT path, (length(a) + doc_id) // 53 - doc_id // 53 AS inserted, (length(a) + doc_id) // 37 - doc_id // 37 AS deleted, length(a) + (length(a) + doc_id) // 53 - doc_id // 53 AS last_clock, sha256(c) AS hash FROM {ABC} WHERE a <> c")
+def detected_ops(spark: SparkSession, d: str) -> DataFrame:
+    """Ops that lead from A to C: counted, and applied to A again."""
+    state = state_a(spark, d)
+    ops = documents.detected(state, R.replica_c(spark, d), THEM)
+    after = documents.applied(state, ops).join(ops.select("path"), "path", "left_semi")
+    last = F.array_max(F.transform("runs", lambda r: r["clock"] + F.char_length(r["text"]) - 1)).alias("last_clock")
+    return after.select("path", "inserted", "deleted", last).join(documents.texts(after).select("path", F.sha2("text", 256).alias("hash")), "path")
+
+
+KNOWN, LOCAL_EDIT, OTHER_BASE = "doc_id % 5 <> 1", "doc_id % 5 <> 1 AND doc_id % 3 = 0 AND doc_id % 6 <> 0", "doc_id % 4 = 0"
+
+
+@query(f"""SELECT path, NOT ({KNOWN}) AND a <> c AS waiting, CAST(({KNOWN}) AND a <> c AND {OTHER_BASE} AS BIGINT) AS dropped,
+  sha256(CASE WHEN NOT ({KNOWN}) THEN '' ELSE CASE WHEN a <> c AND NOT {OTHER_BASE} THEN c ELSE a END || CASE WHEN a <> c AND {LOCAL_EDIT} THEN ' local' ELSE '' END END) AS hash
+  FROM {ABC} WHERE ({KNOWN}) OR a <> c AND (length(a) + doc_id) // 53 > doc_id // 53""")
+def remote_ops(spark: SparkSession, d: str) -> DataFrame:
+    """Ops arrive for C: some of another lineage, some for unknown documents, some over edits on disk that we haven't noticed.
+
+    Deletes of unknown documents hold no text, so only inserts can wait.
+    """
+    a = state_a(spark, d)
+    state = with_id(a).filter(KNOWN).select("path", "base", "runs")
+    sent = with_id(documents.detected(a, R.replica_c(spark, d), THEM))
+    ops = sent.select("path", F.when(F.expr(f"{OTHER_BASE} and {KNOWN}"), F.col("base") + 2).otherwise(F.col("base")).alias("base"), "ops")
+    disk = R.replica_a(spark, d).select("path", "doc_id", F.when(F.expr("doc_id % 3 = 0"), F.concat("text", F.lit(" local"))).otherwise(F.col("text")).cast("binary").alias("content"))
+    own = disk.filter("doc_id % 6 = 0").select("path", F.sha2("content", 256).alias("hash"))
+    after = documents.received_ops(state, ops, disk.select("path", "content"), own, US)
+    text = documents.texts(after).select("path", F.sha2("text", 256).alias("hash"))
+    return after.filter("waiting > 0 or size(runs) > 0").select("path", (F.col("waiting") > 0).alias("waiting"), "dropped").join(text, "path")
+
+
+OUTCOME = """CASE WHEN doc_id % 4 = 0 THEN 'adopt' WHEN doc_id % 4 = 1 THEN 'merge' WHEN doc_id % 4 = 2 THEN 'ignore' WHEN doc_id % 8 = 3 THEN 'adopt-same' WHEN doc_id % 16 = 7 THEN 'rebase' ELSE 'conflict' END"""
+
+
+@query(f"""SELECT path, outcome, base, sha256(CASE outcome WHEN 'adopt' THEN c WHEN 'merge' THEN c || ' local' WHEN 'adopt-same' THEN a WHEN 'conflict' THEN c ELSE a || ' local' END) AS hash, outcome IN ('adopt', 'rebase', 'conflict') OR outcome = 'merge' AND a <> c AS relay,
+  CASE WHEN outcome = 'conflict' THEN path || '.conflict-00000003' END AS conflict, CASE WHEN outcome = 'conflict' THEN sha256(a || ' local') END AS conflict_hash
+  FROM (SELECT path, doc_id, a, c, {OUTCOME} AS outcome, base - CASE WHEN doc_id % 4 = 3 THEN 2 ELSE 0 END AS base FROM {ABC})""")
+def snapshots_received(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots of C meet our documents: unknown, of one lineage with edits on both sides, or of two lineages."""
+    a = with_id(state_a(spark, d))
+    mine = R.replica_a(spark, d).select("path", "doc_id", F.concat("text", F.lit(" local")).alias("text"))
+    plain = lambda rows: rows.select("path", "base", "runs")
+    edited = lambda new, peer: documents.applied(plain(a.filter("doc_id % 4 = 1")), documents.detected(plain(a.filter("doc_id % 4 = 1")), new, peer)).select("path", "base", "runs")
+    fresh = lambda rows, where: with_id(documents.from_text(rows.filter(where)))
+    # Lineages are those of A; theirs are higher or lower by two where they differ.
+    base = a.select("path", F.col("base").alias("own"))
+    shifted = lambda rows, by: rows.join(base, "path").select("path", (F.col("own") + by).alias("base"), "runs")
+    same = fresh(R.replica_a(spark, d), "doc_id % 8 = 3")
+    theirs = (
+        shifted(fresh(R.replica_c(spark, d), "doc_id % 4 = 0"), F.lit(0)).unionByName(edited(R.replica_c(spark, d), THEM)).unionByName(shifted(fresh(R.replica_c(spark, d), "doc_id % 4 = 2"), F.lit(2)))
+        .unionByName(shifted(same, F.lit(-2))).unionByName(shifted(fresh(R.replica_c(spark, d), "doc_id % 8 = 7"), F.lit(-2)))
+    )
+    ours = edited(mine, US).unionByName(shifted(fresh(mine, "doc_id % 4 = 2 or doc_id % 8 = 7"), F.lit(0))).unionByName(shifted(same, F.lit(0)))
+    time = lambda rows, when: with_id(rows).withColumn("mtime", F.expr(when)).drop("doc_id")
+    out = documents.received_snapshots(time(ours, "if(doc_id % 16 = 7, 5L, 1L)"), time(theirs, "3L"), US, THEM)
+    text = documents.texts(out).select("path", F.sha2("text", 256).alias("hash"))
+    return out.select("path", "outcome", "base", "relay", "conflict", F.sha2("conflict_text", 256).alias("conflict_hash")).join(text, "path")
+
+
+LEFT = f"SELECT path, count(*) AS n_before, count_if(NOT ({THINNED})) AS n_after, string_agg(CASE WHEN {THINNED} THEN NULL ELSE ch END, '' ORDER BY clock) AS text, any_value(doc_id) AS doc_id FROM ({CHARS}) GROUP BY path"
+
+
+@query(f"SELECT path, {BASE} AS base, sha256(text) AS text_hash, n_before, n_after FROM ({LEFT}) WHERE n_before - n_after >= 256 AND (n_before - n_after) * 2 >= n_before AND doc_id % 7 <> 0")
+def compaction_round(spark: SparkSession, d: str) -> DataFrame:
+    """Checkpoints that the lowest peer gives out; one peer reports another lineage for every seventh document."""
+    a = R.replica_a(spark, d)
+    runs = R.element_runs(a, THINNED).select("path", F.array(F.struct("clock", "peer", "o_clock", "o_peer", "text", "gone")).alias("runs"))
+    state = R.manifest(a).select("path", "base").join(runs, "path")
+    seen = with_id(documents.manifest(state))
+    reports = seen.select(F.lit(20).alias("peer"), "path", "hash", "base").unionByName(seen.select(F.lit(30).alias("peer"), "path", "hash", (F.col("base") + F.when(F.expr("doc_id % 7 = 0"), 2).otherwise(0)).alias("base")))
+    peers = spark.createDataFrame([(20,), (30,)], "peer int")
+    return documents.compacted(state, reports, peers, peers, 10, 256).select("path", "base", "text_hash", "n_before", "n_after")
+
+
+@query(f"""SELECT CASE WHEN doc_id % 10 = 7 THEN path || '.moved' ELSE path END AS path, sha256(text) AS hash FROM ({A}) WHERE doc_id % 10 <> 3""")
+def changes_applied(spark: SparkSession, d: str) -> DataFrame:
+    """State after deletes and renames."""
+    return _changed(spark, d)[0]
+
+
+@query(f"SELECT path, CASE WHEN doc_id % 10 = 3 THEN 'delete' ELSE 'rename' END AS kind FROM ({A}) WHERE doc_id % 10 IN (3, 7)")
+def changes_relayed(spark: SparkSession, d: str) -> DataFrame:
+    """Deletes and renames that others must hear of: those of unknown paths end here."""
+    return _changed(spark, d)[1].select("path", "kind")
+
+
+def _changed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    a = R.replica_a(spark, d)
+    kind = F.when(F.expr("doc_id % 10 = 7"), "rename").otherwise("delete")
+    path = F.when(F.expr("doc_id % 10 = 9"), F.concat(F.lit("ghost/"), "doc_id")).otherwise(F.col("path"))
+    changes = a.filter("doc_id % 10 in (3, 7, 9)").select(F.lit(1).alias("seq"), kind.alias("kind"), path.alias("path"), F.concat("path", F.lit(".moved")).alias("target"))
+    # An earlier change of the same path doesn't count.
+    changes = changes.unionByName(changes.filter("kind = 'rename'").select(F.lit(0).alias("seq"), F.lit("delete").alias("kind"), "path", "target"))
+    return documents.changed(R.manifest(a).select("path", "hash"), changes)
+
+
+@query("""WITH l AS (SELECT DISTINCT a.n_nationkey AS src, b.n_nationkey AS dst FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey <> b.n_nationkey)
+  SELECT CAST(o_orderkey AS BIGINT) AS message, CAST(dst AS BIGINT) AS dst FROM orders JOIN l ON src = o_custkey % 25 WHERE dst <> o_orderkey % 25 AND o_totalprice <= 150000""")
+def message_forwards(spark: SparkSession, d: str) -> DataFrame:
+    """Nations of a region are linked, twice, and each with itself; orders are messages."""
+    n = table(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    links = n.alias("a").join(n.alias("b"), "n_regionkey").select(F.col("a.n_nationkey").alias("src"), F.col("b.n_nationkey").alias("dst"))
+    m = table(spark, d, "orders").select(F.col("o_orderkey").alias("message"), (F.col("o_custkey") % 25).alias("peer"), (F.col("o_orderkey") % 25).alias("sender"), F.col("o_totalprice").alias("bytes"))
+    return documents.forwards(m, links.union(links), 150_000).select("message", F.col("dst").cast("long").alias("dst"))
+
+
+@query(f"SELECT path, CASE WHEN unicode(right(text, 1)) > 127 THEN left(text, length(text) - 1) || chr(65533) ELSE left(text, length(text) - 1) END AS text FROM ({A}) WHERE text <> ''")
+def lossy_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts whose last byte is lost."""
+    b = R.replica_a(spark, d).filter("text <> ''").select("path", F.col("text").cast("binary").alias("content"))
+    return b.select("path", scalars.lossy_text(F.substring(F.col("content"), F.lit(1), F.length("content") - 1)).alias("text"))
+
+
 # Bytes
 
 
@@ -354,6 +493,26 @@ def reassemble_check(spark: SparkSession, d: str) -> DataFrame:
     return rebuilt.select("path", "complete", F.sha2("content", 256).alias("hash"))
 
 
+@query(f"SELECT path, TRUE AS complete, sha256(text) AS hash FROM ({C})")
+def reassemble_inner(spark: SparkSession, d: str) -> DataFrame:
+    """The same for replica C, whose texts differ from A's inside."""
+    parts = blocks.chunks(blocks.deltas(contents(R.replica_c(spark, d)), blocks.signatures(contents(R.replica_a(spark, d)), SIZE), SIZE), 1024)
+    rebuilt = blocks.rebuild(blocks.inflated(blocks.reassemble(parts)), contents(R.replica_a(spark, d)), SIZE)
+    return rebuilt.select("path", "complete", F.sha2("content", 256).alias("hash"))
+
+
+@query(f"""SELECT CAST(7 AS BIGINT) AS peer, path, CASE WHEN doc_id % 5 = 1 THEN 'missing chunks' WHEN doc_id % 5 = 2 THEN 'other content' ELSE 'verified' END AS outcome, CASE WHEN doc_id % 5 NOT IN (1, 2) THEN strlen(text) END AS len FROM ({C})
+  UNION ALL SELECT 8, path, 'verified', strlen(text) FROM ({C}) WHERE doc_id % 10 = 1""")
+def transfers_received(spark: SparkSession, d: str) -> DataFrame:
+    """Transfers of C from two peers: of one, some announce a chunk that never comes or another content; the other sends some whole."""
+    new = R.replica_c(spark, d).select("path", "doc_id", F.col("text").cast("binary").alias("content"))
+    parts = blocks.chunks(blocks.deltas(new, blocks.signatures(contents(R.replica_a(spark, d)), SIZE), SIZE), 1024)
+    sent = parts.join(new.select("path", "doc_id", F.sha2("content", 256).alias("hash")), "path")
+    first = sent.withColumn("peer", F.lit(7).cast("long")).withColumn("total", F.col("total") + F.when(F.expr("doc_id % 5 = 1"), 1).otherwise(0)).withColumn("hash", F.when(F.expr("doc_id % 5 = 2"), F.sha2("hash", 256)).otherwise(F.col("hash")))
+    both = first.unionByName(sent.filter("doc_id % 10 = 1").withColumn("peer", F.lit(8).cast("long")))
+    return blocks.received(both, contents(R.replica_a(spark, d)), SIZE).select("peer", "path", "outcome", F.length("content").cast("long").alias("len"))
+
+
 @query(f"SELECT path, sha256(text) AS hash FROM ({A})")
 def compress_round_trip(spark: SparkSession, d: str) -> DataFrame:
     c = contents(R.replica_a(spark, d)).withColumn("z", scalars.maybe_compress("content"))
@@ -432,6 +591,13 @@ def echo_suppressed(spark: SparkSession, d: str) -> DataFrame:
     return events.unechoed(e, writes, "10 seconds").select("event_id", "path", "hash")
 
 
+@query(f"SELECT event_id, path, hash FROM ({EV}) e WHERE NOT EXISTS (SELECT 1 FROM ({EV}) w WHERE w.kind = 'purchase' AND w.path = e.path AND w.hash = e.hash)")
+def unwritten_touches(spark: SparkSession, d: str) -> DataFrame:
+    """Touches whose content we never wrote there."""
+    e = by_user(spark, d)
+    return reconcile.unwritten(e, e.filter("kind = 'purchase'")).select("event_id", "path", "hash")
+
+
 @query(f"SELECT event_id, path FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) AS nth FROM ({EV})) WHERE nth <= 16")
 def recent_self_writes(spark: SparkSession, d: str) -> DataFrame:
     return events.recent_writes(by_user(spark, d)).select("event_id", "path")
