@@ -9,10 +9,12 @@ from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftmerge.sources.shared import materialize
+
 
 def touched(raw: DataFrame) -> DataFrame:
     """(ts, path, kind) of raw events (ts, path, kind, is_dir, exists): accesses and folders go; what exists was touched."""
@@ -102,15 +104,19 @@ def percentiles(samples: DataFrame, ranks: tuple[float, ...] = (0.5, 0.9, 0.99,
     return asked.filter((place < F.col("upto")) & (place >= F.col("upto") - F.col("c"))).select("label", "p", "value")
 
 
-def reach(spark: SparkSession, edges: DataFrame, source: int, levels: int = 100) -> DataFrame:
+def reach(edges: DataFrame, source: int) -> DataFrame:
     """(topology, peer, hops): how a message from `source` floods along edges (topology, src, dst), each peer once.
 
-    Recursive SQL; a walk never returns to a peer it was at. For sparse topologies.
+    Each round follows the links of the peers that the last one reached and leaves out those that are known, so the
+    work is the number of links, in sparse and in dense topologies; there are as many rounds as hops.
     """
-    return spark.sql(
-        f"""WITH RECURSIVE r(topology, peer, hops, seen) MAX RECURSION LEVEL {levels} AS (
-          SELECT DISTINCT topology, CAST({source} AS BIGINT), 0, array(CAST({source} AS BIGINT)) FROM {{edges}}
-          UNION ALL SELECT r.topology, e.dst, r.hops + 1, array_append(r.seen, e.dst) FROM r JOIN {{edges}} e ON e.topology = r.topology AND e.src = r.peer AND NOT array_contains(r.seen, e.dst)
-        ) SELECT topology, peer, CAST(min(hops) AS BIGINT) AS hops FROM r GROUP BY topology, peer""",
-        edges=edges,
-    )
+    ways = materialize(edges.select("topology", "src", "dst").distinct(), "links")
+    seen = last = materialize(ways.select("topology", F.lit(source).cast("long").alias("peer"), F.lit(0).cast("long").alias("hops")).distinct(), "reached")
+    hops = 0
+    while True:
+        hops += 1
+        on = last.join(ways, (last.topology == ways.topology) & (last.peer == ways.src)).select(ways.topology, F.col("dst").cast("long").alias("peer")).distinct()
+        last = materialize(on.join(seen, ["topology", "peer"], "left_anti").withColumn("hops", F.lit(hops).cast("long")), "reached")
+        if last.isEmpty():
+            return seen
+        seen = seen.unionByName(last)

@@ -627,5 +627,4 @@ TOPOLOGY = """SELECT 'chain' AS topology, CAST(n_nationkey AS BIGINT) AS src, CA
 @query(f"""WITH RECURSIVE e AS ({TOPOLOGY}), r AS (SELECT DISTINCT topology, CAST(0 AS BIGINT) AS peer, CAST(0 AS BIGINT) AS hops FROM e UNION SELECT e.topology, e.dst, r.hops + 1 FROM r JOIN e ON e.topology = r.topology AND e.src = r.peer WHERE r.hops < 25)
   SELECT topology, peer, min(hops) AS hops FROM r GROUP BY ALL""")
 def relay_reach(spark: SparkSession, d: str) -> DataFrame:
-    table(spark, d, "nation").createOrReplaceTempView("nation")
-    return events.reach(spark, spark.sql(TOPOLOGY), 0)
+    return events.reach(spark.sql(TOPOLOGY.replace("FROM nation", "FROM {nation}"), nation=table(spark, d, "nation")), 0)

@@ -1,15 +1,16 @@
-"""Table access, file scans and sinks.
-
-``scan_files`` is the directory scan: Spark's binary source lists and reads files in parallel. ``write_files`` is the
-atomic sink: Spark's commit protocol publishes a job's files together.
-"""
+"""Table access, file scans, state and file sinks. All of them go through Spark, so any store that Spark reads will do."""
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftmerge.functions import paths, scalars
+from driftmerge.sources.shared import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,14 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scan_files(spark: SparkSession, root: str, rules: list[str] = ()) -> DataFrame:
-    """Rows (path, len, mtime_ms, hash, is_binary) of all files below root that no rule ignores."""
+    """Rows (path, len, mtime_ms, hash, is_binary) of all files below root that no rule ignores.
+
+    Files without content have no row: Spark's source leaves them out. Names are listed first, without contents; only files that no rule ignores are opened, a task each reading its own.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    prefix = root.removeprefix("file:").rstrip("/") + "/"
-    # Column pruning keeps the listing cheap; the path test runs before file contents are looked at.
-    rel = F.expr(f"substring(path, locate('{prefix}', path) + {len(prefix)})")
-    listed = files.withColumn("rel", rel).filter(~paths.ignored(F.col("rel"), [*paths.BUILT_IN, *rules]))
-    return listed.select(
-        F.col("rel").alias("path"), F.col("length").alias("len"), (F.col("modificationTime").cast("double") * 1000).cast("long").alias("mtime_ms"), F.sha2("content", 256).alias("hash"),
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    prefix = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/") + "/"
+    # The source prunes the content column where it isn't asked for, so this pass reads no file.
+    names = files.select("path").withColumn("rel", F.substr("path", F.lit(len(prefix) + 1)))
+    ignored = names.filter(paths.ignored(F.col("rel"), [*paths.BUILT_IN, *rules])).select("path")
+    kept = files.join(ignored, "path", "left_anti")
+    return kept.select(
+        F.substr("path", F.lit(len(prefix) + 1)).alias("path"), F.col("length").alias("len"), (F.col("modificationTime").cast("double") * 1000).cast("long").alias("mtime_ms"), F.sha2("content", 256).alias("hash"),
         scalars.is_binary(scalars.sniffed(F.col("content"))).alias("is_binary"),
     )
 
@@ -36,16 +42,83 @@ def load_rules(spark: SparkSession, path: str) -> list[str]:
     return [*paths.BUILT_IN, *(r.value for r in rows.collect())]
 
 
+def _files(spark: SparkSession, path: str):  # noqa: ANN202  Hadoop's file system and a path in it
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def save_state(df: DataFrame, path: str) -> None:
-    """Persisted state: replaced as a whole, or not at all."""
-    df.write.mode("overwrite").parquet(path)
+    """Persisted state: a new version beside the old one, then a pointer to it, so readers see one or the other whole.
+
+    The version before stays for those who still read it; older ones go.
+    """
+    spark = df.sparkSession
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    before = _current(spark, path)
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.parquet(f"{path}/pointer-{version}")
+    fs, where = _files(spark, path)
+    new, old = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{x}") for x in (f"pointer-{version}", "pointer"))
+    if fs.exists(old):
+        fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"couldn't publish {version} of {path}")
+    for status in fs.listStatus(where):
+        if status.getPath().getName() not in ("pointer", version, before):
+            fs.delete(status.getPath(), True)
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    """The version that a state's pointer names, or that of a pointer that a crash left unpublished."""
+    fs, where = _files(spark, path)
+    if not fs.exists(where):
+        return None
+    names = sorted(s.getPath().getName() for s in fs.listStatus(where) if s.getPath().getName().startswith("pointer"))
+    return spark.read.schema("version string").parquet(f"{path}/{names[0]}").first().version if names else None
 
 
 def load_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The last saved state; an empty one if there is none or it can't be read."""
+    """The last saved state; an empty one, with a warning, if there is none or it can't be read.
+
+    The state is read once to find damage now and not later, in a query.
+    """
     try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as e:  # noqa: BLE001  Spark says with AnalysisException that nothing is there
-        if type(e).__name__ != "AnalysisException":
-            raise
+        version = _current(spark, path)
+        if version is None:
+            return spark.createDataFrame([], schema)
+        state = spark.read.schema(schema).parquet(f"{path}/{version}")
+        state.write.format("noop").mode("overwrite").save()
+        return state
+    except Exception as e:  # noqa: BLE001  any way in which files can be damaged
+        spark.sparkContext._jvm.org.apache.logging.log4j.LogManager.getLogger("driftmerge").warn(f"state at {path} can't be read, starting with none: {type(e).__name__}")
         return spark.createDataFrame([], schema)
+
+
+def write_files(files: DataFrame, root: str) -> DataFrame:
+    """Writes (path, content) below root, each file whole or not at all, and returns our writes (path, hash, ts).
+
+    Executors write to the store's paths themselves, by a temporary name that is renamed; a task that runs twice
+    writes the same bytes twice. Paths that would leave the root are refused. What comes back is what ``unechoed``
+    and ``unwritten`` need to know our own changes. Use ``recent_writes`` to keep the last ones of each path.
+    """
+    unsafe = files.filter(~paths.is_safe(F.col("path"))).limit(1).collect()
+    if unsafe:
+        raise ValueError(f"{unsafe[0].path!r} is outside the root")
+
+    def run(batches):  # noqa: ANN001, ANN202
+        from pyarrow import fs as pafs
+
+        store, base = pafs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                target = f"{base.rstrip('/')}/{path}"
+                store.create_dir(target.rpartition("/")[0], recursive=True)
+                part = f"{target}.dmtmp{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(content.as_py() or b"")
+                store.move(part, target)
+            yield pa.record_batch([batch.column(0), batch.column(2)], ["path", "hash"])
+
+    rows = files.select("path", F.coalesce("content", F.lit(b"")).alias("content"), F.sha2(F.coalesce("content", F.lit(b"")), 256).alias("hash"))
+    done = rows.mapInArrow(run, T.StructType([T.StructField("path", T.StringType()), T.StructField("hash", T.StringType())]))
+    return materialize(done.withColumn("ts", F.current_timestamp()), "writes")  # the writing happens here, once

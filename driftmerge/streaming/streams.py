@@ -5,7 +5,6 @@ Sinks and state lie below the folder in spark.checkpoint.dir, which the cluster
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -14,53 +13,90 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from driftmerge.sources.shared import shared_dir
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
 def work_dir(spark: SparkSession) -> str:
-    held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(held or f'file:///tmp/checkpoints/{os.getpid()}').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+def drained(stream: DataFrame) -> DataFrame:
     """Runs a stream over all input that is there and gives what it wrote.
 
-    What the state still holds at the end follows, if the stream says how to read it (``delayed_deletes``).
+    What the state still holds at the end follows, if the stream says how to read it (``_rest``).
     """
     spark, place = stream.sparkSession, work_dir(stream.sparkSession)
-    if mode == "append":
-        stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-        out = spark.read.schema(stream.schema).parquet(f"{place}/out")
-        rest = getattr(stream, "_rest", None)
-        return out.union(rest(spark.read.format("statestore").load(f"{place}/state"))) if rest else out
+    stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(stream.schema).parquet(f"{place}/out")
+    rest = getattr(stream, "_rest", None)
+    return out.union(rest(spark.read.format("statestore").load(f"{place}/state"))) if rest else out
 
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{place}/out")
 
-    stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{place}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{place}/out")
+def source(spark: SparkSession, path: str, schema: str = EVENTS, files_per_batch: int | None = None) -> DataFrame:
+    """A file stream. Spark's session time zone is the tables' zone. A bound on a batch's files is the backpressure."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
 
-def source(spark: SparkSession, path: str, schema: str = EVENTS) -> DataFrame:
-    """A file stream. Spark's session time zone is the tables' zone."""
-    return spark.readStream.schema(schema).parquet(path)
+def _timed(events: DataFrame, late: str, *columns: str) -> DataFrame:
+    """Columns of a stream whose watermark is `late` behind the latest us, without losing the rows behind it.
 
+    Rows whose time is behind the watermark would be dropped; a time of null never is. The state needs such a column.
+    """
+    timed = events.withColumn("_at", F.timestamp_micros("us")).withWatermark("_at", late)
+    return timed.select(*columns, F.lit(None).cast("timestamp").alias("_at", metadata={"spark.watermarkDelayMs": 0}))
 
-def debounced(spark: SparkSession, path: str, gap_seconds: int) -> DataFrame:
-    """The last event of each burst, (path, last_us, kind, n). Sessions merge at exactly their gap, so it is a microsecond less.
 
-    Complete bursts are kept in the result table, so an input without a later event to move the watermark loses none.
+BURST = "last_us long, last_id long, kind string, n long"
+
+
+def _bursts(gap_us: int):  # noqa: ANN202  a factory of the state function
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get if state.exists else None
+        out = []
+        for us, ident, kind in sorted((int(us), int(i), k) for frame in frames for us, i, k in zip(frame.us, frame.event_id, frame.kind, strict=True)):
+            if held is None or abs(us - held[0]) >= gap_us:
+                if held:
+                    out.append((key[0], held[0], held[2], held[3]))
+                held = (us, ident, kind, 1)
+            else:
+                held = (*max(((us, ident, kind), tuple(held[:3])), key=lambda x: x[:2]), held[3] + 1)
+        if state.hasTimedOut and held:
+            out.append((key[0], held[0], held[2], held[3]))
+            held = None
+        if held:
+            state.update(held)
+            state.setTimeoutTimestamp(max(-(-(held[0] + gap_us) // 1000), state.getCurrentWatermarkMs(), 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["path", "last_us", "kind", "n"])
+
+    return run
+
+
+def bursts(events: DataFrame, gap_us: int, late: str = "1 day") -> DataFrame:
+    """The last event of each burst, (path, last_us, kind, n), of a stream (path, us, event_id, kind).
+
+    A burst ends where the path's next event is `gap_us` or more away, or the watermark is; a path holds one burst at
+    a time. At the end of what is there, ``drained`` gives those still open. Of equal times the larger event_id is last.
     """
-    events = source(spark, path).withColumn("path", F.col("user_id").cast("string"))
-    gap = F.session_window("ts", f"{gap_seconds - 1} seconds 999999 microseconds")
-    sessions = events.groupBy("path", gap).agg(F.max("ts").alias("last"), F.max_by("event_type", "ts").alias("kind"), F.count("*").alias("n"))
-    return drained(sessions.select("path", F.unix_micros("last").alias("last_us"), "kind", "n"), "complete")
+    out = _timed(events, late, "path", "us", "event_id", "kind").groupBy("path").applyInPandasWithState(_bursts(gap_us), "path string, last_us long, kind string, n long", BURST, "append", GroupStateTimeout.EventTimeTimeout)
+    out._rest = lambda state: state.select(F.col("key.path").alias("path"), *(F.col(f"value.groupState.{c}").alias(c) for c in ("last_us", "kind", "n")))
+    return out
+
 
+def debounced(spark: SparkSession, path: str, gap_seconds: int) -> DataFrame:
+    """Bursts of each user's events."""
+    events = source(spark, path).select(F.col("user_id").cast("string").alias("path"), F.unix_micros("ts").alias("us"), "event_id", F.col("event_type").alias("kind"))
+    return drained(bursts(events, gap_seconds * 1_000_000))
 
-def deduplicated(spark: SparkSession, path: str) -> DataFrame:
-    """Counts per kind of a stream in which every event comes twice."""
+
+def deduplicated(spark: SparkSession, path: str, late: str = "31 days") -> DataFrame:
+    """Counts per kind of a stream in which every event comes twice. State and lateness are bounded by `late`."""
     both = source(spark, path).union(source(spark, path))
-    once = both.withWatermark("ts", "365 days").dropDuplicatesWithinWatermark(["event_id"]).select("event_id", F.col("event_type").alias("kind"))
+    once = both.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", F.col("event_type").alias("kind"))
     return drained(once).groupBy("kind").agg(F.count("*").alias("n"))
 
 
@@ -149,9 +185,6 @@ def delayed_deletes(events: DataFrame, hold_us: int, late: str = "1 day") -> Dat
     The path's next event shows that, or the watermark, which is `late` behind the latest event of all paths; at the
     end of what is there, ``drained`` gives the removals still held.
     """
-    timed = events.withColumn("_at", F.timestamp_micros("us")).withWatermark("_at", late)
-    # Rows whose time is behind the watermark would be dropped; a time of null never is. The state needs such a column.
-    timed = timed.select("path", "us", "kind", F.lit(None).cast("timestamp").alias("_at", metadata={"spark.watermarkDelayMs": 0}))
-    out = timed.groupBy("path").applyInPandasWithState(_delayed(hold_us), "path string, us long, kind string", HELD, "append", GroupStateTimeout.EventTimeTimeout)
+    out = _timed(events, late, "path", "us", "kind").groupBy("path").applyInPandasWithState(_delayed(hold_us), "path string, us long, kind string", HELD, "append", GroupStateTimeout.EventTimeTimeout)
     out._rest = lambda state: state.select(F.col("key.path").alias("path"), (F.col("value.groupState.removed_us") + hold_us).alias("us"), F.lit("removed").alias("kind"))
     return out

@@ -115,11 +115,45 @@ def test_rule_file_and_scan(spark, tmp_path):
     assert got == {"a.txt": False, "g/h.bin": True, "u.bin": True, "w.txt": False}
 
 
+def test_ignored_files_are_not_opened(spark, tmp_path):
+    (tmp_path / "it's").mkdir()
+    (tmp_path / "it's" / "a.txt").write_bytes(b"plain")
+    (tmp_path / "it's" / "b.tmp").write_bytes(b"closed")
+    scan = tables.scan_files(spark, str(tmp_path))
+    (tmp_path / "it's" / "b.tmp").chmod(0)
+    assert [(r.path, r.len) for r in scan.collect()] == [("it's/a.txt", 5)]
+
+
 def test_state_round_trip(spark, tmp_path):
     assert tables.load_state(spark, f"{tmp_path}/none", "path string").count() == 0
-    for n in (3, 5):
-        tables.save_state(spark.range(n), f"{tmp_path}/state")
+    for n in (3, 5, 6):
+        before = tables.load_state(spark, f"{tmp_path}/state", "id long")
+        tables.save_state(spark.range(n).join(before, "id", "left_outer") if n > 3 else spark.range(n), f"{tmp_path}/state")
         assert tables.load_state(spark, f"{tmp_path}/state", "id long").count() == n
+    assert len(list((tmp_path / "state").glob("v-*"))) == 2
+    current = tables._current(spark, f"{tmp_path}/state")
+    for f in (tmp_path / "state" / current).glob("part-*"):
+        f.write_bytes(b"PAR1 damaged")
+        (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    assert tables.load_state(spark, f"{tmp_path}/state", "id long").count() == 0
+
+
+def test_written_files_are_known_as_our_own(spark, tmp_path):
+    rows = [("a/b.txt", bytearray(b"one")), ("c", None)]
+    files = spark.createDataFrame(rows, "path string, content binary")
+    wrote = {r.path: r.hash for r in tables.write_files(files, str(tmp_path / "root")).collect()}
+    assert (tmp_path / "root" / "a" / "b.txt").read_bytes() == b"one" and (tmp_path / "root" / "c").read_bytes() == b""
+    assert {r.path: r.hash for r in tables.scan_files(spark, str(tmp_path / "root")).collect()} == {"a/b.txt": wrote["a/b.txt"]}  # not the empty one
+    assert not list((tmp_path / "root").rglob("*.dmtmp*"))
+    with pytest.raises(ValueError):
+        tables.write_files(spark.createDataFrame([("../x", bytearray(b"x"))], "path string, content binary"), str(tmp_path / "root"))
+
+
+def test_relative_paths_and_lossy_texts(spark):
+    p = spark.createDataFrame([("C:\\root\\a\\b",), ("C:/root/",), ("C:/root/x",)], "p string").select(paths.relative(F.col("p"), "C:/root").alias("r"))
+    assert [r.r for r in p.collect()] == ["a/b", None, "x"]
+    rows = spark.createDataFrame([(bytearray(b"a\xffb"),), (bytearray("é".encode()[:1]),), (None,)], "c binary").select(scalars.lossy_text(F.col("c")).alias("t"))
+    assert [r.t for r in rows.collect()] == ["a\ufffdb", "\ufffd", None]
 
 
 def test_safe_paths_and_sniff(spark):

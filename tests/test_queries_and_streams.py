@@ -1,18 +1,18 @@
 import glob
 import os
+import random
 from datetime import datetime, timedelta
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
+from driftmerge import catalog
 from driftmerge.operators import events
 from driftmerge.streaming import streams
 
 SF = "/root/testdata/sf0.001"
-CHEAP = ["manifest_diff", "manifest_counts", "snapshot_request", "lineage_groups", "binary_meta_lww", "unanimous_paths", "snapshot_outcome", "ignore_filter", "run_compress", "rank_lookup", "rga_text", "merge_snapshot", "codec_size", "block_signatures", "reassemble_check", "debounce_events", "debounce_stream", "echo_suppressed", "latency_percentiles", "relay_reach"]
-
-
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -22,7 +22,7 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", CHEAP)
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_its_sql(spark, duck, name):
     df = entry_module.queries()[name](spark, SF)
     cols = sorted(df.columns)
@@ -33,12 +33,6 @@ def test_query_equals_its_sql(spark, duck, name):
     assert got == sorted(repr(tuple(row[names.index(c)] for c in cols)) for row in result.fetchall())
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-def test_edits_inside_texts_equal_their_sql(spark, duck):
-    got = sorted((r.path, r.inserted, r.deleted, r.exact) for r in entry_module.queries()["diff_inner_counts"](spark, SF).collect())
-    assert got == sorted(duck.execute(f"select path, inserted, deleted, exact from ({entry_module.oracle_sql()['diff_inner_counts']})").fetchall())
-
-
 def test_every_oracle_has_a_query():
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
@@ -54,6 +48,28 @@ def test_debounce_fires_at_exactly_the_gap(spark):
     assert sorted((r.kind, r.n) for r in events.debounce(df, "40 milliseconds").collect()) == [("b", 2), ("d", 2)]
 
 
+@pytest.mark.parametrize("late", ["0 seconds", "1 day"])
+def test_bursts_of_a_stream_equal_the_batch(spark, tmp_path, late):
+    rng, second = random.Random(3), 1_000_000
+    rows = sorted(((f"p{rng.randint(0, 5)}", rng.randint(0, 400) * second, k, rng.choice("ab")) for k in range(300)), key=lambda r: r[1])
+    schema = "path string, us long, event_id long, kind string"
+    for k in range(6):
+        spark.createDataFrame(rows[50 * k : 50 * k + 50], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        for f in glob.glob(f"{tmp_path}/in/{k}/*.parquet"):
+            os.utime(f, (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = streams.source(spark, f"{tmp_path}/in/*", schema, files_per_batch=1)
+    got = sorted(map(tuple, streams.drained(streams.bursts(stream, 5 * second, late)).collect()))
+    batch = spark.createDataFrame(rows, schema).select("path", F.timestamp_micros("us").alias("ts"), "event_id", "kind")
+    want = sorted(map(tuple, events.debounce(batch, "5 seconds").select("path", F.unix_micros("ts"), "kind", "n").collect()))
+    assert got == want and len(want) > 50
+
+
+def test_messages_reach_every_peer_of_a_dense_mesh(spark):
+    rows = [("mesh", a, b) for a in range(50) for b in range(50) if a != b] + [("chain", k, k + 1) for k in range(12)] + [("apart", 3, 4)]
+    got = {(r.topology, r.peer): r.hops for r in events.reach(spark.createDataFrame(rows, "topology string, src long, dst long"), 0).collect()}
+    assert got == {**{("mesh", k): min(k, 1) for k in range(50)}, **{("chain", k): k for k in range(13)}, ("apart", 0): 0}
+
+
 def test_renames_are_one_to_one_and_first_come(spark):
     second = 1_000_000
     schema = "hash long, ts timestamp, event_id long"
