@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+
+from driftmerge.sources.shared import materialize, release, shared_dir
+from driftmerge.sources.tables import table
+
+__all__ = ["materialize", "release", "shared_dir", "table"]
 
 # Words [^\x20\x09-\x0D]+ are what bytes.split() gives: it cuts at the same six bytes. bytes.lower() changes A-Z alone.
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -17,43 +19,6 @@ INVERSE = np.uint64(pow(int(PRIME), -1, 1 << 64))
 SLICE_BYTES = 1 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; a folder of our own only where that is unset."""
-    held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not held:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        held = held.get() if held.isDefined() else None
-    if not held:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the cluster shares")
-        held = f"file:///tmp/checkpoints/{os.getpid()}"
-        spark.sparkContext.setCheckpointDir(held)
-    return held.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df below the shared folder and rereads it: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/driftmerge-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._driftmerge_path = path
-    return out
-
-
-def release(*frames: DataFrame) -> None:
-    """Deletes what materialize() wrote, once nothing reads it any more."""
-    for df in frames:
-        if path := getattr(df, "_driftmerge_path", None):
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
-
-
 def texts(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """A string column as one large_string array without nulls: null texts count as empty."""
     if isinstance(column, pa.ChunkedArray):

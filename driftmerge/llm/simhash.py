@@ -11,8 +11,8 @@ already one component is dropped as well, which keeps dense groups of copies fro
 gives a star of links per component, and the stars are joined by connected components.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; equal texts are one
-class; a table without rows gives none. A row with a null id is kept and takes part as the smallest fingerprint's
-class does, but null is never a component's id unless it stands alone.
+class; a table without rows gives none. A row with a null id is kept and has the component of the rows with its
+fingerprint. A fingerprint of rows without ids alone links to no other, and its component is null.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmerge.llm.common import materialize, table
+from driftmerge.llm.common import materialize, release, table
 from driftmerge.llm.components import connected_components
 
 SHINGLE, SEED, BUDGET, BLOCK = 3, 42, 3, 16
@@ -45,12 +45,15 @@ def fingerprint(text: bytes) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.r_[0, ends[: -SHINGLE]].tolist()
     digest = xxhash.xxh64_intdigest
-    h = [digest(joined[a:z], SEED) for a, z in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist(), strict=True)]
+    return majority(np.array([digest(joined[a:z], SEED) for a, z in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist(), strict=True)], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
-    whole = np.array(h, np.uint64)
-    for lo in range(0, len(h), 1 << 16):
-        counts += np.unpackbits(whole[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0])
+    for lo in range(0, len(hashes), 1 << 16):
+        counts += np.unpackbits(hashes[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -178,10 +181,12 @@ def links(classes: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Rows (doc_id, fp, component_id) for every document."""
     prints = materialize(fingerprints(docs, id_column, text_column), "fingerprints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     roots = connected_components(links(classes.filter("rep is not null").select("fp", "rep")))
-    named = classes.join(roots, classes.rep == roots.node, "left").select("fp", "rep", F.coalesce("root", "rep").alias("component_id"), "copies")
-    return prints.join(named.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = classes.join(roots, classes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    out = materialize(prints.join(named, "fp").select("doc_id", "fp", "component_id"), "near")
+    release(prints, classes)
+    return out
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
