@@ -243,5 +243,6 @@ def test_pipeline_stages_on_odd_rows(spark, odd, tmp_path):
             if k:
                 assert spark.read.parquet(place).count() == 0
     kept = corpus_pipeline.near_duplicates_stage(spark, odd, "").select("doc_id").collect()
-    assert {r.doc_id for r in kept} == {0, 3, 4, 6, 7, 8, 9, None}
+    # 6 and 7 share 26 of 30 shingles of five words (0.867), so by the contract's 0.8 the larger one goes.
+    assert {r.doc_id for r in kept} == {0, 3, 4, 6, 8, 9, None}
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} >= {0, 3, 4, 6, 8, 9}
