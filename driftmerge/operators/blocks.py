@@ -8,10 +8,12 @@ Matching, chunk counts and reassembly are relational. The greedy choice of a del
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,35 +103,103 @@ def matches(data: bytes, weaks: np.ndarray, strongs: list[bytes], size: int) ->
 Op = tuple[str, int | None, bytes | None]
 
 
+def delta_stream(parts: Iterable[bytes], weaks: np.ndarray, strongs: list[bytes], size: int) -> Iterator[Op]:
+    """Greedy delta, left to right, of contents that come in parts: ("copy", block, None) and ("lit", None, bytes).
+
+    A window is compared only where the scan stands, so runs of equal blocks cost one strong hash a block. What is
+    held is one part and a window; literals may come in several neighbouring pieces. One try for the short tail.
+    """
+    first: dict[tuple[int, bytes], int] = {}
+    for k, s in enumerate(strongs):
+        first.setdefault((int(weaks[k]), s), k)
+    data, strong = b"", lambda x: hashlib.sha256(x).digest()[:8]
+    for part in chain(parts, [None]):
+        data += part or b""
+        keys = rolling(data, size)
+        maybe = np.flatnonzero(np.isin(keys, weaks))
+        at = lit = 0
+        while (k := int(np.searchsorted(maybe, at))) < len(maybe):
+            i = int(maybe[k])
+            block = first.get((int(keys[i]), strong(data[i : i + size])))
+            at = i + 1
+            if block is not None:
+                if i > lit:
+                    yield "lit", None, data[lit:i]
+                yield "copy", block, None
+                at = lit = i + size
+        # The scan stands before the first offset at which no whole window fits.
+        at = max(at, len(data) - size + 1) if len(data) - lit >= size else lit
+        if part is None and at < len(data):
+            block = first.get((int(block_sums(data[at:], size)[0]), strong(data[at:])))
+            if block is not None:
+                if at > lit:
+                    yield "lit", None, data[lit:at]
+                yield "copy", block, None
+                lit = len(data)
+        end = len(data) if part is None else at
+        if lit < end:
+            yield "lit", None, data[lit:end]
+        data = data[end:]
+
+
 def delta(data: bytes, weaks: np.ndarray, strongs: list[bytes], size: int) -> list[Op]:
-    """Greedy delta, left to right: ("copy", block, None) and ("lit", None, bytes); one try for the short tail."""
-    found = matches(data, weaks, strongs, size)
-    hits = np.flatnonzero(found >= 0)
+    """The delta of a whole content, literals in one piece each."""
     out: list[Op] = []
-    at = lit = 0
-    while (k := np.searchsorted(hits, at)) < len(hits):
-        i = int(hits[k])
-        if i > lit:
-            out.append(("lit", None, data[lit:i]))
-        out.append(("copy", int(found[i]), None))
-        at = lit = i + size
-    # The scan stands before the first offset at which no whole window fits.
-    at = max(at, len(data) - size + 1) if len(data) - at >= size else at
-    if at < len(data):
-        tail = data[at:]
-        key = int(block_sums(tail, size)[0])
-        strong = hashlib.sha256(tail).digest()[:8]
-        block = next((k for k, s in enumerate(strongs) if s == strong and int(weaks[k]) == key), None)
-        if block is not None:
-            if at > lit:
-                out.append(("lit", None, data[lit:at]))
-            out.append(("copy", block, None))
-            lit = len(data)
-    if lit < len(data):
-        out.append(("lit", None, data[lit:]))
+    for op in delta_stream([data], weaks, strongs, size):
+        if op[0] == "lit" and out and out[-1][0] == "lit":
+            op = ("lit", None, out.pop()[2] + op[2])
+        out.append(op)
     return out
 
 
+#: Bytes of a file that are read at a time.
+READ = 4 << 20
+
+
+def file_parts(uri: str, most: int = READ) -> Iterator[bytes]:
+    """A file in any store that Arrow reads, part by part."""
+    store, path = pafs.FileSystem.from_uri(uri if ":" in uri else f"file://{uri}")
+    with store.open_input_stream(path) as f:
+        while part := f.read(most):
+            yield part
+
+
+def file_signatures(files: DataFrame, size: int) -> DataFrame:
+    """Rows (path, block_no, weak, strong) of files (path, uri) of any length: a task holds one part of one file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, uri in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                number = 0
+                for part in file_parts(uri, max(1, READ // size) * size):
+                    weak = block_sums(part, size)
+                    strongs = [hashlib.sha256(part[at : at + size]).digest()[:8] for at in range(0, len(part), size)]
+                    yield pa.record_batch([pa.array([path] * len(weak)), pa.array(np.arange(number, number + len(weak))), pa.array(weak), pa.array(strongs, pa.binary())], ["path", "block_no", "weak", "strong"])
+                    number += len(weak)
+
+    return files.select("path", "uri").mapInArrow(run, "path string, block_no long, weak long, strong binary")
+
+
+def file_deltas(files: DataFrame, old_signatures: DataFrame, size: int) -> DataFrame:
+    """Rows (path, n, op) of files (path, uri) of any length: the n-th op of each, a row each; no file is held whole."""
+    sigs = old_signatures.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("block_no", "weak", "strong"))).alias("sigs"))
+    kind = pa.struct([("kind", pa.string()), ("block_no", pa.int64()), ("bytes", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, uri, held in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                held, out, n = held or [], [], 0
+                for op in delta_stream(file_parts(uri), np.array([s["weak"] for s in held], np.int64), [s["strong"] for s in held], size):
+                    out.append(dict(zip(("kind", "block_no", "bytes"), op, strict=True)))
+                    if op[0] == "lit" or len(out) >= 4096:
+                        yield pa.record_batch([pa.array([path] * len(out)), pa.array(np.arange(n, n + len(out))), pa.array(out, kind)], ["path", "n", "op"])
+                        n, out = n + len(out), []
+                if out:
+                    yield pa.record_batch([pa.array([path] * len(out)), pa.array(np.arange(n, n + len(out))), pa.array(out, kind)], ["path", "n", "op"])
+
+    return files.join(sigs, "path", "left").select("path", "uri", "sigs").mapInArrow(run, "path string, n long, op struct<kind:string,block_no:long,bytes:binary>")
+
+
 OPS = "array<struct<kind:string,block_no:long,bytes:binary>>"
 _OPS = pa.list_(pa.struct([("kind", pa.string()), ("block_no", pa.int64()), ("bytes", pa.binary())]))
 

@@ -64,6 +64,55 @@ def test_deltas_rebuild_and_stay_small():
     assert blocks.delta(b"", *signed(old, 64), 64) == [] and lit(b"new") == 3
 
 
+def slow_delta(new, old, size):
+    """The definition: at each place the first equal block, else a literal byte; one try for the tail."""
+    blocks_, out, at = [old[i : i + size] for i in range(0, len(old), size)], [], 0
+    while at + size <= len(new):
+        if new[at : at + size] in blocks_:
+            out.append(("copy", blocks_.index(new[at : at + size])))
+            at += size
+        else:
+            out.append(("lit", new[at : at + 1]))
+            at += 1
+    if at < len(new):
+        out += [("copy", blocks_.index(new[at:]))] if new[at:] in blocks_ else [("lit", new[at:])]
+    return out
+
+
+def flat(ops):
+    out = []
+    for kind, block, data in ops:
+        if kind == "lit" and out and out[-1][0] == "lit":
+            out[-1] = ("lit", out[-1][1] + data)
+        else:
+            out.append((kind, data if kind == "lit" else block))
+    return out
+
+
+def test_deltas_of_parts_equal_the_definition(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    for _ in range(400):
+        old = bytes(rng.choices(b"ab", k=rng.randint(0, 60)))
+        new = bytes(rng.choices(b"ab", k=rng.randint(0, 60))) if rng.random() < 0.3 else old[rng.randint(0, 5) :] + bytes(rng.choices(b"abc", k=rng.randint(0, 5)))
+        want = flat((k, x if k == "copy" else None, x if k == "lit" else None) for k, x in slow_delta(new, old, 4))
+        assert flat(blocks.delta(new, *signed(old, 4), 4)) == want
+        cuts = sorted(rng.choices(range(len(new) + 1), k=3))
+        parts = [new[a:z] for a, z in zip([0, *cuts], [*cuts, len(new)], strict=True)]
+        assert flat(blocks.delta_stream(parts, *signed(old, 4), 4)) == want
+    monkeypatch.setattr(blocks, "READ", 100)
+    old, new = rng.randbytes(3000), None
+    new = old[:700] + b"inserted" + old[720:]
+    for name, data in (("old", old), ("new", new), ("none", b"")):
+        (tmp_path / name).write_bytes(data)
+    files = spark.createDataFrame([("p", str(tmp_path / "old")), ("q", str(tmp_path / "none"))], "path string, uri string")
+    sigs = blocks.file_signatures(files, 64)
+    weak, strong = signed(old, 64)
+    assert sorted((r.path, r.block_no, r.weak, bytes(r.strong)) for r in sigs.collect()) == [("p", k, int(w), s) for k, (w, s) in enumerate(zip(weak, strong, strict=True))]
+    got = blocks.file_deltas(spark.createDataFrame([("p", str(tmp_path / "new"))], "path string, uri string"), sigs, 64).orderBy("n").collect()
+    ops = [(r.op.kind, r.op.block_no, None if r.op.bytes is None else bytes(r.op.bytes)) for r in got]
+    assert [r.n for r in got] == list(range(len(got))) and apply(ops, old, 64) == new and flat(ops) == flat(blocks.delta(new, weak, strong, 64))
+
+
 def test_chunks_are_bounded_and_lossless():
     rng = random.Random(3)
     ops = [("lit", None, rng.randbytes(5000)), *[("copy", k, None) for k in range(400)], ("lit", None, b"a" * 3000)]
