@@ -27,8 +27,6 @@ NO_ID = (1 << 63) - 1
 
 def block_table(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Rows (block, doc_id, text), bucketed and sorted by block. Null texts become empty, null ids NO_ID with has_id false."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     row = F.monotonically_increasing_id()
     size, shift, sort = F.octet_length("text"), F.lit(0), F.lit(len(BLOCK_SHIFTS))
     for k, (most, bits) in reversed(list(enumerate(BLOCK_SHIFTS))):
@@ -37,8 +35,15 @@ def block_table(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     block = F.shiftleft(F.shiftright(row, 33), 36) + F.call_function("shiftleft", F.call_function("shiftright", row.bitwiseAND((1 << 33) - 1), shift), F.lit(2)) + sort
     kept = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     kept = kept.select(block.alias("block"), F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("doc_id").isNotNull().alias("has_id"), "text")
+    return stored_by_block(kept)
+
+
+def stored_by_block(rows: DataFrame) -> DataFrame:
+    """Rows with a block, as a table bucketed and sorted by it."""
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"driftmerge_blocks_{uuid.uuid4().hex}"
-    kept.write.bucketBy(n, "block").sortBy("block").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(name)
+    rows.write.bucketBy(n, "block").sortBy("block").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(name)
     out = spark.table(name)
     out._driftmerge_table, out._driftmerge_path = name, f"{shared_dir(spark)}/{name}"
     return out

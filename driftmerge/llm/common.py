@@ -61,7 +61,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Digests(dict):
     """What stands for each word, remembered for the first ``most`` words that a task meets; others are made again."""
 
-    def __init__(self, make: Callable[[bytes], bytes], most: int = 200_000) -> None:
+    def __init__(self, make: Callable[[bytes], bytes], most: int = 400_000) -> None:
         super().__init__()
         self.make, self.most = make, most
 

@@ -10,7 +10,8 @@ P(text) = sum over state paths of prod P(state | previous state) P(class | state
 * transitions, start and class emissions are trained by Baum-Welch. Every partition turns its documents into expected
   counts (states x classes and states x states); Spark adds them up, the driver normalises the small sums.
 
-Counts of all training tokens are gathered by asking per block of documents (see blocks). The likelihood of a whole
+Counts of all training tokens are gathered by asking per block of documents (see blocks); texts are read once, and
+kept as numbers from then on. The likelihood of a whole
 text comes from the scaled forward recursion over all its tokens. Training runs over whole texts too: forward
 probabilities of over ``TOKENS`` tokens are kept at every ``STRIDE``-th alone and made again from there on the way back,
 so memory is a few numbers a token at any length, and the counts are exact. Tokens are told apart by XXH3-64: among 10^10 different words, two or three
@@ -23,21 +24,23 @@ id is null in the result and counts as held in; a table without rows gives none.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmerge.llm.blocks import answer, block_table, by_block, drop_blocks
+from driftmerge.llm.blocks import answer, drop_blocks, stored_by_block
 from driftmerge.llm.common import Digests, cells, crc_remainder, materialize, raw, release, slices, table, texts
 
 STATES, FREQUENT, ENDINGS, ROUNDS, STRIDE = 8, 2048, 512, 4, 64
 #: Tokens that training takes at once; a longer text stands alone.
 TOKENS = 1 << 19
+#: Texts of more tokens than this are long; bytes of text in a block.
+LONG, BLOCK_BYTES = 2048, 8 << 20
 HOLD_MODULUS, HOLD_REMAINDER = 7, 2
 #: The end token's key; no word hashes to it but by a 64-bit coincidence.
 END = np.uint64(0x656E64)
@@ -56,38 +59,58 @@ def token(word: bytes) -> bytes:
 _END = int(END).to_bytes(8, "little") + bytes(2)
 
 
-def tokens(part: pa.RecordBatch | pa.Table, memo: Digests) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For slices of rows: row numbers, tokens of each row with its end, keys of all tokens, their endings."""
-    column = texts(part.column("text"))
-    _, offs = raw(column)
-    for lo, hi in slices(offs):
-        words = [x.lower().split() for x in cells(column, lo, hi)]
-        found = np.frombuffer(b"".join(b"".join([memo[w] for w in row]) + _END for row in words), _TOKEN)
-        yield np.arange(lo, hi), np.fromiter(map(len, words), np.int64, hi - lo) + 1, found["key"].copy(), found["tail"].astype(np.int64)
+STORED = "block long, doc_id long, held_out boolean, size long, tokens binary, keys binary, counts binary, tails binary"
+STORED_NAMES = [x.split()[0] for x in STORED.split(", ")]
 
 
-def sums(keys: np.ndarray, weights: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, weights, tails = keys[order], weights[order], tails[order]
-    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return keys[at], np.add.reduceat(weights, at), tails[at]
+def indexed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Texts as numbers, so they are read and hashed once: a table by block, to be dropped by drop_blocks().
 
+    A block is what one task read, ``BLOCK_BYTES`` of text or one longer text. Its documents are rows with their tokens
+    as places in the block's sorted distinct keys; one more row has these keys, their counts in training documents and
+    their endings.
+    """
+    held = F.expr(f"coalesce({crc_remainder('doc_id', HOLD_MODULUS)} = {HOLD_REMAINDER}, false)")
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).select("doc_id", held.alias("held_out"), "text")
 
-def ask_counts(blocks: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, press, number = Digests(token), zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 32
+        for batch in batches:
+            column = texts(batch.column("text"))
+            for lo, hi in slices(raw(column)[1], BLOCK_BYTES):
+                words = [x.lower().split() for x in cells(column, lo, hi)]
+                size = np.fromiter(map(len, words), np.int64, hi - lo) + 1
+                found = np.frombuffer(b"".join([b"".join([memo[w] for w in row]) + _END for row in words]), _TOKEN)
+                own = batch.slice(lo, hi - lo)
+                train = ~own.column("held_out").to_numpy(zero_copy_only=False)
+                order = np.argsort(found["key"], kind="stable")
+                keys = found["key"][order]
+                new = np.concatenate([[True], keys[1:] != keys[:-1]])
+                at = np.flatnonzero(new)
+                counts = np.add.reduceat(np.repeat(train, size)[order].astype(np.int64), at)
+                place = np.empty(len(order), np.uint32)
+                place[order] = np.cumsum(new) - 1
+                ends = np.cumsum(size)
+                packed = [press.compress(place[e - n : e].tobytes()) for n, e in zip(size.tolist(), ends.tolist(), strict=True)]
+                none = pa.nulls(hi - lo, pa.binary())
+                yield pa.record_batch([pa.array(np.full(hi - lo, number)), own.column("doc_id"), own.column("held_out"), pa.array(size), pa.array(packed, pa.binary()), none, none, none], STORED_NAMES)
+                lists = (keys[at].tobytes(), counts.tobytes(), found["tail"][order][at].tobytes())
+                yield pa.record_batch([pa.array([number]), pa.array([None], pa.int64()), pa.array([None], pa.bool_()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), *(pa.array([x], pa.binary()) for x in lists)], STORED_NAMES)
+                number += 1
+
+    return stored_by_block(rows.mapInArrow(run, STORED))
+
+
+def ask_counts(stored: DataFrame) -> DataFrame:
     """Rows (key, block, n, tail): the distinct tokens of each block with their count in its training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Digests(token)
-        for block, part in by_block(batches):
-            held = part.column("held_out").to_numpy(zero_copy_only=False)
-            found = []
-            for rows, count, keys, tails in tokens(part, memo):
-                found.append(sums(keys, np.repeat((~held[rows]).astype(np.int64), count), tails))
-            if found:
-                k, n, t = sums(*(np.concatenate(x) for x in zip(*found, strict=True)))
-                yield pa.record_batch([pa.array(k.view(np.int64)), pa.array(np.full(len(k), block)), pa.array(n), pa.array(t)], ["key", "block", "n", "tail"])
+        for batch in batches:
+            for block, keys, counts, tails in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
+                k = np.frombuffer(keys.as_buffer(), np.int64)
+                yield pa.record_batch([pa.array(k), pa.array(np.full(len(k), block)), pa.array(np.frombuffer(counts.as_buffer(), np.int64)), pa.array(np.frombuffer(tails.as_buffer(), np.uint16).astype(np.int64))], ["key", "block", "n", "tail"])
 
-    return blocks.mapInArrow(run, "key long, block long, n long, tail long")
+    return stored.filter("keys is not null").select("block", "keys", "counts", "tails").mapInArrow(run, "key long, block long, n long, tail long")
 
 
 def answer_counts(asked: DataFrame) -> DataFrame:
@@ -155,33 +178,28 @@ class Classes:
         return cls, share
 
 
-ENCODED = "doc_id long, has_id boolean, held_out boolean, n_tokens long, n_known long, base_score double, inner double, classes binary"
+ENCODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inner double, classes binary"
 
 
-def encode(blocks: DataFrame, replies: DataFrame, classes: Classes) -> DataFrame:
+def encode(stored: DataFrame, replies: DataFrame, classes: Classes) -> DataFrame:
     """A row per document: its class sequence and what doesn't depend on states."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         key = right.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(key)
-        key, n = key[order], right.column("n").to_numpy()[order]
-        press = zstandard.ZstdCompressor(level=1)
-        cols: list[list] = [[], [], [], [], []]
-        for _, count, keys, tails in tokens(left, Digests(token)) if left.num_rows else ():
-            c = n[np.searchsorted(key, keys)]
-            cls, share = classes.of(keys, tails, c)
-            at = np.r_[0, np.cumsum(count)[:-1]]
-            base = np.log10((c + 1) / (classes.n + classes.v + 1))
-            for x, y in zip(cols, (count, np.add.reduceat((c > 0).astype(np.int64), at), np.add.reduceat(base, at), np.add.reduceat(share, at)), strict=False):
-                x.append(y)
-            small = cls.astype(np.uint16)
-            cols[4] += [press.compress(small[a : a + k].tobytes()) for a, k in zip(at.tolist(), count.tolist(), strict=True)]
-        parts = [np.concatenate(x) if x else np.zeros(0) for x in cols[:4]]
-        keep = ["doc_id", "has_id", "held_out"]
-        arrays = [pa.array(parts[0].astype(np.int64)), pa.array(parts[1].astype(np.int64)), pa.array(parts[2].astype(float)), pa.array(parts[3].astype(float)), pa.array(cols[4], pa.binary())]
-        return pa.table([*(left.column(k) for k in keep), *arrays], [*keep, "n_tokens", "n_known", "base_score", "inner", "classes"])
-
-    return blocks.groupBy("block").cogroup(replies.filter("block >= 0").groupBy("block")).applyInArrow(run, ENCODED)
+        order = np.argsort(key)  # the block's keys as indexed() sorted them
+        c, tails = right.column("n").to_numpy()[order], right.column("tail").to_numpy()[order]
+        cls, share = classes.of(key[order], tails, c)
+        base, small, known = np.log10((c + 1) / (classes.n + classes.v + 1)), cls.astype(np.uint16), (c > 0).astype(np.int64)
+        press, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        rows = []
+        for cell in left.column("tokens"):
+            at = np.frombuffer(unpack.decompress(cell.as_buffer()), np.uint32)
+            rows.append((int(known[at].sum()), float(base[at].sum()), float(share[at].sum()), press.compress(small[at].tobytes())))
+        kinds = (pa.int64(), pa.float64(), pa.float64(), pa.binary())
+        made = [pa.array(x, t) for x, t in zip(list(zip(*rows, strict=True)) or [[]] * 4, kinds, strict=True)]
+        return pa.table([left.column("doc_id"), left.column("held_out"), left.column("size"), *made], [x.split()[0] for x in ENCODED.split(", ")])
+
+    return stored.filter("keys is null").groupBy("block").cogroup(replies.filter("block >= 0").groupBy("block")).applyInArrow(run, ENCODED)
 
 
 def sequences(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -286,15 +304,28 @@ def baum_welch(encoded: DataFrame, model: Model) -> Model:
     states, classes = len(model.start), len(model.emit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, size = None, [], 0
-        for seq in chain((x for batch in batches for x in sequences(batch)), [None]):
-            if held and (seq is None or size + len(seq) > TOKENS):
-                got = expected(model, held)
+        total = None
+        # Long texts are gathered longer: there are few of them, and a step costs the same for one as for many.
+        gathered = {False: ([], TOKENS), True: ([], 8 * TOKENS)}
+        sizes = {False: 0, True: 0}
+
+        def counted(long: bool) -> None:
+            nonlocal total
+            if gathered[long][0]:
+                got = expected(model, gathered[long][0])
                 total = got if total is None else tuple(a + b for a, b in zip(total, got, strict=True))
-                held, size = [], 0
-            if seq is not None:
-                held.append(seq)
-                size += len(seq)
+                gathered[long][0].clear()
+                sizes[long] = 0
+
+        for batch in batches:
+            for seq in sequences(batch):
+                long = len(seq) > LONG
+                if sizes[long] + len(seq) > gathered[long][1]:
+                    counted(long)
+                gathered[long][0].append(seq)
+                sizes[long] += len(seq)
+        counted(False)
+        counted(True)
         if total is not None:
             start, move, emit = total
             whole = np.concatenate([start[None, :], move, emit]).ravel()
@@ -311,14 +342,12 @@ def baum_welch(encoded: DataFrame, model: Model) -> Model:
 
 def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of all documents."""
-    plain = block_table(docs, id_column, text_column)
-    held = F.expr(f"has_id and {crc_remainder('doc_id', HOLD_MODULUS)} = {HOLD_REMAINDER}")
-    blocks = plain.withColumn("held_out", held)
-    replies = materialize(answer_counts(ask_counts(blocks)), "counts")
+    stored = indexed(docs, id_column, text_column)
+    replies = materialize(answer_counts(ask_counts(stored)), "counts")
     classes = Classes(replies)
-    encoded = materialize(encode(blocks, replies, classes), "encoded")
+    encoded = materialize(encode(stored, replies, classes), "encoded")
     release(replies)
-    drop_blocks(plain)
+    drop_blocks(stored)
     model = Model.first(classes.size)
     for _ in range(rounds):
         model = baum_welch(encoded, model)
@@ -327,8 +356,7 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = forward(model, sequences(batch)) + batch.column("inner").to_numpy()
-            doc = pa.array([i if ok else None for i, ok in zip(batch.column("doc_id").to_pylist(), batch.column("has_id").to_pylist(), strict=True)], pa.int64())
-            yield pa.record_batch([doc, *(batch.column(k) for k in ("held_out", "n_tokens", "n_known")), pa.array(np.full(len(batch), train_tokens)), batch.column("base_score"), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            yield pa.record_batch([batch.column("doc_id"), *(batch.column(k) for k in ("held_out", "n_tokens", "n_known")), pa.array(np.full(len(batch), train_tokens)), batch.column("base_score"), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return encoded.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
