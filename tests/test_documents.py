@@ -130,3 +130,12 @@ def test_transfers_by_peer_and_hash(spark):
 def test_own_writes_stop_any_number_of_touches(spark):
     touches = spark.createDataFrame([("a", "1"), ("a", "1"), ("a", "2")], "path string, hash string")
     assert [r.hash for r in reconcile.unwritten(touches, touches.filter("hash = '1'").limit(1)).collect()] == ["2"]
+
+
+def test_a_replica_keeps_its_identity(spark, tmp_path):
+    from driftmerge.config import Settings, peer_id
+
+    first = peer_id(spark, f"{tmp_path}/ids", "a")
+    other = peer_id(spark, f"{tmp_path}/ids", "b")
+    assert first != other and first > 0 and peer_id(spark, f"{tmp_path}/ids", "a") == first
+    assert Settings().hold_ms == 120 and Settings(debounce_ms=1).hold_ms == 60
