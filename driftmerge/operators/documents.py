@@ -18,6 +18,7 @@ from driftmerge.functions import scalars
 from driftmerge.operators import reconcile
 from driftmerge.operators.diffing import script
 from driftmerge.operators.sequence import Gone, deleted_in, ordered_runs
+from driftmerge.sources.shared import materialize, release
 
 RUNS = "array<struct<clock:long,peer:long,o_clock:long,o_peer:long,text:string,gone:string>>"
 OPS = "array<struct<kind:string,clock:long,peer:long,o_clock:long,o_peer:long,text:string,clocks:array<long>>>"
@@ -36,6 +37,14 @@ def from_text(docs: DataFrame) -> DataFrame:
     return plain.select("path", "base", F.when(F.col("text") == "", F.array().cast(RUNS)).otherwise(one).alias("runs"))
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows by path over as many tasks as the session's shuffles have.
+
+    Edit scripts are work by the document: adaptive execution, which counts bytes, would put a small table in one task.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+
+
 def live_text(runs: Runs) -> str:
     return "".join(r["text"] if "1" not in r["gone"] else "".join(c for c, g in zip(r["text"], r["gone"], strict=True) if g == "0") for r in runs)
 
@@ -144,7 +153,7 @@ def manifest(state: DataFrame) -> DataFrame:
 
 def detected(state: DataFrame, new: DataFrame, peer: int) -> DataFrame:
     """(path, base, ops) of the known documents whose new text (path, text) differs: equal texts give no row."""
-    both = state.join(new.select("path", F.coalesce("text", F.lit("")).alias("new")), "path")
+    both = dealt(state.select("path", "base", "runs")).join(dealt(new.select("path", F.coalesce("text", F.lit("")).alias("new"))), "path")
     return _mapped(both, ["runs", "new"], lambda runs, text: (detect(runs, text, peer),), [("ops", OPS, _OP)], ["path", "base"]).filter("size(ops) > 0")
 
 
@@ -181,8 +190,10 @@ def absorbed(state: DataFrame, disk: DataFrame, own_writes: DataFrame, peer: int
 
 def received_ops(state: DataFrame, ops: DataFrame, disk: DataFrame, own_writes: DataFrame, peer: int) -> DataFrame:
     """What ``applied`` gives, with local edits absorbed first."""
-    local = absorbed(state.join(ops.select("path").distinct(), "path", "left_semi"), disk, own_writes, peer)
-    before = applied(state, local).select("path", "base", "runs")
+    touched = state.join(ops.select("path").distinct(), "path", "left_semi")
+    local = materialize(absorbed(touched, disk, own_writes, peer), "edits")
+    before = materialize(applied(state, local).select("path", "base", "runs"), "documents")
+    release(local)
     return applied(before, ops)
 
 
@@ -196,7 +207,7 @@ def received_snapshots(local: DataFrame, remote: DataFrame, local_peer: int, rem
     """
     text = lambda side: texts(side).select("path", F.sha2("text", 256).alias("hash"), "base")
     outcome = reconcile.snapshot_outcome(text(remote).join(remote.select("path", "mtime"), "path"), text(local).join(local.select("path", "mtime"), "path"), remote_peer, local_peer)
-    both = outcome.join(remote.select("path", F.col("base").alias("r_base"), F.col("runs").alias("r_runs")), "path").join(local.select("path", F.col("base").alias("l_base"), F.col("runs").alias("l_runs")), "path", "left")
+    both = dealt(outcome).join(remote.select("path", F.col("base").alias("r_base"), F.col("runs").alias("r_runs")), "path").join(local.select("path", F.col("base").alias("l_base"), F.col("runs").alias("l_runs")), "path", "left")
 
     def make(outcome: str, theirs: Runs, ours: Runs | None) -> tuple:
         if outcome == "adopt":

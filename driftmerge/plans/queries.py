@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftmerge.functions import paths, scalars
 from driftmerge.operators import blocks, codec, diffing, documents, events, reconcile, sequence
 from driftmerge.sources import replicas as R
+from driftmerge.sources.shared import materialize
 from driftmerge.sources.tables import table
 from driftmerge.streaming import streams
 
@@ -313,7 +314,7 @@ def with_id(rows: DataFrame) -> DataFrame:
 @query(f"SELECT path, base, sha256(a) AS hash, CAST(0 AS BIGINT) AS tombstones FROM {ABC} WHERE doc_id % 2 = 1 UNION ALL SELECT path, base, sha256(c), (length(a) + doc_id) // 37 - doc_id // 37 FROM {ABC} WHERE doc_id % 2 = 0")
 def manifest_tombstones(spark: SparkSession, d: str) -> DataFrame:
     """Manifests after half of the documents were edited."""
-    edits = documents.detected(state_a(spark, d), R.replica_c(spark, d).filter("doc_id % 2 = 0"), THEM)
+    edits = materialize(documents.detected(state_a(spark, d), R.replica_c(spark, d).filter("doc_id % 2 = 0"), THEM), "ops")
     return documents.manifest(documents.applied(state_a(spark, d), edits)).select("path", "base", "hash", "tombstones")
 
 
@@ -321,8 +322,8 @@ def manifest_tombstones(spark: SparkSession, d: str) -> DataFrame:
 def detected_ops(spark: SparkSession, d: str) -> DataFrame:
     """Ops that lead from A to C: counted, and applied to A again."""
     state = state_a(spark, d)
-    ops = documents.detected(state, R.replica_c(spark, d), THEM)
-    after = documents.applied(state, ops).join(ops.select("path"), "path", "left_semi")
+    ops = materialize(documents.detected(state, R.replica_c(spark, d), THEM), "ops")
+    after = materialize(documents.applied(state, ops).join(ops.select("path"), "path", "left_semi"), "documents")
     last = F.array_max(F.transform("runs", lambda r: r["clock"] + F.char_length(r["text"]) - 1)).alias("last_clock")
     return after.select("path", "inserted", "deleted", last).join(documents.texts(after).select("path", F.sha2("text", 256).alias("hash")), "path")
 
@@ -340,11 +341,11 @@ def remote_ops(spark: SparkSession, d: str) -> DataFrame:
     """
     a = state_a(spark, d)
     state = with_id(a).filter(KNOWN).select("path", "base", "runs")
-    sent = with_id(documents.detected(a, R.replica_c(spark, d), THEM))
+    sent = with_id(materialize(documents.detected(a, R.replica_c(spark, d), THEM), "ops"))
     ops = sent.select("path", F.when(F.expr(f"{OTHER_BASE} and {KNOWN}"), F.col("base") + 2).otherwise(F.col("base")).alias("base"), "ops")
     disk = R.replica_a(spark, d).select("path", "doc_id", F.when(F.expr("doc_id % 3 = 0"), F.concat("text", F.lit(" local"))).otherwise(F.col("text")).cast("binary").alias("content"))
     own = disk.filter("doc_id % 6 = 0").select("path", F.sha2("content", 256).alias("hash"))
-    after = documents.received_ops(state, ops, disk.select("path", "content"), own, US)
+    after = materialize(documents.received_ops(state, ops, disk.select("path", "content"), own, US), "documents")
     text = documents.texts(after).select("path", F.sha2("text", 256).alias("hash"))
     return after.filter("waiting > 0 or size(runs) > 0").select("path", (F.col("waiting") > 0).alias("waiting"), "dropped").join(text, "path")
 
@@ -360,7 +361,7 @@ def snapshots_received(spark: SparkSession, d: str) -> DataFrame:
     a = with_id(state_a(spark, d))
     mine = R.replica_a(spark, d).select("path", "doc_id", F.concat("text", F.lit(" local")).alias("text"))
     plain = lambda rows: rows.select("path", "base", "runs")
-    edited = lambda new, peer: documents.applied(plain(a.filter("doc_id % 4 = 1")), documents.detected(plain(a.filter("doc_id % 4 = 1")), new, peer)).select("path", "base", "runs")
+    edited = lambda new, peer: materialize(documents.applied(plain(a.filter("doc_id % 4 = 1")), documents.detected(plain(a.filter("doc_id % 4 = 1")), new, peer)).select("path", "base", "runs"), "documents")
     fresh = lambda rows, where: with_id(documents.from_text(rows.filter(where)))
     # Lineages are those of A; theirs are higher or lower by two where they differ.
     base = a.select("path", F.col("base").alias("own"))
@@ -372,7 +373,7 @@ def snapshots_received(spark: SparkSession, d: str) -> DataFrame:
     )
     ours = edited(mine, US).unionByName(shifted(fresh(mine, "doc_id % 4 = 2 or doc_id % 8 = 7"), F.lit(0))).unionByName(shifted(same, F.lit(0)))
     time = lambda rows, when: with_id(rows).withColumn("mtime", F.expr(when)).drop("doc_id")
-    out = documents.received_snapshots(time(ours, "if(doc_id % 16 = 7, 5L, 1L)"), time(theirs, "3L"), US, THEM)
+    out = materialize(documents.received_snapshots(time(ours, "if(doc_id % 16 = 7, 5L, 1L)"), time(theirs, "3L"), US, THEM), "snapshots")
     text = documents.texts(out).select("path", F.sha2("text", 256).alias("hash"))
     return out.select("path", "outcome", "base", "relay", "conflict", F.sha2("conflict_text", 256).alias("conflict_hash")).join(text, "path")
 
@@ -529,7 +530,7 @@ def diff_edit_counts(spark: SparkSession, d: str) -> DataFrame:
 def diff_inner_counts(spark: SparkSession, d: str) -> DataFrame:
     """Edits inside every text."""
     old = R.replica_a(spark, d).filter("text is not null").select("path", F.col("text").alias("old_text"))
-    pairs = old.join(R.replica_c(spark, d).select("path", F.col("text").alias("new_text")), "path")
+    pairs = documents.dealt(old).join(documents.dealt(R.replica_c(spark, d).select("path", F.col("text").alias("new_text"))), "path")
     return diffing.edit_counts(pairs).select("path", "inserted", "deleted", "exact")
 
 
