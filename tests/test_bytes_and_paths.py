@@ -113,6 +113,20 @@ def test_deltas_of_parts_equal_the_definition(spark, tmp_path, monkeypatch):
     assert [r.n for r in got] == list(range(len(got))) and apply(ops, old, 64) == new and flat(ops) == flat(blocks.delta(new, weak, strong, 64))
 
 
+def test_delta_stats_equal_the_definition(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(30):
+        old = bytes(rng.choices(b"abc", k=rng.randint(0, 120)))
+        at = rng.randint(0, 60)
+        rows.append((f"p{k}", bytearray(old), bytearray(old[:at] + b"xyz" + old[at + 5 :])))
+    frame = lambda c: spark.createDataFrame([(r[0], r[c]) for r in rows], "path string, content binary")
+    got = {r.path: (r.literal_bytes, r.reused_blocks, r.n_ops) for r in blocks.stats(blocks.deltas(frame(2), blocks.signatures(frame(1), 8), 8)).collect()}
+    for path, old, new in rows:
+        ops = flat((k, x if k == "copy" else None, x if k == "lit" else None) for k, x in slow_delta(bytes(new), bytes(old), 8))
+        assert got[path] == (sum(len(x) for k, x in ops if k == "lit"), sum(k == "copy" for k, _ in ops), len(ops))
+
+
 def test_chunks_are_bounded_and_lossless():
     rng = random.Random(3)
     ops = [("lit", None, rng.randbytes(5000)), *[("copy", k, None) for k in range(400)], ("lit", None, b"a" * 3000)]

@@ -79,6 +79,21 @@ def test_renames_are_one_to_one_and_first_come(spark):
     assert sorted((r.removed, r.created) for r in events.rename_pairs(removes, creates, 60 * second).collect()) == [(10, 20), (11, 21)]
 
 
+def test_rename_pairs_equal_brute_force(spark):
+    rng = random.Random(4)
+    at = lambda us: datetime(2024, 1, 1) + timedelta(microseconds=us)
+    removes = [(rng.randint(0, 3), rng.randint(0, 500), k) for k in range(80)]
+    creates = [(rng.randint(0, 3), rng.randint(0, 500), 1000 + k) for k in range(80)]
+    pending, want = list(sorted(removes, key=lambda r: (r[1], r[2]))), []
+    for hash_, us, ident in sorted(creates, key=lambda r: (r[1], r[2])):
+        first = next((r for r in pending if r[0] == hash_ and r[1] <= us <= r[1] + 60), None)
+        if first:
+            pending.remove(first)
+            want.append((hash_, first[2], ident))
+    frames = (spark.createDataFrame([(h, at(us), i) for h, us, i in rows], "hash long, ts timestamp, event_id long") for rows in (removes, creates))
+    assert sorted(map(tuple, events.rename_pairs(*frames, 60).collect())) == sorted(want) and len(want) > 20
+
+
 def test_raw_events(spark):
     rows = [("2024-01-01", "a", "access", False, True), ("2024-01-01", "b", "modify", True, True), ("2024-01-01", "c", "remove", False, True), ("2024-01-01", "d", "modify", False, False)]
     df = spark.createDataFrame(rows, "ts string, path string, kind string, is_dir boolean, exists boolean")
