@@ -5,12 +5,14 @@ Sinks and state lie below the folder in spark.checkpoint.dir, which the cluster
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from driftmerge.sources.shared import shared_dir
@@ -22,12 +24,17 @@ def work_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
+#: A state store that isn't held in the executors' heaps, and that single entries are read from.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def drained(stream: DataFrame) -> DataFrame:
     """Runs a stream over all input that is there and gives what it wrote.
 
     What the state still holds at the end follows, if the stream says how to read it (``_rest``).
     """
     spark, place = stream.sparkSession, work_dir(stream.sparkSession)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.schema(stream.schema).parquet(f"{place}/out")
     rest = getattr(stream, "_rest", None)
@@ -100,52 +107,65 @@ def deduplicated(spark: SparkSession, path: str, late: str = "31 days") -> DataF
     return drained(once).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-STATE = "seen array<string>, waiting array<string>, gone array<string>"
 OUT = "path string, clock long, peer long, ch string, kind string"
 
 
-def _causal(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seen, waiting, gone = (set(state.get[0]), list(state.get[1]), set(state.get[2])) if state.exists else (set(), [], set())
-    rows = [tuple(x) for frame in frames for x in frame[["clock", "peer", "o_clock", "o_peer", "ch", "kind"]].itertuples(index=False)]
-    queue = [(int(c), int(p), "" if pd.isna(oc) else f"{int(oc)}@{int(op)}", ch) for c, p, oc, op, ch, kind in rows if kind != "del"]
-    by_origin: dict[str, list[tuple]] = {}
-    for w in waiting:
-        clock, peer, origin, ch = w.split("|", 3)
-        by_origin.setdefault(origin, []).append((int(clock), int(peer), origin, ch))
-    out = []
-    while queue:
-        op = queue.pop()
-        ident = f"{op[0]}@{op[1]}"
-        if ident in seen:
-            continue
-        if op[2] and op[2] not in seen:
-            held = by_origin.setdefault(op[2], [])
-            if op not in held:
-                held.append(op)
-            continue
-        seen.add(ident)
-        out.append((key[0], op[0], op[1], op[3], "ins"))
-        if ident in gone:  # its delete came first
-            out.append((key[0], op[0], op[1], None, "del"))
-        queue += by_origin.pop(ident, [])
-    for clock, peer in ((int(r[0]), int(r[1])) for r in rows if r[5] == "del"):
-        ident = f"{clock}@{peer}"
-        if ident not in gone and ident in seen:
-            out.append((key[0], clock, peer, None, "del"))
-        gone.add(ident)
-    state.update((sorted(seen), sorted("|".join(map(str, w)) for held in by_origin.values() for w in held), sorted(gone)))
-    yield pd.DataFrame(out, columns=["path", "clock", "peer", "ch", "kind"])
+class Causal(StatefulProcessor):
+    """Of each path: the characters that are placed, inserts by the origin they wait for, and deletes by their target.
+
+    Every character is an entry of its own in the state store, so a batch reads and writes what it is about.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.placed = handle.getMapState("placed", "clock long, peer long", "gone boolean")
+        self.waiting = handle.getMapState("waiting", "clock long, peer long", "ops string")
+        self.early = handle.getMapState("early", "clock long, peer long", "there boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  names of the interface
+        whole = [tuple(x) for frame in rows for x in frame[["clock", "peer", "o_clock", "o_peer", "ch", "kind"]].itertuples(index=False)]
+        queue = [(int(c), int(p), None if pd.isna(oc) else (int(oc), int(op)), ch) for c, p, oc, op, ch, kind in whole if kind != "del"]
+        out = []
+        while queue:
+            clock, peer, origin, ch = queue.pop()
+            ident = (clock, peer)
+            if self.placed.containsKey(ident):
+                continue
+            if origin and not self.placed.containsKey(origin):
+                held = json.loads(self.waiting.getValue(origin)[0]) if self.waiting.containsKey(origin) else []
+                if [clock, peer, ch] not in held:
+                    self.waiting.updateValue(origin, (json.dumps([*held, [clock, peer, ch]]),))
+                continue
+            out.append((key[0], clock, peer, ch, "ins"))
+            gone = self.early.containsKey(ident)
+            if gone:  # its delete came first
+                self.early.removeKey(ident)
+                out.append((key[0], clock, peer, None, "del"))
+            self.placed.updateValue(ident, (gone,))
+            if self.waiting.containsKey(ident):
+                queue += [(c, p, ident, x) for c, p, x in json.loads(self.waiting.getValue(ident)[0])]
+                self.waiting.removeKey(ident)
+        for ident in ((int(r[0]), int(r[1])) for r in whole if r[5] == "del"):
+            if not self.placed.containsKey(ident):
+                self.early.updateValue(ident, (True,))
+            elif not self.placed.getValue(ident)[0]:
+                self.placed.updateValue(ident, (True,))
+                out.append((key[0], *ident, None, "del"))
+        yield pd.DataFrame(out, columns=["path", "clock", "peer", "ch", "kind"])
+
+    def close(self) -> None:
+        pass
 
 
 def causal(ops: DataFrame) -> DataFrame:
     """Ops (path, clock, peer, o_clock, o_peer, ch[, kind]) of a stream once what they name is there: each once, in any order.
 
     Inserts wait for their origin, deletes (kind "del"; clock and peer are the target's) for their target, and follow
-    it. Without a kind all are inserts. What waits has no time limit: an origin may come in any later batch.
+    it. Without a kind all are inserts. What waits has no time limit: an origin may come in any later batch. Needs the
+    RocksDB state store, which ``drained`` sets.
     """
     if "kind" not in ops.columns:
         ops = ops.withColumn("kind", F.lit("ins"))
-    return ops.groupBy("path").applyInPandasWithState(_causal, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return ops.groupBy("path").transformWithStateInPandas(Causal(), OUT, "Append", "None")
 
 
 HELD = "removed_us long"
