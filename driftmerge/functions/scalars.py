@@ -100,7 +100,10 @@ ROLES = {"initiator": b"driftmerge initiator", "responder": b"driftmerge respond
 
 
 def proof(secret: bytes, role: str, nonce_i: bytes, nonce_r: bytes, binding: bytes | None) -> bytes:
-    """HMAC-SHA256 over the role, both nonces and the channel; no binding differs from a binding of zeros."""
+    """HMAC-SHA256 over the role, both nonces and the channel; no binding differs from a binding of zeros.
+
+    The two words for the channel are fixed values of the model.
+    """
     channel = b"unbound" if binding is None else b"bound" + binding
     return hmac.new(secret, ROLES[role] + nonce_i + nonce_r + channel, hashlib.sha256).digest()
 
