@@ -18,7 +18,7 @@ from driftmerge.functions import scalars
 from driftmerge.operators import reconcile
 from driftmerge.operators.diffing import script
 from driftmerge.operators.sequence import Gone, deleted_in, ordered_runs
-from driftmerge.sources.shared import materialize, release
+from driftmerge.sources.shared import dealt, materialize, release
 
 RUNS = "array<struct<clock:long,peer:long,o_clock:long,o_peer:long,text:string,gone:string>>"
 OPS = "array<struct<kind:string,clock:long,peer:long,o_clock:long,o_peer:long,text:string,clocks:array<long>>>"
@@ -37,14 +37,6 @@ def from_text(docs: DataFrame) -> DataFrame:
     return plain.select("path", "base", F.when(F.col("text") == "", F.array().cast(RUNS)).otherwise(one).alias("runs"))
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    """Rows by path over as many tasks as the session's shuffles have.
-
-    Edit scripts are work by the document: adaptive execution, which counts bytes, would put a small table in one task.
-    """
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
-
-
 def live_text(runs: Runs) -> str:
     return "".join(r["text"] if "1" not in r["gone"] else "".join(c for c, g in zip(r["text"], r["gone"], strict=True) if g == "0") for r in runs)
 

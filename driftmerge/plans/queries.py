@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from driftmerge.functions import paths, scalars
 from driftmerge.operators import blocks, codec, diffing, documents, events, reconcile, sequence
 from driftmerge.sources import replicas as R
-from driftmerge.sources.shared import materialize
+from driftmerge.sources.shared import dealt, materialize
 from driftmerge.sources.tables import table
 from driftmerge.streaming import streams
 
@@ -530,7 +530,7 @@ def diff_edit_counts(spark: SparkSession, d: str) -> DataFrame:
 def diff_inner_counts(spark: SparkSession, d: str) -> DataFrame:
     """Edits inside every text."""
     old = R.replica_a(spark, d).filter("text is not null").select("path", F.col("text").alias("old_text"))
-    pairs = documents.dealt(old).join(documents.dealt(R.replica_c(spark, d).select("path", F.col("text").alias("new_text"))), "path")
+    pairs = dealt(old).join(dealt(R.replica_c(spark, d).select("path", F.col("text").alias("new_text"))), "path")
     return diffing.edit_counts(pairs).select("path", "inserted", "deleted", "exact")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmerge.functions import scalars
+from driftmerge.sources.shared import dealt
 from driftmerge.sources.tables import table
 
 WRITER, LEFT, RIGHT = 1, 10, 20
@@ -53,7 +54,7 @@ def element_runs(docs: DataFrame, deleted: str = "false") -> DataFrame:
     """Stored documents as pieces, a row each: (path, pos, clock, peer, o_clock, o_peer, text, n, gone, doc_id)."""
     none, one = F.lit(None).cast("long"), F.lit(1).cast("long")
     gone = F.expr(f"array_join(transform(sequence(1L, n), clock -> if({deleted}, '1', '0')), '')")
-    sized = docs.filter("text <> ''").withColumn("n", F.char_length("text").cast("long"))
+    sized = dealt(docs.filter("text <> ''")).withColumn("n", F.char_length("text").cast("long"))
     return sized.select("path", one.alias("pos"), one.alias("clock"), F.lit(WRITER).cast("long").alias("peer"), none.alias("o_clock"), none.alias("o_peer"), "text", "n", gone.alias("gone"), "doc_id")
 
 
@@ -62,14 +63,15 @@ def op_runs(docs: DataFrame) -> DataFrame:
     none, writer = F.lit(None).cast("long"), F.lit(WRITER).cast("long")
     n = F.char_length("text").cast("long")
     no_clocks = F.lit(None).cast("array<bigint>")
-    deleted = F.expr(f"filter(sequence(1L, char_length(text)), clock -> {DELETED})")
+    deleted = F.col("deleted")
 
     def op(seq: Column, kind: str, clock: Column, peer: Column, o_clock: Column, o_peer: Column, text: Column, size: Column, clocks: Column) -> Column:
         return F.struct(seq.cast("long").alias("seq"), F.lit(kind).alias("kind"), clock.cast("long").alias("clock"), peer.alias("peer"), o_clock.alias("o_clock"), o_peer.alias("o_peer"), text.alias("text"), size.cast("long").alias("n"), clocks.alias("clocks"))
 
     word = lambda k, peer, text: op(n + 5 * k + 1, "ins", n + 1, F.lit(peer).cast("long"), F.col("doc_id") % n + 1, writer, F.lit(text), F.lit(5), no_clocks)
     log = F.array(op(F.lit(1), "ins", F.lit(1), writer, none, none, F.col("text"), n, no_clocks), word(0, LEFT, "hello"), word(1, RIGHT, "world"), op(n + 11, "del", F.get(deleted, F.lit(0)), writer, none, none, F.lit(""), F.size(deleted), deleted))
-    return docs.filter("text <> ''").select("path", F.explode(log).alias("x")).select("path", "x.*").filter("n > 0")
+    ready = dealt(docs.filter("text <> ''")).withColumn("deleted", F.expr(f"filter(sequence(1L, char_length(text)), clock -> {DELETED})"))
+    return ready.select("path", F.explode(log).alias("x")).select("path", "x.*").filter("n > 0")
 
 
 def characters(docs: DataFrame) -> DataFrame:

@@ -39,3 +39,11 @@ def release(*frames: DataFrame) -> None:
             jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(conf).delete(where, True)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows by path over as many tasks as the session's shuffles have.
+
+    Work by the document isn't work by the byte: adaptive execution, which counts bytes, would put a small table in one task.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
