@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftmerge.llm import chat, hmm, packing, privacy, simhash, substring, tiling, toxicity, transport, warc
+from driftmerge.llm import bpe, chat, hmm, middle, packing, privacy, simhash, substring, tiling, toxicity, transport, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -19,10 +19,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hmm": hmm.op8_hmm,
     "op9_media": transport.op9_media,
     "op10_warc": warc.op10_warc,
+    "op11_bpe": bpe.op11_bpe,
+    "op12_middle": middle.op12_middle,
 }
 
 ORACLES: dict[str, str] = {
     "op2_chat": chat.OP2_SQL,
     "op4_substring": substring.OP4_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op12_middle": middle.OP12_SQL,
 }
