@@ -132,6 +132,21 @@ def distinct(part: pa.RecordBatch | pa.Table) -> tuple[pa.Array, np.ndarray, np.
     return coded.dictionary, code, least
 
 
+def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, row, ends) of rows (key, block, row, text) sorted by key: a list for each distinct text of a key."""
+    last, known = None, {}
+    for batch in batches:
+        out = []
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
+            if key != last:
+                last, known = key, {}
+            text = text.as_py()
+            if text not in known:  # a hash that two texts share has two lists
+                known[text] = elias_fano(boundaries(text))
+            out.append(known[text])
+        yield pa.record_batch([batch.column(1), batch.column(2), pa.array(out, pa.binary())], ["block", "row", "ends"])
+
+
 def index(blocks: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """(block, row, ends): the list of each text that stands in several places, for each of them; and what to release then."""
 
@@ -153,19 +168,6 @@ def index(blocks: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 
     moved = blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(send, "key long, block long, row long, text string")
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, {}
-        for batch in batches:
-            out = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
-                if key != last:
-                    last, known = key, {}
-                text = text.as_py()
-                if text not in known:  # a hash that two texts share has two lists
-                    known[text] = elias_fano(boundaries(text))
-                out.append(known[text])
-            yield pa.record_batch([batch.column(1), batch.column(2), pa.array(out, pa.binary())], ["block", "row", "ends"])
-
     met = materialize(moved.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "block long, row long, ends binary"), "lists")
     return met, [places, met]
 

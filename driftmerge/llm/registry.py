@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftmerge.llm import bpe, chat, hmm, middle, packing, privacy, simhash, substring, tiling, toxicity, transport, warc
+from driftmerge.llm import bpe, chat, hmm, middle, packing, privacy, simhash, substring, tiling, toxicity, transport, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": warc.op10_warc,
     "op11_bpe": bpe.op11_bpe,
     "op12_middle": middle.op12_middle,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLES: dict[str, str] = {
