@@ -30,7 +30,7 @@ from driftmerge.llm.common import raw, slices, table, texts
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of text that one index holds (one longer text stands alone), chunks remembered by a task, and the longest of them.
-INDEX_BYTES, CACHE, LONGEST = 8 << 20, 400_000, 64
+INDEX_BYTES, CACHE, LONGEST = 6 << 20, 250_000, 64
 
 _BLANKS = re.compile(r" \s|\s ")
 _BETWEEN = re.compile(r"(?<=\S)(?= \S)")
