@@ -8,6 +8,7 @@ sign would accept a trailing line end). Rules become regular expressions that Ca
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,6 +42,14 @@ def ignored(path: Column, rules: list[str]) -> Column:
     return hit
 
 
+def matcher(rules: list[str]) -> Callable[[str], bool]:
+    """What ``ignored`` says of a column, for one path, where folders are listed."""
+    whole, parts = ("|".join(glob_regex(r) for r in rules if ("/" in r) == anchored) for anchored in (True, False))
+    above = re.compile(f"(?:{whole})(?:/.*)?" if whole else r"(?!)", re.DOTALL)
+    name = re.compile(f"(?:{parts})" if parts else r"(?!)", re.DOTALL)
+    return lambda path: above.fullmatch(path) is not None or any(name.fullmatch(x) for x in path.split("/"))
+
+
 def relative(path: Column, root: str) -> Column:
     """Path below root with forward slashes; null if nothing is left."""
     plain = F.regexp_replace(path, r"\\", "/")

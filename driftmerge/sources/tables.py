@@ -9,32 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftmerge.functions import paths, scalars
+from driftmerge.functions import paths
+from driftmerge.sources.folders import scan_files
 from driftmerge.sources.shared import materialize
 
+__all__ = ["load_rules", "load_state", "save_state", "scan_files", "table", "write_files"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scan_files(spark: SparkSession, root: str, rules: list[str] = ()) -> DataFrame:
-    """Rows (path, len, mtime_ms, hash, is_binary) of all files below root that no rule ignores.
-
-    Files without content have no row: Spark's source leaves them out. Names are listed first, without contents; only files that no rule ignores are opened, a task each reading its own.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    where = spark._jvm.org.apache.hadoop.fs.Path(root)
-    prefix = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/") + "/"
-    # The source prunes the content column where it isn't asked for, so this pass reads no file.
-    names = files.select("path").withColumn("rel", F.substr("path", F.lit(len(prefix) + 1)))
-    ignored = names.filter(paths.ignored(F.col("rel"), [*paths.BUILT_IN, *rules])).select("path")
-    kept = files.join(ignored, "path", "left_anti")
-    return kept.select(
-        F.substr("path", F.lit(len(prefix) + 1)).alias("path"), F.col("length").alias("len"), (F.col("modificationTime").cast("double") * 1000).cast("long").alias("mtime_ms"), F.sha2("content", 256).alias("hash"),
-        scalars.is_binary(scalars.sniffed(F.col("content"))).alias("is_binary"),
-    )
-
-
 def load_rules(spark: SparkSession, path: str) -> list[str]:
     """A rule file's patterns after the built-in ones: trimmed, without blanks, comments and trailing slashes."""
     lines = spark.read.text(path).select(F.trim("value").alias("value")).filter("value <> '' and not startswith(value, '#')")
