@@ -16,10 +16,11 @@ to the empty text; the strings of added tokens are those tokens; repeated rows a
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from driftmerge.llm.common import raw, slices, table, texts
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of text that one index holds (one longer text stands alone), chunks remembered by a task, and the longest of them.
-INDEX_BYTES, CACHE, LONGEST = 6 << 20, 250_000, 64
+INDEX_BYTES, CACHE, LONGEST = 8 << 20, 500_000, 64
 
 _BLANKS = re.compile(r" \s|\s ")
 _BETWEEN = re.compile(r"(?<=\S)(?= \S)")
@@ -48,10 +49,9 @@ class Vocabulary:
 
     def __init__(self, name: str = VOCABULARY) -> None:
         import public_tokenizers
-        from tokenizers import Tokenizer
 
-        path = public_tokenizers.path(name)
-        with open(path, encoding="utf-8") as f:
+        self.path = public_tokenizers.path(name)
+        with open(self.path, encoding="utf-8") as f:
             held = json.load(f)
         model = held["model"]
         cut = held["pre_tokenizer"] or {}
@@ -62,7 +62,6 @@ class Vocabulary:
         letters, ids = byte_letters(), model["vocab"]
         self.added = {x["content"]: x["id"] for x in held["added_tokens"]}
         self.cut = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
-        self.pretokens = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         size = 1 + max([*ids.values(), *self.added.values()])
         self.bytes = [b""] * size
         for token, k in ids.items():
@@ -88,6 +87,12 @@ class Vocabulary:
         self.rank = np.argsort(keys, kind="stable")
         self.keys = keys[self.rank]
 
+    @functools.cached_property
+    def pretokens(self) -> Callable[[str], list[tuple[str, tuple[int, int]]]]:
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path).pre_tokenizer.pre_tokenize_str
+
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 if it is never merged; symbols below 0 are ends."""
         keys = left * self.size + right
