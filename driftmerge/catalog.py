@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from driftmerge.plans import files  # noqa: F401  registers its queries
 from driftmerge.plans.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -9,6 +9,7 @@ compression, which are Arrow-batched and hold one document at a time.
 
 from __future__ import annotations
 
+import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -206,11 +207,30 @@ def at_rank(ranks: DataFrame, spans: DataFrame) -> DataFrame:
     return held.select("path", F.col("at").alias("rank"), F.when(inside, F.col("span.clock") + F.col("at") - F.col("span.start")).alias("clock"), F.when(inside, F.col("span.peer")).alias("peer"))
 
 
+#: Clocks of a writer whose ids and runs are sorted together, as a power of two.
+BUCKET = 16
+
+
 def locate(ids: DataFrame, runs: DataFrame) -> DataFrame:
-    """The run and offset that hold each id (path, clock, peer): a band join, equal on path and writer."""
-    a, b = ids.alias("a"), runs.alias("b")
-    inside = (F.col("a.path") == F.col("b.path")) & (F.col("a.peer") == F.col("b.peer")) & (F.col("a.clock") >= F.col("b.clock")) & (F.col("a.clock") < F.col("b.clock") + F.col("b.n"))
-    return a.join(b, inside).select("a.path", "a.clock", "a.peer", F.col("b.clock").alias("run_clock"), (F.col("a.clock") - F.col("b.clock")).alias("offset"))
+    """The run and offset that hold each id (path, clock, peer); runs of a writer don't overlap.
+
+    A band join, as a union sorted by clock in which each id takes the last run that starts before it: linear in ids and runs, where
+    a join on path and writer would hold each id against each run. Clocks are dealt by ranges; a long run stands in each one that it reaches into.
+    """
+    first, last = F.col("clock"), F.col("clock") + F.col("n") - 1
+    held = runs.select("path", "peer", F.explode(F.sequence(F.shiftright(first, BUCKET), F.shiftright(last, BUCKET))).alias("bucket"), F.col("clock").alias("at"), F.lit(0).alias("side"), F.struct("clock", "n").alias("run"))
+    asked = ids.select("path", "peer", F.shiftright("clock", BUCKET).alias("bucket"), F.col("clock").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("struct<clock:bigint,n:bigint>").alias("run"))
+    by = W.partitionBy("path", "peer", "bucket").orderBy("at", "side").rowsBetween(W.unboundedPreceding, 0)
+    found = held.unionByName(asked).withColumn("run", F.last("run", ignorenulls=True).over(by)).filter((F.col("side") == 1) & (F.col("at") < F.col("run.clock") + F.col("run.n")))
+    return found.select("path", F.col("at").alias("clock"), "peer", F.col("run.clock").alias("run_clock"), (F.col("at") - F.col("run.clock")).alias("offset"))
+
+
+def outside(ids: DataFrame, runs: DataFrame) -> DataFrame:
+    """The rows of ids (path, o_clock, o_peer) that no run (path, clock, peer, n) holds; repeated ones stay repeated."""
+    asked = ids.groupBy("path", "o_clock", "o_peer").agg(F.count("*").alias("many"))
+    found = locate(asked.select("path", F.col("o_clock").alias("clock"), F.col("o_peer").alias("peer")), runs)
+    left = asked.join(found.select("path", F.col("clock").alias("o_clock"), F.col("peer").alias("o_peer")), ["path", "o_clock", "o_peer"], "left_anti")
+    return left.select("path", "o_clock", "o_peer", F.explode(F.sequence(F.lit(1).cast("long"), "many"))).drop("col")
 
 
 def fresh(incoming: DataFrame, known: DataFrame) -> DataFrame:
@@ -311,26 +331,26 @@ def ordered_runs(runs: list[tuple]) -> list[tuple[int, int, tuple[int, int] | No
     another run hangs on one of their inner characters, so a document of a few runs has a few nodes, however long.
     Runs whose origin never came are left out, as they wait for it. Repeated and overlapping runs count once.
     """
-    seen: dict[int, list[tuple[int, int]]] = defaultdict(list)
     chains: list[tuple[int, int, tuple | None, str]] = []
+    last_peer, covered = None, 0
     for clock, peer, o_clock, o_peer, text in sorted(runs, key=lambda r: (r[1], r[0], -len(r[4]))):
-        start = clock
-        for a, z in seen[peer]:
-            if a <= start < z:
-                start = z
+        # By rising clocks, what a writer's earlier runs cover has no gap between this run's start and the furthest end.
+        start = max(clock, covered) if peer == last_peer else clock
         if start < clock + len(text):
             origin = (None if o_clock is None else (o_clock, o_peer)) if start == clock else (start - 1, peer)
             chains.append((start, peer, origin, text[start - clock :]))
-            seen[peer].append((start, clock + len(text)))
-    cuts: dict[tuple[int, int], set[int]] = defaultdict(set)
-    by_peer: dict[int, list[tuple[int, int]]] = defaultdict(list)
+            last_peer, covered = peer, clock + len(text)
+    # Each writer's starts and ends, sorted and apart: the run that holds an id is found by bisection.
+    starts, ends = defaultdict(list), defaultdict(list)
     for clock, peer, _, text in chains:
-        by_peer[peer].append((clock, clock + len(text)))
+        starts[peer].append(clock)
+        ends[peer].append(clock + len(text))
+    cuts: dict[tuple[int, int], set[int]] = defaultdict(set)
     for _, _, origin, _ in chains:
-        if origin:
-            for a, z in by_peer[origin[1]]:
-                if a <= origin[0] < z - 1:
-                    cuts[(a, origin[1])].add(origin[0] + 1)
+        if origin and origin[1] in starts:
+            k = bisect.bisect_right(starts[origin[1]], origin[0]) - 1
+            if k >= 0 and origin[0] < ends[origin[1]][k] - 1:
+                cuts[(starts[origin[1]][k], origin[1])].add(origin[0] + 1)
     children: dict[tuple | None, list[tuple[int, int, tuple | None, str]]] = defaultdict(list)
     for clock, peer, origin, text in chains:
         edges = [clock, *sorted(cuts[(clock, peer)]), clock + len(text)]

@@ -74,6 +74,27 @@ def op_runs(docs: DataFrame) -> DataFrame:
     return ready.select("path", F.explode(log).alias("x")).select("path", "x.*").filter("n > 0")
 
 
+#: The columns of a log as pieces.
+PIECES = "path string, seq long, kind string, clock long, peer long, o_clock long, o_peer long, text string, n long, clocks array<long>"
+
+
+def without(pieces: DataFrame, lost: str) -> DataFrame:
+    """A log of pieces that lost the ops whose `clock` fulfils a condition: runs are cut there, what follows hangs on what is lost."""
+    kept = F.expr(f"filter(clocks, clock -> NOT ({lost}))")
+    gone = pieces.filter("kind = 'del'").withColumn("clocks", kept).withColumn("n", F.size("clocks").cast("long")).filter("n > 0")
+    missing = F.expr(f"filter(sequence(clock, clock + n - 1), clock -> {lost})")
+    # Between the lost ones: from the one before to the one after.
+    before, after = F.concat(F.array(F.col("clock") - 1), missing), F.concat(missing, F.array(F.col("clock") + F.col("n")))
+    parts = F.zip_with(before, after, lambda a, z: F.struct((a + 1).alias("a"), z.alias("z")))
+    cut = pieces.filter("kind = 'ins'").select("*", F.explode(parts).alias("x")).filter("x.a < x.z")
+    first = F.col("x.a") == F.col("clock")
+    ins = cut.select(
+        "path", F.col("seq") + F.col("x.a") - F.col("clock"), "kind", "x.a", "peer", F.when(first, F.col("o_clock")).otherwise(F.col("x.a") - 1), F.when(first, F.col("o_peer")).otherwise(F.col("peer")),
+        F.substr("text", (F.col("x.a") - F.col("clock") + 1).cast("int"), (F.col("x.z") - F.col("x.a")).cast("int")), F.col("x.z") - F.col("x.a"), "clocks",
+    )
+    return ins.toDF(*pieces.columns).unionByName(gone.select(*pieces.columns))
+
+
 def characters(docs: DataFrame) -> DataFrame:
     """Rows (path, doc_id, n, clock, ch): clock counts from 1.
 

@@ -5,15 +5,16 @@ from __future__ import annotations
 import uuid
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftmerge.functions import paths
-from driftmerge.sources.folders import scan_files
+from driftmerge.sources.folders import scan_files, store_of
 from driftmerge.sources.shared import materialize
 
-__all__ = ["load_rules", "load_state", "save_state", "scan_files", "table", "write_files"]
+__all__ = ["delete_files", "load_rules", "load_state", "save_state", "scan_files", "table", "write_files"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,12 +92,10 @@ def write_files(files: DataFrame, root: str) -> DataFrame:
         raise ValueError(f"{unsafe[0].path!r} is outside the root")
 
     def run(batches):  # noqa: ANN001, ANN202
-        from pyarrow import fs as pafs
-
-        store, base = pafs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        store, base = store_of(root)
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                target = f"{base.rstrip('/')}/{path}"
+                target = f"{base}/{path}"
                 store.create_dir(target.rpartition("/")[0], recursive=True)
                 part = f"{target}.dmtmp{uuid.uuid4().hex}"
                 with store.open_output_stream(part) as out:
@@ -107,3 +106,19 @@ def write_files(files: DataFrame, root: str) -> DataFrame:
     rows = files.select("path", F.coalesce("content", F.lit(b"")).alias("content"), F.sha2(F.coalesce("content", F.lit(b"")), 256).alias("hash"))
     done = rows.mapInArrow(run, T.StructType([T.StructField("path", T.StringType()), T.StructField("hash", T.StringType())]))
     return materialize(done.withColumn("ts", F.current_timestamp()), "writes")  # the writing happens here, once
+
+
+def delete_files(files: DataFrame, root: str) -> None:
+    """Deletes the files (path) below root; those that are gone already are fine."""
+    if not files.filter(~paths.is_safe(F.col("path"))).isEmpty():
+        raise ValueError("a path is outside the root")
+
+    def run(batches):  # noqa: ANN001, ANN202
+        store, base = store_of(root)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                if store.get_file_info(f"{base}/{path}").type == pafs.FileType.File:
+                    store.delete_file(f"{base}/{path}")
+            yield batch
+
+    files.select("path").mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()

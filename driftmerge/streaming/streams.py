@@ -6,8 +6,9 @@ Sinks and state lie below the folder in spark.checkpoint.dir, which the cluster
 from __future__ import annotations
 
 import json
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from driftmerge.sources.shared import shared_dir
+from driftmerge.config import Settings
+from driftmerge.operators import blocks, sequence
+from driftmerge.sources import tables
+from driftmerge.sources.shared import materialize, shared_dir
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -31,14 +35,21 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 def drained(stream: DataFrame) -> DataFrame:
     """Runs a stream over all input that is there and gives what it wrote.
 
-    What the state still holds at the end follows, if the stream says how to read it (``_rest``).
+    What the state still holds at the end follows, if the stream says how to read it (``_rest``). The session's own state store is what it was afterwards.
     """
     spark, place = stream.sparkSession, work_dir(stream.sparkSession)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.schema(stream.schema).parquet(f"{place}/out")
-    rest = getattr(stream, "_rest", None)
-    return out.union(rest(spark.read.format("statestore").load(f"{place}/state"))) if rest else out
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKS)
+    try:
+        running = stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start()
+        running.awaitTermination()
+        out = spark.read.schema(stream.schema).parquet(f"{place}/out")
+        rest = getattr(stream, "_rest", None)
+        # Read while the store is the stream's.
+        return materialize(out.unionByName(rest(lambda **options: spark.read.format("statestore").options(**options).load(f"{place}/state"))), "drained") if rest else out
+    finally:
+        spark.conf.set(key, before)
 
 
 def source(spark: SparkSession, path: str, schema: str = EVENTS, files_per_batch: int | None = None) -> DataFrame:
@@ -90,7 +101,7 @@ def bursts(events: DataFrame, gap_us: int, late: str = "1 day") -> DataFrame:
     a time. At the end of what is there, ``drained`` gives those still open. Of equal times the larger event_id is last.
     """
     out = _timed(events, late, "path", "us", "event_id", "kind").groupBy("path").applyInPandasWithState(_bursts(gap_us), "path string, last_us long, kind string, n long", BURST, "append", GroupStateTimeout.EventTimeTimeout)
-    out._rest = lambda state: state.select(F.col("key.path").alias("path"), *(F.col(f"value.groupState.{c}").alias(c) for c in ("last_us", "kind", "n")))
+    out._rest = lambda state: state().select(F.col("key.path").alias("path"), *(F.col(f"value.groupState.{c}").alias(c) for c in ("last_us", "kind", "n")))
     return out
 
 
@@ -100,85 +111,229 @@ def debounced(spark: SparkSession, path: str, gap_seconds: int) -> DataFrame:
     return drained(bursts(events, gap_seconds * 1_000_000))
 
 
-def deduplicated(spark: SparkSession, path: str, late: str = "31 days") -> DataFrame:
-    """Counts per kind of a stream in which every event comes twice. State and lateness are bounded by `late`."""
+def deduplicated(spark: SparkSession, path: str) -> DataFrame:
+    """Counts per kind of a stream in which every event comes twice, however late: ids have no end of life, so the state holds each one, on disk."""
     both = source(spark, path).union(source(spark, path))
-    once = both.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", F.col("event_type").alias("kind"))
+    once = both.dropDuplicates(["event_id"]).select("event_id", F.col("event_type").alias("kind"))
     return drained(once).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-OUT = "path string, clock long, peer long, ch string, kind string"
+PLACED = "path string, kind string, clock long, peer long, text string, clocks array<long>"
+#: Clocks of a writer that are one entry of the state store, as a power of two.
+BITS = 12
+
+
+class Bitmaps:
+    """Sets of ids as bit maps of 2**BITS clocks of a writer, an entry of a map state each. Entries are read once a batch and written where they changed."""
+
+    def __init__(self, state: object) -> None:
+        self.state, self.held, self.dirty = state, {}, set()
+
+    def bits(self, peer: int, bucket: int) -> int:
+        key = (peer, bucket)
+        if key not in self.held:
+            self.held[key] = int.from_bytes(self.state.getValue(key)[0], "little") if self.state.containsKey(key) else 0
+        return self.held[key]
+
+    def put(self, peer: int, bucket: int, bits: int) -> None:
+        if bits != self.bits(peer, bucket):
+            self.held[peer, bucket] = bits
+            self.dirty.add((peer, bucket))
+
+    def __contains__(self, ident: tuple[int, int]) -> bool:
+        return bool(self.bits(ident[1], ident[0] >> BITS) >> (ident[0] & (1 << BITS) - 1) & 1)
+
+    def set(self, clock: int, peer: int, there: bool = True) -> None:
+        bucket, bit = clock >> BITS, 1 << (clock & (1 << BITS) - 1)
+        self.put(peer, bucket, self.bits(peer, bucket) | bit if there else self.bits(peer, bucket) & ~bit)
+
+    def save(self) -> None:
+        for key in self.dirty:
+            if bits := self.held[key]:
+                self.state.updateValue(key, (bits.to_bytes(-(-bits.bit_length() // 8), "little"),))
+            else:
+                self.state.removeKey(key)
+
+
+def spans(clock: int, n: int) -> Iterator[tuple[int, int]]:
+    """The buckets that clocks from one on stand in, with the bits of each."""
+    while n > 0:
+        low = clock & (1 << BITS) - 1
+        m = min(n, (1 << BITS) - low)
+        yield clock >> BITS, ((1 << m) - 1) << low
+        clock, n = clock + m, n - m
+
+
+def clocks_of(bucket: int, bits: int) -> Iterator[int]:
+    while bits:
+        yield (bucket << BITS) + (bits & -bits).bit_length() - 1
+        bits &= bits - 1
+
+
+class Waiting:
+    """Runs that wait, by the bucket of the origin of their first character.
+
+    What a batch adds for a bucket is one entry more, 0, 1, ..., and nothing is read for it; the entries of a bucket are read when one of its origins comes, and
+    what still waits then is one entry again.
+    """
+
+    def __init__(self, entries: object, many: object) -> None:
+        self.entries, self.many = entries, many
+        self.held: dict[tuple[int, int], dict[int, list]] = {}
+        self.read: dict[tuple[int, int], int] = {}
+
+    def add(self, origin: tuple[int, int], run: list) -> None:
+        runs = self.held.setdefault((origin[1], origin[0] >> BITS), {}).setdefault(origin[0], [])
+        if run not in runs[-4:]:  # one that comes again soon; any other is placed once all the same
+            runs.append(run)
+
+    def count(self, key: tuple[int, int]) -> int:
+        return int(self.many.getValue(key)[0]) if self.many.containsKey(key) else 0
+
+    def take(self, clock: int, peer: int) -> list:
+        """The runs that wait for an id, which wait no longer."""
+        key = (peer, clock >> BITS)
+        if key not in self.read:
+            self.read[key] = self.count(key)
+            for k in range(self.read[key]):
+                for at, *run in json.loads(self.entries.getValue((*key, k))[0]):
+                    self.held.setdefault(key, {}).setdefault(at, []).append(run)
+        return self.held.get(key, {}).pop(clock, [])
+
+    def save(self) -> None:
+        for key in self.held.keys() | self.read.keys():
+            left = [[at, *run] for at, runs in self.held.get(key, {}).items() for run in runs]
+            for k in range(1, self.read.get(key, 0)):
+                self.entries.removeKey((*key, k))
+            at = 0 if key in self.read else self.count(key)
+            if left:
+                self.entries.updateValue((*key, at), (json.dumps(left),))
+                self.many.updateValue(key, (at + 1,))
+            elif self.read.get(key):
+                self.entries.removeKey((*key, 0))
+                self.many.removeKey(key)
 
 
 class Causal(StatefulProcessor):
-    """Of each path: the characters that are placed, inserts by the origin they wait for, and deletes by their target.
+    """Of each path: the ids that are placed, deleted, deleted before they came, and waited for, as bit maps; and the runs that wait.
 
-    Every character is an entry of its own in the state store, so a batch reads and writes what it is about.
+    All are entries of their own, so a batch reads and writes what it is about.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.placed = handle.getMapState("placed", "clock long, peer long", "gone boolean")
-        self.waiting = handle.getMapState("waiting", "clock long, peer long", "ops string")
-        self.early = handle.getMapState("early", "clock long, peer long", "there boolean")
+        self.states = [handle.getMapState(name, "peer long, bucket long", "bits binary") for name in ("placed", "gone", "early", "awaited")]
+        self.waits = handle.getMapState("waiting", "peer long, bucket long, nth long", "runs string"), handle.getMapState("many", "peer long, bucket long", "n long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  names of the interface
-        whole = [tuple(x) for frame in rows for x in frame[["clock", "peer", "o_clock", "o_peer", "ch", "kind"]].itertuples(index=False)]
-        queue = [(int(c), int(p), None if pd.isna(oc) else (int(oc), int(op)), ch) for c, p, oc, op, ch, kind in whole if kind != "del"]
-        out = []
+        self.placed, self.gone, self.early, self.awaited = maps = [Bitmaps(s) for s in self.states]
+        self.waiting = Waiting(*self.waits)
+        self.out: list[tuple] = []
+        deletes = []
+        for frame in rows:
+            for kind, clock, peer, o_clock, o_peer, text, clocks in zip(*(frame[c] for c in ("kind", "clock", "peer", "o_clock", "o_peer", "text", "clocks")), strict=True):
+                if kind == "del":
+                    deletes.append((int(peer), [int(clock)] if clocks is None else [int(c) for c in clocks]))
+                else:
+                    self.insert(key[0], int(clock), int(peer), None if pd.isna(o_clock) else (int(o_clock), int(o_peer)), text)
+        for peer, clocks in deletes:
+            done = []
+            for clock in clocks:
+                if (clock, peer) not in self.placed:
+                    self.early.set(clock, peer)
+                elif (clock, peer) not in self.gone:
+                    self.gone.set(clock, peer)
+                    done.append(clock)
+            if done:
+                self.out.append((key[0], "del", None, peer, None, done))
+        for m in (*maps, self.waiting):
+            m.save()
+        yield pd.DataFrame(self.out, columns=["path", "kind", "clock", "peer", "text", "clocks"]).astype({"clock": "Int64"})
+
+    def insert(self, path: str, clock: int, peer: int, origin: tuple[int, int] | None, text: str) -> None:
+        queue = [(clock, peer, origin, text)]
         while queue:
-            clock, peer, origin, ch = queue.pop()
-            ident = (clock, peer)
-            if self.placed.containsKey(ident):
-                continue
-            if origin and not self.placed.containsKey(origin):
-                held = json.loads(self.waiting.getValue(origin)[0]) if self.waiting.containsKey(origin) else []
-                if [clock, peer, ch] not in held:
-                    self.waiting.updateValue(origin, (json.dumps([*held, [clock, peer, ch]]),))
+            clock, peer, origin, text = queue.pop()
+            if origin and origin not in self.placed:
+                self.waiting.add(origin, [clock, peer, text])
+                self.awaited.set(*origin)
                 continue
-            out.append((key[0], clock, peer, ch, "ins"))
-            gone = self.early.containsKey(ident)
-            if gone:  # its delete came first
-                self.early.removeKey(ident)
-                out.append((key[0], clock, peer, None, "del"))
-            self.placed.updateValue(ident, (gone,))
-            if self.waiting.containsKey(ident):
-                queue += [(c, p, ident, x) for c, p, x in json.loads(self.waiting.getValue(ident)[0])]
-                self.waiting.removeKey(ident)
-        for ident in ((int(r[0]), int(r[1])) for r in whole if r[5] == "del"):
-            if not self.placed.containsKey(ident):
-                self.early.updateValue(ident, (True,))
-            elif not self.placed.getValue(ident)[0]:
-                self.placed.updateValue(ident, (True,))
-                out.append((key[0], *ident, None, "del"))
-        yield pd.DataFrame(out, columns=["path", "clock", "peer", "ch", "kind"])
+            for bucket, bits in spans(clock, len(text)):
+                new = bits & ~self.placed.bits(peer, bucket)
+                if not new:
+                    continue
+                self.placed.put(peer, bucket, self.placed.bits(peer, bucket) | new)
+                left = new
+                while left:  # characters side by side are one row
+                    low = (left & -left).bit_length() - 1
+                    m = (~(left >> low) & (left >> low) + 1).bit_length() - 1
+                    at = (bucket << BITS) + low
+                    self.out.append((path, "ins", at, peer, text[at - clock : at - clock + m], None))
+                    left &= ~(((1 << m) - 1) << low)
+                if early := new & self.early.bits(peer, bucket):  # their deletes came first
+                    self.early.put(peer, bucket, self.early.bits(peer, bucket) & ~early)
+                    self.gone.put(peer, bucket, self.gone.bits(peer, bucket) | early)
+                    self.out.append((path, "del", None, peer, None, list(clocks_of(bucket, early))))
+                if asked := new & self.awaited.bits(peer, bucket):
+                    self.awaited.put(peer, bucket, self.awaited.bits(peer, bucket) & ~asked)
+                    queue += [(c, p, (at, peer), x) for at in clocks_of(bucket, asked) for c, p, x in self.waiting.take(at, peer)]
 
     def close(self) -> None:
         pass
 
 
+def causal_runs(ops: DataFrame) -> DataFrame:
+    """Pieces of op logs (path, kind, clock, peer, o_clock, o_peer, text, clocks) of a stream once what they name is there.
+
+    Gives (path, kind, clock, peer, text, clocks): each character once, in any order of arrival. Runs wait for the origin of their first character, deletes (`clocks`
+    of a writer) for their targets, and follow those. What waits has no time limit: an origin may come in any later batch.
+    Needs the RocksDB state store, which ``drained`` sets.
+    """
+    return ops.select("path", "kind", "clock", "peer", "o_clock", "o_peer", "text", "clocks").groupBy("path").transformWithStateInPandas(Causal(), PLACED, "Append", "None")
+
+
 def causal(ops: DataFrame) -> DataFrame:
-    """Ops (path, clock, peer, o_clock, o_peer, ch[, kind]) of a stream once what they name is there: each once, in any order.
+    """``causal_runs`` of single characters (path, clock, peer, o_clock, o_peer, ch[, kind]): (path, clock, peer, ch, kind). Without a kind all are inserts."""
+    kind = F.col("kind") if "kind" in ops.columns else F.lit("ins")
+    runs = causal_runs(ops.select("path", kind.alias("kind"), "clock", "peer", "o_clock", "o_peer", F.col("ch").alias("text"), F.lit(None).cast("array<bigint>").alias("clocks")))
+    none = F.lit(None).cast("string")
+    chars = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c, i: F.struct((F.col("clock") + i).alias("clock"), c.alias("ch")))
+    gone = F.transform("clocks", lambda c: F.struct(c.alias("clock"), none.alias("ch")))
+    return runs.select("path", "peer", "kind", F.explode(F.when(F.col("kind") == "ins", chars).otherwise(gone)).alias("x")).select("path", "x.clock", "peer", "x.ch", "kind")
+
 
-    Inserts wait for their origin, deletes (kind "del"; clock and peer are the target's) for their target, and follow
-    it. Without a kind all are inserts. What waits has no time limit: an origin may come in any later batch. Needs the
-    RocksDB state store, which ``drained`` sets.
+def still_blocked(state: Callable[..., DataFrame]) -> DataFrame:
+    """(path, n): the runs and the deleted characters whose origin or target has not come at all, from what a drained ``causal_runs`` holds.
+
+    Those that wait for what waits itself aren't blocked by anything missing of their own.
     """
-    if "kind" not in ops.columns:
-        ops = ops.withColumn("kind", F.lit("ins"))
-    return ops.groupBy("path").transformWithStateInPandas(Causal(), OUT, "Append", "None")
+    runs = F.explode(F.from_json("user_map_value.runs", "array<array<string>>")).alias("x")
+    waiting = state(stateVarName="waiting").select(F.col("key.path").alias("path"), F.col("user_map_key.peer").alias("o_peer"), runs).select("path", "o_peer", *(F.col("x")[k].cast("long").alias(c) for k, c in enumerate(("o_clock", "clock", "peer"))), F.char_length(F.col("x")[3]).cast("long").alias("n")).distinct()
+    early = state(stateVarName="early").select(F.col("key.path").alias("path"), F.col("user_map_key.peer").alias("peer"), F.col("user_map_key.bucket").alias("bucket"), F.hex("user_map_value.bits").alias("bits"))
+    # Bytes of a bit map, lowest first, to the clocks of their bits.
+    nibble = F.posexplode(F.expr("transform(sequence(1, length(bits)), i -> conv(substr(bits, i, 1), 16, 10))"))
+    four = early.select("path", "peer", "bucket", nibble.alias("at", "value")).select("path", "peer", "bucket", "at", "value", F.explode(F.array(*map(F.lit, range(4)))).alias("bit")).filter("shiftright(cast(value as int), bit) % 2 = 1")
+    # Of each two digits the second one has the lower bits.
+    clock = F.expr(f"shiftleft(bucket, {BITS}) + (at div 2) * 8 + if(at % 2 = 0, 4, 0) + bit")
+    asked = waiting.select("path", "o_clock", "o_peer").unionByName(four.select("path", clock.cast("long").alias("o_clock"), F.col("peer").alias("o_peer")))
+    return sequence.outside(asked, waiting.select("path", "clock", "peer", "n")).groupBy("path").agg(F.count("*").alias("n"))
 
 
-HELD = "removed_us long"
+class Held(StatefulProcessor):
+    """Of each path: when it was removed, while the delete is held back. A timer of event time ends the hold."""
 
+    def __init__(self, hold_us: int) -> None:
+        self.hold_us = hold_us
 
-def _delayed(hold_us: int):  # noqa: ANN202  a factory of the state function
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        gone = state.get[0] if state.exists else -1
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.gone = handle.getValueState("gone", "removed_us long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        before = gone = int(self.gone.get()[0]) if self.gone.exists() else -1
         out = []
-        rows = sorted((int(us), kind) for frame in frames for us, kind in zip(frame.us, frame.kind, strict=True))
-        for us, kind in rows:
-            if 0 <= gone <= us - hold_us:
-                out.append((key[0], gone + hold_us, "removed"))
+        for us, kind in sorted((int(us), kind) for frame in rows for us, kind in zip(frame.us, frame.kind, strict=True)):
+            if 0 <= gone <= us - self.hold_us:
+                out.append((key[0], gone + self.hold_us, "removed"))
                 gone = -1
             if kind == "removed":
                 gone = max(gone, us)
@@ -186,17 +341,30 @@ def _delayed(hold_us: int):  # noqa: ANN202  a factory of the state function
                 if us >= gone:  # back in time: the delete never was
                     gone = -1
                 out.append((key[0], us, "touched"))
-        if state.hasTimedOut and gone >= 0:
-            out.append((key[0], gone + hold_us, "removed"))
-            gone = -1
-        if gone >= 0:
-            state.update((gone,))
-            state.setTimeoutTimestamp(max(-(-(gone + hold_us) // 1000), state.getCurrentWatermarkMs(), 1))
-        else:
-            state.remove()
+        if gone != before:
+            if before >= 0:
+                self.handle.deleteTimer(self.at(before))
+            if gone >= 0:
+                self.gone.update((gone,))
+                self.handle.registerTimer(max(self.at(gone), timerValues.getCurrentWatermarkInMs() + 1))
+            else:
+                self.gone.clear()
         yield pd.DataFrame(out, columns=["path", "us", "kind"])
 
-    return run
+    def at(self, gone: int) -> int:
+        return max(-(-(gone + self.hold_us) // 1000), 1)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        out = []
+        if self.gone.exists():
+            gone = int(self.gone.get()[0])
+            if self.at(gone) <= timerValues.getCurrentWatermarkInMs():
+                out.append((key[0], gone + self.hold_us, "removed"))
+                self.gone.clear()
+        yield pd.DataFrame(out, columns=["path", "us", "kind"])
+
+    def close(self) -> None:
+        pass
 
 
 def delayed_deletes(events: DataFrame, hold_us: int, late: str = "1 day") -> DataFrame:
@@ -205,6 +373,97 @@ def delayed_deletes(events: DataFrame, hold_us: int, late: str = "1 day") -> Dat
     The path's next event shows that, or the watermark, which is `late` behind the latest event of all paths; at the
     end of what is there, ``drained`` gives the removals still held.
     """
-    out = _timed(events, late, "path", "us", "kind").groupBy("path").applyInPandasWithState(_delayed(hold_us), "path string, us long, kind string", HELD, "append", GroupStateTimeout.EventTimeTimeout)
-    out._rest = lambda state: state.select(F.col("key.path").alias("path"), (F.col("value.groupState.removed_us") + hold_us).alias("us"), F.lit("removed").alias("kind"))
+    out = _timed(events, late, "path", "us", "kind").groupBy("path").transformWithStateInPandas(Held(hold_us), "path string, us long, kind string", "Append", "EventTime")
+    out._rest = lambda state: state(stateVarName="gone").select(F.col("key.path").alias("path"), (F.col("value.removed_us") + hold_us).alias("us"), F.lit("removed").alias("kind"))
     return out
+
+
+TRANSFER = "peer long, path string, hash string, outcome string, parts array<string>"
+
+
+class Receiver(StatefulProcessor):
+    """Of each transfer: its chunks by number, until all are there or the time is up. A chunk that comes again counts once."""
+
+    def __init__(self, patience_us: int | None) -> None:
+        self.patience_us = patience_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.chunks = handle.getMapState("chunks", "seq long", "part string")
+        self.status = handle.getValueState("status", "total long, there long, done boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        known = self.status.get() if self.status.exists() else None
+        total, there, done = (int(known[0]), int(known[1]), bool(known[2])) if known else (0, 0, False)
+        first = None
+        for frame in rows:
+            for seq, many, us, part in zip(frame.seq, frame.total, frame.us, frame.part, strict=True):
+                total, first = max(total, int(many)), int(us) if first is None else min(first, int(us))
+                if not done and not self.chunks.containsKey((int(seq),)):
+                    self.chunks.updateValue((int(seq),), (part,))
+                    there += 1
+        out = []
+        if not done and there >= total:
+            out.append((*key, "whole", [self.chunks.getValue((k,))[0] for k in range(total)]))
+            self.chunks.clear()
+            done = True
+        elif known is None and self.patience_us is not None:
+            self.handle.registerTimer(max(-(-(first + self.patience_us) // 1000), timerValues.getCurrentWatermarkInMs() + 1))
+        self.status.update((total, there, done))
+        yield pd.DataFrame(out, columns=["peer", "path", "hash", "outcome", "parts"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        out = []
+        if self.status.exists():
+            if not self.status.get()[2]:
+                out.append((*key, "missing chunks", None))
+                self.chunks.clear()
+            self.status.clear()
+        yield pd.DataFrame(out, columns=["peer", "path", "hash", "outcome", "parts"])
+
+    def close(self) -> None:
+        pass
+
+
+def transfers(chunks: DataFrame, patience_us: int = 60_000_000, late: str = "1 minute") -> DataFrame:
+    """Transfers of a stream of chunks (peer, path, hash, seq, total, ops[, us]): (peer, path, hash, outcome, ops), each sender's on its own.
+
+    "whole" with all ops in order once the last chunk came; "missing chunks" where chunks have a time and the watermark, `late` behind the latest, is
+    beyond the patience of the first one that came, or, when ``drained``, where one hasn't come at the end. Without a time a transfer may take for ever.
+    """
+    timed = "us" in chunks.columns
+    rows = chunks.select("peer", "path", "hash", "seq", "total", (F.col("us") if timed else F.lit(0).cast("long")).alias("us"), F.to_json("ops").alias("part"))
+    rows = _timed(rows, late, *rows.columns) if timed else rows
+    out = rows.groupBy("peer", "path", "hash").transformWithStateInPandas(Receiver(patience_us if timed else None), TRANSFER, "Append", "EventTime" if timed else "None")
+    whole = F.flatten(F.transform("parts", lambda p: F.from_json(p, blocks.OPS)))
+    done = out.select("peer", "path", "hash", "outcome", whole.alias("ops"))
+    none = F.lit(None).cast(done.schema["ops"].dataType)
+    done._rest = lambda state: state(stateVarName="status").filter("not value.done").select("key.peer", "key.path", "key.hash", F.lit("missing chunks").alias("outcome"), none.alias("ops"))
+    return done
+
+
+def kept(changes: DataFrame, path: str, schema: str, key: str, checkpoint: str, compare: Callable[[DataFrame], None] | None = None, settings: Settings = Settings()) -> None:  # noqa: B008  frozen
+    """Merges a stream's rows into the versioned state at `path`, batch by batch, over all input that is there.
+
+    Of a batch's rows of a key the last by ``seq`` counts; a row with ``gone`` removes its key. The state carries the number of the batch that it came from, so one that was saved before a crash and
+    runs again is left out. `compare` gets the state whenever a report is due. Batches hold as many files as the stream's source was told (``Settings.files_per_batch``).
+    """
+    reported = [0.0]
+
+    def merge(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        before = tables.load_state(session, path, f"{schema}, batch long")
+        done = before.agg(F.max("batch")).first()[0]
+        if done is not None and number <= done:
+            return
+        columns = [c for c in before.columns if c != "batch"]
+        last = batch.groupBy(key).agg(F.max_by(F.struct(*(c for c in columns if c != key), "gone"), "seq").alias("x")).select(key, "x.*")
+        new = last.filter("not gone").select(*columns)
+        after = before.join(last.select(key), key, "left_anti").select(*columns).unionByName(new)
+        tables.save_state(after.withColumn("batch", F.lit(number).cast("long")), path)
+        now = time.monotonic() * 1000
+        if compare and (not reported[0] or now - reported[0] >= settings.report_ms):
+            reported[0] = now
+            compare(tables.load_state(session, path, f"{schema}, batch long").drop("batch"))
+
+    changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
