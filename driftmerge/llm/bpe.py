@@ -33,6 +33,9 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of text that one index holds (one longer text stands alone), chunks remembered by a task, and the longest of them.
 INDEX_BYTES, CACHE, LONGEST = 8 << 20, 500_000, 64
 
+#: Latin, Greek and Cyrillic letters lie below; no letters were added to Unicode there for long, so all libraries agree on them.
+OLD_LETTERS = "\u0530"
+
 _BLANKS = re.compile(r" \s|\s ")
 _BETWEEN = re.compile(r"(?<=\S)(?= \S)")
 
@@ -68,7 +71,7 @@ class Vocabulary:
             self.bytes[k] = bytes(letters[c] for c in token)
         for token, k in self.added.items():
             self.bytes[k] = token.encode()
-        self.shown = {b: c for c, b in letters.items() if b < 128}
+        self.shown = {b: c for c, b in letters.items()}
         #: The pre-tokenizer's pattern where all is ASCII.
         self.ascii = re.compile(public_tokenizers.PATTERN.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(" ?A-Za-z+", " ?[A-Za-z]+").replace(" ?0-9+", " ?[0-9]+"), re.ASCII)
         self.of_letter = np.full(512, -1, np.int64)
@@ -193,6 +196,10 @@ class Encoder:
     def pretokens(self, chunk: str) -> list[str]:
         if chunk.isascii():
             return [x.translate(self.v.shown) for x in self.v.ascii.findall(chunk)]
+        body = chunk.rstrip(".,;:!?")
+        if max(chunk) < OLD_LETTERS and body[0] == " " and body[1:].isalpha():  # a word and what ends a sentence
+            word = body.encode().decode("latin-1").translate(self.v.shown)
+            return [word] if len(body) == len(chunk) else [word, chunk[len(body) :]]
         return [w for w, _ in self.v.pretokens(chunk)]
 
     def learn(self, chunks: list[str]) -> list[bytes]:
