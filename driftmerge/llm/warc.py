@@ -11,7 +11,8 @@ and ``fetch_records`` opens only the bundles, and in them only the frames, that
 Duplicates: of the records with equal payloads the one with the smallest id is a ``response``; all others are
 ``revisit`` records that refer to it and carry no payload.
 
-Defined results: a null payload is an empty one; rows with equal ids are records of their own; empty tables give no
+Defined results: a null payload is an empty one; rows with equal ids are records of their own; a row without an id is a response that nothing refers to, named ``None``, and
+read back without an id; empty tables give no
 bundle; a damaged bundle raises ValueError.
 """
 
@@ -126,13 +127,16 @@ def fetch(data: bytes, frame: int, offset: int = 0, length: int | None = None) -
 def first_of_equal(pages: DataFrame, id_column: str, least: int = 0) -> DataFrame:
     """Adds refers_to: the smallest id with the same payload, null where that is the row itself or the payload is short.
 
-    Payloads are told apart by SHA-256. Both sides of the join are aggregated or narrow; a payload that a
-    third of all pages share meets one row of the aggregate, and adaptive skew handling splits the other side.
+    Payloads are told apart by SHA-256. Ids and digests alone are grouped, and what refers to another row is written as a table of ids, whose size
+    is known when it is joined: payloads are shuffled only where it is too large to be broadcast. A payload that a third of all pages share meets one row of
+    the aggregate, and adaptive skew handling splits the other side.
     """
-    key = F.sha2(F.col("payload"), 256)
-    keyed = pages.withColumn("_key", key)
-    first = keyed.filter(F.length("payload") >= least).groupBy("_key").agg(F.min(id_column).alias("_first"), F.count("*").alias("_copies")).filter("_copies > 1").select("_key", "_first")
-    return keyed.join(first, "_key", "left").withColumn("refers_to", F.when(F.col("_first") != F.col(id_column), F.col("_first"))).drop("_key", "_first")
+    key = F.sha2(F.col("payload"), 256).alias("_key")
+    keyed = pages.filter(F.length("payload") >= least).select(F.col(id_column).alias("_id"), key).filter("_id is not null")
+    first = keyed.groupBy("_key").agg(F.min("_id").alias("_first"), F.count("*").alias("_copies")).filter("_copies > 1").select("_key", "_first")
+    later = materialize(keyed.join(first, "_key").filter("_first <> _id").distinct(), "revisits")
+    whole = pages.withColumn("_id", F.col(id_column)).withColumn("_key", key).join(later, ["_id", "_key"], "left")
+    return whole.select(*pages.columns, F.col("_first").alias("refers_to"))
 
 
 def write_bundles(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", text_column: str | Column = "html", least: int = 0, bundle_bytes: int = BUNDLE_BYTES, frame_bytes: int = FRAME_BYTES) -> DataFrame:
@@ -222,7 +226,7 @@ def fetch_records(bundles: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = materialize(write_bundles(table(spark, sf_dir, "pages")), "warc")
-    out = read_bundles(archives).select(F.col("ident").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+    out = read_bundles(archives).select(F.col("ident").try_cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
     out = materialize(out, "records")
     release(archives)
     return out

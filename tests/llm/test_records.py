@@ -240,3 +240,11 @@ def test_evolution_never_loses_a_piece_and_beats_its_start():
         assert sorted(x for b in one.bins for x in b) == list(range(400)) and min(one.room) >= 0
         assert one.room == [1024 - sum(sizes[x] for x in b) for b in one.bins]
     assert again.fitness() <= best.fitness() and len(best.bins) <= len(first.bins)
+
+
+def test_pages_without_ids_are_responses(spark, tmp_path):
+    rows = [(None, "u", "same"), (3, "u", "same"), (2, "u", "same"), (2, "u", "same"), (2, "v", "other"), (7, None, "other"), (None, "w", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.op10_warc(spark, str(tmp_path)).collect()), key=repr)
+    want = [(None, 4, "response", None), (3, 4, "revisit", 2), *[(2, 4, "response", None)] * 2, (2, 5, "response", None), (7, 5, "revisit", 2), (None, 0, "response", None)]
+    assert got == sorted(want, key=repr)
