@@ -8,7 +8,7 @@ positions; a rank is applied to all its positions at once, and the pairs that th
 whose pair is gone are found when their rank's turn comes. Merges only make pairs of higher ranks (checked when a
 vocabulary is read), so this gives what merging each pre-token by itself gives.
 
-Chunks that were met before in a task are looked up. That memory is bounded and changes no result.
+Chunks that were met before by a worker are looked up. That memory is bounded and changes no result.
 
 Defined results: null and empty texts have no tokens (an empty list) and decode to the empty text; ids of a null list decode
 to the empty text; the strings of added tokens are those tokens; repeated rows and ids stay as they are; a table without rows gives none.
@@ -233,19 +233,24 @@ class Encoder:
             for before, first, rest in parts:
                 cells += (b"" if before is None else before.to_bytes(4, "little"), head[first], *map(known.__getitem__, rest))
             out.append(b"".join(cells))
-        if len(known) > CACHE:
-            known.clear()
+        # Those that came first stay: frequent chunks are among them.
         for x in after:
-            if len(x) > LONGEST:
-                known.pop(x, None)
+            if len(x) > LONGEST or len(known) > CACHE:
+                del known[x]
         return out
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_of(vocabulary: str) -> Encoder:
+    """One encoder for all tasks of a worker."""
+    return Encoder(vocabulary)
+
+
 def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """Rows (doc_id, ids array<int>) of all whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         for batch in batches:
             column = texts(batch.column(1))
             _, offs = raw(column)
