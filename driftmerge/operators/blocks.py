@@ -250,9 +250,20 @@ def stats(ops: DataFrame) -> DataFrame:
 
 
 def rebuild(ops: DataFrame, old: DataFrame, size: int) -> DataFrame:
-    """Contents of (path, ops) beside other columns: copies resolved against the old content's blocks, joined once a path."""
-    part = F.transform("ops", lambda x: F.when(x["kind"] == "copy", F.hex(F.substring(F.coalesce("old", F.lit(b"")), x["block_no"].cast("int") * size + 1, F.lit(size)))).otherwise(F.hex(x["bytes"])))
-    return ops.join(old.select("path", F.col("content").alias("old")), "path", "left").select(*(c for c in ops.columns if c != "ops"), F.unhex(F.array_join(part, "")).alias("content"))
+    """Contents of (path, ops) beside other columns: copies are slices of the old content, joined once a path. For files, see ``filedeltas``."""
+    keep = [c for c in ops.columns if c != "ops"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for cell, held in zip(batch.column("ops"), batch.column("old"), strict=True):
+                base = memoryview(held.as_buffer() if held.is_valid else b"")
+                made.append(b"".join(base[x["block_no"] * size : (x["block_no"] + 1) * size] if x["kind"] == "copy" else x["bytes"] for x in cell.as_py() or []))
+            yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(made, pa.binary())], [*keep, "content"])
+
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in ops.select(*keep).schema)
+    both = ops.join(old.select("path", F.col("content").alias("old")), "path", "left")
+    return both.select(*keep, "ops", "old").mapInArrow(run, f"{kinds}content binary")
 
 
 def chunk(ops: list[Op], target: int = CHUNK) -> list[list[Op]]:
@@ -322,7 +333,11 @@ def received(chunks: DataFrame, old: DataFrame, size: int) -> DataFrame:
     "verified" with the content, if all chunks came and what they rebuild from our old content (path, content) has the
     announced hash; else "missing chunks" or "other content", without one. Only complete transfers are rebuilt.
     """
-    whole = reassemble(chunks, TRANSFER)
+    return verified(reassemble(chunks, TRANSFER), old, size)
+
+
+def verified(whole: DataFrame, old: DataFrame, size: int) -> DataFrame:
+    """The outcomes of transfers (*TRANSFER, complete, ops)."""
     rebuilt = rebuild(inflated(whole.filter("complete")), old, size).withColumn("ok", F.sha2("content", 256) == F.col("hash"))
     done = rebuilt.select(*TRANSFER, F.when(F.col("ok"), "verified").otherwise("other content").alias("outcome"), F.when(F.col("ok"), F.col("content")).alias("content"))
     return done.unionByName(whole.filter("not complete").select(*TRANSFER, F.lit("missing chunks").alias("outcome"), F.lit(None).cast("binary").alias("content")))

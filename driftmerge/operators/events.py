@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftmerge.config import Settings
 from driftmerge.sources.shared import materialize
 
 
@@ -130,3 +131,21 @@ def reach(edges: DataFrame, source: int) -> DataFrame:
         last = new.filter(F.col("hops") == base).select("topology", "peer")
         if last.isEmpty():
             return seen
+
+
+def backoff(attempts: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008  frozen
+    """(path, event_id, attempt, delay_ms) of each failed attempt (path, ts, event_id, failed): the pause before the next one, without jitter.
+
+    It doubles with each failure in a row, up to the longest; what doesn't fail starts over.
+    """
+    by = W.partitionBy("path").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    rows = attempts.withColumn("run", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(by))
+    nth = F.row_number().over(W.partitionBy("path", "run").orderBy("ts", "event_id")).cast("long")
+    failed = rows.filter("failed").withColumn("attempt", nth)
+    # Beyond 30 doublings the longest pause holds anyway.
+    return failed.select("path", "event_id", "attempt", F.least(F.lit(settings.retry_ms) * F.pow(F.lit(2), F.least("attempt", F.lit(30))).cast("long"), F.lit(settings.longest_retry_ms)).cast("long").alias("delay_ms"))
+
+
+def admission(links: DataFrame) -> DataFrame:
+    """The links with what comes of them (`result`), by whether our side (`ours`) and the other (`theirs`) ask for a secret: both "prove" it, none leaves the link "open", else "reject"."""
+    return links.withColumn("result", F.when(F.col("ours") != F.col("theirs"), "reject").when(F.col("ours"), "prove").otherwise("open"))

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmerge.operators import blocks, filedeltas
-from driftmerge.plans.queries import A, C, OPS, SIZE, contents, query
+from driftmerge.operators import blocks, codec, filedeltas
+from driftmerge.plans.queries import CHARS, OPS, SIZE, TRANSFERS, A, C, contents, query, sent_chunks
 from driftmerge.sources import folders, frames, tables
 from driftmerge.sources import replicas as R
 from driftmerge.sources.shared import dealt, materialize, shared_dir
@@ -134,3 +134,42 @@ def causal_placed(spark: SparkSession, d: str) -> DataFrame:
     """What that stream places and deletes."""
     out = streams.drained(streams.causal_runs(streams.source(spark, f"{_lossy(spark, d)}/*", R.PIECES, files_per_batch=16)))
     return out.groupBy("path").agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0)).cast("long").alias("placed"), F.coalesce(F.sum(F.when(F.col("kind") == "del", F.size("clocks"))), F.lit(0)).cast("long").alias("deleted")).filter("placed > 0")
+
+
+@query(TRANSFERS)
+def transfers_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The transfers of ``transfers_received`` as a stream of chunks, in batches in no order."""
+    path = place(spark, "chunks")
+    sent = sent_chunks(spark, d).select(*blocks.TRANSFER, "seq", "total", "ops")
+    sent.write.parquet(path)
+    whole = streams.drained(streams.transfers(streams.source(spark, path, sent.schema, files_per_batch=8)))
+    return blocks.verified(whole.select(*blocks.TRANSFER, (F.col("outcome") == "whole").alias("complete"), "ops"), contents(R.replica_a(spark, d)), SIZE).select("peer", "path", "outcome", F.length("content").cast("long").alias("len"))
+
+
+# Encoded sizes
+
+
+def varint(value: str) -> str:
+    return "(1 + " + " + ".join(f"CAST({value} >= {1 << 7 * k} AS INTEGER)" for k in range(1, 9)) + ")"
+
+
+def zigzag(value: str) -> str:
+    return f"(CASE WHEN {value} >= 0 THEN 2 * ({value}) ELSE -2 * ({value}) - 1 END)"
+
+
+@query(f"""WITH c AS ({CHARS}), e AS (SELECT path, clock AS pos, ch, clock + 3 * (clock // 11) AS clock, 1 + (clock // 7 + doc_id) % 300 AS peer, CASE WHEN clock % 13 = 0 THEN greatest(clock - 6, 1) WHEN clock > 1 THEN clock - 1 END AS up, doc_id FROM c),
+  x AS (SELECT path, pos, ch, clock, peer, up + 3 * (up // 11) AS o_clock, 1 + (up // 7 + doc_id) % 300 AS o_peer FROM e),
+  seen AS (SELECT path, p, min(place) AS first FROM (SELECT path, peer AS p, 2 * pos AS place FROM x UNION ALL SELECT path, o_peer, 2 * pos + 1 FROM x WHERE o_peer IS NOT NULL) GROUP BY path, p),
+  dict AS (SELECT path, p, row_number() OVER (PARTITION BY path ORDER BY first) - 1 AS i FROM seen), head AS (SELECT path, {varint('count(*)')} + sum({varint('p')}) AS head FROM dict GROUP BY path),
+  f AS (SELECT *, coalesce(lag(clock) OVER w, 0) AS pc, lag(peer) OVER w AS pp FROM x WINDOW w AS (PARTITION BY path ORDER BY pos)),
+  y AS (SELECT f.path, 1 + strlen(ch) + CASE WHEN f.peer IS NOT DISTINCT FROM pp THEN 0 ELSE {varint('a.i')} END + CASE WHEN clock = pc + 1 THEN 0 ELSE {varint(zigzag('(clock - pc)'))} END
+      + CASE WHEN o_clock IS NULL OR (o_clock = pc AND o_peer IS NOT DISTINCT FROM pp) THEN 0 ELSE {varint('b.i')} + {varint(zigzag('(o_clock - clock)'))} END AS size
+    FROM f JOIN dict a ON a.path = f.path AND a.p = f.peer LEFT JOIN dict b ON b.path = f.path AND b.p = f.o_peer)
+  SELECT y.path, CAST(sum(size) + {varint('count(*)')} + max(head) AS BIGINT) AS bytes FROM y JOIN head ON head.path = y.path GROUP BY y.path""")
+def codec_size_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of up to 300 writers who take turns every seven characters, with gaps between clocks and far origins: what the codec's predictors are for."""
+    c = R.characters(R.replica_a(spark, d)).withColumnRenamed("clock", "pos")
+    up = F.expr("CASE WHEN pos % 13 = 0 THEN greatest(pos - 6, 1) WHEN pos > 1 THEN pos - 1 END")
+    clock, peer = (lambda x: x + 3 * F.floor(x / 11)), (lambda x: 1 + (F.floor(x / 7) + F.col("doc_id")) % 300)
+    e = c.withColumn("up", up).select("path", "pos", clock(F.col("pos")).alias("clock"), peer(F.col("pos")).alias("peer"), clock(F.col("up")).alias("o_clock"), peer(F.col("up")).alias("o_peer"), "ch", F.lit(False).alias("deleted"))
+    return codec.encoded_size(e)

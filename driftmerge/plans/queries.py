@@ -121,7 +121,7 @@ def compaction_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""SELECT path, outcome, CASE WHEN outcome = 'conflict' THEN path || '.conflict-00000007' END AS conflict FROM (
   SELECT r.path, CASE WHEN l.base IS NULL THEN 'adopt' WHEN r.base = l.base THEN 'merge' WHEN r.base > l.base THEN 'ignore' WHEN r.hash = l.hash THEN 'adopt-same'
-    WHEN l.doc_id * 613 % 977 > r.doc_id * 331 % 977 OR (l.doc_id * 613 % 977 = r.doc_id * 331 % 977 AND FALSE) THEN 'rebase' ELSE 'conflict' END AS outcome
+    WHEN l.doc_id * 613 % 977 > r.doc_id * 331 % 977 THEN 'rebase' ELSE 'conflict' END AS outcome
   FROM ({MAN_A}) r LEFT JOIN ({MAN_B}) l ON r.path = l.path)""")
 def snapshot_outcome(spark: SparkSession, d: str) -> DataFrame:
     remote = man_a(spark, d).withColumn("mtime", F.col("doc_id") * 331 % 977)
@@ -160,15 +160,22 @@ def block_size_table(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", scalars.block_size(F.octet_length("text").cast("long") * 1000003).alias("block_size"))
 
 
-@query("SELECT attempt, least(1000 * CAST(pow(2, attempt) AS BIGINT), 30000) AS delay_ms FROM (SELECT unnest(range(1, 13)) AS attempt)")
+@query("""WITH e AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events),
+  n AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS attempt FROM e WHERE event_type = 'error')
+  SELECT CAST(user_id AS VARCHAR) AS path, event_id, attempt, least(1000 * CAST(pow(2, least(attempt, 30)) AS BIGINT), 30000) AS delay_ms FROM n""")
 def backoff_schedule(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(1, 13).select(F.col("id").alias("attempt"), F.least(F.pow(F.lit(2), F.col("id")).cast("long") * 1000, F.lit(30000)).cast("long").alias("delay_ms"))
+    """A user's errors in a row are failed attempts."""
+    return events.backoff(by_user(spark, d).withColumn("failed", F.col("kind") == "error"))
 
 
-@query("SELECT a AS ours, b AS theirs, CASE WHEN a = b THEN CASE WHEN a THEN 'prove' ELSE 'open' END ELSE 'reject' END AS result FROM (VALUES (TRUE), (FALSE)) x(a), (VALUES (TRUE), (FALSE)) y(b)")
+@query("""SELECT DISTINCT o_custkey AS custkey, l_suppkey AS suppkey, c_acctbal >= 0 AS ours, s_acctbal >= 0 AS theirs, CASE WHEN (c_acctbal >= 0) <> (s_acctbal >= 0) THEN 'reject' WHEN c_acctbal >= 0 THEN 'prove' ELSE 'open' END AS result
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey""")
 def admission_table(spark: SparkSession, d: str) -> DataFrame:
-    sides = spark.createDataFrame([(x, y) for x in (True, False) for y in (True, False)], "ours boolean, theirs boolean")
-    return sides.select("ours", "theirs", F.when(F.col("ours") != F.col("theirs"), "reject").when(F.col("ours"), "prove").otherwise("open").alias("result"))
+    """Customers and suppliers who trade are linked; who has money asks for a secret."""
+    o, li = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("custkey")), table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("suppkey"))
+    pairs = o.join(li, o.o_orderkey == li.l_orderkey).select("custkey", "suppkey").distinct()
+    ours, theirs = table(spark, d, "customer").select(F.col("c_custkey").alias("custkey"), (F.col("c_acctbal") >= 0).alias("ours")), table(spark, d, "supplier").select(F.col("s_suppkey").alias("suppkey"), (F.col("s_acctbal") >= 0).alias("theirs"))
+    return events.admission(pairs.join(ours, "custkey").join(theirs, "suppkey"))
 
 
 @query("SELECT o_orderkey, 'o/' || o_orderkey || '.conflict-' || lpad(lower(to_hex((o_orderkey * 2654435761) & 4294967295)), 8, '0') AS name FROM orders")
@@ -502,16 +509,22 @@ def reassemble_inner(spark: SparkSession, d: str) -> DataFrame:
     return rebuilt.select("path", "complete", F.sha2("content", 256).alias("hash"))
 
 
-@query(f"""SELECT CAST(7 AS BIGINT) AS peer, path, CASE WHEN doc_id % 5 = 1 THEN 'missing chunks' WHEN doc_id % 5 = 2 THEN 'other content' ELSE 'verified' END AS outcome, CASE WHEN doc_id % 5 NOT IN (1, 2) THEN strlen(text) END AS len FROM ({C})
-  UNION ALL SELECT 8, path, 'verified', strlen(text) FROM ({C}) WHERE doc_id % 10 = 1""")
+TRANSFERS = f"""SELECT CAST(7 AS BIGINT) AS peer, path, CASE WHEN doc_id % 5 = 1 THEN 'missing chunks' WHEN doc_id % 5 = 2 THEN 'other content' ELSE 'verified' END AS outcome, CASE WHEN doc_id % 5 NOT IN (1, 2) THEN strlen(text) END AS len FROM ({C})
+  UNION ALL SELECT 8, path, 'verified', strlen(text) FROM ({C}) WHERE doc_id % 10 = 1"""
+
+
+@query(TRANSFERS)
 def transfers_received(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.received(sent_chunks(spark, d), contents(R.replica_a(spark, d)), SIZE).select("peer", "path", "outcome", F.length("content").cast("long").alias("len"))
+
+
+def sent_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Transfers of C from two peers: of one, some announce a chunk that never comes or another content; the other sends some whole."""
     new = R.replica_c(spark, d).select("path", "doc_id", F.col("text").cast("binary").alias("content"))
     parts = blocks.chunks(blocks.deltas(new, blocks.signatures(contents(R.replica_a(spark, d)), SIZE), SIZE), 1024)
     sent = parts.join(new.select("path", "doc_id", F.sha2("content", 256).alias("hash")), "path")
     first = sent.withColumn("peer", F.lit(7).cast("long")).withColumn("total", F.col("total") + F.when(F.expr("doc_id % 5 = 1"), 1).otherwise(0)).withColumn("hash", F.when(F.expr("doc_id % 5 = 2"), F.sha2("hash", 256)).otherwise(F.col("hash")))
-    both = first.unionByName(sent.filter("doc_id % 10 = 1").withColumn("peer", F.lit(8).cast("long")))
-    return blocks.received(both, contents(R.replica_a(spark, d)), SIZE).select("peer", "path", "outcome", F.length("content").cast("long").alias("len"))
+    return first.unionByName(sent.filter("doc_id % 10 = 1").withColumn("peer", F.lit(8).cast("long")))
 
 
 @query(f"SELECT path, sha256(text) AS hash FROM ({A})")
@@ -534,7 +547,7 @@ def diff_inner_counts(spark: SparkSession, d: str) -> DataFrame:
     return diffing.edit_counts(pairs).select("path", "inserted", "deleted", "exact")
 
 
-@query()
+@query("SELECT c_custkey, TRUE AS same, FALSE AS reflected, FALSE AS bound, FALSE AS stale FROM customer")
 def proof_check(spark: SparkSession, d: str) -> DataFrame:
     """Proofs of all users: the right one passes; another role's, another channel's and a wrong secret's do not."""
     u = table(spark, d, "customer").select("c_custkey", F.col("c_name").cast("binary").alias("secret"), F.unhex(F.sha2(F.col("c_name"), 256)).alias("n1"), F.unhex(F.sha2(F.concat("c_name", F.lit("r")), 256)).alias("n2"))
