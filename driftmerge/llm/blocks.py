@@ -82,7 +82,8 @@ def answer(asked: DataFrame, reply: Callable[[np.ndarray, np.ndarray, dict[str,
         def out(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
             return pa.record_batch([pa.array(v) for v in columns.values()], list(columns))
 
-        def whole(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+        def whole(parts: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+            columns = {k: np.concatenate([x[k] for x in parts]) for k in names}
             new = np.r_[True, columns["key"][1:] != columns["key"][:-1]]
             if "check" in columns:
                 new[1:] |= columns["check"][1:] != columns["check"][:-1]
@@ -91,17 +92,19 @@ def answer(asked: DataFrame, reply: Callable[[np.ndarray, np.ndarray, dict[str,
         for batch in batches:
             if not len(batch):
                 continue
-            held.append({k: batch.column(k).to_numpy(zero_copy_only=False) for k in names})
+            one = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
             rows += len(batch)
-            if rows >= 1 << 17:
-                all_ = {k: np.concatenate([x[k] for x in held]) for k in names}
-                cut = int(np.searchsorted(all_["key"], all_["key"][-1], "left"))
-                if cut:
-                    yield whole({k: v[:cut] for k, v in all_.items()})
-                held = [{k: v[cut:] for k, v in all_.items()}]
-                rows -= cut
+            # A batch is cut before its last key; one that only goes on with the key held is put aside as it is, so each row is copied once.
+            if rows >= 1 << 17 and (cut := int(np.searchsorted(one["key"], one["key"][-1], "left"))):
+                yield whole([*held, {k: v[:cut] for k, v in one.items()}])
+                held, rows = [{k: v[cut:] for k, v in one.items()}], len(batch) - cut
+            elif rows >= 1 << 17 and held and held[-1]["key"][-1] != one["key"][0]:
+                yield whole(held)
+                held, rows = [one], len(batch)
+            else:
+                held.append(one)
         if rows:
-            yield whole({k: np.concatenate([x[k] for x in held]) for k in names})
+            yield whole(held)
         if last and (final := last()) is not None:
             yield out(final)
 

@@ -274,3 +274,16 @@ def test_kept_text_digest_of_the_query(spark, tmp_path):
         assert r.kept_sha256 == hashlib.sha256(want[r.doc_id][2].encode()).hexdigest()
     prints = {d: f"{slow_fingerprint(t):016x}" for d, t in docs}
     assert {r.doc_id: r.fingerprint for r in simhash.op1_simhash(spark, str(tmp_path)).collect()} == prints
+
+
+def test_answers_to_a_key_that_spans_many_batches(spark):
+    """Each group comes whole and once, and a hot key's rows are put aside as they come."""
+    asked = spark.range(400_000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id") % 1000).alias("key"), F.col("id").alias("block"))
+
+    def reply(group, at, columns):
+        count = np.diff(np.r_[at, len(group)])
+        return {"key": columns["key"][at], "n": count.astype(np.int64), "total": np.add.reduceat(columns["block"], at)}
+
+    got = {r.key: (r.n, r.total) for r in blocks.answer(asked, reply, "key long, n long, total long").collect()}
+    want = {r.key: (r.n, r.total) for r in asked.groupBy("key").agg(F.count("*").alias("n"), F.sum("block").alias("total")).collect()}
+    assert got == want
