@@ -211,26 +211,39 @@ def at_rank(ranks: DataFrame, spans: DataFrame) -> DataFrame:
 BUCKET = 16
 
 
-def locate(ids: DataFrame, runs: DataFrame) -> DataFrame:
-    """The run and offset that hold each id (path, clock, peer); runs of a writer don't overlap.
+def _beside(ids: DataFrame, runs: DataFrame) -> DataFrame:
+    """Each row of ids (path, clock, peer) as (path, clock, peer, run, inside): the last run of its bucket that starts before it, and whether that holds it.
 
-    A band join, as a union sorted by clock in which each id takes the last run that starts before it: linear in ids and runs, where
-    a join on path and writer would hold each id against each run. Clocks are dealt by ranges; a long run stands in each one that it reaches into.
+    A band join, as a union sorted by clock: linear in ids and runs, where a join on path and writer would hold each id against each
+    run. Clocks are dealt by ranges; a long run stands in each one that it reaches into. Runs of a writer don't overlap.
     """
     first, last = F.col("clock"), F.col("clock") + F.col("n") - 1
     held = runs.select("path", "peer", F.explode(F.sequence(F.shiftright(first, BUCKET), F.shiftright(last, BUCKET))).alias("bucket"), F.col("clock").alias("at"), F.lit(0).alias("side"), F.struct("clock", "n").alias("run"))
     asked = ids.select("path", "peer", F.shiftright("clock", BUCKET).alias("bucket"), F.col("clock").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("struct<clock:bigint,n:bigint>").alias("run"))
     by = W.partitionBy("path", "peer", "bucket").orderBy("at", "side").rowsBetween(W.unboundedPreceding, 0)
-    found = held.unionByName(asked).withColumn("run", F.last("run", ignorenulls=True).over(by)).filter((F.col("side") == 1) & (F.col("at") < F.col("run.clock") + F.col("run.n")))
-    return found.select("path", F.col("at").alias("clock"), "peer", F.col("run.clock").alias("run_clock"), (F.col("at") - F.col("run.clock")).alias("offset"))
+    found = held.unionByName(asked).withColumn("run", F.last("run", ignorenulls=True).over(by)).filter("side = 1")
+    return found.select("path", F.col("at").alias("clock"), "peer", "run", F.coalesce(F.col("at") < F.col("run.clock") + F.col("run.n"), F.lit(False)).alias("inside"))
+
+
+def locate(ids: DataFrame, runs: DataFrame) -> DataFrame:
+    """The run and offset that hold each id (path, clock, peer); runs of a writer don't overlap."""
+    return _beside(ids, runs).filter("inside").select("path", "clock", "peer", F.col("run.clock").alias("run_clock"), (F.col("clock") - F.col("run.clock")).alias("offset"))
 
 
 def outside(ids: DataFrame, runs: DataFrame) -> DataFrame:
-    """The rows of ids (path, o_clock, o_peer) that no run (path, clock, peer, n) holds; repeated ones stay repeated."""
-    asked = ids.groupBy("path", "o_clock", "o_peer").agg(F.count("*").alias("many"))
-    found = locate(asked.select("path", F.col("o_clock").alias("clock"), F.col("o_peer").alias("peer")), runs)
-    left = asked.join(found.select("path", F.col("clock").alias("o_clock"), F.col("peer").alias("o_peer")), ["path", "o_clock", "o_peer"], "left_anti")
-    return left.select("path", "o_clock", "o_peer", F.explode(F.sequence(F.lit(1).cast("long"), "many"))).drop("col")
+    """The rows of ids (path, clock, peer) that no run (path, clock, peer, n) holds; repeated ones stay repeated."""
+    return _beside(ids, runs).filter("not inside").select("path", "clock", "peer")
+
+
+def blocked_runs(ops: DataFrame) -> DataFrame:
+    """(path, clock, peer): the ids that runs hang on, or deletes name, and that no run holds; ops are pieces whose inserts don't overlap.
+
+    A run asks for the origin of its first character alone, so only deletes cost a row a character.
+    """
+    ins = ops.filter("kind = 'ins'")
+    origins = ins.filter("o_clock is not null").select("path", F.col("o_clock").alias("clock"), F.col("o_peer").alias("peer"))
+    targets_ = ops.filter("kind = 'del'").select("path", F.explode("clocks").alias("clock"), "peer")
+    return outside(origins.unionByName(targets_), ins.select("path", "clock", "peer", "n"))
 
 
 def fresh(incoming: DataFrame, known: DataFrame) -> DataFrame:

@@ -269,8 +269,8 @@ def fresh_ops(spark: SparkSession, d: str) -> DataFrame:
   ON t.path = l.path AND t.clock = CASE WHEN l.kind = 'del' THEN l.clock ELSE l.o_clock END AND t.peer = CASE WHEN l.kind = 'del' THEN l.peer ELSE l.o_peer END
   WHERE CASE WHEN l.kind = 'del' THEN l.clock ELSE l.o_clock END IS NOT NULL AND t.path IS NULL GROUP BY l.path""")
 def causal_waiting(spark: SparkSession, d: str) -> DataFrame:
-    ops = R.op_log(R.replica_a(spark, d)).filter("clock % 11 <> 5")
-    return sequence.blocked(ops, ops.limit(0)).groupBy("path").agg(F.count("*").alias("n"))
+    lossy = R.without(R.op_runs(R.replica_a(spark, d)), "clock % 11 = 5")
+    return sequence.blocked_runs(lossy).groupBy("path").agg(F.count("*").alias("n"))
 
 
 @query(f"""SELECT path, count(*) AS n, CAST(sum(new_clock * clock) AS BIGINT) AS moved, sha256(string_agg(ch, '' ORDER BY clock)) AS text_hash FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY clock) AS new_clock FROM ({CHARS}) WHERE NOT ({R.DELETED})) GROUP BY path""")

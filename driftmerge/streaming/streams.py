@@ -314,7 +314,7 @@ def still_blocked(state: Callable[..., DataFrame]) -> DataFrame:
     four = early.select("path", "peer", "bucket", nibble.alias("at", "value")).select("path", "peer", "bucket", "at", "value", F.explode(F.array(*map(F.lit, range(4)))).alias("bit")).filter("shiftright(cast(value as int), bit) % 2 = 1")
     # Of each two digits the second one has the lower bits.
     clock = F.expr(f"shiftleft(bucket, {BITS}) + (at div 2) * 8 + if(at % 2 = 0, 4, 0) + bit")
-    asked = waiting.select("path", "o_clock", "o_peer").unionByName(four.select("path", clock.cast("long").alias("o_clock"), F.col("peer").alias("o_peer")))
+    asked = waiting.select("path", F.col("o_clock").alias("clock"), F.col("o_peer").alias("peer")).unionByName(four.select("path", clock.cast("long").alias("clock"), "peer"))
     return sequence.outside(asked, waiting.select("path", "clock", "peer", "n")).groupBy("path").agg(F.count("*").alias("n"))
 
 

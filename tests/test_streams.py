@@ -192,5 +192,14 @@ def test_locating_ids_equals_all_pairs(spark):
     want = sorted((p, c, w, rc, c - rc) for p, c, w in ids for rp, rc, rw, n in runs if p == rp and w == rw and rc <= c < rc + n)
     a, b = spark.createDataFrame(ids, "path string, clock long, peer long"), spark.createDataFrame(runs, "path string, clock long, peer long, n long")
     assert sorted((r.path, r.clock, r.peer, r.run_clock, r.offset) for r in sequence.locate(a, b).collect()) == want
-    out = sequence.outside(a.select("path", F.col("clock").alias("o_clock"), F.col("peer").alias("o_peer")), b).count()
+    out = sequence.outside(a, b).count()
     assert out == len(ids) - len(want)
+
+
+def test_blocked_runs_equal_blocked_characters(spark):
+    docs = spark.createDataFrame([(f"p{k}", k, "abcdefghijklmnopqrstuvwxyz"[: k * 3]) for k in range(9)], "path string, doc_id long, text string")
+    for lost in ("clock % 11 = 5", "clock % 2 = 0", "clock < 3", "false"):
+        ops = R.op_log(docs).filter(f"NOT ({lost})")
+        want = {r.path: r["count"] for r in sequence.blocked(ops, ops.limit(0)).groupBy("path").count().collect()}
+        got = sequence.blocked_runs(R.without(R.op_runs(docs), lost))
+        assert {r.path: r["count"] for r in got.groupBy("path").count().collect()} == want
