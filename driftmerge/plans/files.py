@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmerge.operators import blocks, codec, filedeltas
+from driftmerge.functions import paths
+from driftmerge.operators import blocks, codec, events, filedeltas
 from driftmerge.plans.queries import CHARS, OPS, SIZE, TRANSFERS, A, C, contents, query, sent_chunks
 from driftmerge.sources import folders, frames, tables
 from driftmerge.sources import replicas as R
@@ -42,7 +43,9 @@ def scanned_files(spark: SparkSession, d: str) -> DataFrame:
     content = F.when(F.col("toxic") == 1, F.concat(F.unhex(F.lit("00")), F.col("text").cast("binary"))).otherwise(F.col("text").cast("binary"))
     path = F.when(F.col("quality") != 0, F.col("path")).when(F.col("toxic") == 1, F.concat(F.lit("cache/out/"), "path")).otherwise(F.concat("path", F.lit(".tmp")))
     written(labelled(spark, d).select(path.alias("path"), content.alias("content")), root)
-    return folders.scan_files(spark, root, ["cache"]).select("path", "len", "hash", "is_binary")
+    rules = place(spark, "rules")
+    spark.createDataFrame([("# what is made anew",), ("",), (" cache/ ",)], "value string").coalesce(1).write.text(rules)
+    return folders.scan_files(spark, root, tables.load_rules(spark, rules)).select("path", "len", "hash", "is_binary")
 
 
 @query(f"""WITH f AS (SELECT a.path, CAST(strlen(coalesce(text, '')) AS BIGINT) AS len, coalesce(quality, 1) AS quality, coalesce(toxic, 0) AS toxic FROM ({A}) a LEFT JOIN ({LABELLED}) l ON a.doc_id = l.doc_id)
@@ -94,6 +97,24 @@ def file_deltas_applied(spark: SparkSession, d: str) -> DataFrame:
 # Streams
 
 
+@query("""SELECT CAST(user_id AS VARCHAR) || '/' || event_type AS path, event_id, CASE WHEN event_type = 'error' THEN 'removed' ELSE 'touched' END AS kind FROM events WHERE event_type <> 'view' AND user_id % 10 <> 0""")
+def touched_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events as raw notices of a file system, with absolute paths: views only read, every tenth user is a folder, and after an error the file isn't there."""
+    e = tables.table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "view", "access").when(F.col("event_type") == "purchase", "remove").otherwise("modify")
+    raw = e.select(F.col("event_id").alias("ts"), F.concat(F.lit("/data/sync\\"), F.col("user_id").cast("string"), F.lit("/"), "event_type").alias("path"), kind.alias("kind"), (F.col("user_id") % 10 == 0).alias("is_dir"), (F.col("event_type") != "error").alias("exists"))
+    return events.touched(raw).select(F.col("ts").alias("event_id"), paths.relative(F.col("path"), "/data/sync").alias("path"), "kind")
+
+
+@query("SELECT path, hash FROM (SELECT CAST(user_id AS VARCHAR) AS path, event_type AS hash, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS nth FROM events) WHERE nth = 1 AND hash <> 'error'")
+def state_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Events merged into a versioned state: each user's last one, unless it is an error, which removes the user."""
+    work = place(spark, "kept")
+    e = streams.source(spark, f"{d}/event[s].parquet").select(F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("hash"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("gone"))
+    streams.kept(e, f"{work}/state", "path string, hash string", "path", f"{work}/checkpoint")
+    return tables.load_state(spark, f"{work}/state", "path string, hash string, batch long").select("path", "hash")
+
+
 @query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS path, epoch_us(ts) AS us, CASE WHEN event_type = 'error' THEN 'removed' ELSE 'touched' END AS kind FROM events)
   SELECT path, us, kind FROM e WHERE kind = 'touched' UNION ALL SELECT path, us + 7200000000, kind FROM (SELECT *, lead(us) OVER (PARTITION BY path ORDER BY us, kind) AS after FROM e) WHERE kind = 'removed' AND (after IS NULL OR after - us >= 7200000000)""")
 def deletes_held(spark: SparkSession, d: str) -> DataFrame:
