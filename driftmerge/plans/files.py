@@ -178,8 +178,8 @@ def zigzag(value: str) -> str:
     return f"(CASE WHEN {value} >= 0 THEN 2 * ({value}) ELSE -2 * ({value}) - 1 END)"
 
 
-@query(f"""WITH c AS ({CHARS}), e AS (SELECT path, clock AS pos, ch, clock + 3 * (clock // 11) AS clock, 1 + (clock // 7 + doc_id) % 300 AS peer, CASE WHEN clock % 13 = 0 THEN greatest(clock - 6, 1) WHEN clock > 1 THEN clock - 1 END AS up, doc_id FROM c),
-  x AS (SELECT path, pos, ch, clock, peer, up + 3 * (up // 11) AS o_clock, 1 + (up // 7 + doc_id) % 300 AS o_peer FROM e),
+@query(f"""WITH c AS ({CHARS}), e AS (SELECT path, clock AS pos, ch, clock + 300 * (clock // 110) AS clock, 1 + (clock // 70 + doc_id) % 300 * 1000 AS peer, CASE WHEN clock % 130 = 0 THEN greatest(clock - 600, 1) WHEN clock > 1 THEN clock - 1 END AS up, doc_id FROM c),
+  x AS (SELECT path, pos, ch, clock, peer, up + 300 * (up // 110) AS o_clock, 1 + (up // 70 + doc_id) % 300 * 1000 AS o_peer FROM e),
   seen AS (SELECT path, p, min(place) AS first FROM (SELECT path, peer AS p, 2 * pos AS place FROM x UNION ALL SELECT path, o_peer, 2 * pos + 1 FROM x WHERE o_peer IS NOT NULL) GROUP BY path, p),
   dict AS (SELECT path, p, row_number() OVER (PARTITION BY path ORDER BY first) - 1 AS i FROM seen), head AS (SELECT path, {varint('count(*)')} + sum({varint('p')}) AS head FROM dict GROUP BY path),
   f AS (SELECT *, coalesce(lag(clock) OVER w, 0) AS pc, lag(peer) OVER w AS pp FROM x WINDOW w AS (PARTITION BY path ORDER BY pos)),
@@ -188,9 +188,12 @@ def zigzag(value: str) -> str:
     FROM f JOIN dict a ON a.path = f.path AND a.p = f.peer LEFT JOIN dict b ON b.path = f.path AND b.p = f.o_peer)
   SELECT y.path, CAST(sum(size) + {varint('count(*)')} + max(head) AS BIGINT) AS bytes FROM y JOIN head ON head.path = y.path GROUP BY y.path""")
 def codec_size_mixed(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of up to 300 writers who take turns every seven characters, with gaps between clocks and far origins: what the codec's predictors are for."""
-    c = R.characters(R.replica_a(spark, d)).withColumnRenamed("clock", "pos")
-    up = F.expr("CASE WHEN pos % 13 = 0 THEN greatest(pos - 6, 1) WHEN pos > 1 THEN pos - 1 END")
-    clock, peer = (lambda x: x + 3 * F.floor(x / 11)), (lambda x: 1 + (F.floor(x / 7) + F.col("doc_id")) % 300)
-    e = c.withColumn("up", up).select("path", "pos", clock(F.col("pos")).alias("clock"), peer(F.col("pos")).alias("peer"), clock(F.col("up")).alias("o_clock"), peer(F.col("up")).alias("o_peer"), "ch", F.lit(False).alias("deleted"))
-    return codec.encoded_size(e)
+    """Documents of up to 300 writers who take turns every 70 characters, with gaps between clocks and far origins: what the codec's predictors are for."""
+    sized = dealt(R.replica_a(spark, d).filter("text <> ''")).withColumn("n", F.char_length("text").cast("long"))
+    starts = F.expr("filter(sequence(1L, n), c -> c = 1 OR c % 70 = 0 OR c % 110 = 0 OR c % 130 = 0)")
+    cut = sized.withColumn("starts", starts).select("*", F.explode(F.arrays_zip(F.col("starts"), F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.col("n") + 1)).alias("ends"))).alias("x"))
+    pos, n = F.col("x.starts"), F.col("x.ends") - F.col("x.starts")
+    up = F.when(pos % 130 == 0, F.greatest(pos - 600, F.lit(1))).when(pos > 1, pos - 1)
+    clock, peer = (lambda x: x + 300 * F.floor(x / 110)), (lambda x: 1 + (F.floor(x / 70) + F.col("doc_id")) % 300 * 1000)
+    text = F.substr("text", pos.cast("int"), n.cast("int"))
+    return codec.encoded_size(cut.select("path", pos.alias("pos"), clock(pos).alias("clock"), peer(pos).alias("peer"), clock(up).alias("o_clock"), peer(up).alias("o_peer"), text.alias("text"), n.alias("n"), F.repeat(F.lit("0"), n.cast("int")).alias("gone")))
