@@ -31,7 +31,7 @@ from driftmerge.llm.common import raw, slices, table, texts
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of text that one index holds (one longer text stands alone), chunks remembered by a task, and the longest of them.
-INDEX_BYTES, CACHE, LONGEST = 8 << 20, 500_000, 64
+INDEX_BYTES, CACHE, LONGEST = 5 << 20, 350_000, 64
 
 #: Latin, Greek and Cyrillic letters lie below; no letters were added to Unicode there for long, so all libraries agree on them.
 OLD_LETTERS = "\u0530"
@@ -74,7 +74,7 @@ class Vocabulary:
         self.shown = {b: c for c, b in letters.items()}
         #: The pre-tokenizer's pattern where all is ASCII.
         self.ascii = re.compile(public_tokenizers.PATTERN.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(" ?A-Za-z+", " ?[A-Za-z]+").replace(" ?0-9+", " ?[0-9]+"), re.ASCII)
-        self.of_letter = np.full(512, -1, np.int64)
+        self.of_letter = np.full(512, -1, np.int32)
         for letter, b in letters.items():
             self.of_letter[ord(letter)] = ids[letter]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -98,7 +98,7 @@ class Vocabulary:
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 if it is never merged; symbols below 0 are ends."""
-        keys = left * self.size + right
+        keys = left.astype(np.int64) * self.size + right
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where((left >= 0) & (right >= 0) & (self.keys[at] == keys), self.rank[at], -1)
 
@@ -112,10 +112,10 @@ class PairIndex:
         letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         n = len(letters)
         # The last place is what lies beyond each word's ends.
-        self.symbol = np.r_[vocabulary.of_letter[letters], -1]
+        self.symbol = np.append(vocabulary.of_letter[letters], -1).astype(np.int32)
         self.start = np.cumsum(sizes) - sizes
-        at = np.arange(n)
-        self.after, self.before = np.r_[at + 1, n], np.r_[at - 1, n]
+        at = np.arange(n, dtype=np.int32)
+        self.after, self.before = np.append(at + 1, n).astype(np.int32), np.append(at - 1, n).astype(np.int32)
         self.after[self.start + sizes - 1] = n
         self.before[self.start] = n
         self.lists: dict[int, list[np.ndarray]] = {}
