@@ -31,7 +31,7 @@ from driftmerge.llm.common import raw, slices, table, texts
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of text that one index holds (one longer text stands alone), chunks remembered by a task, and the longest of them.
-INDEX_BYTES, CACHE, LONGEST = 5 << 20, 350_000, 64
+INDEX_BYTES, CACHE, LONGEST = 7 << 20, 500_000, 64
 
 #: Latin, Greek and Cyrillic letters lie below; no letters were added to Unicode there for long, so all libraries agree on them.
 OLD_LETTERS = "\u0530"
