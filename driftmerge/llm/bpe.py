@@ -31,7 +31,7 @@ from driftmerge.llm.common import raw, slices, table, texts
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of text that one index holds (one longer text stands alone), chunks remembered by a task, and the longest of them.
-INDEX_BYTES, CACHE, LONGEST = 7 << 20, 500_000, 64
+INDEX_BYTES, CACHE, LONGEST = 5 << 20, 500_000, 64
 
 #: Latin, Greek and Cyrillic letters lie below; no letters were added to Unicode there for long, so all libraries agree on them.
 OLD_LETTERS = "\u0530"
@@ -103,6 +103,12 @@ class Vocabulary:
         return np.where((left >= 0) & (right >= 0) & (self.keys[at] == keys), self.rank[at], -1)
 
 
+@functools.lru_cache(maxsize=2)
+def vocabulary_of(name: str) -> Vocabulary:
+    """One vocabulary for all tasks of a worker."""
+    return Vocabulary(name)
+
+
 class PairIndex:
     """Words' symbols, linked within each word, and the positions of each pair."""
 
@@ -173,7 +179,7 @@ class Encoder:
     """Ids of texts as little-endian 32-bit bytes."""
 
     def __init__(self, vocabulary: str = VOCABULARY) -> None:
-        self.v = Vocabulary(vocabulary)
+        self.v = vocabulary_of(vocabulary)
         self.known: dict[str, bytes] = {}
 
     def parts(self, text: str) -> list[tuple[int | None, str, list[str]]]:
@@ -267,7 +273,7 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """The rows of `encoded` (doc_id, ids) with the text of their ids; bytes that aren't UTF-8 become replacement characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = Vocabulary(vocabulary).bytes
+        token = vocabulary_of(vocabulary).bytes
         for batch in batches:
             column = batch.column(1)
             values = column.values.to_numpy(zero_copy_only=False)
