@@ -7,10 +7,12 @@ hold one document at a time. Null texts are empty ones; a path without a row is
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,7 +62,9 @@ def detect(runs: Runs, new: str, peer: int) -> Ops:
     old = live_text(runs)
     if old == new:
         return []
-    clocks, peers = live_ids(runs)
+    ids = live_ids(runs)
+    turns = np.flatnonzero(np.diff(ids[1])) + 1  # where the writer changes
+    clocks, peers, turns = ids[0].tolist(), ids[1].tolist(), turns.tolist()
     clock, at, origin, out = last_clock(runs), 0, (None, None), []
     for kind, text in script(old, new):
         if kind == "ins":
@@ -70,10 +74,10 @@ def detect(runs: Runs, new: str, peer: int) -> Ops:
             continue
         end = at + len(text)
         if kind == "del":
-            own = peers[at:end]
-            for part in np.split(np.arange(at, end), np.flatnonzero(np.diff(own)) + 1):
-                out.append({"kind": "del", "clock": int(clocks[part[0]]), "peer": int(peers[part[0]]), "o_clock": None, "o_peer": None, "text": "", "clocks": clocks[part].tolist()})
-        origin, at = (int(clocks[end - 1]), int(peers[end - 1])), end
+            edges = [at, *turns[bisect.bisect_right(turns, at) : bisect.bisect_left(turns, end)], end]
+            for i, j in zip(edges, edges[1:], strict=False):
+                out.append({"kind": "del", "clock": clocks[i], "peer": peers[i], "o_clock": None, "o_peer": None, "text": "", "clocks": clocks[i:j]})
+        origin, at = (clocks[end - 1], peers[end - 1]), end
     return out
 
 
@@ -118,15 +122,44 @@ def merge(a: Runs, b: Runs) -> Runs:
     return apply(a, [*({**r, "kind": "ins"} for r in b), *deletes])[0]
 
 
+#: Documents that are Python objects at once.
+AT_ONCE = 32
+
+
+def _cells(column: pa.Array) -> list:
+    """What column.to_pylist() gives, made field by field: rows of runs and ops are many, and each would be a few scalars."""
+    kind = column.type
+    if pa.types.is_list(kind):
+        many = pc.list_value_length(column)
+        edges = np.r_[0, np.cumsum(many.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))].tolist()
+        inner = _cells(column.flatten())
+        out = [inner[i:j] for i, j in zip(edges, edges[1:], strict=False)]
+    elif pa.types.is_struct(kind):
+        names = [kind.field(i).name for i in range(kind.num_fields)]
+        out = [dict(zip(names, x, strict=True)) for x in zip(*(_cells(f) for f in column.flatten()), strict=True)]
+    elif pa.types.is_integer(kind):
+        out = column.fill_null(0).to_numpy(zero_copy_only=False).tolist()
+    elif pa.types.is_string(kind):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    else:
+        return column.to_pylist()
+    if column.null_count:
+        for i in np.flatnonzero(column.is_null().to_numpy(zero_copy_only=False)).tolist():
+            out[i] = None
+    return out
+
+
 def _mapped(rows: DataFrame, columns: list[str], make: Callable[..., tuple], out: list[tuple[str, str, pa.DataType]], keep: list[str]) -> DataFrame:
     """Rows of `keep` and what make(*columns) gives for each row; `out` says names and types."""
     names = [n for n, _, _ in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [make(*x) for x in zip(*(batch.column(c).to_pylist() for c in columns), strict=True)]
-            cells = [pa.array(c, t) for c, (_, _, t) in zip(list(zip(*made, strict=True)) or [[]] * len(out), out, strict=True)]
-            yield pa.record_batch([*(batch.column(k) for k in keep), *cells], [*keep, *names])
+        for whole in batches:
+            for at in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(at, AT_ONCE)
+                made = [make(*x) for x in zip(*(_cells(batch.column(c)) for c in columns), strict=True)]
+                cells = [pa.array(c, t) for c, (_, _, t) in zip(zip(*made, strict=True), out, strict=True)]
+                yield pa.record_batch([*(batch.column(k) for k in keep), *cells], [*keep, *names])
 
     kinds = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema), *(f"{n} {t}" for n, t, _ in out)])
     return rows.select(*dict.fromkeys([*keep, *columns])).mapInArrow(run, kinds)
@@ -164,7 +197,7 @@ def applied(state: DataFrame, ops: DataFrame) -> DataFrame:
     everything = known.unionByName(fresh)
     mine = everything.select("path", "base").join(ops.withColumnRenamed("base", "o_base"), "path")
     sent = mine.groupBy("path").agg(F.flatten(F.collect_list(F.when(F.col("base") == F.col("o_base"), F.col("ops")))).alias("ops"), F.count_if(F.col("base") != F.col("o_base")).alias("dropped"))
-    both = everything.join(sent, "path", "left").withColumn("dropped", F.coalesce("dropped", F.lit(0).cast("long")))
+    both = dealt(everything).join(dealt(sent), "path", "left").withColumn("dropped", F.coalesce("dropped", F.lit(0).cast("long")))
     touched = both.filter("size(ops) > 0")
     same = both.filter("coalesce(size(ops), -1) <= 0").select("path", "base", "dropped", "runs", *(F.lit(0).cast("long").alias(c) for c in ("inserted", "deleted", "waiting")))
     return _mapped(touched, ["runs", "ops"], apply, APPLIED, ["path", "base", "dropped"]).unionByName(same)
