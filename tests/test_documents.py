@@ -139,3 +139,35 @@ def test_a_replica_keeps_its_identity(spark, tmp_path):
     other = peer_id(spark, f"{tmp_path}/ids", "b")
     assert first != other and first > 0 and peer_id(spark, f"{tmp_path}/ids", "a") == first
     assert Settings().hold_ms == 120 and Settings(debounce_ms=1).hold_ms == 60
+
+
+def test_cells_are_the_columns_objects():
+    import pyarrow as pa
+
+    op = lambda kind, clock, clocks: {"kind": kind, "clock": clock, "peer": 2, "o_clock": None, "o_peer": 1, "text": "é", "clocks": clocks}
+    column = pa.array([None, [], [op("ins", 1, None), op("del", None, [1, 2])], None, [op(None, 3, [])]], documents._OP)
+    for lo in range(6):
+        for n in range(6 - lo):
+            assert documents._cells(column.slice(lo, n)) == column.slice(lo, n).to_pylist()
+
+
+def test_few_documents_are_objects_at_once():
+    """However many rows a batch has."""
+    seen = []
+    real, documents._cells = documents._cells, lambda column: seen.append(len(column)) or column.to_pylist()
+    try:
+        import pyarrow as pa
+
+        class Rows:
+            columns, schema = ["path", "runs"], []
+
+            def select(self, *_):
+                return self
+
+            def mapInArrow(self, run, kinds):  # noqa: N802
+                return list(run(iter([pa.record_batch([pa.array(["p"] * 100), pa.array([[]] * 100, documents._RUN)], ["path", "runs"])])))
+
+        out = documents._mapped(Rows(), ["runs"], lambda runs: (len(runs),), [("n", "long", pa.int64())], ["path"])
+    finally:
+        documents._cells = real
+    assert sum(b.num_rows for b in out) == 100 and max(seen) <= documents.AT_ONCE
