@@ -8,6 +8,7 @@ Arrow-batched function that handles a piece's characters at once, as all but the
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from driftmerge.functions.scalars import varint_length, zigzag
 from driftmerge.operators.sequence import pieces
+from driftmerge.sources.shared import dealt
 
 #: Flag bits of an element. Fixed values.
 DELETED, ORIGIN_PREV, ORIGIN_NONE, SAME_PEER, CLOCK_PLUS_1 = 1, 2, 4, 8, 16
@@ -75,8 +77,20 @@ def encode_pieces(pieces: list[Piece]) -> bytes:
     return bytes(out)
 
 
+#: Fully predicted elements, one after the other.
+_STRETCH = re.compile(rb"(?:[\x1a\x1b](?:[\x00-\x7f]|[\xc0-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf7][\x80-\xbf]{3}))*+")
+
+
 def decode(data: bytes) -> list[Elem] | None:
     """The elements, or None if the bytes are cut off, too long or no such list."""
+    held = decode_pieces(data)
+    if held is None:
+        return None
+    return [(c + k, p, *((o, q) if k == 0 else (c + k - 1, p)), ch, g == "1") for c, p, o, q, text, gone in held for k, (ch, g) in enumerate(zip(text, gone, strict=True))]
+
+
+def decode_pieces(data: bytes) -> list[Piece] | None:
+    """The elements as pieces: an element and the fully predicted ones that follow it; None as for ``decode``."""
     at = 0
 
     def take() -> int:
@@ -104,9 +118,10 @@ def decode(data: bytes) -> list[Elem] | None:
         many = take()
         if many > len(data):
             return None
-        out: list[Elem] = []
+        out: list[Piece] = []
         last: tuple[int, int | None] = (0, None)
-        for _ in range(many):
+        there = 0
+        while there < many:
             flags = data[at]
             at += 1
             peer = last[1] if flags & SAME_PEER else peers[take()]
@@ -123,8 +138,21 @@ def decode(data: bytes) -> list[Elem] | None:
             if len(ch) != 1 or peer is None:
                 return None
             at += size
-            out.append((clock, peer, *origin, ch, bool(flags & DELETED)))
-            last = (clock, peer)
+            text, gone = ch, "1" if flags & DELETED else "0"
+            body = np.frombuffer(data, np.uint8, _STRETCH.match(data, at).end() - at, at)
+            if len(body):
+                # Of the bytes that start something every other one is an element's flags.
+                starts = np.flatnonzero(body & 0xC0 != 0x80)[: 2 * (many - there - 1)]
+                if len(starts):
+                    end = int(starts[-1]) + 1
+                    while end < len(body) and body[end] & 0xC0 == 0x80:
+                        end += 1
+                    text += np.delete(body[:end], starts[::2]).tobytes().decode()
+                    gone += ((body[starts[::2]] & DELETED) + ord("0")).tobytes().decode()
+                    at += end
+            out.append((clock, peer, *origin, text, gone))
+            there += len(text)
+            last = (clock + len(text) - 1, peer)
         return out if at == len(data) else None
     except (IndexError, UnicodeDecodeError):
         return None
@@ -159,7 +187,7 @@ def _by_path(elems: DataFrame, make: Callable[[str, list[Piece]], pa.Table], sch
         part = part.sort_by("pos")
         return make(part.column("path")[0].as_py(), list(zip(*(part.column(c).to_pylist() for c in ("clock", "peer", "o_clock", "o_peer", "text", "gone")), strict=True)))
 
-    return pieces(elems, "pos").groupBy("path").applyInArrow(run, schema)
+    return dealt(pieces(elems, "pos")).groupBy("path").applyInArrow(run, schema)
 
 
 def encoded(elems: DataFrame) -> DataFrame:
@@ -183,3 +211,21 @@ def decoded(data: DataFrame) -> DataFrame:
                     yield pa.record_batch([*columns, *(pa.array(c, t) for c, t in zip(zip(*elems, strict=True), kinds, strict=True))], ["path", "pos", "clock", "peer", "o_clock", "o_peer", "ch", "deleted"])
 
     return data.select("path", "data").mapInArrow(run, "path string, pos long, clock long, peer long, o_clock long, o_peer long, ch string, deleted boolean")
+
+
+def decoded_runs(data: DataFrame) -> DataFrame:
+    """What ``decoded`` gives, as pieces: (path, pos, clock, peer, o_clock, o_peer, text, n, gone), a row for each run of predicted elements."""
+    kinds = [pa.string(), *[pa.int64()] * 5, pa.string(), pa.int64(), pa.string()]
+    names = ["path", "pos", "clock", "peer", "o_clock", "o_peer", "text", "n", "gone"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                pos = 1
+                for *ids, text, gone in (decode_pieces(cell.as_py()) or ()) if cell.is_valid else ():
+                    rows.append((path, pos, *ids, text, len(text), gone))
+                    pos += len(text)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * len(kinds), kinds, strict=True)], names)
+
+    return data.select("path", "data").mapInArrow(run, "path string, pos long, clock long, peer long, o_clock long, o_peer long, text string, n long, gone string")

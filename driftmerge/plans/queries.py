@@ -293,7 +293,7 @@ def codec_size(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT path, count(*) AS n, count_if({R.DELETED}) AS n_deleted, CAST(sum(clock * (1 + pos)) AS BIGINT) AS ids, CAST(sum(clock - 1) AS BIGINT) AS origins, sha256(string_agg(ch, '' ORDER BY clock)) AS text_hash FROM (SELECT *, clock AS pos FROM ({CHARS})) GROUP BY path")
 def codec_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Elements as bytes and back: ids, order, origins, characters and liveness are what they were."""
-    back = sequence.pieces(codec.decoded(codec.encoded(R.element_runs(R.replica_a(spark, d), R.DELETED))), "pos")
+    back = codec.decoded_runs(codec.encoded(R.element_runs(R.replica_a(spark, d), R.DELETED)))
     ids = F.expr("n * clock * (1 + pos) + (clock + 1 + pos) * (n * (n - 1) div 2) + (n - 1) * n * (2 * n - 1) div 6")
     origins = F.expr("if(o_clock is null, 0, o_clock) + (n - 1) * clock + (n - 1) * (n - 2) div 2")
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "")
