@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftmerge.sources.shared import dealt
 
 IDS = ["path", "clock", "peer", "o_clock", "o_peer"]
 PIECE = "path string, {order} long, clock long, peer long, o_clock long, o_peer long, text string, n long"
@@ -186,13 +187,13 @@ def adopt(elems: DataFrame) -> DataFrame:
         cells = [*map(pa.array, cells), pa.array(o_clock[start], mask=none), pa.array(o_peer[start], mask=none), pa.array([text[a : a + m] for a, m in zip(start.tolist(), n.tolist(), strict=True)], pa.string()), pa.array(gone[start]), pa.array(n)]
         return pa.table([pa.array([part.column("path")[0].as_py()] * len(start), pa.string()), *cells], [x.split()[0] for x in RUNS.split(", ")])
 
-    return pieces(elems, "pos").groupBy("path").applyInArrow(run, RUNS)
+    return dealt(pieces(elems, "pos")).groupBy("path").applyInArrow(run, RUNS)
 
 
-def visible(runs: DataFrame) -> DataFrame:
-    """Live runs with the rank of their first character: (path, run, clock, peer, n, start)."""
+def visible(runs: DataFrame, *also: str) -> DataFrame:
+    """Live runs with the rank of their first character: (path, run, clock, peer, n, start), and other columns of theirs."""
     by = W.partitionBy("path").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    return runs.filter("not deleted").select("path", "run", "pos", "clock", "peer", "n", (F.sum("n").over(by) - F.col("n")).alias("start"))
+    return runs.filter("not deleted").select("path", "run", "pos", "clock", "peer", "n", *also, (F.sum("n").over(by) - F.col("n")).alias("start"))
 
 
 def at_rank(ranks: DataFrame, spans: DataFrame) -> DataFrame:
@@ -312,12 +313,12 @@ def merged_text(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def _both(a: DataFrame, b: DataFrame) -> GroupedData:
-    return pieces(a, "pos").unionByName(pieces(b, "pos")).groupBy("path")
+    return dealt(pieces(a, "pos").unionByName(pieces(b, "pos"))).groupBy("path")
 
 
 def compact_runs(runs: DataFrame) -> DataFrame:
     """Live runs of adopt(), renumbered from 1 as parts of one writer's run: (path, old_clock, old_peer, clock, n, text)."""
-    return visible(runs).join(runs.select("path", "run", "text"), ["path", "run"]).select("path", F.col("clock").alias("old_clock"), F.col("peer").alias("old_peer"), (F.col("start") + 1).alias("clock"), "n", "text")
+    return visible(runs, "text").select("path", F.col("clock").alias("old_clock"), F.col("peer").alias("old_peer"), (F.col("start") + 1).alias("clock"), "n", "text")
 
 
 def live_text(elems: DataFrame) -> DataFrame:
