@@ -127,7 +127,7 @@ def compress(ops: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield _packed(held, np.zeros(1, np.int64), last, number)[0]
 
-    return pieces(ops, "seq").repartition("path").sortWithinPartitions("path", "seq").select(*columns).mapInArrow(run, WIRE)
+    return dealt(pieces(ops, "seq")).sortWithinPartitions("path", "seq").select(*columns).mapInArrow(run, WIRE)
 
 
 def _breaks(part: pa.Table) -> np.ndarray:
@@ -253,6 +253,47 @@ def fresh(incoming: DataFrame, known: DataFrame) -> DataFrame:
     return incoming.dropDuplicates(key).join(known.select(*key), key, "left_anti")
 
 
+FRESH = "path string, kind string, clock long, peer long, o_clock long, o_peer long, text string, n long, clocks array<long>"
+
+
+def fresh_runs(incoming: DataFrame, known: DataFrame) -> DataFrame:
+    """What ``fresh`` gives, of pieces and as pieces: cut to what is new, each id once, the first by `seq` that has it.
+
+    No character becomes a row, and of what is known only ids are shuffled. A task holds one document.
+    """
+    columns = [c.split()[0] for c in FRESH.split(", ")]
+
+    def run(part: pa.Table) -> pa.Table:
+        path, held, out = part.column("path")[0].as_py(), defaultdict(list), []
+        for row in part.sort_by([("side", "ascending"), ("seq", "ascending")]).to_pylist():
+            ids = np.array(row["clocks"], np.int64) if row["kind"] == "del" else np.arange(row["clock"], row["clock"] + row["n"])
+            held[row["kind"], row["peer"]].append((row, ids))
+        for (kind, peer), rows in held.items():
+            ids = np.concatenate([x for _, x in rows])
+            new = np.zeros(len(ids), bool)
+            new[np.unique(ids, return_index=True)[1]] = True  # those known come first
+            at = 0
+            for row, own in rows:
+                mask, at = new[at : at + len(own)], at + len(own)
+                if row["side"] == 0 or not mask.any():
+                    continue
+                if kind == "del":
+                    kept = own[mask].tolist()
+                    out.append((path, kind, kept[0], peer, None, None, "", len(kept), kept))
+                    continue
+                edges = np.flatnonzero(np.diff(np.r_[False, mask, False].astype(np.int8))).tolist()
+                for i, j in zip(edges[::2], edges[1::2], strict=True):
+                    clock = row["clock"] + i
+                    origin = (row["o_clock"], row["o_peer"]) if i == 0 else (clock - 1, peer)
+                    out.append((path, kind, clock, peer, *origin, row["text"][i:j], j - i, None))
+        kinds = [pa.string(), pa.string(), *[pa.int64()] * 4, pa.string(), pa.int64(), pa.list_(pa.int64())]
+        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * len(kinds), kinds, strict=True)], columns)
+
+    sided = [pieces(rows, "seq").withColumn("side", F.lit(side)) for side, rows in ((0, known), (1, incoming))]
+    sided[0] = sided[0].withColumn("text", F.lit(""))
+    return dealt(sided[0].unionByName(sided[1])).groupBy("path").applyInArrow(run, FRESH)
+
+
 def blocked(ops: DataFrame, known: DataFrame) -> DataFrame:
     """Inserts whose origin, and deletes whose target, is neither known nor among the ops."""
     there = ops.filter("kind = 'ins'").select("path", "clock", "peer").union(known.filter("kind = 'ins'").select("path", "clock", "peer")).distinct()
@@ -423,4 +464,4 @@ def document_text(ops: DataFrame) -> DataFrame:
         text = "".join(live)
         return pa.table([part.column("path")[:1], pa.array([text], pa.string()), pa.array([raw]), pa.array([raw - len(text)])], ["path", "text", "n_raw", "n_deleted"])
 
-    return wire.groupBy("path").applyInArrow(replay, "path string, text string, n_raw long, n_deleted long")
+    return dealt(wire).groupBy("path").applyInArrow(replay, "path string, text string, n_raw long, n_deleted long")

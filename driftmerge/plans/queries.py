@@ -261,8 +261,9 @@ def rga_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT path, count(*) AS n FROM ({OPS}) WHERE NOT (kind = 'ins' AND peer = 1) GROUP BY path")
 def fresh_ops(spark: SparkSession, d: str) -> DataFrame:
-    ops = R.op_log(R.replica_a(spark, d))
-    return sequence.fresh(ops.unionByName(ops.filter("peer > 1")), ops.filter("kind = 'ins' and peer = 1")).groupBy("path").agg(F.count("*").alias("n"))
+    ops = R.op_runs(R.replica_a(spark, d))
+    new = sequence.fresh_runs(ops.unionByName(ops.filter("peer > 1")), ops.filter("kind = 'ins' and peer = 1"))
+    return new.groupBy("path").agg(F.sum("n").alias("n"))
 
 
 @query(f"""WITH o AS (SELECT * FROM ({OPS})), l AS (SELECT * FROM o WHERE clock % 11 <> 5) SELECT l.path, count(*) AS n FROM l LEFT JOIN (SELECT path, clock, peer FROM l WHERE kind = 'ins') t

@@ -203,3 +203,80 @@ def test_varint_length(spark, value):
     out = bytearray()
     codec.put(out, value)
     assert spark.range(1).select(scalars.varint_length(F.lit(value).cast("long")).alias("n")).first().n == len(out)
+
+
+def test_fresh_runs_are_the_fresh_ops(spark):
+    from driftmerge.operators import sequence
+    from driftmerge.sources import replicas
+
+    rng, rows, old = random.Random(5), [], []
+    for path in "pq":
+        for k in range(12):
+            clock, n, peer = rng.randint(1, 30), rng.randint(1, 12), rng.choice([1, 2])
+            if k % 3 == 2:
+                rows.append((path, 100 * k, "del", clock, peer, None, None, "", n, list(range(clock, clock + n))))
+            else:
+                (old if k % 4 == 0 else rows).append((path, 100 * k, "ins", clock, peer, None, None, "".join(chr(97 + i % 26) for i in range(clock, clock + n)), n, None))
+    pieces, known = (spark.createDataFrame(x, replicas.PIECES) for x in ([*rows, *rows[:5]], old))
+    chars = lambda x: spark.createDataFrame([(p, s + i, k, c + i, w, t[i : i + 1] or None) for p, s, k, c, w, _, _, t, n, _ in x for i in range(n)], "path string, seq long, kind string, clock long, peer long, ch string")
+    want = {(r.path, r.kind, r.clock, r.peer, r.ch) for r in sequence.fresh(chars([*rows, *rows[:5]]), chars(old)).collect()}
+    got = [(r.path, r.kind, c, r.peer, None if r.kind == "del" else r.text[i]) for r in sequence.fresh_runs(pieces, known).collect() for i, c in enumerate(r.clocks or range(r.clock, r.clock + r.n))]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_edits_that_lie_apart_are_found_without_the_search(monkeypatch):
+    rng = random.Random(9)
+    for _ in range(200):
+        old = "".join(rng.choices("abc ", k=rng.randint(0, 80)))
+        new = list(old)
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randint(0, len(new))
+            new[at : at + rng.randint(0, 1)] = rng.choices("abX", k=rng.randint(0, 1))
+        new = "".join(new)
+        edits = diffing.script(old, new)
+        with monkeypatch.context() as m:
+            m.setattr(diffing, "_local", lambda a, b, most: None)
+            least = diffing.script(old, new)
+        size = lambda script: sum(len(t) for kind, t in script if kind != "keep")
+        assert diffing.applied(old, edits) == new and size(edits) == size(least)
+    monkeypatch.setattr(diffing, "_Search", None)
+    old = "".join(rng.choices("abcdefgh ", k=20_000))
+    new = "".join(("" if k % 37 == 0 else c) + ("X" if k % 53 == 0 else "") for k, c in enumerate(old))
+    assert diffing.applied(old, diffing.script(old, new)) == new
+
+
+def test_cuts_carry_no_whole_texts(spark):
+    from driftmerge.sources import replicas
+
+    log = spark.createDataFrame([("p", 1, "ins", 1, 1, None, None, "abcdefghij", 10, None), ("p", 11, "del", 3, 1, None, None, "", 2, [3, 4])], replicas.PIECES)
+    cut = replicas.without(log, "clock in (1, 4, 5)")
+    assert "Generate" not in cut._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, cut.collect()), key=str) == [("p", 11, "del", 3, 1, None, None, "", 1, [3]), ("p", 2, "ins", 2, 1, 1, 1, "bc", 2, None), ("p", 6, "ins", 6, 1, 5, 1, "fghij", 5, None)]
+
+
+def test_decoded_runs_are_the_decoded_elements(spark):
+    rng, elems = random.Random(4), []
+    for _ in range(300):
+        if elems and rng.random() < 0.9:
+            clock, peer = elems[-1][:2]
+            elems.append((clock + 1, peer, clock, peer, rng.choice("aé🌍\x1a\x1b"), rng.random() < 0.4))
+        else:
+            elems.append((rng.randint(1, 500), rng.randint(1, 300), *rng.choice([(None, None), (3, 7)]), rng.choice("aé🌍"), False))
+    data = codec.encode(elems)
+    assert codec.decode(data) == elems and 10 < len(codec.decode_pieces(data)) < 100
+    rows = codec.decoded_runs(spark.createDataFrame([("p", bytearray(data)), ("q", bytearray(data[:-1])), ("r", None)], "path string, data binary")).collect()
+    assert {r.path for r in rows} == {"p"} and len(rows) < 100
+    assert [(r.pos, r.text, r.gone) for r in rows] == sorted((r.pos, r.text, r.gone) for r in rows) and sum(r.n for r in rows) == len(elems)
+    assert "".join(r.text for r in rows) == "".join(e[4] for e in elems) and "".join(r.gone for r in rows) == "".join("01"[e[5]] for e in elems)
+
+
+def test_documents_are_dealt_over_all_tasks(spark):
+    """However few bytes they have."""
+    from driftmerge.operators import sequence
+
+    rows = spark.createDataFrame([("p", 1, 1, 1, None, None, "ab", 2, "01")], "path string, pos long, clock long, peer long, o_clock long, o_peer long, text string, n long, gone string")
+    for made in (sequence.adopt(rows), sequence.merged_text(rows, rows), codec.encoded(rows)):
+        assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().executedPlan().toString()
+    runs = sequence.compact_runs(sequence.adopt(rows))
+    assert "Join" not in runs._jdf.queryExecution().executedPlan().toString()
+    assert [(r.old_clock, r.clock, r.n, r.text) for r in runs.collect()] == [(1, 1, 1, "a")]
