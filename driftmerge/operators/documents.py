@@ -2,12 +2,11 @@
 
 A document is a row (path, base, runs): its lineage and its pieces in document order (see ``sequence``). Ops travel as
 pieces too. Every operator joins on path, so a hot path is one document, never a group; the Arrow-batched functions
-hold one document at a time. Null texts are empty ones; a path without a row is an unknown document.
+work on the columns of some documents at once (``columns``). Null texts are empty ones; a path without a row is an unknown document.
 """
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,15 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftmerge.functions import scalars
-from driftmerge.operators import reconcile
-from driftmerge.operators.diffing import script
-from driftmerge.operators.sequence import Gone, deleted_in, ordered_runs
+from driftmerge.operators import columns, reconcile
 from driftmerge.sources.shared import dealt, materialize, release
 
 RUNS = "array<struct<clock:long,peer:long,o_clock:long,o_peer:long,text:string,gone:string>>"
 OPS = "array<struct<kind:string,clock:long,peer:long,o_clock:long,o_peer:long,text:string,clocks:array<long>>>"
-_RUN = pa.list_(pa.struct([*((k, pa.int64()) for k in ("clock", "peer", "o_clock", "o_peer")), ("text", pa.string()), ("gone", pa.string())]))
-_OP = pa.list_(pa.struct([("kind", pa.string()), *((k, pa.int64()) for k in ("clock", "peer", "o_clock", "o_peer")), ("text", pa.string()), ("clocks", pa.list_(pa.int64()))]))
+_RUN, _OP = columns.RUN, columns.OP
 Runs = list[dict]
 Ops = list[dict]
 
@@ -43,42 +39,9 @@ def live_text(runs: Runs) -> str:
     return "".join(r["text"] if "1" not in r["gone"] else "".join(c for c, g in zip(r["text"], r["gone"], strict=True) if g == "0") for r in runs)
 
 
-def live_ids(runs: Runs) -> tuple[np.ndarray, np.ndarray]:
-    """Clocks and writers of the live characters, in document order."""
-    clocks, peers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for r in runs:
-        own = r["clock"] + np.flatnonzero(np.frombuffer(r["gone"].encode(), np.uint8) == ord("0"))
-        clocks.append(own)
-        peers.append(np.full(len(own), r["peer"]))
-    return np.concatenate(clocks), np.concatenate(peers)
-
-
-def last_clock(runs: Runs) -> int:
-    return max((r["clock"] + len(r["text"]) - 1 for r in runs), default=0)
-
-
 def detect(runs: Runs, new: str, peer: int) -> Ops:
     """Ops that turn a document's live text into a new one: ids go on from its last clock, deletes mint none."""
-    old = live_text(runs)
-    if old == new:
-        return []
-    ids = live_ids(runs)
-    turns = np.flatnonzero(np.diff(ids[1])) + 1  # where the writer changes
-    clocks, peers, turns = ids[0].tolist(), ids[1].tolist(), turns.tolist()
-    clock, at, origin, out = last_clock(runs), 0, (None, None), []
-    for kind, text in script(old, new):
-        if kind == "ins":
-            out.append({"kind": "ins", "clock": clock + 1, "peer": peer, "o_clock": origin[0], "o_peer": origin[1], "text": text, "clocks": None})
-            clock += len(text)
-            origin = (clock, peer)
-            continue
-        end = at + len(text)
-        if kind == "del":
-            edges = [at, *turns[bisect.bisect_right(turns, at) : bisect.bisect_left(turns, end)], end]
-            for i, j in zip(edges, edges[1:], strict=False):
-                out.append({"kind": "del", "clock": clocks[i], "peer": peers[i], "o_clock": None, "o_peer": None, "text": "", "clocks": clocks[i:j]})
-        origin, at = (clocks[end - 1], peers[end - 1]), end
-    return out
+    return _cells(columns.detect(pa.array([runs], _RUN), pa.array([new], pa.string()), peer))[0]
 
 
 def _gone(runs: Runs) -> dict[int, list[np.ndarray]]:
@@ -91,29 +54,7 @@ def _gone(runs: Runs) -> dict[int, list[np.ndarray]]:
 
 def apply(runs: Runs, ops: Ops) -> tuple[Runs, int, int, int]:
     """The document after ops, in any order and repeated: (runs, inserted, deleted, waiting characters)."""
-    dead = _gone(runs)
-    for op in ops:
-        if op["kind"] == "del":
-            dead.setdefault(op["peer"], []).append(np.array(op["clocks"], np.int64))
-    gone: Gone = {p: np.unique(np.concatenate(x)) for p, x in dead.items()}
-    rows = [(r["clock"], r["peer"], r["o_clock"], r["o_peer"], r["text"]) for r in [*runs, *(o for o in ops if o["kind"] == "ins")]]
-    out: Runs = []
-    for clock, peer, origin, text in ordered_runs(rows):
-        mask = deleted_in(clock, peer, len(text), gone)
-        out.append({"clock": clock, "peer": peer, "o_clock": origin[0] if origin else None, "o_peer": origin[1] if origin else None, "text": text, "gone": (mask.astype(np.uint8) + ord("0")).tobytes().decode()})
-    count = lambda x: (sum(len(r["text"]) for r in x), sum(r["gone"].count("1") for r in x))
-    (n, d), (m, e) = count(runs), count(out)
-    there = {p: np.concatenate(x) for p, x in _clocks(out).items()}
-    sent = {p: np.unique(np.concatenate(x)) for p, x in _clocks([o for o in ops if o["kind"] == "ins"]).items()}
-    waiting = sum(len(np.setdiff1d(x, there.get(p, x[:0]))) for p, x in sent.items())
-    return out, m - n, e - d, waiting
-
-
-def _clocks(runs: Runs) -> dict[int, list[np.ndarray]]:
-    out: dict[int, list[np.ndarray]] = {}
-    for r in runs:
-        out.setdefault(r["peer"], []).append(np.arange(r["clock"], r["clock"] + len(r["text"])))
-    return out
+    return tuple(_cells(x)[0] for x in columns.apply(pa.array([runs], _RUN), pa.array([ops], _OP)))
 
 
 def merge(a: Runs, b: Runs) -> Runs:
@@ -150,7 +91,7 @@ def _cells(column: pa.Array) -> list:
 
 
 def _mapped(rows: DataFrame, columns: list[str], make: Callable[..., tuple], out: list[tuple[str, str, pa.DataType]], keep: list[str]) -> DataFrame:
-    """Rows of `keep` and what make(*columns) gives for each row; `out` says names and types."""
+    """Rows of `keep` and what make(*columns) gives for each row, as objects; `out` says names and types. Runs and ops of many documents are ``_columned``."""
     names = [n for n, _, _ in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,10 +106,22 @@ def _mapped(rows: DataFrame, columns: list[str], make: Callable[..., tuple], out
     return rows.select(*dict.fromkeys([*keep, *columns])).mapInArrow(run, kinds)
 
 
+def _columned(rows: DataFrame, cells: list[str], make: Callable[..., list[pa.Array]], out: list[tuple[str, str]], keep: list[str]) -> DataFrame:
+    """Rows of `keep` and the columns that make(*cells) gives for some rows at once; `out` says names and types."""
+    names = [n for n, _ in out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in columns.parts(whole):
+                yield pa.record_batch([*(batch.column(k) for k in keep), *make(*(batch.column(c) for c in cells))], [*keep, *names])
+
+    kinds = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema), *(f"{n} {t}" for n, t in out)])
+    return rows.select(*dict.fromkeys([*keep, *cells])).mapInArrow(run, kinds)
+
+
 def texts(state: DataFrame) -> DataFrame:
     """(path, base, text, n_raw, n_deleted) of documents."""
-    make = lambda runs: (live_text(runs), sum(len(r["text"]) for r in runs), sum(r["gone"].count("1") for r in runs))
-    return _mapped(state, ["runs"], make, [("text", "string", pa.string()), ("n_raw", "long", pa.int64()), ("n_deleted", "long", pa.int64())], ["path", "base"])
+    return _columned(state, ["runs"], columns.live, [("text", "string"), ("n_raw", "long"), ("n_deleted", "long")], ["path", "base"])
 
 
 def manifest(state: DataFrame) -> DataFrame:
@@ -179,10 +132,10 @@ def manifest(state: DataFrame) -> DataFrame:
 def detected(state: DataFrame, new: DataFrame, peer: int) -> DataFrame:
     """(path, base, ops) of the known documents whose new text (path, text) differs: equal texts give no row."""
     both = dealt(state.select("path", "base", "runs")).join(dealt(new.select("path", F.coalesce("text", F.lit("")).alias("new"))), "path")
-    return _mapped(both, ["runs", "new"], lambda runs, text: (detect(runs, text, peer),), [("ops", OPS, _OP)], ["path", "base"]).filter("size(ops) > 0")
+    return _columned(both, ["runs", "new"], lambda runs, text: [columns.detect(runs, text, peer)], [("ops", OPS)], ["path", "base"]).filter("size(ops) > 0")
 
 
-APPLIED = [("runs", RUNS, _RUN), ("inserted", "long", pa.int64()), ("deleted", "long", pa.int64()), ("waiting", "long", pa.int64())]
+APPLIED = [("runs", RUNS), ("inserted", "long"), ("deleted", "long"), ("waiting", "long")]
 
 
 def applied(state: DataFrame, ops: DataFrame) -> DataFrame:
@@ -200,7 +153,7 @@ def applied(state: DataFrame, ops: DataFrame) -> DataFrame:
     both = dealt(everything).join(dealt(sent), "path", "left").withColumn("dropped", F.coalesce("dropped", F.lit(0).cast("long")))
     touched = both.filter("size(ops) > 0")
     same = both.filter("coalesce(size(ops), -1) <= 0").select("path", "base", "dropped", "runs", *(F.lit(0).cast("long").alias(c) for c in ("inserted", "deleted", "waiting")))
-    return _mapped(touched, ["runs", "ops"], apply, APPLIED, ["path", "base", "dropped"]).unionByName(same)
+    return _columned(touched, ["runs", "ops"], columns.apply, APPLIED, ["path", "base", "dropped"]).unionByName(same)
 
 
 def absorbed(state: DataFrame, disk: DataFrame, own_writes: DataFrame, peer: int) -> DataFrame:
@@ -234,23 +187,39 @@ def received_snapshots(local: DataFrame, remote: DataFrame, local_peer: int, rem
     outcome = reconcile.snapshot_outcome(text(remote).join(remote.select("path", "mtime"), "path"), text(local).join(local.select("path", "mtime"), "path"), remote_peer, local_peer)
     both = dealt(outcome).join(remote.select("path", F.col("base").alias("r_base"), F.col("runs").alias("r_runs")), "path").join(local.select("path", F.col("base").alias("l_base"), F.col("runs").alias("l_runs")), "path", "left")
 
-    def make(outcome: str, theirs: Runs, ours: Runs | None) -> tuple:
-        if outcome == "adopt":
-            return theirs, None, True, None
-        if outcome == "merge":
-            one = merge(ours, theirs)
-            return one, None, live_text(one) != live_text(ours), None
-        if outcome == "ignore":
-            return ours, None, False, None
-        if outcome == "rebase":
-            ops = detect(theirs, live_text(ours), local_peer)
-            return apply(theirs, ops)[0], ops, True, None
-        return theirs, None, outcome == "conflict", live_text(ours) if outcome == "conflict" else None
+    def make(outcome: pa.Array, theirs: pa.Array, ours: pa.Array) -> list[pa.Array]:
+        what = np.array(outcome.to_pylist(), object)
+        at = lambda *kinds: np.flatnonzero(np.isin(what, kinds))
+        of = lambda column, rows: column.take(pa.array(rows))
+        runs, ops, lost, relay = [], [], [], np.isin(what, ("adopt", "rebase", "conflict"))
+        if len(rows := at("merge")):
+            one = columns.apply(of(ours, rows), columns.as_ops(of(theirs, rows)))[0]
+            relay[rows] = [x != y for x, y in zip(columns.live(one)[0].to_pylist(), columns.live(of(ours, rows))[0].to_pylist(), strict=True)]
+            runs.append((rows, one))
+        if len(rows := at("rebase")):
+            sent = columns.detect(of(theirs, rows), columns.live(of(ours, rows))[0], local_peer)
+            runs.append((rows, columns.apply(of(theirs, rows), sent)[0]))
+            ops.append((rows, sent))
+        if len(rows := at("conflict")):
+            lost.append((rows, columns.live(of(ours, rows))[0]))
+        runs += [(rows, of(side, rows)) for rows, side in ((at("ignore"), ours), (np.flatnonzero(~np.isin(what, ("merge", "rebase", "ignore"))), theirs))]
+        return [_placed(runs, len(what), _RUN), _placed(ops, len(what), _OP), pa.array(relay), _placed(lost, len(what), pa.string())]
 
     base = F.when(F.col("outcome").isin("ignore", "merge"), F.col("l_base")).otherwise(F.col("r_base"))
     rows = both.withColumn("base", base)
-    out = [("runs", RUNS, _RUN), ("ops", OPS, _OP), ("relay", "boolean", pa.bool_()), ("conflict_text", "string", pa.string())]
-    return _mapped(rows, ["outcome", "r_runs", "l_runs"], make, out, ["path", "outcome", "base", "conflict"])
+    out = [("runs", RUNS), ("ops", OPS), ("relay", "boolean"), ("conflict_text", "string")]
+    return _columned(rows, ["outcome", "r_runs", "l_runs"], make, out, ["path", "outcome", "base", "conflict"])
+
+
+def _placed(parts: list[tuple[np.ndarray, pa.Array]], n: int, kind: pa.DataType) -> pa.Array:
+    """A column of n cells from some rows' cells each; the rows that none names are null."""
+    to = np.full(n, -1)
+    at = 0
+    for rows, _ in parts:
+        to[rows] = np.arange(at, at + len(rows))
+        at += len(rows)
+    cells = pa.concat_arrays([x.cast(kind) for _, x in parts]) if parts else pa.array([], kind)
+    return cells.take(pa.array(to, mask=to < 0))
 
 
 def compacted(state: DataFrame, reports: DataFrame, live: DataFrame, known: DataFrame, peer: int, least: int) -> DataFrame:

@@ -171,3 +171,30 @@ def test_few_documents_are_objects_at_once():
     finally:
         documents._cells = real
     assert sum(b.num_rows for b in out) == 100 and max(seen) <= documents.AT_ONCE
+
+
+def test_documents_of_a_batch_are_worked_on_together():
+    """Many documents at once, as columns, give what each gives alone; nulls, empty ones and those that wait among them."""
+    import pyarrow as pa
+
+    from driftmerge.operators import columns, sequence
+
+    rng, runs, news = random.Random(4), [], []
+    for k in range(80):
+        text = random_text(rng, rng.randint(0, 50))
+        gone = "".join(rng.choices("01", k=len(text)))
+        runs.append(None if k % 9 == 0 else [{"clock": 3, "peer": 1, "o_clock": None, "o_peer": None, "text": text, "gone": gone}] if text else [])
+        news.append(None if k % 7 == 0 else random_text(rng, 30))
+    column = pa.array(runs, columns.RUN)
+    ops = columns.detect(column, pa.array(news, pa.string()), 9)
+    assert ops.to_pylist() == [documents.detect(r or [], n or "", 9) for r, n in zip(runs, news, strict=True)]
+    lost = [{"kind": "ins", "clock": 7, "peer": 5, "o_clock": 6, "o_peer": 4, "text": "lost", "clocks": None}]
+    sent = pa.array([[*x, *lost] for x in ops.to_pylist()], columns.OP).slice(11)
+    after, inserted, deleted, waiting = columns.apply(column.slice(11), sent)
+    for one, mine, new, extra in zip(after.to_pylist(), sent.to_pylist(), news[11:], runs[11:], strict=True):
+        assert documents.live_text(one) == (new or "")
+        rows = [(r["clock"], r["peer"], r["o_clock"], r["o_peer"], r["text"]) for r in [*(extra or []), *(o for o in mine if o["kind"] == "ins")]]
+        assert [(r["clock"], r["peer"], r["text"]) for r in one] == sequence.ordered_pieces(rows)
+    assert set(waiting.to_pylist()) == {4} and columns.live(after)[0].to_pylist() == [n or "" for n in news[11:]]
+    large = pa.record_batch([pa.array(["x" * (1 << 20)] * 64)], ["text"])
+    assert max(p.num_rows for p in columns.parts(large)) <= 4 and sum(p.num_rows for p in columns.parts(large)) == 64
