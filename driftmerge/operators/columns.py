@@ -19,7 +19,7 @@ RUN = pa.list_(pa.struct([*_IDS, ("text", pa.string()), ("gone", pa.string())]))
 OP = pa.list_(pa.struct([("kind", pa.string()), *_IDS, ("text", pa.string()), ("clocks", pa.list_(pa.int64()))]))
 
 #: Documents, and bytes of them, that are worked on at once; a larger document is alone.
-AT_ONCE, BYTES = 256, 4 << 20
+AT_ONCE, BYTES = 256, 1 << 20
 
 
 def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

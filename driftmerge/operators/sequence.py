@@ -11,15 +11,16 @@ from __future__ import annotations
 
 import bisect
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, GroupedData
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftmerge.operators import columns
 from driftmerge.sources.shared import dealt
 
 IDS = ["path", "clock", "peer", "o_clock", "o_peer"]
@@ -83,7 +84,7 @@ def _chain(part: pa.Table, n: np.ndarray) -> np.ndarray:
     """For each row but the first: it goes on, in the same path, where the n characters of the one before stopped."""
     clock, peer, o_clock, o_peer = (_numbers(part, c) for c in IDS[1:])
     path = part.column("path").combine_chunks()
-    same = pc.equal(path[1:], path[:-1]).to_numpy(zero_copy_only=False) if len(path) > 1 else np.zeros(0, bool)
+    same = ~_turns(path)[1:]
     end = clock[:-1] + n[:-1]
     return same & (peer[1:] == peer[:-1]) & (clock[1:] == end) & (o_clock[1:] == end - 1) & (o_peer[1:] == peer[:-1])
 
@@ -112,7 +113,7 @@ def compress(ops: DataFrame) -> DataFrame:
     Pieces are packed before the one shuffle and sort; then a pass over Arrow batches holds the last island only.
     Window functions and an aggregate would send every character through two shuffles, two sorts and a list of structs.
     """
-    columns = ["path", "kind", *IDS[1:], "text", "n", "clocks"]
+    names = ["path", "kind", *IDS[1:], "text", "n", "clocks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last, number = None, None, 0
@@ -127,14 +128,14 @@ def compress(ops: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield _packed(held, np.zeros(1, np.int64), last, number)[0]
 
-    return dealt(pieces(ops, "seq")).sortWithinPartitions("path", "seq").select(*columns).mapInArrow(run, WIRE)
+    return dealt(pieces(ops, "seq")).sortWithinPartitions("path", "seq").select(*names).mapInArrow(run, WIRE)
 
 
 def _breaks(part: pa.Table) -> np.ndarray:
     """Pieces at which an island starts."""
     gone = _gone(part)
     path = part.column("path").combine_chunks()
-    same = pc.equal(path[1:], path[:-1]).to_numpy(zero_copy_only=False) if len(path) > 1 else np.zeros(0, bool)
+    same = ~_turns(path)[1:]
     chain = _chain(part, _numbers(part, "n")) & ~gone[1:] & ~gone[:-1]
     return np.flatnonzero(np.r_[True, ~(chain | (same & gone[1:] & gone[:-1]))][: len(gone)])
 
@@ -171,6 +172,53 @@ def expand(wire: DataFrame) -> DataFrame:
 RUNS = "path string, run long, pos long, clock long, peer long, o_clock long, o_peer long, text string, deleted boolean, n long"
 
 
+#: Bytes of documents that are worked on at once; a larger document is alone.
+AT_ONCE = 1 << 20
+
+
+def by_document(rows: DataFrame, run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """What run() gives for the rows of some whole documents at once, by rising path.
+
+    A group a document would cost a batch, a schema and a call for each, far more than the work on a short one.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of one document, whose last rows may not have come
+        size = 0
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                batch = whole.slice(first, 256)
+                path = batch.column("path")
+                other = np.flatnonzero(_turns(path)[1:]) + 1
+                if held and held[-1].column("path")[-1] != path[0]:
+                    other = np.r_[0, other]
+                held.append(batch)
+                size += batch.nbytes
+                if size >= AT_ONCE and len(other):
+                    held[-1:] = [batch.slice(0, int(other[-1]))]
+                    yield from run(pa.Table.from_batches(held).combine_chunks()).to_batches()
+                    held = [batch.slice(int(other[-1]))]
+                    size = held[0].nbytes
+        if held:
+            yield from run(pa.Table.from_batches(held).combine_chunks()).to_batches()
+
+    return dealt(rows).sortWithinPartitions("path").mapInArrow(each, schema)
+
+
+def _turns(path: pa.Array) -> np.ndarray:
+    """Rows whose path isn't that of the row before; null is a path."""
+    a, b = path[1:], path[:-1]
+    other = pc.coalesce(pc.not_equal(a, b), pc.not_equal(a.is_null(), b.is_null()))
+    return np.r_[True, other.to_numpy(zero_copy_only=False)][: len(path)].astype(bool)
+
+
+def _documents(part: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    """The paths of rows that lie by path, each once, and the number of each row's."""
+    path = part.column("path").combine_chunks()
+    new = _turns(path)
+    return path.filter(pa.array(new)), np.cumsum(new) - 1
+
+
 def adopt(elems: DataFrame) -> DataFrame:
     """Stored runs of elements in document order: (path, run, pos, clock, peer, o_clock, o_peer, text, deleted, n).
 
@@ -178,16 +226,17 @@ def adopt(elems: DataFrame) -> DataFrame:
     """
 
     def run(part: pa.Table) -> pa.Table:
-        pos, clock, peer, o_clock, o_peer, code, gone = _united(part, first=True)
-        same = (peer[1:] == peer[:-1]) & (clock[1:] == clock[:-1] + 1) & (o_clock[1:] == clock[:-1]) & (o_peer[1:] == peer[:-1]) & (gone[1:] == gone[:-1])
+        paths, doc = _documents(part)
+        path, pos, clock, peer, o_clock, o_peer, code, gone = _united(part, first=True, doc=doc)
+        same = (path[1:] == path[:-1]) & (peer[1:] == peer[:-1]) & (clock[1:] == clock[:-1] + 1) & (o_clock[1:] == clock[:-1]) & (o_peer[1:] == peer[:-1]) & (gone[1:] == gone[:-1])
         start = np.flatnonzero(np.r_[True, ~same][: len(pos)])
         n, text = np.diff(np.r_[start, len(pos)]), code.tobytes().decode("utf-32-le")
-        none = o_clock[start] < 0
-        cells = [np.arange(1, len(start) + 1), pos[start], clock[start], peer[start]]
-        cells = [*map(pa.array, cells), pa.array(o_clock[start], mask=none), pa.array(o_peer[start], mask=none), pa.array([text[a : a + m] for a, m in zip(start.tolist(), n.tolist(), strict=True)], pa.string()), pa.array(gone[start]), pa.array(n)]
-        return pa.table([pa.array([part.column("path")[0].as_py()] * len(start), pa.string()), *cells], [x.split()[0] for x in RUNS.split(", ")])
+        none, of = o_clock[start] < 0, path[start]
+        number = np.arange(len(of)) - np.searchsorted(of, of) + 1
+        cells = [*map(pa.array, (number, pos[start], clock[start], peer[start])), pa.array(o_clock[start], mask=none), pa.array(o_peer[start], mask=none), pa.array([text[a : a + m] for a, m in zip(start.tolist(), n.tolist(), strict=True)], pa.string()), pa.array(gone[start]), pa.array(n)]
+        return pa.table([paths.take(pa.array(of)), *cells], [x.split()[0] for x in RUNS.split(", ")])
 
-    return dealt(pieces(elems, "pos")).groupBy("path").applyInArrow(run, RUNS)
+    return by_document(pieces(elems, "pos"), run, RUNS)
 
 
 def visible(runs: DataFrame, *also: str) -> DataFrame:
@@ -261,7 +310,7 @@ def fresh_runs(incoming: DataFrame, known: DataFrame) -> DataFrame:
 
     No character becomes a row, and of what is known only ids are shuffled. A task holds one document.
     """
-    columns = [c.split()[0] for c in FRESH.split(", ")]
+    names = [c.split()[0] for c in FRESH.split(", ")]
 
     def run(part: pa.Table) -> pa.Table:
         path, held, out = part.column("path")[0].as_py(), defaultdict(list), []
@@ -287,7 +336,7 @@ def fresh_runs(incoming: DataFrame, known: DataFrame) -> DataFrame:
                     origin = (row["o_clock"], row["o_peer"]) if i == 0 else (clock - 1, peer)
                     out.append((path, kind, clock, peer, *origin, row["text"][i:j], j - i, None))
         kinds = [pa.string(), pa.string(), *[pa.int64()] * 4, pa.string(), pa.int64(), pa.list_(pa.int64())]
-        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * len(kinds), kinds, strict=True)], columns)
+        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * len(kinds), kinds, strict=True)], names)
 
     sided = [pieces(rows, "seq").withColumn("side", F.lit(side)) for side, rows in ((0, known), (1, incoming))]
     sided[0] = sided[0].withColumn("text", F.lit(""))
@@ -305,27 +354,29 @@ def blocked(ops: DataFrame, known: DataFrame) -> DataFrame:
 MERGED = ["path", "pos", "clock", "peer", "o_clock", "o_peer", "ch", "deleted"]
 
 
-def _united(part: pa.Table, first: bool = False) -> tuple[np.ndarray, ...]:
-    """One path's pieces as arrays (pos, clock, peer, o_clock, o_peer, code point, deleted), each id once, by pos.
+def _united(part: pa.Table, first: bool = False, doc: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Pieces as arrays (document, pos, clock, peer, o_clock, o_peer, code point, deleted), each id once, by document and pos; `doc` numbers each row's document.
 
     An element is deleted if any of its rows says so or, with `first`, if the first one does.
     """
     n = _numbers(part, "n")
     base = np.repeat(np.arange(len(n)), n)
     off = np.arange(len(base)) - np.repeat(np.cumsum(n) - n, n)
+    doc = np.zeros(len(n), np.int64) if doc is None else doc
+    path = doc[base]
     pos, clock, peer, o_clock, o_peer = (_numbers(part, c)[base] for c in ("pos", *IDS[1:]))
     pos, clock = pos + off, clock + off
     o_clock, o_peer = np.where(off > 0, clock - 1, o_clock), np.where(off > 0, peer, o_peer)
     code = np.frombuffer("".join(part.column("text").to_pylist()).encode("utf-32-le"), np.uint32)
     gone = np.frombuffer("".join(part.column("gone").to_pylist()).encode(), np.uint8) & 1
-    if part.num_rows == 1:  # the ids of one piece differ, and stand in order
-        return pos, clock, peer, o_clock, o_peer, code, gone.astype(bool)
-    by_id = np.lexsort((pos, peer, clock))
-    at = np.flatnonzero(np.r_[True, (np.diff(clock[by_id]) != 0) | (np.diff(peer[by_id]) != 0)])
+    if (np.diff(doc) > 0).all():  # the ids of one piece differ, and stand in order
+        return path, pos, clock, peer, o_clock, o_peer, code, gone.astype(bool)
+    by_id = np.lexsort((pos, peer, clock, path))
+    at = np.flatnonzero(np.r_[True, (np.diff(path[by_id]) != 0) | (np.diff(clock[by_id]) != 0) | (np.diff(peer[by_id]) != 0)])
     gone = (gone[by_id][at] if first else np.maximum.reduceat(gone[by_id], at)).astype(bool)
     kept = by_id[at]
-    order = np.lexsort((peer[kept], clock[kept], pos[kept]))
-    return *(x[kept][order] for x in (pos, clock, peer, o_clock, o_peer, code)), gone[order]
+    order = np.lexsort((peer[kept], clock[kept], pos[kept], path[kept]))
+    return *(x[kept][order] for x in (path, pos, clock, peer, o_clock, o_peer, code)), gone[order]
 
 
 def merge(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -335,26 +386,30 @@ def merge(a: DataFrame, b: DataFrame) -> DataFrame:
     """
 
     def run(part: pa.Table) -> pa.Table:
-        pos, clock, peer, o_clock, o_peer, code, gone = _united(part)
+        paths, doc = _documents(part)
+        path, pos, clock, peer, o_clock, o_peer, code, gone = _united(part, doc=doc)
         none = o_clock < 0
-        cells = [pa.array(np.repeat(part.column("path")[0].as_py(), len(pos)), pa.string()), *map(pa.array, (pos, clock, peer)), pa.array(o_clock, mask=none), pa.array(o_peer, mask=none), pa.array(list(code.tobytes().decode("utf-32-le")), pa.string()), pa.array(gone)]
+        cells = [paths.take(pa.array(path)), *map(pa.array, (pos, clock, peer)), pa.array(o_clock, mask=none), pa.array(o_peer, mask=none), pa.array(list(code.tobytes().decode("utf-32-le")), pa.string()), pa.array(gone)]
         return pa.table(cells, MERGED)
 
-    return _both(a, b).applyInArrow(run, "path string, pos long, clock long, peer long, o_clock long, o_peer long, ch string, deleted boolean")
+    return by_document(_both(a, b), run, "path string, pos long, clock long, peer long, o_clock long, o_peer long, ch string, deleted boolean")
 
 
 def merged_text(a: DataFrame, b: DataFrame) -> DataFrame:
     """(path, text, n_raw, n_deleted) of the merge of two replicas, without making its rows."""
 
     def run(part: pa.Table) -> pa.Table:
-        *_, code, gone = _united(part)
-        return pa.table([part.column("path")[:1], pa.array([code[~gone].tobytes().decode("utf-32-le")], pa.string()), pa.array([len(gone)], pa.int64()), pa.array([int(gone.sum())], pa.int64())], ["path", "text", "n_raw", "n_deleted"])
+        paths, doc = _documents(part)
+        path, *_, code, gone = _united(part, doc=doc)
+        raw, dead = (np.bincount(x, minlength=len(paths)) for x in (path, path[gone]))
+        text, edges = code[~gone].tobytes().decode("utf-32-le"), np.r_[0, np.cumsum(raw - dead)].tolist()
+        return pa.table([paths, pa.array([text[i:j] for i, j in zip(edges, edges[1:], strict=False)], pa.string()), pa.array(raw), pa.array(dead)], ["path", "text", "n_raw", "n_deleted"])
 
-    return _both(a, b).applyInArrow(run, "path string, text string, n_raw long, n_deleted long")
+    return by_document(_both(a, b), run, "path string, text string, n_raw long, n_deleted long")
 
 
-def _both(a: DataFrame, b: DataFrame) -> GroupedData:
-    return dealt(pieces(a, "pos").unionByName(pieces(b, "pos"))).groupBy("path")
+def _both(a: DataFrame, b: DataFrame) -> DataFrame:
+    return pieces(a, "pos").unionByName(pieces(b, "pos"))
 
 
 def compact_runs(runs: DataFrame) -> DataFrame:
@@ -421,47 +476,38 @@ def ordered_runs(runs: list[tuple]) -> list[tuple[int, int, tuple[int, int] | No
     return out
 
 
-Gone = dict[int, np.ndarray]
-
-
-def deleted_in(clock: int, peer: int, n: int, gone: Gone) -> np.ndarray:
-    """Which of n characters from an id on are deleted; gone: the sorted clocks of each writer's deleted characters."""
-    out = np.zeros(n, bool)
-    if peer in gone:
-        lo, hi = np.searchsorted(gone[peer], [clock, clock + n])
-        out[gone[peer][lo:hi] - clock] = True
-    return out
-
-
-def targets(part: pa.Table) -> Gone:
-    """The clocks of deleted characters by writer, from the ids of wire rows."""
-    ids = part.column("ids").combine_chunks().flatten()
-    clock, peer = (ids.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-    return {int(p): np.unique(clock[peer == p]) for p in np.unique(peer)}
-
-
-def inserts(part: pa.Table) -> list[tuple]:
-    """The inserts (clock, peer, o_clock, o_peer, text) of wire rows."""
-    own = part.filter(pc.not_equal(part.column("kind"), "dels"))
-    return list(zip(*(own.column(c).to_pylist() for c in ("clock", "peer", "o_clock", "o_peer", "text")), strict=True))
-
-
 def document_text(ops: DataFrame) -> DataFrame:
     """(path, text, n_raw, n_deleted): each path's op log replayed to its text, in any order of arrival.
 
     Ops are run-compressed before the shuffle by path, so a group is some rows, and its deletes are one list.
     """
-    wire = compress(ops).select("path", "kind", "clock", "peer", "o_clock", "o_peer", "text", "ids")
+    return _replayed(compress(ops).select("path", "kind", "clock", "peer", "o_clock", "o_peer", "text", "ids"))
+
 
+def _replayed(wire: DataFrame) -> DataFrame:
     def replay(part: pa.Table) -> pa.Table:
-        gone, live, raw = targets(part), [], 0
-        for clock, peer, text in ordered_pieces(inserts(part)):
-            raw += len(text)
-            if peer in gone:
-                code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-                text = code[~deleted_in(clock, peer, len(code), gone)].tobytes().decode("utf-32-le")
-            live.append(text)
-        text = "".join(live)
-        return pa.table([part.column("path")[:1], pa.array([text], pa.string()), pa.array([raw]), pa.array([raw - len(text)])], ["path", "text", "n_raw", "n_deleted"])
-
-    return dealt(wire).groupBy("path").applyInArrow(replay, "path string, text string, n_raw long, n_deleted long")
+        paths, doc = _documents(part)
+        cells = {c: part.column(c).combine_chunks() for c in ("kind", *IDS[1:], "text", "ids")}
+        # A list of deletes may name several writers: an op for each.
+        ids = cells["ids"]
+        many = pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        gone = np.repeat(doc, many)
+        clock, peer = (x.to_numpy(zero_copy_only=False) for x in ids.flatten().flatten())
+        new = np.flatnonzero(np.r_[True, (np.diff(gone) != 0) | (np.diff(peer) != 0)][: len(gone)])
+        dels = pa.ListArray.from_arrays(pa.array(np.r_[new, len(gone)].astype(np.int32)), pa.array(clock, pa.int64()))
+        ins = pc.not_equal(cells["kind"], "dels")
+        d_doc, m = np.r_[doc[ins.to_numpy(zero_copy_only=False)], gone[new]], len(new)
+        own = {c: cells[c].filter(ins) for c in (*IDS[1:], "text")}
+        none = pa.nulls(m, pa.int64())
+        fields = {
+            "kind": pa.array(["ins"] * (len(d_doc) - m) + ["del"] * m, pa.string()), "clock": pa.concat_arrays([own["clock"], none]), "peer": pa.concat_arrays([own["peer"], pa.array(peer[new], pa.int64())]),
+            "o_clock": pa.concat_arrays([own["o_clock"], none]), "o_peer": pa.concat_arrays([own["o_peer"], none]), "text": pa.concat_arrays([own["text"], pa.array([""] * m, pa.string())]), "clocks": pa.concat_arrays([pa.nulls(len(d_doc) - m, dels.type), dels]),
+        }
+        by = pa.array(np.argsort(d_doc, kind="stable"))
+        ops = pa.StructArray.from_arrays([fields[f.name].take(by) for f in columns.OP.value_type], fields=list(columns.OP.value_type))
+        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(np.sort(d_doc), np.arange(len(paths) + 1)).astype(np.int32)), ops)
+        runs = pa.array([[]] * len(paths), columns.RUN)
+        text, raw, dead = columns.live(columns.apply(runs, lists)[0])
+        return pa.table([paths, text, raw, dead], ["path", "text", "n_raw", "n_deleted"])
+
+    return by_document(wire, replay, "path string, text string, n_raw long, n_deleted long")

@@ -280,3 +280,31 @@ def test_documents_are_dealt_over_all_tasks(spark):
     runs = sequence.compact_runs(sequence.adopt(rows))
     assert "Join" not in runs._jdf.queryExecution().executedPlan().toString()
     assert [(r.old_clock, r.clock, r.n, r.text) for r in runs.collect()] == [(1, 1, 1, "a")]
+
+
+def test_documents_are_worked_on_together(spark, monkeypatch):
+    """Runs, merges and replayed logs of many documents share a call, wherever batches end; a null path is a document."""
+    calls, real = [], sequence._documents
+    rows = [(None if k == 7 else f"p{k:02}", s, s, 1, s - 1 or None, 1 if s > 1 else None, "é🌍ab"[s % 4], (s + k) % 3 == 0) for k in range(40) for s in range(1, 12)]
+    elems = spark.createDataFrame(rows, "path string, pos long, clock long, peer long, o_clock long, o_peer long, ch string, deleted boolean").coalesce(1)
+    want = {p: "".join(r[6] for r in rows if r[0] == p and not r[7]) for p in {r[0] for r in rows}}
+    got = sequence.adopt(elems).collect()
+    assert {p: "".join(r.text for r in sorted((r for r in got if r.path == p), key=lambda r: r.run) if not r.deleted) for p in want} == want
+    assert {(r.path, r.text) for r in sequence.merged_text(elems, elems.withColumn("deleted", F.lit(False))).collect()} == set(want.items())
+    ops = elems.select("path", F.col("pos").alias("seq"), F.lit("ins").alias("kind"), "clock", "peer", "o_clock", "o_peer", "ch").unionByName(elems.filter("deleted").select("path", (F.col("pos") + 100).alias("seq"), F.lit("del").alias("kind"), "clock", "peer", *(F.lit(None).cast("long").alias(c) for c in ("o_clock", "o_peer")), F.lit(None).cast("string").alias("ch")))
+    assert {(r.path, r.text, r.n_raw) for r in sequence.document_text(ops).collect()} == {(p, t, 11) for p, t in want.items()}
+
+    class Rows:
+        def sortWithinPartitions(self, _):  # noqa: N802
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            batches = [[k // 700, (k + 99) // 700] for k in range(0, 6_000, 100)]
+            return sum((b.num_rows for b in run(pa.record_batch([pa.array([str(p).zfill(2) for p in x])], ["path"]) for x in batches)), 0)
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(sequence, "dealt", lambda rows: rows)
+    monkeypatch.setattr(sequence, "AT_ONCE", 40)
+    assert sequence.by_document(Rows(), lambda part: calls.append(real(part)[0].to_pylist()) or part, "") == 120
+    assert sorted(p for c in calls for p in c) == sorted({p for c in calls for p in c}) and 1 < len(calls)
