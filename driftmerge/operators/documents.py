@@ -233,8 +233,8 @@ def compacted(state: DataFrame, reports: DataFrame, live: DataFrame, known: Data
     # One row: may this peer compact now?
     leader = live.agg((F.coalesce(F.min("peer"), F.lit(-1)) > peer).alias("leads"))
     absent = reconcile.absent(known, live).agg((F.count("*") == 0).alias("whole"))
-    sized = texts(state)
-    wanted = reconcile.compaction(sized, least).select("path", "base", F.sha2("text", 256).alias("hash"), "text", "n_raw")
+    # Read three times below.
+    wanted = materialize(reconcile.compaction(texts(state), least).select("path", "base", F.sha2("text", 256).alias("hash"), "text", "n_raw"), "wanted")
     agreed = reconcile.unanimous(wanted.select("path", "hash", "base"), reports, live)
     new = from_text(wanted.select("path", "text"))
     return (

@@ -394,8 +394,8 @@ def compaction_round(spark: SparkSession, d: str) -> DataFrame:
     """Checkpoints that the lowest peer gives out; one peer reports another lineage for every seventh document."""
     a = R.replica_a(spark, d)
     runs = R.element_runs(a, THINNED).select("path", F.array(F.struct("clock", "peer", "o_clock", "o_peer", "text", "gone")).alias("runs"))
-    state = R.manifest(a).select("path", "base").join(runs, "path")
-    seen = with_id(documents.manifest(state))
+    state = materialize(R.manifest(a).select("path", "base").join(runs, "path"), "documents")
+    seen = materialize(with_id(documents.manifest(state)), "manifest")
     reports = seen.select(F.lit(20).alias("peer"), "path", "hash", "base").unionByName(seen.select(F.lit(30).alias("peer"), "path", "hash", (F.col("base") + F.when(F.expr("doc_id % 7 = 0"), 2).otherwise(0)).alias("base")))
     peers = spark.createDataFrame([(20,), (30,)], "peer int")
     return documents.compacted(state, reports, peers, peers, 10, 256).select("path", "base", "text_hash", "n_before", "n_after")
