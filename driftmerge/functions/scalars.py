@@ -11,6 +11,7 @@ import hmac
 import zlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,26 +74,26 @@ def deflate(data: bytes | None) -> bytes | None:
     if data is None or len(data) < 256:
         return None
     press = zlib.compressobj(1, zlib.DEFLATED, -15)
-    out = press.compress(bytes(data)) + press.flush()
+    out = press.compress(data) + press.flush()
     return out if len(out) * 10 < len(data) * 9 else None
 
 
 def inflate(data: bytes, most: int = MOST_INFLATED) -> bytes:
     unpack = zlib.decompressobj(-15)
-    out = unpack.decompress(bytes(data), most)
+    out = unpack.decompress(data, most)
     if unpack.unconsumed_tail or not unpack.eof:
         raise ValueError("the data are cut off, or grow beyond the bound")
     return out
 
 
-@F.pandas_udf(T.BinaryType())
-def maybe_compress(data: pd.Series) -> pd.Series:
-    return data.map(deflate)
+@F.arrow_udf(T.BinaryType())
+def maybe_compress(data: pa.Array) -> pa.Array:
+    return pa.array((deflate(x.as_buffer()) if x.is_valid else None for x in data), pa.binary())
 
 
-@F.pandas_udf(T.BinaryType())
-def decompress(data: pd.Series) -> pd.Series:
-    return data.map(lambda x: None if x is None else inflate(x))
+@F.arrow_udf(T.BinaryType())
+def decompress(data: pa.Array) -> pa.Array:
+    return pa.array((inflate(x.as_buffer()) if x.is_valid else None for x in data), pa.binary())
 
 
 #: Tags of the two ends of a link. Fixed values of this engine.

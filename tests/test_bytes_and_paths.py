@@ -237,3 +237,13 @@ def test_block_sizes(spark):
         want.append(4096 if n <= 131_072_000 else min(max(power, 4096), 4 << 20))
     got = spark.createDataFrame([(n,) for n in sizes], "n long").select(scalars.block_size(F.col("n")).alias("s")).collect()
     assert [r.s for r in got] == want
+
+
+def test_compression_reads_arrow_values_in_place():
+    """No batch is copied to pandas, and nulls and what doesn't shrink stay null."""
+    import pyarrow as pa
+
+    data = pa.array([None, b"", b"abc" * 200, bytes(range(256)), b"skipped"], pa.binary()).slice(0, 4)
+    small = scalars.maybe_compress.func(data)
+    assert isinstance(small, pa.Array) and [x is not None for x in small.to_pylist()] == [False, False, True, False]
+    assert scalars.decompress.func(small).to_pylist() == [None, None, b"abc" * 200, None]
