@@ -275,6 +275,20 @@ def _beside(ids: DataFrame, runs: DataFrame) -> DataFrame:
     return found.select("path", F.col("at").alias("clock"), "peer", "run", F.coalesce(F.col("at") < F.col("run.clock") + F.col("run.n"), F.lit(False)).alias("inside"))
 
 
+def held(of: np.ndarray, start: np.ndarray, n: np.ndarray, asked_of: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """For each asked number whether one of the runs of `n` from `start` on, of the same group (a row of longs), holds it. Runs may overlap."""
+    if not len(start) or not len(asked):
+        return np.zeros(len(asked), bool)
+    group = np.unique(np.concatenate([of, asked_of]), axis=0, return_inverse=True)[1].reshape(-1)
+    points, rank = np.unique(np.concatenate([start, start + n, asked]), return_inverse=True)
+    k, wide = len(start), len(points) + 1
+    first, end, want = group[:k] * wide + rank[:k], group[:k] * wide + rank[k : 2 * k], group[k:] * wide + rank[2 * k :]
+    order = np.argsort(first)
+    # Groups lie apart, so what ends last before a number is of its group or ends before it.
+    last = np.r_[-1, np.maximum.accumulate(end[order])]
+    return last[np.searchsorted(first[order], want, side="right")] > want
+
+
 def locate(ids: DataFrame, runs: DataFrame) -> DataFrame:
     """The run and offset that hold each id (path, clock, peer); runs of a writer don't overlap."""
     return _beside(ids, runs).filter("inside").select("path", "clock", "peer", F.col("run.clock").alias("run_clock"), (F.col("clock") - F.col("run.clock")).alias("offset"))

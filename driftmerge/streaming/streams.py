@@ -10,7 +10,10 @@ import time
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -30,6 +33,8 @@ def work_dir(spark: SparkSession) -> str:
 
 #: A state store that isn't held in the executors' heaps, and that single entries are read from.
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: With it a batch stores what it changed, not the files that it changed.
+STORE = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 
 
 def drained(stream: DataFrame) -> DataFrame:
@@ -38,10 +43,10 @@ def drained(stream: DataFrame) -> DataFrame:
     What the state still holds at the end follows, if the stream says how to read it (``_rest``). The session's own state store is what it was afterwards.
     """
     spark, place = stream.sparkSession, work_dir(stream.sparkSession)
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, ROCKS)
+    before = {key: spark.conf.get(key, None) for key in STORE}
     try:
+        for key, value in STORE.items():
+            spark.conf.set(key, value)
         running = stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start()
         running.awaitTermination()
         out = spark.read.schema(stream.schema).parquet(f"{place}/out")
@@ -49,7 +54,8 @@ def drained(stream: DataFrame) -> DataFrame:
         # Read while the store is the stream's.
         return materialize(out.unionByName(rest(lambda **options: spark.read.format("statestore").options(**options).load(f"{place}/state"))), "drained") if rest else out
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def source(spark: SparkSession, path: str, schema: str = EVENTS, files_per_batch: int | None = None) -> DataFrame:
@@ -123,36 +129,80 @@ PLACED = "path string, kind string, clock long, peer long, text string, clocks a
 BITS = 12
 
 
-class Bitmaps:
-    """Sets of ids as bit maps of 2**BITS clocks of a writer, an entry of a map state each. Entries are read once a batch and written where they changed."""
+class Cell:
+    """Rows of some keys of a shard as one entry of a map state, as JSON: a call to the store costs more than many rows. It is read once and written if a row changed."""
 
-    def __init__(self, state: object) -> None:
-        self.state, self.held, self.dirty = state, {}, set()
+    def __init__(self, state: object, number: int) -> None:
+        self.state, self.key, self.dirty = state, (number,), False
+        self.rows: dict[tuple, list] = dict(((*key,), row) for key, row in json.loads(state.getValue(self.key)[0])) if state.containsKey(self.key) else {}
 
-    def bits(self, peer: int, bucket: int) -> int:
+    def put(self, key: tuple, row: list | None) -> None:
+        if row != self.rows.get(key):
+            self.dirty = True
+            self.rows.pop(key, None) if row is None else self.rows.update({key: row})
+
+    def save(self) -> None:
+        if self.dirty and self.rows:
+            self.state.updateValue(self.key, (json.dumps(list(self.rows.items())),))
+        elif self.dirty:
+            self.state.removeKey(self.key)
+
+
+class Ids:
+    """What is known of a path's ids: bit maps of 2**BITS clocks of a writer each, in hexadecimal digits a row of a cell."""
+
+    #: Fields of a row: the ids that are placed, deleted, deleted before they came, and waited for; then the entries of ``Waiting`` for them.
+    PLACED, GONE, EARLY, AWAITED, MANY = range(5)
+
+    def __init__(self, cell: Cell, path: str | None) -> None:
+        self.cell, self.path, self.held = cell, path, {}
+
+    def entry(self, peer: int, bucket: int) -> list[int]:
         key = (peer, bucket)
         if key not in self.held:
-            self.held[key] = int.from_bytes(self.state.getValue(key)[0], "little") if self.state.containsKey(key) else 0
+            self.held[key] = [int(x, 16) for x in self.cell.rows.get((self.path, *key), "00000")]
         return self.held[key]
 
-    def put(self, peer: int, bucket: int, bits: int) -> None:
-        if bits != self.bits(peer, bucket):
-            self.held[peer, bucket] = bits
-            self.dirty.add((peer, bucket))
+    def put(self, peer: int, bucket: int, field: int, value: int) -> None:
+        self.entry(peer, bucket)[field] = value
 
     def __contains__(self, ident: tuple[int, int]) -> bool:
-        return bool(self.bits(ident[1], ident[0] >> BITS) >> (ident[0] & (1 << BITS) - 1) & 1)
+        return bool(self.entry(ident[1], ident[0] >> BITS)[self.PLACED] >> (ident[0] & (1 << BITS) - 1) & 1)
 
-    def set(self, clock: int, peer: int, there: bool = True) -> None:
-        bucket, bit = clock >> BITS, 1 << (clock & (1 << BITS) - 1)
-        self.put(peer, bucket, self.bits(peer, bucket) | bit if there else self.bits(peer, bucket) & ~bit)
+    def awaits(self, clock: int, peer: int) -> None:
+        self.entry(peer, clock >> BITS)[self.AWAITED] |= 1 << (clock & (1 << BITS) - 1)
+
+    def containsKey(self, key: tuple[int, int]) -> bool:  # noqa: N802  with the three below: a map state of counts
+        return self.entry(*key)[self.MANY] > 0
+
+    def getValue(self, key: tuple[int, int]) -> tuple[int]:  # noqa: N802
+        return (self.entry(*key)[self.MANY],)
+
+    def updateValue(self, key: tuple[int, int], value: tuple[int]) -> None:  # noqa: N802
+        self.put(*key, self.MANY, value[0])
+
+    def removeKey(self, key: tuple[int, int]) -> None:  # noqa: N802
+        self.put(*key, self.MANY, 0)
 
     def save(self) -> None:
-        for key in self.dirty:
-            if bits := self.held[key]:
-                self.state.updateValue(key, (bits.to_bytes(-(-bits.bit_length() // 8), "little"),))
-            else:
-                self.state.removeKey(key)
+        for key, fields in self.held.items():
+            self.cell.put((self.path, *key), [f"{x:x}" for x in fields] if any(fields) else None)
+
+
+class Under:
+    """The entries of a map state whose keys begin with a path."""
+
+    def __init__(self, state: object, path: str | None) -> None:
+        self.state, self.path = state, path
+
+    def getValue(self, key: tuple) -> tuple:  # noqa: N802
+        return self.state.getValue((self.path, *key))
+
+    def updateValue(self, key: tuple, value: tuple) -> None:  # noqa: N802
+        self.state.updateValue((self.path, *key), value)
+
+    def removeKey(self, key: tuple) -> None:  # noqa: N802
+        self.state.removeKey((self.path, *key))
 
 
 def spans(clock: int, n: int) -> Iterator[tuple[int, int]]:
@@ -164,6 +214,17 @@ def spans(clock: int, n: int) -> Iterator[tuple[int, int]]:
         clock, n = clock + m, n - m
 
 
+def bits_of(clocks: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The buckets that some clocks stand in, with the bits of each."""
+    clocks = np.sort(clocks)
+    bucket = clocks >> BITS
+    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(clocks) else ()
+    for i, j in zip(edges, edges[1:], strict=False):
+        there = np.zeros(1 << BITS, np.uint8)
+        there[clocks[i:j] & (1 << BITS) - 1] = 1
+        yield int(bucket[i]), int.from_bytes(np.packbits(there, bitorder="little").tobytes(), "little")
+
+
 def clocks_of(bucket: int, bits: int) -> Iterator[int]:
     while bits:
         yield (bucket << BITS) + (bits & -bits).bit_length() - 1
@@ -214,54 +275,94 @@ class Waiting:
                 self.many.removeKey(key)
 
 
+#: Groups that a stream's keys are dealt to, and the cells of all of them: a call of Python for each key would cost far more than its rows.
+SHARDS, CELLS = 512, 1 << 14
+PACKED = "path string, clock array<long>, peer array<long>, o_clock array<long>, o_peer array<long>, n array<long>, text string, d_peer array<long>, d_clock array<long>"
+
+
+def sharded(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows with the ``cell`` of their key, and the ``shard`` of that."""
+    return rows.withColumn("cell", F.pmod(F.hash(*keys), F.lit(CELLS)).cast("long")).withColumn("shard", F.col("cell") % SHARDS)
+
+
+def packed_ops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Inserts, and deletes of one character (`dead`), that lie by path as a row for each path of a batch: the inserts' ids and joined texts, and the deletes' targets. No origin is -1."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = pa.Table.from_batches([batch])
+        new = sequence._turns(batch.column("path"))
+        doc = np.cumsum(new) - 1
+        dead = batch.column("dead").to_numpy(zero_copy_only=False)
+        ins, gone = part.filter(pa.array(~dead)), part.filter(pa.array(dead))
+        at, to = (np.searchsorted(doc[x], np.arange(doc[-1] + 2)).astype(np.int32) for x in (~dead, dead))
+        lists = lambda edges, values: pa.ListArray.from_arrays(pa.array(edges), pa.array(values, pa.int64()))
+        texts = ins.column("text").combine_chunks().fill_null("")
+        joined = sequence._joined(texts, at[:-1]) if len(texts) else pa.array([""] * (len(at) - 1), pa.string())
+        numbers = [lists(at, sequence._numbers(ins, c)) for c in ("clock", "peer", "o_clock", "o_peer")]
+        cells = [batch.column("path").filter(pa.array(new)), *numbers, lists(at, pc.utf8_length(texts).to_numpy(zero_copy_only=False)), joined, *(lists(to, sequence._numbers(gone, c)) for c in ("peer", "clock"))]
+        yield pa.record_batch(cells, [x.split()[0] for x in PACKED.split(", ")])
+
+
 class Causal(StatefulProcessor):
-    """Of each path: the ids that are placed, deleted, deleted before they came, and waited for, as bit maps; and the runs that wait.
+    """Of the paths of a shard: the ids that are placed, deleted, deleted before they came, and waited for, as bit maps; and the runs that wait.
 
-    All are entries of their own, so a batch reads and writes what it is about.
+    All are entries of their own, so a batch reads and writes what it is about. What is held is what one frame of rows is about.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.states = [handle.getMapState(name, "peer long, bucket long", "bits binary") for name in ("placed", "gone", "early", "awaited")]
-        self.waits = handle.getMapState("waiting", "peer long, bucket long, nth long", "runs string"), handle.getMapState("many", "peer long, bucket long", "n long")
+        self.state = handle.getMapState("ids", "cell long", "rows string")
+        self.waits = handle.getMapState("waiting", "path string, peer long, bucket long, nth long", "runs string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  names of the interface
-        self.placed, self.gone, self.early, self.awaited = maps = [Bitmaps(s) for s in self.states]
-        self.waiting = Waiting(*self.waits)
-        self.out: list[tuple] = []
-        deletes = []
         for frame in rows:
-            for kind, clock, peer, o_clock, o_peer, text, clocks in zip(*(frame[c] for c in ("kind", "clock", "peer", "o_clock", "o_peer", "text", "clocks")), strict=True):
-                if kind == "del":
-                    deletes.append((int(peer), [int(clock)] if clocks is None else [int(c) for c in clocks]))
-                else:
-                    self.insert(key[0], int(clock), int(peer), None if pd.isna(o_clock) else (int(o_clock), int(o_peer)), text)
-        for peer, clocks in deletes:
-            done = []
-            for clock in clocks:
-                if (clock, peer) not in self.placed:
-                    self.early.set(clock, peer)
-                elif (clock, peer) not in self.gone:
-                    self.gone.set(clock, peer)
-                    done.append(clock)
-            if done:
-                self.out.append((key[0], "del", None, peer, None, done))
-        for m in (*maps, self.waiting):
-            m.save()
-        yield pd.DataFrame(self.out, columns=["path", "kind", "clock", "peer", "text", "clocks"]).astype({"clock": "Int64"})
-
-    def insert(self, path: str, clock: int, peer: int, origin: tuple[int, int] | None, text: str) -> None:
-        queue = [(clock, peer, origin, text)]
+            self.out: list[tuple] = []
+            held: dict[int, dict[str | None, list[tuple]]] = {}
+            for number, path, *ops in zip(frame.cell, *(frame[c.split()[0]] for c in PACKED.split(", ")), strict=True):
+                held.setdefault(number, {}).setdefault(path, []).append(ops)
+            for number, paths in held.items():
+                cell = Cell(self.state, number)
+                for path, parts in paths.items():
+                    self.document(cell, path, parts)
+                cell.save()
+            yield pd.DataFrame(self.out, columns=["path", "kind", "clock", "peer", "text", "clocks"]).astype({"clock": "Int64"})
+
+    def document(self, cell: Cell, path: str | None, parts: list[list]) -> None:
+        self.ids = ids = Ids(cell, path)
+        self.waiting = Waiting(Under(self.waits, path), ids)
+        for clocks, peers, o_clocks, o_peers, many, text, _, _ in parts:
+            at = 0
+            for clock, peer, o_clock, o_peer, n in zip(*(x.tolist() for x in (clocks, peers, o_clocks, o_peers, many)), strict=True):
+                self.insert(path, clock, peer, None if o_clock < 0 else (o_clock, o_peer), text[at : at + n])
+                at += n
+        for *_, peers, clocks in parts:
+            for peer in np.unique(peers).tolist():
+                done: list[int] = []
+                for bucket, bits in bits_of(clocks[peers == peer]):
+                    placed, gone, early, _, _ = ids.entry(peer, bucket)
+                    ids.put(peer, bucket, ids.EARLY, early | bits & ~placed)
+                    if new := bits & placed & ~gone:
+                        ids.put(peer, bucket, ids.GONE, gone | new)
+                        done += clocks_of(bucket, new)
+                if done:
+                    self.out.append((path, "del", None, peer, None, done))
+        self.waiting.save()
+        ids.save()  # last: it has the counts of those
+
+    def insert(self, path: str | None, clock: int, peer: int, origin: tuple[int, int] | None, text: str) -> None:
+        ids, queue = self.ids, [(clock, peer, origin, text)]
         while queue:
             clock, peer, origin, text = queue.pop()
-            if origin and origin not in self.placed:
+            if origin and origin not in ids:
                 self.waiting.add(origin, [clock, peer, text])
-                self.awaited.set(*origin)
+                ids.awaits(*origin)
                 continue
             for bucket, bits in spans(clock, len(text)):
-                new = bits & ~self.placed.bits(peer, bucket)
+                placed, gone, early, awaited, _ = ids.entry(peer, bucket)
+                new = bits & ~placed
                 if not new:
                     continue
-                self.placed.put(peer, bucket, self.placed.bits(peer, bucket) | new)
+                ids.put(peer, bucket, ids.PLACED, placed | new)
                 left = new
                 while left:  # characters side by side are one row
                     low = (left & -left).bit_length() - 1
@@ -269,12 +370,12 @@ class Causal(StatefulProcessor):
                     at = (bucket << BITS) + low
                     self.out.append((path, "ins", at, peer, text[at - clock : at - clock + m], None))
                     left &= ~(((1 << m) - 1) << low)
-                if early := new & self.early.bits(peer, bucket):  # their deletes came first
-                    self.early.put(peer, bucket, self.early.bits(peer, bucket) & ~early)
-                    self.gone.put(peer, bucket, self.gone.bits(peer, bucket) | early)
-                    self.out.append((path, "del", None, peer, None, list(clocks_of(bucket, early))))
-                if asked := new & self.awaited.bits(peer, bucket):
-                    self.awaited.put(peer, bucket, self.awaited.bits(peer, bucket) & ~asked)
+                if came := new & early:  # their deletes came first
+                    ids.put(peer, bucket, ids.EARLY, early & ~came)
+                    ids.put(peer, bucket, ids.GONE, gone | came)
+                    self.out.append((path, "del", None, peer, None, list(clocks_of(bucket, came))))
+                if asked := new & awaited:
+                    ids.put(peer, bucket, ids.AWAITED, awaited & ~asked)
                     queue += [(c, p, (at, peer), x) for at in clocks_of(bucket, asked) for c, p, x in self.waiting.take(at, peer)]
 
     def close(self) -> None:
@@ -286,9 +387,13 @@ def causal_runs(ops: DataFrame) -> DataFrame:
 
     Gives (path, kind, clock, peer, text, clocks): each character once, in any order of arrival. Runs wait for the origin of their first character, deletes (`clocks`
     of a writer) for their targets, and follow those. What waits has no time limit: an origin may come in any later batch.
-    Needs the RocksDB state store, which ``drained`` sets.
+    Ops are packed by path where they are read, before they are shuffled. Needs the RocksDB state store, which ``drained`` sets.
     """
-    return ops.select("path", "kind", "clock", "peer", "o_clock", "o_peer", "text", "clocks").groupBy("path").transformWithStateInPandas(Causal(), PLACED, "Append", "None")
+    # Many rows with a list each are slow to hand to Python, as the size of a batch is looked at for every row; so lists of deletes stay with Spark.
+    single = ops.filter("kind <> 'del' or clocks is null").select("path", "clock", "peer", "o_clock", "o_peer", "text", (F.col("kind") == "del").alias("dead"))
+    none = F.array().cast("array<bigint>")
+    lists = ops.filter("kind = 'del' and clocks is not null").select("path", *(none.alias(c) for c in ("clock", "peer", "o_clock", "o_peer", "n")), F.lit("").alias("text"), F.array_repeat(ops["peer"].cast("long"), F.size("clocks")).alias("d_peer"), F.col("clocks").cast("array<bigint>").alias("d_clock"))
+    return sharded(single.mapInArrow(packed_ops, PACKED).unionByName(lists), "path").groupBy("shard").transformWithStateInPandas(Causal(), PLACED, "Append", "None")
 
 
 def causal(ops: DataFrame) -> DataFrame:
@@ -306,16 +411,35 @@ def still_blocked(state: Callable[..., DataFrame]) -> DataFrame:
 
     Those that wait for what waits itself aren't blocked by anything missing of their own.
     """
-    runs = F.explode(F.from_json("user_map_value.runs", "array<array<string>>")).alias("x")
-    waiting = state(stateVarName="waiting").select(F.col("key.path").alias("path"), F.col("user_map_key.peer").alias("o_peer"), runs).select("path", "o_peer", *(F.col("x")[k].cast("long").alias(c) for k, c in enumerate(("o_clock", "clock", "peer"))), F.char_length(F.col("x")[3]).cast("long").alias("n")).distinct()
-    early = state(stateVarName="early").select(F.col("key.path").alias("path"), F.col("user_map_key.peer").alias("peer"), F.col("user_map_key.bucket").alias("bucket"), F.hex("user_map_value.bits").alias("bits"))
-    # Bytes of a bit map, lowest first, to the clocks of their bits.
-    nibble = F.posexplode(F.expr("transform(sequence(1, length(bits)), i -> conv(substr(bits, i, 1), 16, 10))"))
-    four = early.select("path", "peer", "bucket", nibble.alias("at", "value")).select("path", "peer", "bucket", "at", "value", F.explode(F.array(*map(F.lit, range(4)))).alias("bit")).filter("shiftright(cast(value as int), bit) % 2 = 1")
-    # Of each two digits the second one has the lower bits.
-    clock = F.expr(f"shiftleft(bucket, {BITS}) + (at div 2) * 8 + if(at % 2 = 0, 4, 0) + bit")
-    asked = waiting.select("path", F.col("o_clock").alias("clock"), F.col("o_peer").alias("peer")).unionByName(four.select("path", clock.cast("long").alias("clock"), "peer"))
-    return sequence.outside(asked, waiting.select("path", "clock", "peer", "n")).groupBy("path").agg(F.count("*").alias("n"))
+    waiting = state(stateVarName="waiting").select("user_map_key.path", "user_map_key.peer", "user_map_key.bucket", "user_map_value.runs", F.lit(None).cast("string").alias("early"))
+    early = state(stateVarName="ids").select("user_map_value.rows").mapInArrow(_early, "path string, peer long, bucket long, early string").withColumn("runs", F.lit(None).cast("string"))
+    return sequence.by_document(waiting.unionByName(early), _blocked, "path string, n long").filter("n > 0")
+
+
+def _early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bit maps of cells that say what was deleted before it came."""
+    for batch in batches:
+        for cell in batch.column(0):
+            rows = [(*key, fields[Ids.EARLY]) for key, fields in json.loads(cell.as_py()) if fields[Ids.EARLY] != "0"]
+            if rows:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["path", "peer", "bucket", "early"])
+
+
+def _blocked(part: pa.Table) -> pa.Table:
+    paths, doc = sequence._documents(part)
+    asked, there = [np.zeros((0, 3), np.int64)], [np.zeros((0, 6), np.int64)]  # (document, writer, clock), of runs also their own writer, clock and length
+    for at, peer, bucket, runs, early in zip(doc.tolist(), *(part.column(c).to_pylist() for c in ("peer", "bucket", "runs", "early")), strict=True):
+        if early is not None:
+            bits = int(early, 16)
+            clocks = (bucket << BITS) + np.flatnonzero(np.unpackbits(np.frombuffer(bits.to_bytes(-(-bits.bit_length() // 8), "little"), np.uint8), bitorder="little"))
+            asked.append(np.stack([np.full(len(clocks), at), np.full(len(clocks), peer), clocks], axis=1))
+            continue
+        there.append(np.array([(at, peer, o_clock, own, clock, len(text)) for o_clock, clock, own, text in json.loads(runs)], np.int64).reshape(-1, 6))
+    # A run that is in several entries counts once.
+    runs = np.unique(np.concatenate(there), axis=0)
+    want = np.concatenate([*asked, runs[:, :3]])
+    held = sequence.held(runs[:, [0, 3]], runs[:, 4], runs[:, 5], want[:, :2], want[:, 2])
+    return pa.table([paths, pa.array(np.bincount(want[~held, 0], minlength=len(paths)))], ["path", "n"])
 
 
 class Held(StatefulProcessor):

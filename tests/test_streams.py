@@ -3,6 +3,8 @@ import json
 import os
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,3 +205,27 @@ def test_blocked_runs_equal_blocked_characters(spark):
         want = {r.path: r["count"] for r in sequence.blocked(ops, ops.limit(0)).groupBy("path").count().collect()}
         got = sequence.blocked_runs(R.without(R.op_runs(docs), lost))
         assert {r.path: r["count"] for r in got.groupBy("path").count().collect()} == want
+
+
+def test_many_paths_cost_one_entry_of_a_cell():
+    causal = streams.Causal()
+    causal.state, causal.waits = Memory(), Memory()
+    column = lambda *x: np.array(x, np.int64)
+    row = lambda p: (p, column(1, 9), column(1, 2), column(-1, 7), column(-1, 1), column(3, 2), "abcxy", column(1, 1), column(2, 8))
+    frame = pd.DataFrame([(5, *row(f"p{k}")) for k in range(200)], columns=["cell", *(c.split()[0] for c in streams.PACKED.split(", "))])
+    out = pd.concat(causal.handleInputRows((5,), iter([frame]), None))
+    assert causal.state.writes == 1 and len(causal.state) == 1 and len(causal.waits) == 200
+    assert sorted(set(out.kind)) == ["del", "ins"] and set(out[out.kind == "ins"].text) == {"abc"} and len(out) == 400
+    # What they waited for comes: the run that waited is placed, and what came too early is deleted.
+    more = (column(4), column(1), column(3), column(1), column(5), "defgh", column(), column())
+    frame = pd.DataFrame([(5, f"p{k}", *more) for k in range(200)], columns=frame.columns)
+    out = pd.concat(causal.handleInputRows((5,), iter([frame]), None))
+    assert set(out[out.kind == "ins"].text) == {"defgh", "xy"} and [c for x in out.clocks.dropna() for c in x] == [8] * 200 and not causal.waits
+
+
+def test_numbers_held_by_runs_equal_all_pairs():
+    rng = np.random.default_rng(3)
+    of, start, n = rng.integers(0, 3, (60, 2)), rng.integers(0, 400, 60), rng.integers(0, 9, 60)
+    asked_of, asked = rng.integers(0, 3, (500, 2)), rng.integers(-5, 420, 500)
+    want = [bool(((of == g).all(axis=1) & (start <= x) & (x < start + n)).any()) for g, x in zip(asked_of, asked, strict=True)]
+    assert sequence.held(of, start, n, asked_of, asked).tolist() == want and 0 < sum(want) < 500
