@@ -47,9 +47,14 @@ def recent_writes(writes: DataFrame, most: int = 16) -> DataFrame:
 
 
 def rename_candidates(removes: DataFrame, creates: DataFrame, within: str) -> DataFrame:
-    """Pairs of a remove and a later create of the same hash within the window."""
-    a, b = removes.alias("a"), creates.alias("b")
-    near = (F.col("a.hash") == F.col("b.hash")) & (F.col("b.ts") >= F.col("a.ts")) & (F.col("b.ts") <= F.col("a.ts") + F.expr(f"interval {within}"))
+    """Pairs of a remove and a later create of the same hash within the window.
+
+    Times are dealt to spans of twice the window (a day may have 25 hours), so a create's remove is of its span or of the one before, and a hash isn't held against all its events.
+    """
+    wide = F.expr(f"greatest(2 * unix_micros(timestamp_micros(0) + interval {within}), 1)")
+    span = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / wide).cast("long")
+    a, b = removes.withColumn("span", F.explode(F.array(span, span + 1))).alias("a"), creates.withColumn("span", span).alias("b")
+    near = (F.col("a.hash") == F.col("b.hash")) & (F.col("a.span") == F.col("b.span")) & (F.col("b.ts") >= F.col("a.ts")) & (F.col("b.ts") <= F.col("a.ts") + F.expr(f"interval {within}"))
     return a.join(b, near).select("a.hash", F.col("a.event_id").alias("removed"), F.col("b.event_id").alias("created"))
 
 

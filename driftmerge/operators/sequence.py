@@ -279,7 +279,10 @@ def held(of: np.ndarray, start: np.ndarray, n: np.ndarray, asked_of: np.ndarray,
     """For each asked number whether one of the runs of `n` from `start` on, of the same group (a row of longs), holds it. Runs may overlap."""
     if not len(start) or not len(asked):
         return np.zeros(len(asked), bool)
-    group = np.unique(np.concatenate([of, asked_of]), axis=0, return_inverse=True)[1].reshape(-1)
+    both = np.concatenate([of, asked_of])
+    by = np.lexsort(both.T)
+    group = np.zeros(len(both), np.int64)
+    group[by[1:]] = np.cumsum((both[by[1:]] != both[by[:-1]]).any(axis=1))
     points, rank = np.unique(np.concatenate([start, start + n, asked]), return_inverse=True)
     k, wide = len(start), len(points) + 1
     first, end, want = group[:k] * wide + rank[:k], group[:k] * wide + rank[k : 2 * k], group[k:] * wide + rank[2 * k :]

@@ -144,3 +144,15 @@ def test_the_watermark_ends_a_hold_within_the_stream(spark, tmp_path):
     spark.createDataFrame([("gone", 0, "removed"), ("x", 20 * second, "touched"), ("held", 20 * second, "removed")], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = streams.delayed_deletes(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), 2 * second, "0 seconds")
     assert sorted((r.path, r.kind) for r in streams.drained(stream.select("*")).collect()) == [("gone", "removed"), ("x", "touched")]
+
+
+def test_rename_candidates_are_joined_by_hash_and_span_of_time(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.randrange(2), rng.randrange(-40_000, 40_000)) for k in range(300)]
+    table = spark.createDataFrame(rows, "event_id long, hash long, s long").selectExpr("event_id", "hash", "timestamp_seconds(s) as ts")
+    got = events.rename_candidates(table.filter("event_id < 150"), table.filter("event_id >= 150"), "1 hour")
+    want = sorted((h, a, b) for a, h, s in rows[:150] for b, g, t in rows[150:] if h == g and s <= t <= s + 3600)
+    assert sorted(tuple(r) for r in got.collect()) == want and want
+    # One hash alone would hold each remove against each create.
+    join = next(x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+    assert "span" in join
