@@ -480,11 +480,11 @@ WEAK = f"((CAST(list_sum(list_transform(range(0, m), lambda i: (m - i) * ({NIBBL
   j AS (SELECT c.path, c.i, c.b FROM c JOIN (SELECT path, hex(encode(text)) AS h FROM ({B})) t ON c.path = t.path WHERE substr(h, 2 * i + 1, {2 * SIZE}) = bh)
   SELECT d.path, count(i) AS matched, min(i) AS first_offset, count(DISTINCT b) AS blocks FROM ({B}) d LEFT JOIN j ON d.path = j.path GROUP BY d.path""")
 def block_matches(spark: SparkSession, d: str) -> DataFrame:
-    return blocks.match_counts(contents(R.replica_b(spark, d)), blocks.signatures(contents(R.replica_a(spark, d)), SIZE), SIZE)
+    return blocks.match_counts(contents(R.replica_b(spark, d)), blocks.signed_contents(contents(R.replica_a(spark, d)), SIZE), SIZE)
 
 
 def _deltas(spark: SparkSession, d: str) -> DataFrame:
-    return blocks.deltas(contents(R.replica_b(spark, d)), blocks.signatures(contents(R.replica_a(spark, d)), SIZE), SIZE)
+    return blocks.deltas(contents(R.replica_b(spark, d)), blocks.signed_contents(contents(R.replica_a(spark, d)), SIZE), SIZE)
 
 
 @query()
@@ -521,11 +521,13 @@ def transfers_received(spark: SparkSession, d: str) -> DataFrame:
 
 def sent_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Transfers of C from two peers: of one, some announce a chunk that never comes or another content; the other sends some whole."""
-    new = R.replica_c(spark, d).select("path", "doc_id", F.col("text").cast("binary").alias("content"))
-    parts = blocks.chunks(blocks.deltas(new, blocks.signatures(contents(R.replica_a(spark, d)), SIZE), SIZE), 1024)
-    sent = parts.join(new.select("path", "doc_id", F.sha2("content", 256).alias("hash")), "path")
-    first = sent.withColumn("peer", F.lit(7).cast("long")).withColumn("total", F.col("total") + F.when(F.expr("doc_id % 5 = 1"), 1).otherwise(0)).withColumn("hash", F.when(F.expr("doc_id % 5 = 2"), F.sha2("hash", 256)).otherwise(F.col("hash")))
-    return first.unionByName(sent.filter("doc_id % 10 = 1").withColumn("peer", F.lit(8).cast("long")))
+    content = F.col("text").cast("binary")
+    new = R.replica_c(spark, d).filter("path is not null").select("path", "doc_id", F.sha2(content, 256).alias("hash"), content.alias("content"))
+    parts = blocks.chunked_deltas(new, blocks.signed_contents(contents(R.replica_a(spark, d)), SIZE), SIZE, 1024)
+    seven = F.struct(F.lit(7).cast("long").alias("peer"), (F.col("total") + F.when(F.expr("doc_id % 5 = 1"), 1).otherwise(0)).alias("total"), F.when(F.expr("doc_id % 5 = 2"), F.sha2("hash", 256)).otherwise(F.col("hash")).alias("hash"))
+    eight = F.struct(F.lit(8).cast("long").alias("peer"), F.col("total"), F.col("hash"))
+    each = F.explode(F.when(F.expr("doc_id % 10 = 1"), F.array(seven, eight)).otherwise(F.array(seven)))
+    return parts.select("path", "seq", "ops", each.alias("x")).select("path", "seq", "ops", "x.*")
 
 
 @query(f"SELECT path, sha256(text) AS hash FROM ({A})")

@@ -247,3 +247,27 @@ def test_compression_reads_arrow_values_in_place():
     small = scalars.maybe_compress.func(data)
     assert isinstance(small, pa.Array) and [x is not None for x in small.to_pylist()] == [False, False, True, False]
     assert scalars.decompress.func(small).to_pylist() == [None, None, b"abc" * 200, None]
+
+
+def test_transfers_are_put_together_in_one_pass(spark):
+    rng = random.Random(8)
+    old = {f"p{k}": rng.randbytes(rng.randint(0, 900)) for k in range(12)}
+    new = {p: b[:200] + rng.randbytes(rng.randint(0, 40)) + b[200:] + b"z" * 600 for p, b in old.items()} | {"other": b"q" * 700, "empty": b""}
+    frame = lambda x: spark.createDataFrame([(p, bytearray(b)) for p, b in x.items()], "path string, content binary")
+    a, b = frame(old), frame(new).withColumn("hash", F.sha2("content", 256)).select("path", "hash", "content")
+    parts = blocks.chunked_deltas(b, blocks.signed_contents(a, 64), 64, 128)
+    slow = blocks.chunks(blocks.deltas(b, blocks.signatures(a, 64), 64), 128)
+    chunks = lambda x: sorted((r.path, r.seq, r.total, r.ops) for r in x.collect())
+    assert chunks(parts) == chunks(slow)
+    # The first chunk comes twice, and one path's last chunk is lost.
+    sent = parts.unionByName(parts.filter("seq = 0")).filter("path <> 'p3' or seq < total - 1").withColumn("peer", F.lit(7).cast("long"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # transfers go on over several batches
+        made = blocks.assembled(sent, a, 64, blocks.TRANSFER)
+        got = {r.path: (r.complete, r.content) for r in made.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {p: (p != "p3", None if p == "p3" else x) for p, x in new.items()}
+    plan = blocks.received(sent, a, 64)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Join") <= 2  # new contents beside signatures, in either part
