@@ -495,10 +495,11 @@ def delta_stats(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT path, TRUE AS complete, sha256(text) AS hash FROM ({B})")
 def reassemble_check(spark: SparkSession, d: str) -> DataFrame:
     """Deltas, cut to chunks, put together again and applied: every path comes out as replica B has it."""
-    parts = blocks.chunks(_deltas(spark, d), 1024)
+    a = contents(R.replica_a(spark, d))
+    parts = blocks.chunked_deltas(contents(R.replica_b(spark, d)), blocks.signed_contents(a, SIZE), SIZE, 1024)
     # Every transfer's first chunk arrives twice.
     sent = parts.withColumn("copy", F.explode(F.when(F.col("seq") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("copy")
-    rebuilt = blocks.rebuild(blocks.inflated(blocks.reassemble(sent)), contents(R.replica_a(spark, d)), SIZE)
+    rebuilt = blocks.assembled(sent, a, SIZE)
     return rebuilt.select("path", "complete", F.sha2("content", 256).alias("hash"))
 
 
