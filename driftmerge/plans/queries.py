@@ -506,8 +506,8 @@ def reassemble_check(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT path, TRUE AS complete, sha256(text) AS hash FROM ({C})")
 def reassemble_inner(spark: SparkSession, d: str) -> DataFrame:
     """The same for replica C, whose texts differ from A's inside."""
-    parts = blocks.chunks(blocks.deltas(contents(R.replica_c(spark, d)), blocks.signatures(contents(R.replica_a(spark, d)), SIZE), SIZE), 1024)
-    rebuilt = blocks.rebuild(blocks.inflated(blocks.reassemble(parts)), contents(R.replica_a(spark, d)), SIZE)
+    a = contents(R.replica_a(spark, d))
+    rebuilt = blocks.assembled(blocks.chunked_deltas(contents(R.replica_c(spark, d)), blocks.signed_contents(a, SIZE), SIZE, 1024), a, SIZE)
     return rebuilt.select("path", "complete", F.sha2("content", 256).alias("hash"))
 
 
