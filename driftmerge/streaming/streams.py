@@ -5,7 +5,9 @@ Sinks and state lie below the folder in spark.checkpoint.dir, which the cluster
 
 from __future__ import annotations
 
+import hashlib
 import json
+import struct
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -280,9 +282,9 @@ SHARDS, CELLS = 512, 1 << 14
 PACKED = "path string, clock array<long>, peer array<long>, o_clock array<long>, o_peer array<long>, n array<long>, text string, d_peer array<long>, d_clock array<long>"
 
 
-def sharded(rows: DataFrame, *keys: str) -> DataFrame:
+def sharded(rows: DataFrame, *keys: str, cells: int = CELLS) -> DataFrame:
     """Rows with the ``cell`` of their key, and the ``shard`` of that."""
-    return rows.withColumn("cell", F.pmod(F.hash(*keys), F.lit(CELLS)).cast("long")).withColumn("shard", F.col("cell") % SHARDS)
+    return rows.withColumn("cell", F.pmod(F.hash(*keys), F.lit(cells)).cast("long")).withColumn("shard", F.col("cell") % SHARDS)
 
 
 def packed_ops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -502,67 +504,170 @@ def delayed_deletes(events: DataFrame, hold_us: int, late: str = "1 day") -> Dat
     return out
 
 
-TRANSFER = "peer long, path string, hash string, outcome string, parts array<string>"
+TRANSFER = "peer long, path string, hash string, outcome string, packed binary"
+#: A transfer that is done: its key's digest, and when it is forgotten, in milliseconds; 0 is never.
+DONE = np.dtype([("id", "V16"), ("due", "<i8")])
 
 
 class Receiver(StatefulProcessor):
-    """Of each transfer: its chunks by number, until all are there or the time is up. A chunk that comes again counts once."""
+    """Of the transfers of a shard, by cell: those that are open, as JSON, and digests of those that are done. A chunk that comes again counts once.
+
+    A transfer that is whole within a frame of rows is never stored; of others, what a frame adds is one entry, and the entries are read when the last chunk comes.
+    """
 
     def __init__(self, patience_us: int | None) -> None:
         self.patience_us = patience_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.chunks = handle.getMapState("chunks", "seq long", "part string")
-        self.status = handle.getValueState("status", "total long, there long, done boolean")
+        self.open = handle.getMapState("open", "cell long", "rows string")
+        self.done = handle.getMapState("done", "cell long", "ids binary")
+        self.parts = handle.getMapState("parts", "id string, nth long", "chunks binary")
+        self.next = handle.getValueState("next", "due long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        known = self.status.get() if self.status.exists() else None
-        total, there, done = (int(known[0]), int(known[1]), bool(known[2])) if known else (0, 0, False)
-        first = None
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  names of the interface
+        soonest = None
         for frame in rows:
-            for seq, many, us, part in zip(frame.seq, frame.total, frame.us, frame.part, strict=True):
-                total, first = max(total, int(many)), int(us) if first is None else min(first, int(us))
-                if not done and not self.chunks.containsKey((int(seq),)):
-                    self.chunks.updateValue((int(seq),), (part,))
-                    there += 1
-        out = []
-        if not done and there >= total:
-            out.append((*key, "whole", [self.chunks.getValue((k,))[0] for k in range(total)]))
-            self.chunks.clear()
-            done = True
-        elif known is None and self.patience_us is not None:
-            self.handle.registerTimer(max(-(-(first + self.patience_us) // 1000), timerValues.getCurrentWatermarkInMs() + 1))
-        self.status.update((total, there, done))
-        yield pd.DataFrame(out, columns=["peer", "path", "hash", "outcome", "parts"])
+            held: dict[int, dict[str, list[tuple]]] = {}
+            for cell, name, *chunk in zip(*(frame[c].tolist() for c in ("cell", "name", "seq", "total", "us", "part")), strict=True):
+                held.setdefault(cell, {}).setdefault(name, []).append(chunk)
+            out: list[tuple] = []
+            for cell, transfers in held.items():
+                due = self.chunks(cell, transfers, timerValues, out)
+                soonest = min((x for x in (soonest, due) if x is not None), default=None)
+            yield _transfers(out)
+        if soonest is not None and (not self.next.exists() or soonest < int(self.next.get()[0])):
+            self.handle.registerTimer(soonest)
+            self.next.update((soonest,))
+
+    def chunks(self, cell: int, transfers: dict[str, list[tuple]], timerValues: object, out: list[tuple]) -> int | None:  # noqa: N803
+        """Takes the chunks of a cell's transfers; gives when the first of those that it opened is due."""
+        before = self.open.getValue((cell,))[0] if self.open.containsKey((cell,)) else "{}"
+        rows: dict[str, list] = json.loads(before)
+        ids = bytes(self.done.getValue((cell,))[0]) if self.done.containsKey((cell,)) else b""
+        known, new, opened = set(np.frombuffer(ids, DONE)["id"].tolist()), [], []
+        for name, chunks in transfers.items():
+            ident = digest(name)
+            if ident in known:
+                continue
+            total, bits, many, due = rows.get(name, (0, "0", 0, None))
+            there, came = int(bits, 16), {}
+            for seq, _, _, part in chunks:
+                if not there >> seq & 1:
+                    came.setdefault(seq, part)
+            total = max(total, *(n for _, n, _, _ in chunks))
+            if there.bit_count() + len(came) >= total:
+                for nth in range(many):
+                    came |= unpaired(self.parts.getValue((ident.hex(), nth))[0])
+                    self.parts.removeKey((ident.hex(), nth))
+                out.append((name, "whole", b"".join(came[seq] for seq in sorted(came))))
+                rows.pop(name, None)
+                new.append((ident, due or 0))
+                known.add(ident)
+                continue
+            if due is None:
+                due = 0
+                if self.patience_us is not None:
+                    first = min(us for _, _, us, _ in chunks)
+                    due = max(-(-(first + self.patience_us) // 1000), timerValues.getCurrentWatermarkInMs() + 1)
+                    opened.append(due)
+            if came:
+                self.parts.updateValue((ident.hex(), many), (paired(came),))
+                many += 1
+            rows[name] = [total, f"{there | sum(1 << seq for seq in came):x}", many, due]
+        put(self.open, cell, before, json.dumps(rows) if rows else "{}", "{}")
+        if new:
+            self.done.updateValue((cell,), (ids + np.array(new, DONE).tobytes(),))
+        return min(opened, default=None)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        out = []
-        if self.status.exists():
-            if not self.status.get()[2]:
-                out.append((*key, "missing chunks", None))
-                self.chunks.clear()
-            self.status.clear()
-        yield pd.DataFrame(out, columns=["peer", "path", "hash", "outcome", "parts"])
+        now, out, left = timerValues.getCurrentWatermarkInMs(), [], []
+        for (cell,), (before,) in list(self.open.iterator()):
+            rows = json.loads(before)
+            for name in [name for name, (*_, due) in rows.items() if 0 < due <= now]:
+                *_, many, _ = rows.pop(name)
+                out.append((name, "missing chunks", None))
+                for nth in range(many):
+                    self.parts.removeKey((digest(name).hex(), nth))
+            put(self.open, cell, before, json.dumps(rows) if rows else "{}", "{}")
+            left += [due for *_, due in rows.values() if due]
+        for (cell,), (ids,) in list(self.done.iterator()):
+            held = np.frombuffer(bytes(ids), DONE)
+            kept = held[(held["due"] == 0) | (held["due"] > now)]
+            put(self.done, cell, bytes(ids), kept.tobytes(), b"")
+            left += kept["due"][kept["due"] > 0].tolist()
+        if left:
+            self.handle.registerTimer(max(min(left), now + 1))
+            self.next.update((max(min(left), now + 1),))
+        else:
+            self.next.clear()
+        yield _transfers(out)
 
     def close(self) -> None:
         pass
 
 
+def put(state: object, cell: int, before: object, after: object, none: object) -> None:
+    """Writes a cell's entry if it changed; one that is empty goes."""
+    if after == before:
+        return
+    state.updateValue((cell,), (after,)) if after != none else state.removeKey((cell,))
+
+
+def digest(name: str) -> bytes:
+    """128 bits that stand for a transfer."""
+    return hashlib.blake2b(name.encode(), digest_size=16).digest()
+
+
+def paired(chunks: dict[int, bytes]) -> bytes:
+    return b"".join(x for seq, part in chunks.items() for x in (struct.pack("<qI", seq, len(part)), part))
+
+
+def unpaired(data: bytes) -> dict[int, bytes]:
+    out, at, data = {}, 0, bytes(data)
+    while at < len(data):
+        seq, n = struct.unpack_from("<qI", data, at)
+        out[seq] = data[at + 12 : at + 12 + n]
+        at += 12 + n
+    return out
+
+
+def _transfers(rows: list[tuple]) -> pd.DataFrame:
+    out = [(*map(json.loads(name).get, ("peer", "path", "hash")), outcome, packed) for name, outcome, packed in rows]
+    return pd.DataFrame(out, columns=[x.split()[0] for x in TRANSFER.split(", ")], dtype=object).astype({"peer": "Int64"})
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.record_batch([*batch.columns[:-1], pa.array(blocks.packed(batch.column("ops")), pa.binary())], ["name", "seq", "total", "us", "part"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.record_batch([*batch.columns[:-1], blocks.unpacked(batch.column("packed"))], ["peer", "path", "hash", "outcome", "ops"])
+
+
+def _still_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [json.loads(name) for rows in batch.column(0).to_pylist() for name in json.loads(rows)]
+        yield pa.record_batch([pa.array([key.get(c) for key in keys], t) for c, t in (("peer", pa.int64()), ("path", pa.string()), ("hash", pa.string()))], ["peer", "path", "hash"])
+
+
 def transfers(chunks: DataFrame, patience_us: int = 60_000_000, late: str = "1 minute") -> DataFrame:
     """Transfers of a stream of chunks (peer, path, hash, seq, total, ops[, us]): (peer, path, hash, outcome, ops), each sender's on its own.
 
     "whole" with all ops in order once the last chunk came; "missing chunks" where chunks have a time and the watermark, `late` behind the latest, is
     beyond the patience of the first one that came, or, when ``drained``, where one hasn't come at the end. Without a time a transfer may take for ever.
+    Transfers are dealt to shards and to cells of their state, as a call of Python and an entry for each would cost more than its chunks.
     """
     timed = "us" in chunks.columns
-    rows = chunks.select("peer", "path", "hash", "seq", "total", (F.col("us") if timed else F.lit(0).cast("long")).alias("us"), F.to_json("ops").alias("part"))
-    rows = _timed(rows, late, *rows.columns) if timed else rows
-    out = rows.groupBy("peer", "path", "hash").transformWithStateInPandas(Receiver(patience_us if timed else None), TRANSFER, "Append", "EventTime" if timed else "None")
-    whole = F.flatten(F.transform("parts", lambda p: F.from_json(p, blocks.OPS)))
-    done = out.select("peer", "path", "hash", "outcome", whole.alias("ops"))
+    rows = chunks.select(F.to_json(F.struct("peer", "path", "hash")).alias("name"), F.col("seq").cast("long"), F.col("total").cast("long"), (F.col("us") if timed else F.lit(0)).cast("long").alias("us"), "ops")
+    rows = rows.mapInArrow(_packed, "name string, seq long, total long, us long, part binary")
+    rows = sharded(_timed(rows, late, *rows.columns) if timed else rows, "name", cells=2 * SHARDS)
+    out = rows.groupBy("shard").transformWithStateInPandas(Receiver(patience_us if timed else None), TRANSFER, "Append", "EventTime" if timed else "None")
+    done = out.mapInArrow(_unpacked, f"peer long, path string, hash string, outcome string, ops {blocks.OPS}")
     none = F.lit(None).cast(done.schema["ops"].dataType)
-    done._rest = lambda state: state(stateVarName="status").filter("not value.done").select("key.peer", "key.path", "key.hash", F.lit("missing chunks").alias("outcome"), none.alias("ops"))
+    done._rest = lambda state: state(stateVarName="open").select("user_map_value.rows").mapInArrow(_still_open, "peer long, path string, hash string").select("*", F.lit("missing chunks").alias("outcome"), none.alias("ops"))
     return done
 
 

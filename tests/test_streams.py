@@ -229,3 +229,41 @@ def test_numbers_held_by_runs_equal_all_pairs():
     asked_of, asked = rng.integers(0, 3, (500, 2)), rng.integers(-5, 420, 500)
     want = [bool(((of == g).all(axis=1) & (start <= x) & (x < start + n)).any()) for g, x in zip(asked_of, asked, strict=True)]
     assert sequence.held(of, start, n, asked_of, asked).tolist() == want and 0 < sum(want) < 500
+
+
+class Store(dict):
+    """A map state that counts its calls."""
+
+    calls = 0
+
+    def containsKey(self, key):  # noqa: N802
+        self.calls += 1
+        return key in self
+
+    def getValue(self, key):  # noqa: N802
+        self.calls += 1
+        return self[key]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        self.calls += 1
+        del self[key]
+
+
+def test_transfers_of_a_cell_share_its_entries():
+    got = streams.Receiver(None)
+    got.open, got.done, got.parts = Store(), Store(), Store()
+    name = lambda k: json.dumps({"peer": 7, "path": f"p{k}", "hash": "h"})
+    out = []
+    got.chunks(5, {name(k): [(1, 2, 0, b"b"), (0, 2, 0, b"a"), (0, 2, 0, b"a")] for k in range(1000)}, None, out)
+    assert [(w, x) for _, w, x in out] == [("whole", b"ab")] * 1000
+    assert not got.open and not got.parts and len(got.done) == 1 and got.open.calls + got.done.calls + got.parts.calls < 10
+    out.clear()
+    got.chunks(5, {name(k): [(1, 3, 0, b"b"), (1, 3, 0, b"b")] for k in range(999, 1002)}, None, out)  # one of them is done
+    got.chunks(5, {name(1000): [(2, 3, 0, b"c"), (1, 3, 0, b"x")]}, None, out)
+    assert not out and len(got.parts) == 3
+    got.chunks(5, {name(1000): [(0, 3, 0, b"a")]}, None, out)
+    assert out == [(name(1000), "whole", b"abc")] and list(json.loads(got.open[5,][0])) == [name(1001)] and len(got.parts) == 1
