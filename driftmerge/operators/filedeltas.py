@@ -25,6 +25,8 @@ from driftmerge.sources.shared import materialize
 
 #: Bytes of a range, and of a range that are looked at, or of a file that are copied, at a time.
 SPAN, READ = 64 << 20, 4 << 20
+#: Steps after which a batch of them is given out.
+STEPS = 1 << 18
 FILE_OP = "path string, n long, op struct<kind:string,block_no:long,bytes:binary>"
 _OP = pa.struct([("kind", pa.string()), ("block_no", pa.int64()), ("bytes", pa.binary())])
 
@@ -48,10 +50,10 @@ def ranges(files: DataFrame, size: int, span: int = SPAN) -> DataFrame:
     return files.select("path", "uri").mapInArrow(run, "path string, uri string, k long, start long, end long, last boolean")
 
 
-def range_matches(data: bytes, weaks: np.ndarray, known: set[tuple[int, bytes]], size: int) -> np.ndarray:
+def range_matches(data: bytes, weaks: np.ndarray, known: Known | set[tuple[int, bytes]], size: int) -> np.ndarray:
     """The offsets at which a window equals a block. A window that equals the one before, in a run of one byte, isn't hashed again."""
     keys = blocks.rolling(data, size)
-    maybe = np.flatnonzero(np.isin(keys, weaks))
+    maybe = blocks.candidates(keys, weaks)
     if not len(maybe):
         return maybe
     x = np.frombuffer(data, np.uint8)
@@ -65,6 +67,18 @@ def range_matches(data: bytes, weaks: np.ndarray, known: set[tuple[int, bytes]],
     return np.flatnonzero(hit[:-1])
 
 
+class Known:
+    """The signatures of blocks, as a set that is made when it is asked."""
+
+    def __init__(self, weaks: np.ndarray, strongs: np.ndarray) -> None:
+        self.weaks, self.strongs, self.made = weaks, strongs, None
+
+    def __contains__(self, signature: tuple[int, bytes]) -> bool:
+        if self.made is None:
+            self.made = set(zip(self.weaks.tolist(), self.strongs.tolist(), strict=True))
+        return signature in self.made
+
+
 def exits(found: np.ndarray, start: int, end: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Steps (upto, leaves): a scan that enters [start, end) at `upto` or before, but after the step before, leaves it at `leaves`.
 
@@ -81,9 +95,8 @@ def exits(found: np.ndarray, start: int, end: int, size: int) -> tuple[np.ndarra
 
 
 def _signed(rows: DataFrame, old_signatures: DataFrame) -> DataFrame:
-    """Rows beside their file's signatures, which are some 20 bytes for each block of it."""
-    sigs = old_signatures.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("block_no", "weak", "strong"))).alias("sigs"))
-    return rows.join(sigs, "path", "left")
+    """Rows beside their file's signatures, which are 12 bytes for each block of it."""
+    return rows.join(blocks.signed_rows(old_signatures), "path", "left")
 
 
 def ranged_deltas(files: DataFrame, old_signatures: DataFrame, size: int, span: int = SPAN) -> DataFrame:
@@ -95,18 +108,23 @@ def ranged_deltas(files: DataFrame, old_signatures: DataFrame, size: int, span:
 
     def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                held = r["sigs"] or []
-                weaks, known = np.array([s["weak"] for s in held], np.int64), {(s["weak"], s["strong"]) for s in held}
-                store, place = store_of(r["uri"])
+            steps, first, many = [], 0, 0
+            for i, (uri, start, end) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("uri", "start", "end")), strict=True)):
+                weaks, strongs = blocks.held_signatures(batch.column("sigs")[i])
+                known = Known(weaks, strongs)
+                store, place = store_of(uri)
                 found = []
                 with store.open_input_file(place) as f:
-                    for at in range(r["start"], r["end"], READ):
-                        stop = min(at + READ, r["end"])
+                    for at in range(start, end, READ):
+                        stop = min(at + READ, end)
                         f.seek(at)
                         found.append(at + range_matches(f.read(stop - at + size - 1), weaks, known, size))
-                upto, out = exits(np.concatenate(found) if found else np.zeros(0, np.int64), r["start"], r["end"], size)
-                yield pa.record_batch([pa.array([r["path"]]), pa.array([r["k"]]), pa.array([r["start"]]), pa.array([upto]), pa.array([out])], ["path", "k", "start", "upto", "leaves"])
+                steps.append(exits(np.concatenate(found) if found else np.zeros(0, np.int64), start, end, size))
+                many += len(steps[-1][0])
+                if many >= STEPS or i + 1 == batch.num_rows:
+                    own = batch.slice(first, len(steps))
+                    yield pa.record_batch([*(own.column(c) for c in ("path", "k", "start")), *(pa.array(x, pa.list_(pa.int64())) for x in zip(*steps, strict=True))], ["path", "k", "start", "upto", "leaves"])
+                    steps, first, many = [], i + 1, 0
 
     steps = spans.mapInArrow(leave, "path string, k long, start long, upto array<long>, leaves array<long>")
 
@@ -124,15 +142,22 @@ def ranged_deltas(files: DataFrame, old_signatures: DataFrame, size: int, span:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                held, out, n = r["sigs"] or [], [], r["k"] << 32
-                for op in range_ops(r, np.array([s["weak"] for s in held], np.int64), [s["strong"] for s in held], size):
-                    out.append(dict(zip(("kind", "block_no", "bytes"), op, strict=True)))
-                    if op[0] == "lit" or len(out) >= 4096:
-                        yield pa.record_batch([pa.array([r["path"]] * len(out)), pa.array(np.arange(n, n + len(out))), pa.array(out, _OP)], ["path", "n", "op"])
-                        n, out = n + len(out), []
-                if out:
-                    yield pa.record_batch([pa.array([r["path"]] * len(out)), pa.array(np.arange(n, n + len(out))), pa.array(out, _OP)], ["path", "n", "op"])
+            names, numbers, ops, held = [], [], [], 0
+
+            def rows() -> pa.RecordBatch:
+                return pa.record_batch([pa.array(names, pa.string()), pa.array(numbers, pa.int64()), blocks.ops_array([ops]).values], ["path", "n", "op"])  # noqa: B023  called at once
+
+            for i, r in enumerate(batch.drop_columns("sigs").to_pylist()):
+                for n, op in enumerate(range_ops(r, *blocks.held_signatures(batch.column("sigs")[i]), size), r["k"] << 32):
+                    names.append(r["path"])
+                    numbers.append(n)
+                    ops.append(op)
+                    held += len(op[2] or b"")
+                    if held >= blocks.GIVEN or len(ops) >= 1 << 14:
+                        yield rows()
+                        names, numbers, ops, held = [], [], [], 0
+            if ops:
+                yield rows()
 
     return spans.join(entered, ["path", "k"]).select("path", "uri", "k", "entered", "end", "last", "sigs").mapInArrow(write, FILE_OP)
 
@@ -169,12 +194,15 @@ APPLIED = "path string, len long, hash string, outcome string"
 class Rebuilt:
     """One file that is being written: copies from the old one and literals, hashed as they come, under a name of its own."""
 
-    def __init__(self, root: str, path: str, uri: str | None, announced: str | None, size: int) -> None:
+    def __init__(self, root: str, path: str, uri: str | None, announced: str | None, size: int, made: set[str] | None = None) -> None:
         self.store, base = store_of(root)
         self.path, self.target, self.announced, self.size = path, f"{base}/{path}", announced, size
         self.part, self.digest, self.length, self.old = f"{self.target}.dmtmp{uuid.uuid4().hex}", hashlib.sha256(), 0, None
         self.run: tuple[int, int] | None = None  # blocks that stand side by side are read at once
-        self.store.create_dir(self.target.rpartition("/")[0], recursive=True)
+        made = set() if made is None else made  # folders that are there
+        if (folder := self.target.rpartition("/")[0]) not in made:
+            self.store.create_dir(folder, recursive=True)
+            made.add(folder)
         if uri:
             other, place = store_of(uri)
             if other.get_file_info(place).type == pafs.FileType.File:
@@ -234,19 +262,21 @@ def apply_deltas(ops: DataFrame, announced: DataFrame, root: str, size: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Rebuilt | None = None
+        made: set[str] = set()  # folders
 
         def done(rows: list[tuple]) -> pa.RecordBatch:
             return pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], [x.split()[0] for x in APPLIED.split(", ")])
 
         for batch in batches:
             out = []
-            for path, n, op, uri, hash_ in zip(*(batch.column(k) for k in range(5)), strict=True):
-                if n.as_py() < 0:
+            ops = batch.column(2)
+            for i, (path, n, uri, hash_, kind, block) in enumerate(zip(*(x.to_pylist() for x in (batch.column(0), batch.column(1), batch.column(3), batch.column(4), ops.field("kind"), ops.field("block_no"))), strict=True)):
+                if n < 0:
                     if held:
                         out.append(held.close())
-                    held = Rebuilt(root, path.as_py(), uri.as_py(), hash_.as_py(), size)
+                    held = Rebuilt(root, path, uri, hash_, size, made)
                 else:
-                    held.add(op["kind"].as_py(), op["block_no"].as_py(), op["bytes"].as_py())
+                    held.add(kind, block, None if kind == "copy" else ops.field("bytes")[i].as_py())
             if out:
                 yield done(out)
         if held:

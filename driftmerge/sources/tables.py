@@ -93,10 +93,13 @@ def write_files(files: DataFrame, root: str) -> DataFrame:
 
     def run(batches):  # noqa: ANN001, ANN202
         store, base = store_of(root)
+        made = set()
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 target = f"{base}/{path}"
-                store.create_dir(target.rpartition("/")[0], recursive=True)
+                if (folder := target.rpartition("/")[0]) not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
                 part = f"{target}.dmtmp{uuid.uuid4().hex}"
                 with store.open_output_stream(part) as out:
                     out.write(content.as_py() or b"")

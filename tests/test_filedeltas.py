@@ -5,6 +5,7 @@ import sys
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from driftmerge.operators import blocks, filedeltas
 
@@ -115,3 +116,17 @@ print(held.close()[1:3])
     assert (tmp_path / "new").stat().st_size == (256 << 20) + 3
     (tmp_path / "old").unlink()
     (tmp_path / "new").unlink()
+
+
+def test_signatures_as_a_cell_a_file(spark, tmp_path):
+    files = []
+    for k in range(300):
+        (tmp_path / f"{k}").write_bytes(b"%d" % k * 20)
+        files.append((f"p/{k}", str(tmp_path / f"{k}")))
+    frame = spark.createDataFrame(files, "path string, uri string").coalesce(1)
+    cells = {r.path: r.sigs for r in blocks.signed_files(frame, SIZE).collect()}
+    rows = blocks.signed_rows(blocks.file_signatures(frame, SIZE)).collect()
+    assert {r.path: r.sigs for r in rows} == cells and len(cells) == 300
+    ops = filedeltas.ranged_deltas(frame, blocks.signed_files(frame, SIZE), SIZE, span=200)
+    got = filedeltas.apply_deltas(ops, frame.withColumn("hash", F.lit(None).cast("string")), str(tmp_path / "out"), SIZE).collect()
+    assert {r.path: r.len for r in got} == {f"p/{k}": len(b"%d" % k * 20) for k in range(300)}
