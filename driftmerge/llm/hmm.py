@@ -59,6 +59,18 @@ def token(word: bytes) -> bytes:
 _END = int(END).to_bytes(8, "little") + bytes(2)
 
 
+def coded(column: pa.Array, lo: int, hi: int, memo: Digests) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens the rows have, and all their tokens; only one row's words are held at a time, as they take ten times what stands for them."""
+    size, found = np.empty(hi - lo, np.int64), bytearray()
+    for k in range(lo, hi):
+        (text,) = cells(column, k, k + 1)
+        words = text.lower().split()
+        size[k - lo] = len(words) + 1
+        found += b"".join([memo[w] for w in words])
+        found += _END
+    return size, np.frombuffer(found, _TOKEN)
+
+
 STORED = "block long, doc_id long, held_out boolean, size long, tokens binary, keys binary, counts binary, tails binary"
 STORED_NAMES = [x.split()[0] for x in STORED.split(", ")]
 
@@ -78,9 +90,7 @@ def indexed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
         for batch in batches:
             column = texts(batch.column("text"))
             for lo, hi in slices(raw(column)[1], BLOCK_BYTES):
-                words = [x.lower().split() for x in cells(column, lo, hi)]
-                size = np.fromiter(map(len, words), np.int64, hi - lo) + 1
-                found = np.frombuffer(b"".join([b"".join([memo[w] for w in row]) + _END for row in words]), _TOKEN)
+                size, found = coded(column, lo, hi, memo)
                 own = batch.slice(lo, hi - lo)
                 train = ~own.column("held_out").to_numpy(zero_copy_only=False)
                 order = np.argsort(found["key"], kind="stable")
