@@ -116,6 +116,37 @@ def as_ops(runs: pa.Array) -> pa.Array:
     return _lists(2 * np.bincount(doc, minlength=len(runs)), {"kind": kind, **ids, "text": text, "clocks": lists}, OP)
 
 
+def _deletes_first(old: str, edits: list[diffing.Place]) -> list[diffing.Place]:
+    """The same edits; where no character is kept between some, one delete and then one insertion, which so hangs on the last character that it replaces.
+
+    An insertion before the whole text hangs on nothing, so a delete that follows, and could as well be that of the first characters, is that.
+    """
+    if len(edits) > 1 and edits[0][0] == 0 and edits[0][2]:
+        k = next((k for k, e in enumerate(edits) if not e[2]), 0)
+        x, _, _, size = edits[k]
+        if k and old[:x] == old[size : x + size]:
+            moved = [(a + size, y, 1, n) for a, y, _, n in edits[:k]]
+            edits = [(0, 0, 0, size), *moved, *edits[k + 1 :]]
+    out: list[diffing.Place] = []
+    x = y = -1  # where the last edit ends
+    for edit in edits:
+        a, b, move, size = edit
+        if a != x or b != y:
+            out.append(edit)
+        else:
+            px, py, before, n = out[-1]
+            if move == before:
+                out[-1] = (px, py, move, n + size)
+            elif move:
+                out.append(edit)
+            elif len(out) > 1 and (out[-2][0] + out[-2][3], out[-2][1], out[-2][2]) == (px, py, 0):
+                out[-2:] = [(*out[-2][:3], out[-2][3] + size), (px + size, py, 1, n)]
+            else:
+                out[-1:] = [(px, py, 0, size), (px + size, py, 1, n)]
+        x, y = (a, b + size) if move else (a + size, b)
+    return out
+
+
 def detect(runs: pa.Array, new: pa.Array, peer: int) -> pa.Array:
     """Ops that turn each document's live text into a new one: ids go on from its last clock, deletes mint none."""
     doc, e = _entries(runs)
@@ -131,7 +162,7 @@ def detect(runs: pa.Array, new: pa.Array, peer: int) -> pa.Array:
     found, at, texts = [], [], []
     for k, text in enumerate(new.fill_null("").to_pylist()):
         old = whole[cuts[k] : cuts[k + 1]]
-        edits = diffing.places(old, text) if old != text else []
+        edits = _deletes_first(old, diffing.places(old, text)) if old != text else []
         found += edits
         at.append(len(edits))
         texts += [text[y : y + size] if move else "" for _, y, move, size in edits]

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from driftmerge.operators import blocks, documents, reconcile
+from driftmerge.operators import blocks, columns, diffing, documents, reconcile
 from driftmerge.sources import tables
 
 
@@ -71,6 +71,42 @@ def test_ops_that_hang_on_nothing_wait(spark):
     assert text_of(twice)["known"] == "aXbc" and {r.inserted for r in twice.filter("path = 'known'").collect()} == {1}
 
 
+def test_what_replaces_the_first_characters_hangs_on_them(spark):
+    """So it waits for them where the document is unknown, as all else that is inserted."""
+    cases = [("abc", "Xbc"), ("a", "X"), ("aab", "Xab"), ("aaaaab", "Xaaaab"), ("abcabd", "Xabd"), ("aa" + "b" * 60 + "c", "X" + "a" + "b" * 60 + "cX"), ("a" * 90, "X" + "a" * 52 + "Y" + "a" * 35), ("abcd", "XYcdZ"), ("xay", "MNaPQ")]
+    for old, new in cases:
+        runs = [{"clock": 1, "peer": 1, "o_clock": None, "o_peer": None, "text": old, "gone": "0" * len(old)}]
+        ops = documents.detect(runs, new, 9)
+        assert all(o["o_clock"] for o in ops if o["kind"] == "ins")
+        after, inserted, deleted, waiting = documents.apply(runs, ops)
+        assert documents.live_text(after) == new and (inserted - deleted, waiting) == (len(new) - len(old), 0)
+        assert documents.apply([], ops)[:2] == ([], 0)
+    known = state(spark, [(f"p{k}", old) for k, (old, _) in enumerate(cases)])
+    ops = documents.detected(known, spark.createDataFrame([(f"p{k}", new) for k, (_, new) in enumerate(cases)], "path string, text string"), 9)
+    assert all(r.runs == [] and r.waiting > 0 for r in documents.applied(known.limit(0), ops).collect())
+    # What stands before all that is kept hangs on nothing.
+    assert [o["o_clock"] for o in documents.detect([{"clock": 1, "peer": 1, "o_clock": None, "o_peer": None, "text": "abc", "gone": "000"}], "Xabc", 9)] == [None]
+
+
+def test_edits_without_kept_characters_between_are_one_delete_and_one_insertion():
+    rng = random.Random(3)
+    for _ in range(400):
+        old, new = random_text(rng, rng.randint(1, 40)), random_text(rng, rng.randint(1, 40))
+        runs = [{"clock": 1, "peer": 1, "o_clock": None, "o_peer": None, "text": old, "gone": "0" * len(old)}]
+        plain = diffing.places(old, new) if old != new else []
+        edits = columns._deletes_first(old, plain)
+        size = lambda rows, kind: sum(n for *_, move, n in rows if move == kind)
+        assert (size(edits, 0), size(edits, 1)) == (size(plain, 0), size(plain, 1))
+        at, made = 0, ""
+        for k, (x, y, move, n) in enumerate(edits):
+            made += old[at:x]
+            assert len(made) == y
+            made, at = (made + new[y : y + n], x) if move else (made, x + n)
+            assert k == 0 or not move or edits[k - 1][2] == 0 or edits[k - 1][0] < x
+        assert made + old[at:] == new
+        assert documents.live_text(documents.apply(runs, documents.detect(runs, new, 9))[0]) == new
+
+
 def test_nothing_new_gives_no_ops(spark):
     s = state(spark, [("a", "same"), ("b", None), ("c", "")])
     new = spark.createDataFrame([("a", "same"), ("b", ""), ("c", None), ("d", "unknown")], "path string, text string")
