@@ -9,6 +9,7 @@ Arrow-batched function that handles a piece's characters at once, as all but the
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,6 +38,27 @@ def _signed(value: int) -> int:
     return value * 2 if value >= 0 else -value * 2 - 1
 
 
+def pack_longs(*columns: np.ndarray) -> bytes:
+    """Columns of longs, of one length, as compressed differences."""
+    rows = np.array(columns, "<i8")
+    steps = rows.copy()
+    steps[:, 1:] -= rows[:, :-1]
+    return zlib.compress(steps, 1)
+
+
+def unpack_longs(data: bytes | None, columns: int) -> np.ndarray:
+    """What ``pack_longs`` packed, a row a column; nothing packed is no longs."""
+    return np.cumsum(np.frombuffer(zlib.decompress(data), "<i8").reshape(columns, -1), axis=1) if data else np.zeros((columns, 0), np.int64)
+
+
+def pack_text(text: str) -> bytes:
+    return zlib.compress(text.encode(), 1)
+
+
+def unpack_text(data: bytes | None) -> str:
+    return zlib.decompress(data).decode() if data else ""
+
+
 def encode(elems: list[Elem]) -> bytes:
     """Bytes of (clock, peer, o_clock, o_peer, ch, deleted) in document order."""
     return encode_pieces([(*e[:5], "1" if e[5] else "0") for e in elems])

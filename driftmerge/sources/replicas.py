@@ -9,7 +9,7 @@ join on ids. The SQL constants state the same for DuckDB.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmerge.functions import scalars
+from driftmerge.operators import codec
 from driftmerge.sources.shared import dealt
 from driftmerge.sources.tables import table
 
@@ -136,6 +137,60 @@ def without(pieces: DataFrame, lost: str) -> DataFrame:
     return ins.toDF(*pieces.columns).unionByName(gone.select(*pieces.columns))
 
 
+#: An op log as messages, a row for some ops of a path: the inserts' (clock, peer, o_clock, o_peer, n) as packed longs, no origin being -1, and their texts one after the other; the deletes' (peer, clock).
+MESSAGES = "path string, ids binary, text binary, dead binary"
+
+
+def messages(docs: DataFrame, kind: str, lost: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """The op log of ``op_runs`` without the ops whose clocks are `lost`, as messages: a document's inserts ("ins") or its deletes ("del")."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = _inserts if kind == "ins" else _deletes
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                batch = whole.slice(first, 256)
+                made = [make(doc_id, np.frombuffer(text.encode("utf-32-le"), np.uint32), lost) for doc_id, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+                cells = [pa.array(c, pa.binary()) for c in zip(*made, strict=True)]
+                out = pa.record_batch([batch.column(0), *cells], ["path", "ids", "text", "dead"])
+                yield out.filter(pa.array([x is not None or z is not None for x, _, z in made]))
+
+    return docs.select("path", "doc_id", "text").filter("text <> ''").mapInArrow(run, MESSAGES)
+
+
+def _deletes(doc_id: int, code: np.ndarray, lost: Callable[[np.ndarray], np.ndarray]) -> tuple:
+    clocks = np.arange(1, len(code) + 1)
+    clocks = clocks[((clocks * 7 + doc_id) % 5 == 0) & ~lost(clocks)]  # DELETED
+    return None, None, codec.pack_longs(np.full(len(clocks), WRITER), clocks) if len(clocks) else None
+
+
+def _inserts(doc_id: int, code: np.ndarray, lost: Callable[[np.ndarray], np.ndarray]) -> tuple:
+    n = len(code)
+    gone = lost(np.arange(1, n + 6))
+    own = gone[:n]
+    # Runs go on where no character is lost; what follows a lost one hangs on it.
+    edge = np.empty(n + 1, bool)
+    edge[0], edge[n], edge[1:n] = not own[0], not own[-1], own[1:] != own[:-1]
+    turns = np.flatnonzero(edge)
+    at, end = turns[::2], turns[1::2]
+    ids = np.ones((5, len(at)), np.int64)
+    ids[0], ids[1], ids[2], ids[3], ids[4] = at + 1, WRITER, at, WRITER, end - at
+    if len(at) and at[0] == 0:
+        ids[2:4, 0] = -1
+    texts, words = [code[~own].tobytes().decode("utf-32-le")], []
+    for word, peer in (("hello", LEFT), ("world", RIGHT)):
+        before = True  # the character before is lost, or another's
+        for i, (ch, no) in enumerate(zip(word, gone[n:].tolist(), strict=True)):
+            if not no and before:
+                words.append([n + 1 + i, peer, *((doc_id % n + 1, WRITER) if i == 0 else (n + i, peer)), 1])
+            elif not no:
+                words[-1][4] += 1
+            texts.append("" if no else ch)
+            before = no
+    if words:
+        ids = np.concatenate([ids, np.array(words, np.int64).T], axis=1)
+    return (codec.pack_longs(*ids), codec.pack_text("".join(texts)), None) if ids.shape[1] else (None, None, None)
+
+
 def characters(docs: DataFrame) -> DataFrame:
     """Rows (path, doc_id, n, clock, ch): clock counts from 1.
 

@@ -36,9 +36,13 @@ def release(*frames: DataFrame) -> None:
     """Deletes what materialize() wrote, once nothing reads it any more."""
     for df in frames:
         if path := getattr(df, "_driftmerge_path", None):
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ours in what the cluster shares."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def dealt(rows: DataFrame) -> DataFrame:

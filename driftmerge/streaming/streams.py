@@ -10,7 +10,8 @@ import json
 import struct
 import time
 import uuid
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,9 +23,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from driftmerge.config import Settings
-from driftmerge.operators import blocks, sequence
+from driftmerge.operators import blocks, codec, sequence
 from driftmerge.sources import tables
-from driftmerge.sources.shared import materialize, shared_dir
+from driftmerge.sources.shared import materialize, remove, shared_dir
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -39,22 +40,30 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 STORE = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 
 
-def drained(stream: DataFrame) -> DataFrame:
+def drained(stream: DataFrame, most_tasks: int | None = None) -> DataFrame:
     """Runs a stream over all input that is there and gives what it wrote.
 
-    What the state still holds at the end follows, if the stream says how to read it (``_rest``). The session's own state store is what it was afterwards.
+    What the state still holds at the end follows, if the stream says how to read it (``_rest``); the state itself goes. The session's own state store is what it was
+    afterwards. Each task of the state costs a store opened and committed a batch, so `most_tasks` bounds them where a session shuffles over many more.
     """
     spark, place = stream.sparkSession, work_dir(stream.sparkSession)
-    before = {key: spark.conf.get(key, None) for key in STORE}
+    own = dict(STORE)
+    if most_tasks and int(spark.conf.get("spark.sql.shuffle.partitions")) > most_tasks:
+        own["spark.sql.shuffle.partitions"] = str(most_tasks)
+    before = {key: spark.conf.get(key, None) for key in own}
     try:
-        for key, value in STORE.items():
+        for key, value in own.items():
             spark.conf.set(key, value)
         running = stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start()
         running.awaitTermination()
         out = spark.read.schema(stream.schema).parquet(f"{place}/out")
         rest = getattr(stream, "_rest", None)
         # Read while the store is the stream's.
-        return materialize(out.unionByName(rest(lambda **options: spark.read.format("statestore").options(**options).load(f"{place}/state"))), "drained") if rest else out
+        if rest:
+            out = materialize(out.unionByName(rest(lambda **options: spark.read.format("statestore").options(**options).load(f"{place}/state"))), "drained")
+            remove(spark, f"{place}/out")
+        remove(spark, f"{place}/state")
+        return out
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
@@ -132,11 +141,11 @@ BITS = 12
 
 
 class Cell:
-    """Rows of some keys of a shard as one entry of a map state, as JSON: a call to the store costs more than many rows. It is read once and written if a row changed."""
+    """Rows of some keys of a shard as one entry of a map state, as compressed JSON: a call to the store costs more than many rows. It is read once and written if a row changed."""
 
     def __init__(self, state: object, number: int) -> None:
         self.state, self.key, self.dirty = state, (number,), False
-        self.rows: dict[tuple, list] = dict(((*key,), row) for key, row in json.loads(state.getValue(self.key)[0])) if state.containsKey(self.key) else {}
+        self.rows: dict[tuple, list] = dict(((*key,), row) for key, row in json.loads(zlib.decompress(state.getValue(self.key)[0]))) if state.containsKey(self.key) else {}
 
     def put(self, key: tuple, row: list | None) -> None:
         if row != self.rows.get(key):
@@ -145,7 +154,7 @@ class Cell:
 
     def save(self) -> None:
         if self.dirty and self.rows:
-            self.state.updateValue(self.key, (json.dumps(list(self.rows.items())),))
+            self.state.updateValue(self.key, (zlib.compress(json.dumps(list(self.rows.items())).encode(), 1),))
         elif self.dirty:
             self.state.removeKey(self.key)
 
@@ -216,15 +225,53 @@ def spans(clock: int, n: int) -> Iterator[tuple[int, int]]:
         clock, n = clock + m, n - m
 
 
+def bits_in(clocks: np.ndarray) -> int:
+    """The bits of some clocks of one bucket."""
+    there = np.zeros(1 << BITS, np.uint8)
+    there[clocks & (1 << BITS) - 1] = 1
+    return int.from_bytes(np.packbits(there, bitorder="little").tobytes(), "little")
+
+
+def _beside(runs: np.ndarray) -> np.ndarray:
+    """Which runs (clock, peer, o_clock, o_peer, n) hang on nothing, or on one of these runs."""
+    clock, peer, o_clock, o_peer, n = runs
+    near = o_clock < 0
+    writers = set(o_peer.tolist())
+    if len(writers) > 8:
+        return near | sequence.held(peer[:, None], clock, n, o_peer[:, None], o_clock)
+    for writer in writers:
+        of, asked = np.flatnonzero(peer == writer), np.flatnonzero((o_peer == writer) & ~near)
+        if len(of) and len(asked):
+            start = clock[of]
+            if (start[1:] < start[:-1]).any():
+                of = of[np.argsort(start, kind="stable")]
+                start = clock[of]
+            end = np.maximum.accumulate(start + n[of])
+            up = o_clock[asked]
+            i = np.searchsorted(start, up, "right") - 1
+            near[asked[(i >= 0) & (end[i] > up)]] = True
+    return near
+
+
+def _pieces(text: str, at: np.ndarray, start: np.ndarray, end: np.ndarray) -> str:
+    """The parts of a text that some runs have: number `at` from `start` to `end`, joined; mostly they lie side by side."""
+    turns = (np.flatnonzero(at[1:] != at[:-1] + 1) + 1).tolist()
+    return "".join([text[start[i] : end[j - 1]] for i, j in zip([0, *turns], [*turns, len(at)], strict=True)])
+
+
 def bits_of(clocks: np.ndarray) -> Iterator[tuple[int, int]]:
     """The buckets that some clocks stand in, with the bits of each."""
-    clocks = np.sort(clocks)
+    if (clocks[1:] < clocks[:-1]).any():
+        clocks = np.sort(clocks)
     bucket = clocks >> BITS
-    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(clocks) else ()
-    for i, j in zip(edges, edges[1:], strict=False):
-        there = np.zeros(1 << BITS, np.uint8)
-        there[clocks[i:j] & (1 << BITS) - 1] = 1
-        yield int(bucket[i]), int.from_bytes(np.packbits(there, bitorder="little").tobytes(), "little")
+    turns = (np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist()
+    for i, j in zip([0, *turns], [*turns, len(clocks)], strict=True) if len(clocks) else ():
+        yield int(bucket[i]), bits_in(clocks[i:j])
+
+
+def flags(bits: int) -> np.ndarray:
+    """Whether each of a bucket's clocks has its bit."""
+    return np.unpackbits(np.frombuffer(bits.to_bytes(1 << BITS - 3, "little"), np.uint8), bitorder="little").astype(bool)
 
 
 def clocks_of(bucket: int, bits: int) -> Iterator[int]:
@@ -259,24 +306,74 @@ class Waiting:
         if key not in self.read:
             self.read[key] = self.count(key)
             for k in range(self.read[key]):
-                for at, *run in json.loads(self.entries.getValue((*key, k))[0]):
-                    self.held.setdefault(key, {}).setdefault(at, []).append(run)
+                self.hold(key, self.unpacked(self.entries.getValue((*key, k))))
         return self.held.get(key, {}).pop(clock, [])
 
+    def hold(self, key: tuple[int, int], rows: Iterable[list]) -> None:
+        there = self.held.setdefault(key, {})
+        for at, *run in rows:
+            there.setdefault(at, []).append(run)
+
+    def left(self, key: tuple[int, int]) -> tuple | None:
+        """An entry of all that is held for a bucket."""
+        rows = [[at, *run] for at, runs in self.held.get(key, {}).items() for run in runs]
+        return (json.dumps(rows),) if rows else None
+
+    @staticmethod
+    def unpacked(entry: tuple) -> list[list]:
+        return json.loads(entry[0])
+
     def save(self) -> None:
         for key in self.held.keys() | self.read.keys():
-            left = [[at, *run] for at, runs in self.held.get(key, {}).items() for run in runs]
+            left = self.left(key)
             for k in range(1, self.read.get(key, 0)):
                 self.entries.removeKey((*key, k))
             at = 0 if key in self.read else self.count(key)
             if left:
-                self.entries.updateValue((*key, at), (json.dumps(left),))
+                self.entries.updateValue((*key, at), left)
                 self.many.updateValue(key, (at + 1,))
             elif self.read.get(key):
                 self.entries.removeKey((*key, 0))
                 self.many.removeKey(key)
 
 
+class WaitingRuns(Waiting):
+    """The same; many runs are added at once, as columns, which become rows only if one of their bucket's origins comes. Entries are packed longs and their texts."""
+
+    def __init__(self, entries: object, many: object) -> None:
+        super().__init__(entries, many)
+        self.columns: dict[tuple[int, int], list[tuple[np.ndarray, str]]] = {}
+
+    def add_all(self, key: tuple[int, int], ids: np.ndarray, text: str) -> None:
+        """Runs (o_clock, clock, peer, n), a row a column, whose origins are of one bucket."""
+        self.held.setdefault(key, {})
+        self.columns.setdefault(key, []).append((ids, text))
+
+    def take(self, clock: int, peer: int) -> list:
+        key = (peer, clock >> BITS)
+        for ids, text in self.columns.pop(key, ()):
+            self.hold(key, _rows(ids, text))
+        return super().take(clock, peer)
+
+    def left(self, key: tuple[int, int]) -> tuple | None:
+        parts = list(self.columns.get(key, ()))
+        if rows := [(at, *run) for at, runs in self.held.get(key, {}).items() for run in runs]:
+            parts.append((np.array([(at, clock, peer, len(text)) for at, clock, peer, text in rows], np.int64).T, "".join(x[3] for x in rows)))
+        if not parts:
+            return None
+        ids, text = parts[0] if len(parts) == 1 else (np.concatenate([x for x, _ in parts], axis=1), "".join(x for _, x in parts))
+        return codec.pack_longs(*ids), codec.pack_text(text)
+
+    @staticmethod
+    def unpacked(entry: tuple) -> list[list]:
+        return _rows(codec.unpack_longs(entry[0], 4), codec.unpack_text(entry[1]))
+
+
+def _rows(ids: np.ndarray, text: str) -> list[list]:
+    ends = np.cumsum(ids[3]).tolist()
+    return [[at, clock, peer, text[i:j]] for at, clock, peer, i, j in zip(*ids[:3].tolist(), [0, *ends], ends, strict=False)]
+
+
 #: Groups that a stream's keys are dealt to, and the cells of all of them: a call of Python for each key would cost far more than its rows.
 SHARDS, CELLS = 512, 1 << 14
 PACKED = "path string, clock array<long>, peer array<long>, o_clock array<long>, o_peer array<long>, n array<long>, text string, d_peer array<long>, d_clock array<long>"
@@ -313,14 +410,19 @@ class Causal(StatefulProcessor):
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getMapState("ids", "cell long", "rows string")
-        self.waits = handle.getMapState("waiting", "path string, peer long, bucket long, nth long", "runs string")
+        self.state = handle.getMapState("ids", "cell long", "rows binary")
+        self.waits = handle.getMapState("waiting", "path string, peer long, bucket long, nth long", "ids binary, text binary")
+
+    def ops(self, frame: pd.DataFrame) -> Iterator[tuple]:
+        """The cell and path of each row, its inserts' (clock, peer, o_clock, o_peer, n), their texts, and its deletes' (peer, clock)."""
+        for cell, path, *ids, text, peers, clocks in zip(frame.cell, *(frame[c.split()[0]] for c in PACKED.split(", ")), strict=True):
+            yield cell, path, (np.array([np.asarray(x, np.int64) for x in ids]), text, np.array([np.asarray(x, np.int64) for x in (peers, clocks)]))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  names of the interface
         for frame in rows:
             self.out: list[tuple] = []
             held: dict[int, dict[str | None, list[tuple]]] = {}
-            for number, path, *ops in zip(frame.cell, *(frame[c.split()[0]] for c in PACKED.split(", ")), strict=True):
+            for number, path, ops in self.ops(frame):
                 held.setdefault(number, {}).setdefault(path, []).append(ops)
             for number, paths in held.items():
                 cell = Cell(self.state, number)
@@ -329,28 +431,58 @@ class Causal(StatefulProcessor):
                 cell.save()
             yield pd.DataFrame(self.out, columns=["path", "kind", "clock", "peer", "text", "clocks"]).astype({"clock": "Int64"})
 
-    def document(self, cell: Cell, path: str | None, parts: list[list]) -> None:
+    def document(self, cell: Cell, path: str | None, parts: list[tuple]) -> None:
         self.ids = ids = Ids(cell, path)
-        self.waiting = Waiting(Under(self.waits, path), ids)
-        for clocks, peers, o_clocks, o_peers, many, text, _, _ in parts:
-            at = 0
-            for clock, peer, o_clock, o_peer, n in zip(*(x.tolist() for x in (clocks, peers, o_clocks, o_peers, many)), strict=True):
-                self.insert(path, clock, peer, None if o_clock < 0 else (o_clock, o_peer), text[at : at + n])
-                at += n
-        for *_, peers, clocks in parts:
-            for peer in np.unique(peers).tolist():
-                done: list[int] = []
-                for bucket, bits in bits_of(clocks[peers == peer]):
-                    placed, gone, early, _, _ = ids.entry(peer, bucket)
-                    ids.put(peer, bucket, ids.EARLY, early | bits & ~placed)
-                    if new := bits & placed & ~gone:
-                        ids.put(peer, bucket, ids.GONE, gone | new)
-                        done += clocks_of(bucket, new)
-                if done:
-                    self.out.append((path, "del", None, peer, None, done))
+        self.waiting = WaitingRuns(Under(self.waits, path), ids)
+        runs, text, dead = parts[0] if len(parts) == 1 else (np.concatenate([x for x, _, _ in parts], axis=1), "".join(x for _, x, _ in parts), np.concatenate([x for _, _, x in parts], axis=1))
+        if runs.shape[1]:
+            ends = np.cumsum(runs[4])
+            at = self.possible(runs, text, ends)
+            for clock, peer, o_clock, o_peer, n, end in zip(*runs[:, at].tolist(), ends[at].tolist(), strict=True):
+                self.insert(path, clock, peer, None if o_clock < 0 else (o_clock, o_peer), text[end - n : end])
+        for peer in np.unique(dead[0]).tolist():
+            done: list[int] = []
+            for bucket, bits in bits_of(dead[1, dead[0] == peer]):
+                placed, gone, early, _, _ = ids.entry(peer, bucket)
+                ids.put(peer, bucket, ids.EARLY, early | bits & ~placed)
+                if new := bits & placed & ~gone:
+                    ids.put(peer, bucket, ids.GONE, gone | new)
+                    done += clocks_of(bucket, new)
+            if done:
+                self.out.append((path, "del", None, peer, None, done))
         self.waiting.save()
         ids.save()  # last: it has the counts of those
 
+    def possible(self, runs: np.ndarray, text: str, ends: np.ndarray) -> np.ndarray:
+        """The runs whose origin is placed or comes beside them; all others wait, added at once."""
+        near = _beside(runs)
+        far = np.flatnonzero(~near)
+        if not len(far):
+            return np.flatnonzero(near)
+        waits = runs[:, far]
+        rising = waits[:, 1:] > waits[:, :-1]
+        if not (rising[2].all() and (waits[3] == waits[3, 0]).all()):  # mostly they lie by origin
+            by = np.lexsort((waits[0], waits[1], waits[2], waits[3]))
+            far, waits = far[by], waits[:, by]
+            same = (waits[:, 1:] == waits[:, :-1]).all(axis=0)  # one that comes again beside itself
+            if same.any():
+                first = np.flatnonzero(np.concatenate([[True], ~same]))
+                far, waits = far[first], waits[:, first]
+        _, _, o_clock, o_peer, _ = waits
+        bucket = o_clock >> BITS
+        turns = (np.flatnonzero((bucket[1:] != bucket[:-1]) | (o_peer[1:] != o_peer[:-1])) + 1).tolist()
+        for a, z in zip([0, *turns], [*turns, len(far)], strict=True):
+            at, ids, key = far[a:z], waits[:, a:z], (int(o_peer[a]), int(bucket[a]))
+            placed, _, _, awaited, _ = self.ids.entry(*key)
+            if placed:
+                there = flags(placed)[ids[2] & (1 << BITS) - 1]
+                near[at[there]] = True
+                at, ids = at[~there], ids[:, ~there]
+            if len(at):
+                self.ids.put(*key, Ids.AWAITED, awaited | bits_in(ids[2]))
+                self.waiting.add_all(key, ids[[2, 0, 1, 4]], _pieces(text, at, ends[at] - ids[4], ends[at]))
+        return np.flatnonzero(near)
+
     def insert(self, path: str | None, clock: int, peer: int, origin: tuple[int, int] | None, text: str) -> None:
         ids, queue = self.ids, [(clock, peer, origin, text)]
         while queue:
@@ -384,6 +516,19 @@ class Causal(StatefulProcessor):
         pass
 
 
+class CausalMessages(Causal):
+    """The same of messages, whose ids and texts are packed."""
+
+    def ops(self, frame: pd.DataFrame) -> Iterator[tuple]:
+        for cell, path, ids, text, dead in zip(*(frame[c] for c in ("cell", "path", "ids", "text", "dead")), strict=True):
+            yield cell, path, (codec.unpack_longs(ids, 5), codec.unpack_text(text), codec.unpack_longs(dead, 2))
+
+
+def causal_messages(messages: DataFrame) -> DataFrame:
+    """What ``causal_runs`` gives, of a stream of messages (path, ids, text, dead), each some ops of a path (``replicas.MESSAGES``): a log's runs are never rows."""
+    return sharded(messages.select("path", "ids", "text", "dead"), "path").groupBy("shard").transformWithStateInPandas(CausalMessages(), PLACED, "Append", "None")
+
+
 def causal_runs(ops: DataFrame) -> DataFrame:
     """Pieces of op logs (path, kind, clock, peer, o_clock, o_peer, text, clocks) of a stream once what they name is there.
 
@@ -413,8 +558,8 @@ def still_blocked(state: Callable[..., DataFrame]) -> DataFrame:
 
     Those that wait for what waits itself aren't blocked by anything missing of their own.
     """
-    waiting = state(stateVarName="waiting").select("user_map_key.path", "user_map_key.peer", "user_map_key.bucket", "user_map_value.runs", F.lit(None).cast("string").alias("early"))
-    early = state(stateVarName="ids").select("user_map_value.rows").mapInArrow(_early, "path string, peer long, bucket long, early string").withColumn("runs", F.lit(None).cast("string"))
+    waiting = state(stateVarName="waiting").select("user_map_key.path", "user_map_key.peer", "user_map_key.bucket", F.col("user_map_value.ids").alias("runs"), F.lit(None).cast("string").alias("early"))
+    early = state(stateVarName="ids").select("user_map_value.rows").mapInArrow(_early, "path string, peer long, bucket long, early string").withColumn("runs", F.lit(None).cast("binary"))
     return sequence.by_document(waiting.unionByName(early), _blocked, "path string, n long").filter("n > 0")
 
 
@@ -422,7 +567,7 @@ def _early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bit maps of cells that say what was deleted before it came."""
     for batch in batches:
         for cell in batch.column(0):
-            rows = [(*key, fields[Ids.EARLY]) for key, fields in json.loads(cell.as_py()) if fields[Ids.EARLY] != "0"]
+            rows = [(*key, fields[Ids.EARLY]) for key, fields in json.loads(zlib.decompress(cell.as_py())) if fields[Ids.EARLY] != "0"]
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["path", "peer", "bucket", "early"])
 
@@ -436,7 +581,8 @@ def _blocked(part: pa.Table) -> pa.Table:
             clocks = (bucket << BITS) + np.flatnonzero(np.unpackbits(np.frombuffer(bits.to_bytes(-(-bits.bit_length() // 8), "little"), np.uint8), bitorder="little"))
             asked.append(np.stack([np.full(len(clocks), at), np.full(len(clocks), peer), clocks], axis=1))
             continue
-        there.append(np.array([(at, peer, o_clock, own, clock, len(text)) for o_clock, clock, own, text in json.loads(runs)], np.int64).reshape(-1, 6))
+        o_clock, clock, own, n = codec.unpack_longs(runs, 4)
+        there.append(np.stack([np.full(len(clock), at), np.full(len(clock), peer), o_clock, own, clock, n], axis=1))
     # A run that is in several entries counts once.
     runs = np.unique(np.concatenate(there), axis=0)
     want = np.concatenate([*asked, runs[:, :3]])

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftmerge.config import Settings
-from driftmerge.operators import blocks, sequence
+from driftmerge.operators import blocks, codec, sequence
+from driftmerge.plans import files
 from driftmerge.sources import replicas as R
 from driftmerge.sources import tables
 from driftmerge.streaming import streams
@@ -116,6 +117,86 @@ def test_what_waits_for_one_origin_is_not_rewritten_for_each_waiter():
     assert len(json.loads(entries[1, 2, 0][0])) == 20 and len(entries) == 50 and dict(many) == {(1, 2): (50,)}
 
 
+def test_messages_are_the_log_without_what_is_lost(spark):
+    text = "The quick brown fox é🌍 jumps over the lazy dog. "
+    docs = spark.createDataFrame([(f"p{k}", k, text[: k * 3]) for k in range(16)] + [("q", 40, text * 400), ("n", 41, None)], "path string, doc_id long, text string")
+    for lost, of in (("clock % 11 = 5", lambda c: c % 11 == 5), ("clock < 3", lambda c: c < 3), ("clock % 2 = 0", lambda c: c % 2 == 0), ("false", lambda c: c < 0)):
+        want, gone, got, dead = set(), set(), set(), set()
+        for r in R.without(R.op_runs(docs), lost).collect():
+            if r.kind == "del":
+                gone |= {(r.path, r.peer, c) for c in r.clocks}
+            else:
+                want.add((r.path, r.clock, r.peer, r.o_clock, r.o_peer, r.text))
+        for kind in ("ins", "del"):
+            for r in R.messages(docs, kind, of).collect():
+                ids, body, at = codec.unpack_longs(r.ids, 5), codec.unpack_text(r.text), 0
+                for clock, peer, o_clock, o_peer, n in ids.T.tolist():
+                    got.add((r.path, clock, peer, *((None, None) if o_clock < 0 else (o_clock, o_peer)), body[at : at + n]))
+                    at += n
+                assert at == len(body)
+                dead |= {(r.path, *x) for x in codec.unpack_longs(r.dead, 2).T.tolist()}
+        assert got == want and dead == gone
+
+
+def test_a_stream_of_messages_gives_what_one_of_runs_gives(spark, tmp_path):
+    """Deletes first, then inserts in two parts, the later ones first; the log's files are many, the batches few. What waits is an entry a bucket, not a call a run."""
+    text = "some words that stand in a text, é and 🌍 among them; "
+    docs = spark.createDataFrame([(f"p{k}", k, text * (k * k)) for k in range(1, 14)], "path string, doc_id long, text string")
+    lost, of = "clock % 11 = 5 and clock > 3000", lambda c: (c % 11 == 5) & (c > 3000)
+    found = []
+    for messages in (True, False):
+        if messages:
+            log = f"{tmp_path}/messages"
+            R.messages(docs, "del", of).coalesce(1).write.parquet(f"{log}/1")
+            R.messages(docs.filter("doc_id % 2 = 0"), "ins", of).coalesce(1).write.parquet(f"{log}/2")
+            R.messages(docs, "ins", of).coalesce(1).write.parquet(f"{log}/3")
+            stream = streams.causal_messages(streams.source(spark, f"{log}/*", R.MESSAGES, files_per_batch=1))
+        else:
+            log, runs = f"{tmp_path}/runs", R.without(R.op_runs(docs), lost)
+            runs.filter("kind = 'del'").coalesce(1).write.parquet(f"{log}/1")
+            runs.filter("kind = 'ins' and clock > 2000").coalesce(1).write.parquet(f"{log}/2")
+            runs.filter("kind = 'ins'").coalesce(1).write.parquet(f"{log}/3")
+            stream = streams.causal_runs(streams.source(spark, f"{log}/*", R.PIECES, files_per_batch=1))
+        stream._rest = lambda state: streams.still_blocked(state).select("path", F.lit("blocked").alias("kind"), F.col("n").alias("clock"), *(F.lit(None).cast(t).alias(c) for c, t in (("peer", "long"), ("text", "string"), ("clocks", "array<bigint>"))))
+        chars = set()
+        for r in streams.drained(stream, most_tasks=3).collect():
+            chars |= {("blocked", r.path, r.clock)} if r.kind == "blocked" else {(r.path, r.peer, c) for c in r.clocks} if r.kind == "del" else {(r.path, r.peer, r.clock + i, c) for i, c in enumerate(r.text)}
+        found.append(chars)
+    assert found[0] == found[1] and sum(x[0] == "blocked" for x in found[0]) > 3
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
+def test_a_log_has_few_files_whatever_the_session_shuffles_over(spark, tmp_path):
+    """And it goes, with the state, when its stream is drained."""
+    rows = [(k, f"text number {k} " * (k % 9), "s") for k in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "300")
+        log = files._lossy(spark, str(tmp_path))
+        assert all(files.LOG_FILES // 2 < len(glob.glob(f"{log.removeprefix('file://')}/{k}/*.parquet")) <= files.LOG_FILES for k in (1, 2))
+        got = files._drained(streams.causal_messages(streams.source(spark, f"{log}/*", R.MESSAGES, files_per_batch=64)), log)
+        assert got.select("path").distinct().count() == sum(k % 9 > 0 for k in range(300))
+        assert not os.path.exists(log.removeprefix("file://")) and not glob.glob(f"{os.path.dirname(log.removeprefix('file://'))}/stream-*/state/state")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_runs_that_wait_are_added_at_once():
+    entries, many = Memory(), Memory()
+    for k in range(3):  # batches
+        w = streams.WaitingRuns(entries, many)
+        clock = 100 * k + np.arange(0, 40, 2)
+        w.add_all((1, 0), np.stack([clock - 1, clock, np.full(20, 1), np.full(20, 2)]), "ab" * 20)
+        w.add((7, 1), [500 + k, 2, "é🌍"])
+        w.save()
+    assert (len(entries), entries.reads, entries.writes) == (3, 0, 3) and dict(many) == {(1, 0): (3,)}
+    w = streams.WaitingRuns(entries, many)
+    assert sorted(w.take(7, 1)) == [[8, 1, "ab"], *([500 + k, 2, "é🌍"] for k in range(3))] and w.take(107, 1) == [[108, 1, "ab"]]
+    w.save()
+    assert len(entries) == 1 and len(w.unpacked(entries[1, 0, 0])) == 58 and dict(many) == {(1, 0): (1,)}
+
+
 def test_transfers_of_a_stream_equal_the_batch(spark, tmp_path):
     rng = random.Random(2)
     kind = f"peer long, path string, hash string, seq long, total long, ops {blocks.OPS}"
