@@ -10,16 +10,18 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftmerge.functions.scalars import inflate
-from driftmerge.operators import blocks
+from driftmerge.operators import blocks, codec
 from driftmerge.sources.folders import store_of
 from driftmerge.sources.shared import materialize
 
@@ -159,7 +161,9 @@ def ranged_deltas(files: DataFrame, old_signatures: DataFrame, size: int, span:
             if ops:
                 yield rows()
 
-    return spans.join(entered, ["path", "k"]).select("path", "uri", "k", "entered", "end", "last", "sigs").mapInArrow(write, FILE_OP)
+    out = spans.join(entered, ["path", "k"]).select("path", "uri", "k", "entered", "end", "last", "sigs").mapInArrow(write, FILE_OP)
+    out._driftmerge_path = spans._driftmerge_path  # for release(), once the ops were used
+    return out
 
 
 def range_ops(r: dict, weaks: np.ndarray, strongs: list[bytes], size: int) -> Iterator[blocks.Op]:
@@ -246,19 +250,62 @@ class Rebuilt:
             self.store.move(self.part, self.target)
         else:
             self.store.delete_file(self.part)
+            if (size := self.rebuilt()) is not None:
+                return self.path, size, self.announced, "written"
         return self.path, self.length, made, "written" if fine else "other content"
 
+    def rebuilt(self) -> int | None:
+        """The bytes of the file that is there already, if its hash is the one announced: where files take the old ones' places, a task that runs twice finds them so."""
+        if self.store.get_file_info(self.target).type != pafs.FileType.File:
+            return None
+        digest, size = hashlib.sha256(), 0
+        with self.store.open_input_file(self.target) as f:
+            while data := f.read(READ):
+                digest.update(data)
+                size += len(data)
+        return size if digest.hexdigest() == self.announced else None
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ops as a row for those of a file that lie one after the other: numbers that say the block of a copy or, below zero, the bytes of a literal, and all literals compressed. A row an op would be shuffled as some hundred bytes more."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        n, op = batch.column("n").to_numpy(), batch.column("op")
+        kind, block, data = (pc.struct_field(op, c) for c in ("kind", "block_no", "bytes"))
+        data = data.fill_null(b"")
+        edges = np.frombuffer(data.buffers()[1], np.int64 if pa.types.is_large_binary(data.type) else np.int32)[data.offset : data.offset + len(data) + 1]
+        body = memoryview(data.buffers()[2] or b"")
+        literal = -1 - 2 * np.diff(edges).astype(np.int64) - pc.equal(kind, "litz").to_numpy(zero_copy_only=False)
+        codes = np.where(pc.equal(kind, "copy").to_numpy(zero_copy_only=False), block.fill_null(0).to_numpy(), literal)
+        path = batch.column("path").dictionary_encode().indices.to_numpy()
+        at = np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (np.diff(n) != 1)])
+        cells = [(codec.pack_longs(codes[i:j]), zlib.compress(body[edges[i] : edges[j]], 1)) for i, j in zip(at.tolist(), [*at[1:].tolist(), len(n)], strict=True)]
+        yield pa.record_batch([batch.column("path").take(pa.array(at)), pa.array(n[at]), *(pa.array(c, pa.binary()) for c in zip(*cells, strict=True))], ["path", "n", "codes", "data"])
+
+
+def _unpacked(codes: bytes, data: bytes) -> Iterator[blocks.Op]:
+    data, at = zlib.decompress(data), 0
+    for code in codec.unpack_longs(codes, 1)[0].tolist():
+        if code >= 0:
+            yield "copy", code, None
+        else:
+            size, packed = divmod(-1 - code, 2)
+            yield "litz" if packed else "lit", None, data[at : at + size]
+            at += size
+
 
 def apply_deltas(ops: DataFrame, announced: DataFrame, root: str, size: int) -> DataFrame:
     """Writes the files that ops (path, n, op) rebuild below root; gives (path, len, hash, outcome), "written" or "other content".
 
     announced: (path, uri, hash), a row a file: where its old content is, null if there is none, and the hash that the new one must have, null if it isn't checked. A file without
     ops is empty. A task writes its files one after the other and holds one batch of ops and one part of an old file, whatever
-    their sizes; nothing is seen under a file's name before its hash is right.
+    their sizes; nothing is seen under a file's name before its hash is right. Files may take the places of the old ones.
     """
-    none = F.lit(None).cast("struct<kind:string,block_no:bigint,bytes:binary>")
-    heads = announced.select("path", F.lit(-1).cast("long").alias("n"), none.alias("op"), "uri", "hash")
-    rows = heads.unionByName(ops.join(announced.select("path"), "path", "left_semi").select("path", "n", "op", F.lit(None).cast("string").alias("uri"), F.lit(None).cast("string").alias("hash")))
+    none = lambda kind: F.lit(None).cast(kind)
+    heads = announced.select("path", F.lit(-1).cast("long").alias("n"), none("binary").alias("codes"), none("binary").alias("data"), "uri", "hash")
+    packed = ops.select("path", "n", "op").mapInArrow(_packed, "path string, n long, codes binary, data binary").join(announced.select("path"), "path", "left_semi")
+    rows = heads.unionByName(packed.select("path", "n", "codes", "data", none("string").alias("uri"), none("string").alias("hash")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Rebuilt | None = None
@@ -269,17 +316,17 @@ def apply_deltas(ops: DataFrame, announced: DataFrame, root: str, size: int) ->
 
         for batch in batches:
             out = []
-            ops = batch.column(2)
-            for i, (path, n, uri, hash_, kind, block) in enumerate(zip(*(x.to_pylist() for x in (batch.column(0), batch.column(1), batch.column(3), batch.column(4), ops.field("kind"), ops.field("block_no"))), strict=True)):
+            for i, (path, n, uri, hash_) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("path", "n", "uri", "hash")), strict=True)):
                 if n < 0:
                     if held:
                         out.append(held.close())
                     held = Rebuilt(root, path, uri, hash_, size, made)
                 else:
-                    held.add(kind, block, None if kind == "copy" else ops.field("bytes")[i].as_py())
+                    for op in _unpacked(batch.column("codes")[i].as_py(), batch.column("data")[i].as_py()):
+                        held.add(*op)
             if out:
                 yield done(out)
         if held:
             yield done([held.close()])
 
-    return materialize(rows.repartition("path").sortWithinPartitions("path", "n").select("path", "n", "op", "uri", "hash").mapInArrow(run, APPLIED), "applied")
+    return materialize(rows.repartition("path").sortWithinPartitions("path", "n").select("path", "n", "codes", "data", "uri", "hash").mapInArrow(run, APPLIED), "applied")

@@ -4,6 +4,7 @@ import subprocess
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,36 @@ def test_deltas_by_ranges_equal_the_sequential_one_and_rebuild_the_files(spark,
     assert not list((tmp_path / "root").rglob("*.dmtmp*"))
 
 
+def test_files_take_the_places_of_the_old_ones_also_if_a_task_runs_twice(spark, tmp_path):
+    rng = random.Random(9)
+    files, olds, want = [], [], {}
+    for k in range(6):
+        old = rng.randbytes(rng.randrange(1, 3000))
+        new = [old[1:], old + b"x", b"", made_of(rng, old, 2000), old[700:] + old[:700], old][k]
+        for name, data in (("tree", old), ("new", new)):
+            (tmp_path / name).mkdir(exist_ok=True)
+            (tmp_path / name / f"f{k}").write_bytes(data)
+        files.append((f"f{k}", str(tmp_path / "new" / f"f{k}")))
+        olds.append((f"f{k}", str(tmp_path / "tree" / f"f{k}"), hashlib.sha256(new).hexdigest()))
+        want[f"f{k}"] = new
+    held = spark.createDataFrame(olds, "path string, uri string, hash string")
+    ops = spark.createDataFrame(filedeltas.ranged_deltas(spark.createDataFrame(files, "path string, uri string"), blocks.signed_files(held, SIZE), SIZE, span=200).collect(), filedeltas.FILE_OP)
+    for _ in range(2):
+        got = filedeltas.apply_deltas(ops, held, str(tmp_path / "tree"), SIZE).collect()
+        assert {(r.path, r.len, r.outcome) for r in got} == {(p, len(x), "written") for p, x in want.items()}
+        assert {p: (tmp_path / "tree" / p).read_bytes() for p in want} == want and len(list((tmp_path / "tree").iterdir())) == 6
+
+
+def test_ops_are_packed_and_unpacked():
+    rng = random.Random(4)
+    ops = [(f"p{k // 40}", k % 40 + (100 if k % 7 == 0 else 0), rng.choice([("copy", rng.randrange(9), None), ("lit", None, rng.randbytes(rng.randrange(5))), ("litz", None, rng.randbytes(3))])) for k in range(120)]
+    kind = pa.struct([("kind", pa.string()), ("block_no", pa.int64()), ("bytes", pa.binary())])
+    batch = pa.record_batch([pa.array([p for p, _, _ in ops]), pa.array([n for _, n, _ in ops], pa.int64()), pa.array([dict(zip(("kind", "block_no", "bytes"), op, strict=True)) for _, _, op in ops], kind)], ["path", "n", "op"])
+    rows = [r for part in filedeltas._packed(iter([batch.slice(0, 50), batch.slice(50)])) for r in part.to_pylist()]
+    got = [(r["path"], r["n"] + i, op) for r in rows for i, op in enumerate(filedeltas._unpacked(r["codes"], r["data"]))]
+    assert got == ops and len(rows) < 60
+
+
 def test_a_file_with_another_hash_is_not_seen(spark, tmp_path):
     (tmp_path / "old").write_bytes(b"a" * 100)
     ops = spark.createDataFrame([("x", 0, ("copy", 0, None)), ("x", 1, ("litz", None, bytearray(blocks.deflate(b"b" * 400)))), ("x", 2, ("copy", 1, None)), ("y", 0, ("lit", None, bytearray(b"q"))), ("z", 0, ("lit", None, bytearray(b"not announced")))], "path string, n long, op struct<kind:string,block_no:long,bytes:binary>")
